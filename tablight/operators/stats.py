@@ -192,7 +192,7 @@ def group_tests(df: DataFrame, cat_cols: list[str], num_cols: list[str], min_gro
     return out.drop("sr2", "R1", "tie", "n_e")
 
 
-def posthoc_pairs(vce: DataFrame, elig: DataFrame, keys: list[str], best: int = 3) -> DataFrame:
+def posthoc_pairs(vce: DataFrame, elig: DataFrame, keys: list[str], best: int | None = 3) -> DataFrame:
     """Pairwise Mann-Whitney between eligible groups of each (category,
     metric) with >= 3 groups: U, p, effect, median difference, BH q within
     the pair family, best 3 by (q, -effect) as an array column."""
@@ -221,6 +221,8 @@ def posthoc_pairs(vce: DataFrame, elig: DataFrame, keys: list[str], best: int =
          .withColumn("effect_size", F.abs(1 - 2 * u / (F.col("n_a") * F.col("n_b"))))
          .withColumn("median_diff", F.col("med_a") - F.col("med_b")))
     t = bh(t, "p_value", keys)
+    if best is None:
+        return t
     w = Window.partitionBy(*keys).orderBy(F.col("q_value"), F.col("effect_size").desc(), "group_a", "group_b")
     top = t.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= best)
     return top.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
@@ -228,6 +230,17 @@ def posthoc_pairs(vce: DataFrame, elig: DataFrame, keys: list[str], best: int =
         "median_diff", "significant"))).alias("posthoc_pairs"))
 
 
+def posthoc_all(df: DataFrame, cat: str, num: str, min_group: int = 5) -> DataFrame:
+    """T8 flat: every eligible pair of groups with U, p, q, effect, medians."""
+    keys = ["categorical_col", "numeric_col"]
+    vc = (_group_long(df, [cat], [num]).groupBy(*keys, "level", "value")
+          .agg(F.count(F.lit(1)).alias("cnt")))
+    sizes = vc.groupBy(*keys, "level").agg(F.sum("cnt").alias("n_g"))
+    elig = sizes.where(F.col("n_g") >= min_group)
+    vce = vc.join(elig.select(*keys, "level"), keys + ["level"], "left_semi")
+    return posthoc_pairs(vce, elig, keys, best=None)
+
+
 def group_sweep(df: DataFrame, prof: DataFrame | None = None) -> DataFrame:
     """Every non-ID category with 2-10 levels against every non-ID metric;
     best 2 tests per category by q."""
