@@ -101,15 +101,21 @@ def kmeans_sweep(scaled: DataFrame, cols: list[str], max_k: int = 5, n_init: int
     vec = _vectors(scaled, cols).select("features").persist()
     n = vec.count()
     models, rows = {}, []
-    for k in range(2, min(max_k, n // 2) + 1):
-        best = None
-        for s in range(n_init):
-            m = KMeans(k=k, seed=seed + s, maxIter=max_iter, initMode="k-means||").fit(vec)
-            cost = m.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, m)
-        models[k] = best[1]
-        rows.append((k, float(best[0])))
+    from concurrent.futures import ThreadPoolExecutor
+
+    def fit(args):
+        k, s = args
+        m = KMeans(k=k, seed=seed + s, maxIter=max_iter, initMode="k-means||").fit(vec)
+        return k, m.summary.trainingCost, s, m
+
+    grid = [(k, s) for k in range(2, min(max_k, n // 2) + 1) for s in range(n_init)]
+    # restarts are independent Spark jobs; submit them concurrently
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        fits = list(pool.map(fit, grid))
+    for k in sorted({g[0] for g in grid}):
+        cost, _, m = min(((c, s, m) for kk, c, s, m in fits if kk == k), key=lambda t: (t[0], t[1]))
+        models[k] = m
+        rows.append((k, float(cost)))
     vec.unpersist()
     return spark.createDataFrame(rows, "k int, inertia double"), models
 
@@ -240,9 +246,9 @@ def project(scaled: DataFrame, cols: list[str], keep: list[str] | None = None) -
         col = pcs[:, j]
         signs.append(1.0 if col[abs(col).argmax()] >= 0 else -1.0)
     from pyspark.ml.functions import vector_to_array
-    arr = vector_to_array(model.transform(vec)["pc"])
-    return model.transform(vec).select(*[_q(k) for k in keep],
-                                       (arr[0] * signs[0]).alias("x"), (arr[1] * signs[1]).alias("y"))
+    out = model.transform(vec).withColumn("_pc", vector_to_array("pc"))
+    return out.select(*[_q(k) for k in keep], (F.col("_pc")[0] * signs[0]).alias("x"),
+                      (F.col("_pc")[1] * signs[1]).alias("y"))
 
 
 def cluster(df: DataFrame, features: list[str] | None = None, key: str | None = None,

@@ -66,7 +66,7 @@ def drop_sparse_columns(df: DataFrame, max_null_ratio: float = 0.5) -> DataFrame
 
 
 def fill_display(df: DataFrame, number: float = 0, text: str = "N/A") -> DataFrame:
-    """Nulls become 0 in numeric columns and ``"N/A"`` elsewhere."""
+    """Nulls become 0 in numeric columns and ``"N/A"`` in text columns."""
     exprs = []
     for f in df.schema.fields:
         c = _q(f.name)
@@ -75,7 +75,7 @@ def fill_display(df: DataFrame, number: float = 0, text: str = "N/A") -> DataFra
         elif isinstance(f.dataType, T.StringType):
             exprs.append(F.coalesce(c, F.lit(text)).alias(f.name))
         else:
-            exprs.append(F.coalesce(c.cast("string"), F.lit(text)).alias(f.name))
+            exprs.append(c)  # dates, booleans, nested values keep their type
     return df.select(*exprs)
 
 
@@ -131,19 +131,21 @@ def retain(df: DataFrame, ts: str, ttl_hours: float = 24.0, keep: int = 15,
     """Drop rows older than ``ttl`` before the newest timestamp (per key
     group when ``by`` is given), then keep the newest ``keep`` rows per group.
 
-    The per-group window is partitioned by the group keys; when there are no
-    keys, the newest rows are found with a top-k (TakeOrdered), never an
-    unpartitioned window.
+    The newest timestamp per group is a partial aggregate (one row per group
+    and task before the shuffle), and the newest-k step is a salted top-k, so
+    a group holding a third of all rows is still spread over many tasks.
+    Without keys the newest rows come from a TakeOrdered top-k.
     """
+    from tablight.functions.ordering import top_k_per_group
     by = by or []
     tie = [_q(key).desc()] if key else []
     secs = int(ttl_hours * 3600)
     if by:
-        w = Window.partitionBy(*[_q(b) for b in by])
-        cutoff = F.max(_q(ts)).over(w) - F.expr(f"INTERVAL {secs} SECONDS")
-        fresh = df.withColumn("_cut", cutoff).where(_q(ts) >= F.col("_cut")).drop("_cut")
-        wr = w.orderBy(_q(ts).desc(), *tie)
-        return fresh.withColumn("_r", F.row_number().over(wr)).where(F.col("_r") <= keep).drop("_r")
+        newest = df.groupBy(*[_q(b) for b in by]).agg(F.max(_q(ts)).alias("_mx"))
+        fresh = (df.join(newest, by)
+                 .where(_q(ts) >= F.col("_mx") - F.expr(f"INTERVAL {secs} SECONDS")).drop("_mx"))
+        salt = [key] if key else [c for c in df.columns if c not in by]
+        return top_k_per_group(fresh, by, [_q(ts).desc(), *tie], keep, salt).drop("_k")
     newest = df.agg(F.max(_q(ts)).alias("_mx"))
     fresh = (df.crossJoin(F.broadcast(newest))  # one-row scalar
              .where(_q(ts) >= F.col("_mx") - F.expr(f"INTERVAL {secs} SECONDS")).drop("_mx"))

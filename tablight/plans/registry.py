@@ -518,7 +518,7 @@ SELECT "column", position, n_rows, non_null, nunique,
   CASE WHEN is_time THEN 'datetime' WHEN nunique <= 2 AND bool_values = non_null THEN 'boolean'
        WHEN is_num AND is_int AND nunique <= 15 THEN 'discrete_numeric' WHEN is_num THEN 'continuous_numeric'
        ELSE 'categorical' END AS type,
-  ROUND(mean, 6) AS mean, vmin AS "min", vmax AS "max", ROUND(skewness, 6) AS skewness,
+  ROUND(mean, 5) AS mean, vmin AS "min", vmax AS "max", ROUND(skewness, 6) AS skewness,
   ROUND(kurtosis, 6) AS kurtosis, ROUND(q1, 6) AS q1, ROUND(median, 6) AS median, ROUND(q3, 6) AS q3,
   outlier_count, ROUND(outlier_count / n_rows, 6) AS outlier_ratio,
   CASE WHEN regexp_matches(cn, {id_rx}) THEN TRUE
@@ -534,9 +534,13 @@ _PROFILE_COLS = ["column", "position", "n_rows", "non_null", "nunique", "missing
                  "is_identifier"]
 
 
+def _profile_out(prof: DataFrame) -> DataFrame:
+    return rnd(prof.select(*_PROFILE_COLS), 6).withColumn("mean", F.round("mean", 5))
+
+
 @register("p01_profile", _profile_sql("lineitem", _LINEITEM))
 def p01(spark, d):
-    return rnd(P.profile(tbl(spark, d, "lineitem")).select(*_PROFILE_COLS), 6)
+    return _profile_out(P.profile(tbl(spark, d, "lineitem")))
 
 
 _CUSTOMER = [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"),
@@ -545,7 +549,7 @@ _CUSTOMER = [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int
 
 @register("p09_profile_customer", _profile_sql("customer", _CUSTOMER))
 def p09(spark, d):
-    return rnd(P.profile(tbl(spark, d, "customer")).select(*_PROFILE_COLS), 6)
+    return _profile_out(P.profile(tbl(spark, d, "customer")))
 
 
 @register("p07_missing_unique", """
@@ -682,9 +686,11 @@ def t03(spark, d):
 
 
 @register("t04_midranks", """
-SELECT o_orderstatus, o_totalprice AS value, COUNT(*) AS cnt,
-       MIN(rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice)) + (COUNT(*) - 1) / 2.0 AS "rank"
-FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1, 2""")
+SELECT o_orderstatus, value, cnt,
+       COALESCE(SUM(cnt) OVER (PARTITION BY o_orderstatus ORDER BY value
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (cnt + 1) / 2.0 AS "rank"
+FROM (SELECT o_orderstatus, o_totalprice AS value, COUNT(*) AS cnt FROM orders
+      WHERE o_totalprice IS NOT NULL GROUP BY 1, 2)""")
 def t04(spark, d):
     from tablight.functions.ordering import midranks
     return midranks(tbl(spark, d, "orders"), ["o_orderstatus"], "o_totalprice") \

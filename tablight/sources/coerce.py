@@ -31,7 +31,7 @@ def coerce(df: DataFrame, threshold: float = 0.6) -> DataFrame:
             if isinstance(f.dataType, T.StringType) and not is_id_name(f.name)]
     convert = set()
     if text:
-        row = df.agg(*[F.count(F.try_cast(F.regexp_replace(_q(c), ",", "."), "double")).alias(f"p{i}")
+        row = df.agg(*[F.count(F.regexp_replace(_q(c), ",", ".").try_cast("double")).alias(f"p{i}")
                        for i, c in enumerate(text)],
                      *[F.count(_q(c)).alias(f"n{i}") for i, c in enumerate(text)]).collect()[0]
         convert = {c for i, c in enumerate(text) if row[f"p{i}"] > row[f"n{i}"] * threshold}
@@ -41,7 +41,7 @@ def coerce(df: DataFrame, threshold: float = 0.6) -> DataFrame:
         if is_id_name(f.name):
             out.append(c.cast("string").alias(f.name))
         elif f.name in convert:
-            out.append(F.try_cast(F.regexp_replace(c, ",", "."), "double").alias(f.name))
+            out.append(F.regexp_replace(c, ",", ".").try_cast("double").alias(f.name))
         else:
             out.append(c)
     return df.select(*out)
