@@ -101,4 +101,4 @@ BOOLEAN_TEXT = ["True", "False", "Yes", "No"]
 EXTRA_LETTERS = "üÜğĞıİşŞçÇöÖ"
 
 # Date formats tried when text is parsed as a date (besides ISO cast).
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd.MM.yyyy", "yyyy-MM-dd HH:mm:ss"]
+DATE_FORMATS = ["yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "d.M.yyyy", "yyyy-M-d H:m:s"]

@@ -57,15 +57,24 @@ def _cut_points(df: DataFrame, order_cols: list[str], n_buckets: int, seed: int)
 
 
 def _bucket_expr(df: DataFrame, order_cols: list[str], cuts: list[tuple]) -> Column:
+    """Number of cut points <= the row's key, as plain comparisons so the
+    whole expression stays inside whole-stage codegen."""
     if not cuts:
         return F.lit(0)
     types = {f.name: f.dataType for f in df.schema.fields}
-    row = F.struct(*[F.col(c).alias(c) for c in order_cols])
-    lits = F.array(*[
-        F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order_cols, cut)])
-        for cut in cuts
-    ])
-    return F.size(F.filter(lits, lambda c: c <= row))
+    if len(order_cols) == 1:
+        c = order_cols[0]
+        row = F.col(c)
+        lits = [F.lit(cut[0]).cast(types[c]) for cut in cuts]
+    else:
+        row = F.struct(*[F.col(c).alias(c) for c in order_cols])
+        lits = [F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order_cols, cut)])
+                for cut in cuts]
+    total = F.lit(0)
+    for lit in lits:
+        # null keys sort first: they never pass a cut
+        total = total + F.when(row >= lit, 1).otherwise(0)
+    return total
 
 
 def running_offsets(df: DataFrame, part_cols: list[str], order_cols: list[str],

@@ -66,11 +66,17 @@ def is_temporal_type(dt: T.DataType) -> bool:
     return isinstance(dt, _TEMPORAL)
 
 
+# Only text shaped like a date is handed to the (costly) parsers.
+_DATE_SHAPE = ("^\\d{4}([-/]\\d{1,2}([-/]\\d{1,2})?)?([ T].*)?$"
+               "|^\\d{1,2}[/.]\\d{1,2}[/.]\\d{4}( .*)?$")
+
+
 def parse_timestamp(c: Column) -> Column:
     """Text -> timestamp: ISO cast first, then the fixed format list."""
     s = F.trim(c.cast("string"))
-    return F.coalesce(F.try_to_timestamp(s),
-                      *[F.try_to_timestamp(s, F.lit(fmt)) for fmt in K.DATE_FORMATS])
+    parsed = F.coalesce(F.try_to_timestamp(s),
+                        *[F.try_to_timestamp(s, F.lit(fmt)) for fmt in K.DATE_FORMATS])
+    return F.when(s.rlike(_DATE_SHAPE), parsed)
 
 
 def _value_long(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
@@ -96,18 +102,15 @@ def profile_raw(df: DataFrame, approx: bool = False, accuracy: int = 10000) -> D
         c = F.col(f"`{f.name}`")
         aggs.append(F.count(c).alias(f"nn{i}"))
         if is_numeric_type(f.dataType):
-            d = c.cast("double")
-            aggs += [F.avg(d).alias(f"mean{i}"), F.min(d).alias(f"min{i}"), F.max(d).alias(f"max{i}"),
-                     F.stddev_samp(d).alias(f"sd{i}"), F.var_samp(d).alias(f"var{i}"),
-                     F.skewness(d).alias(f"sk{i}"), F.kurtosis(d).alias(f"ku{i}"),
-                     F.count(F.when(d.isin(0.0, 1.0), 1)).alias(f"bv{i}")]
+            aggs.append(F.count(F.when(c.cast("double").isin(0.0, 1.0), 1)).alias(f"bv{i}"))
             if approx:
-                aggs.append(F.percentile_approx(d, [0.25, 0.5, 0.75], accuracy).alias(f"pq{i}"))
+                aggs.append(F.percentile_approx(c.cast("double"), [0.25, 0.5, 0.75], accuracy).alias(f"pq{i}"))
         elif isinstance(f.dataType, T.StringType):
             aggs += [F.count(parse_timestamp(c)).alias(f"dp{i}"),
                      F.count(F.when(c.isin(*K.BOOLEAN_TEXT), 1)).alias(f"bv{i}")]
         elif isinstance(f.dataType, T.BooleanType):
             aggs.append(F.count(c).alias(f"bv{i}"))
+    # One pass of cheap counters; moments come from the value-count table.
     wide = df.agg(*aggs).collect()[0].asDict()  # one row, width bounded by #columns
 
     vc = (_value_long(df, fields).groupBy("pos", "sval", "dval")
@@ -117,6 +120,25 @@ def profile_raw(df: DataFrame, approx: bool = False, accuracy: int = 10000) -> D
                 vc.groupBy("pos").agg(F.count(F.lit(1)).alias("nunique"),
                                       F.max("cnt").alias("top")).collect()}
         num_pos = [i for i, f in enumerate(fields) if is_numeric_type(f.dataType)]
+        moments: dict[int, dict] = {}
+        if num_pos:
+            nvc = vc.where(F.col("dval").isNotNull()).select("pos", "dval", "cnt")
+            first = nvc.groupBy("pos").agg(
+                F.sum("cnt").alias("n"), (F.sum(F.col("cnt") * F.col("dval")) / F.sum("cnt")).alias("mean"),
+                F.min("dval").alias("min"), F.max("dval").alias("max"))
+            d = F.col("dval") - F.col("mean")
+            # first: one row per numeric column -- bounded, safe to broadcast.
+            cm = (nvc.join(F.broadcast(first), "pos").groupBy("pos", "n", "mean", "min", "max")
+                  .agg(F.sum(F.col("cnt") * d * d).alias("m2"), F.sum(F.col("cnt") * d * d * d).alias("m3"),
+                       F.sum(F.col("cnt") * d * d * d * d).alias("m4")))
+            for r in cm.collect():
+                n_, m2, m3, m4 = r["n"], r["m2"], r["m3"], r["m4"]
+                var = m2 / (n_ - 1) if n_ > 1 else None
+                moments[r["pos"]] = {
+                    "mean": r["mean"], "min": r["min"], "max": r["max"], "var": var,
+                    "sd": var ** 0.5 if var is not None else None,
+                    "sk": (m3 / n_) / (m2 / n_) ** 1.5 if m2 > 0 else None,
+                    "ku": (m4 / n_) / (m2 / n_) ** 2 - 3 if m2 > 0 else None}
         quart: dict[int, tuple] = {}
         if num_pos and not approx:
             nvc = vc.where(F.col("dval").isNotNull()).select("pos", "dval", "cnt")
@@ -139,6 +161,10 @@ def profile_raw(df: DataFrame, approx: bool = False, accuracy: int = 10000) -> D
             outl = {r["pos"]: int(r["o"]) for r in res}
     finally:
         vc.unpersist()
+    for i, m in moments.items():
+        for key, name in (("mean", "mean"), ("min", "min"), ("max", "max"), ("sd", "sd"), ("var", "var"),
+                          ("sk", "sk"), ("ku", "ku")):
+            wide[f"{name}{i}"] = m[key]
 
     rows = []
     n = int(wide["_n"])
