@@ -1015,6 +1015,27 @@ def v03(spark, d):
     return V.audit_metrics(_defs_from_profile(prof), prof)
 
 
+def _analyses_from_profile(prof: DataFrame) -> DataFrame:
+    """One analysis definition per kind, built from the profiled columns:
+    a bar of each numeric column by each text column, and a clustering of all
+    numeric columns."""
+    nums = prof.where(F.col("is_numeric")).select(F.col("column").alias("metric"))
+    dims = prof.where(~F.col("is_numeric")).select(F.col("column").alias("dimension"))
+    bars = nums.join(dims, how="cross").select(  # column catalogue pairs
+        F.concat_ws("-", F.lit("bar"), "metric", "dimension").alias("id"), F.lit("bar").alias("analysis_type"),
+        "metric", "dimension", F.array().cast("array<string>").alias("features"))
+    clus = prof.agg(F.collect_list(F.when(F.col("is_numeric"), F.col("column"))).alias("features")).select(
+        F.lit("cluster-all").alias("id"), F.lit("cluster").alias("analysis_type"),
+        F.lit(None).cast("string").alias("metric"), F.lit(None).cast("string").alias("dimension"), "features")
+    return bars.unionByName(clus)
+
+
+@register("v04_audit_analyses", None)
+def v04(spark, d):
+    prof = P.profile(tbl(spark, d, "orders"))
+    return V.audit_analyses(_analyses_from_profile(prof), prof)
+
+
 @register("v05_audit_summary", None)
 def v05(spark, d):
     prof = P.profile(tbl(spark, d, "lineitem"))

@@ -156,3 +156,20 @@ def test_kmeans_blobs_invariants(spark):
     inert = [r["inertia"] for r in res["inertias"].orderBy("k").collect()]
     assert all(a >= b - 1e-9 for a, b in zip(inert, inert[1:]))
     assert res["davies_bouldin"].collect()[0]["davies_bouldin"] > 0
+
+
+def test_analysis_audit(spark):
+    df = spark.createDataFrame([(1, "a", 3.0, 4.0), (2, "b", 5.0, 6.0)], "customer_id int, region string, revenue double, cost double")
+    prof = P.profile(df)
+    defs = spark.createDataFrame([
+        ("a1", "Bar", "revenue", "region", []),
+        ("a2", "clusters", None, None, ["revenue", "cost", "customer_id", "region"]),
+        ("a3", "pie", "region", "nope", []),
+        ("a4", "heatmap", "revenue", "region", [])],
+        "id string, analysis_type string, metric string, dimension string, features array<string>")
+    out = {r["id"]: r for r in V.audit_analyses(defs, prof).collect()}
+    assert out["a1"]["validation_status"] == "accepted" and out["a1"]["analysis_type"] == "bar"
+    assert out["a2"]["analysis_type"] == "clustering" and out["a2"]["features"] == ["revenue", "cost"]
+    assert "features_filtered" in out["a2"]["issues"]
+    assert out["a3"]["validation_status"] == "rejected" and "metric_not_numeric" in out["a3"]["issues"]
+    assert out["a4"]["validation_status"] == "rejected"
