@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SAMPLE_PER_BUCKET = 32
 
@@ -33,6 +34,14 @@ def default_buckets(df: DataFrame) -> int:
 def _cut_points(df: DataFrame, order_cols: list[str], n_buckets: int, seed: int) -> list[tuple]:
     if n_buckets <= 1:
         return []
+    dtype = df.schema[order_cols[0]].dataType
+    if len(order_cols) == 1 and isinstance(dtype, (T.NumericType, T.DateType, T.TimestampType,
+                                                   T.TimestampNTZType)):
+        # one aggregate returns n_buckets - 1 cut points (bounded) -- one job
+        probs = [i / n_buckets for i in range(1, n_buckets)]
+        row = df.agg(F.percentile_approx(F.col(order_cols[0]), probs, 10_000).alias("q")).collect()[0]
+        cuts = sorted(set(v for v in (row["q"] or []) if v is not None))
+        return [(v,) for v in cuts]
     total = df.count()
     if total == 0:
         return []

@@ -202,8 +202,9 @@ def posthoc_pairs(vce: DataFrame, elig: DataFrame, keys: list[str], best: int |
     # At most 45 pairs per (category, metric): levels are capped at 10.
     pairs = a.join(b, keys).where(F.col("group_a") < F.col("group_b")).join(k.select(*keys), keys, "left_semi")
     pk = keys + ["group_a", "group_b"]
-    side_a = vce.join(pairs, keys).where(F.col("level") == F.col("group_a"))
-    side_b = vce.join(pairs, keys).where(F.col("level") == F.col("group_b"))
+    # each value row meets only the pairs its level belongs to (equi-join on level)
+    side_a = vce.join(pairs.withColumn("level", F.col("group_a")), keys + ["level"])
+    side_b = vce.join(pairs.withColumn("level", F.col("group_b")), keys + ["level"])
     pv = side_a.unionByName(side_b)
     ranks = weighted_midranks(pv, pk, "value")
     ra = (side_a.join(ranks.select(*pk, "value", "rank"), pk + ["value"])
