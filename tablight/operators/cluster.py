@@ -215,12 +215,11 @@ def top_categories(assigned: DataFrame, df_cats: list[str], label: str = "cluste
     cands = [c for c in df_cats if c in fields and not is_numeric_type(fields[c])
              and any(p == _norm(c) or p in _norm(c) for p in CATEGORY_CANDIDATE_PATTERNS)]
     if cands:
-        st = assigned.agg(*[F.count_distinct(F.nullif(F.trim(_q(c).cast("string")), F.lit(""))).alias(f"d{i}")
-                            for i, c in enumerate(cands)],
-                          *[F.count(F.nullif(F.trim(_q(c).cast("string")), F.lit(""))).alias(f"n{i}")
+        from tablight.operators.relational import distinct_counts
+        nd = distinct_counts(assigned, cands, blank_as_null=True)
+        nn = assigned.agg(*[F.count(F.nullif(F.trim(_q(c).cast("string")), F.lit(""))).alias(f"n{i}")
                             for i, c in enumerate(cands)]).collect()[0]
-        cands = [c for i, c in enumerate(cands)
-                 if 1 < st[f"d{i}"] <= min(50, max(3, st[f"n{i}"] * 0.6))][:4]
+        cands = [c for i, c in enumerate(cands) if 1 < nd[c] <= min(50, max(3, nn[f"n{i}"] * 0.6))][:4]
     spark = assigned.sparkSession
     if not cands:
         return spark.createDataFrame([], "cluster int, column string, value string, count long, pct double")

@@ -315,8 +315,9 @@ def dependencies(df: DataFrame, cat_cols: list[str], max_levels: int = 15, min_v
     spark = df.sparkSession
     if len(cat_cols) < 2:
         return spark.createDataFrame([], "col_a string, col_b string")
-    d = df.agg(*[F.count_distinct(_q(c)).alias(f"d{i}") for i, c in enumerate(cat_cols)]).collect()[0]
-    ok = [c for i, c in enumerate(cat_cols) if d[f"d{i}"] <= max_levels]
+    from tablight.operators.relational import distinct_counts
+    d = distinct_counts(df, cat_cols)
+    ok = [c for c in cat_cols if d[c] <= max_levels]
     pairs = [(i, j) for i in range(len(ok)) for j in range(i + 1, len(ok))]
     if not pairs:
         return spark.createDataFrame([], "col_a string, col_b string")

@@ -204,11 +204,6 @@ def a12(spark, d):
     return A.histogram(tbl(spark, d, "lineitem"), "l_extendedprice")
 
 
-def a13(spark, d):
-    prof = P.profile(tbl(spark, d, "lineitem"))
-    return A.histogram_ok(prof).where(~F.col("is_identifier") & F.col("histogram")).select("column", "histogram")
-
-
 @register("a14_category_counts", """
 SELECT o_orderpriority, COUNT(*) AS "count" FROM orders WHERE o_orderpriority IS NOT NULL
 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""")
@@ -485,6 +480,24 @@ def num_stats_sql(t: str, c: str, pos: int, where: str = "TRUE") -> str:
 FROM {t} WHERE {where}"""
 
 
+def _hist_ok_sql() -> str:
+    cols = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    parts = " UNION ALL ".join(num_stats_sql("lineitem", c, i) for i, c in enumerate(cols))
+    skip = "|".join(["count", "quantity", "qty", "_id", "index", "rank", "order", "year", "month", "day",
+                     "hour", "minute", "second", "delta", "diff", "duration", "elapsed", "lag", "offset",
+                     "tenure", "zipcode", "zip", "postal", "phone", "latitude", "longitude", "lat", "lon"])
+    return f"""WITH s AS ({parts})
+SELECT "column", NOT (regexp_matches(replace(lower("column"), '_', ' '), '({skip})')
+                     OR (abs(COALESCE(skewness, 0)) < 0.3 AND COALESCE(outlier_count / n_rows, 0) < 0.03)) AS histogram
+FROM s"""
+
+
+@register("a13_histogram_ok", _hist_ok_sql())
+def a13(spark, d):
+    prof = P.profile(tbl(spark, d, "lineitem"))
+    return A.histogram_ok(prof).where(~F.col("is_identifier")).select("column", "histogram")
+
+
 _LINEITEM = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"),
              ("l_linenumber", "int"), ("l_quantity", "double"), ("l_extendedprice", "double"),
              ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"),
@@ -579,9 +592,31 @@ def p11(spark, d):
     return P.label_column(tbl(spark, d, "customer"))
 
 
-@register("p12_central_columns", None)
+_P12 = _LI4 + ["l_linenumber"]
+
+
+def _central_sql() -> str:
+    var = " UNION ALL ".join(f"SELECT '{c}' AS c, {i} AS position, var_samp({c}) AS v FROM lineitem"
+                             for i, c in enumerate(_P12))
+    sp = _spearman_sql("lineitem", _P12).replace("WITH rk AS", "rk AS", 1)
+    return f"""WITH vs AS ({var}),
+cut AS (SELECT quantile_cont(v, 0.25) q FROM vs),
+act0 AS (SELECT c, position FROM vs, cut WHERE v > q),
+act AS (SELECT * FROM act0 WHERE (SELECT COUNT(*) FROM act0) >= 2
+        UNION ALL SELECT c, position FROM vs WHERE (SELECT COUNT(*) FROM act0) < 2),
+{sp.split(" SELECT ", 1)[0]},
+m AS (SELECT {sp.split(" SELECT ", 1)[1]}),
+ma AS (SELECT * FROM m WHERE col_a IN (SELECT c FROM act) AND col_b IN (SELECT c FROM act)),
+both_ AS (SELECT col_a AS c, r FROM ma UNION ALL SELECT col_b, r FROM ma),
+k AS (SELECT COUNT(*) k FROM act)
+SELECT both_.c AS "column", ROUND(SUM(abs(COALESCE(r, 0))) / MAX(k.k), 6) AS centrality
+FROM both_ JOIN act ON both_.c = act.c, k
+GROUP BY both_.c, act.position ORDER BY centrality DESC, act.position LIMIT 2"""
+
+
+@register("p12_central_columns", _central_sql())
 def p12(spark, d):
-    return P.central_columns(tbl(spark, d, "lineitem"), _LI4 + ["l_linenumber"], 2)
+    return rnd(P.central_columns(tbl(spark, d, "lineitem"), _P12, 2), 6)
 
 
 @register("p13_clean_text", f"""
@@ -787,9 +822,16 @@ def t13(spark, d):
     return rnd(t.select("chi2", "cramers_v", "expected_min", "method"), 6)
 
 
-@register("t14_dependencies", None)
+@register("t14_dependencies", _chi_sql("lineitem", "l_returnflag", "l_linestatus") + """,
+x AS (SELECT chi2, sqrt(chi2 / (n * (least(r, k) - 1))) AS v, exp(-chi2 / 2) AS p, n, sparse FROM s, d)
+SELECT 'l_returnflag' AS col_a, 'l_linestatus' AS col_b, ROUND(chi2, 6) AS chi2, ROUND(v, 6) AS cramers_v,
+       ROUND(p, 6) AS p_value, ROUND(LEAST(1.0, p), 6) AS q_value,
+       CASE WHEN v >= 0.5 THEN 'large' WHEN v >= 0.3 THEN 'medium' WHEN v >= 0.1 THEN 'small' ELSE 'negligible' END
+         AS effect_label
+FROM x""")
 def t14(spark, d):
-    return rnd(S.dependencies(tbl(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], min_v=0.0), 6)
+    t = S.dependencies(tbl(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], min_v=0.0)
+    return rnd(t.select("col_a", "col_b", "chi2", "cramers_v", "p_value", "q_value", "effect_label"), 6)
 
 
 def _kw_sql_for(metric: str) -> str:
@@ -925,6 +967,13 @@ def j01(spark, d):
     return J.auto_join([docs, tbl(spark, d, "labels")])
 
 
+@register("j02_fuzzy_join", """
+SELECT o.*, c.c_name, c.c_nationkey, c.c_acctbal, c.c_mktsegment
+FROM orders o LEFT JOIN customer c ON o.o_custkey IS NOT DISTINCT FROM c.c_custkey""")
+def j02(spark, d):
+    return J.auto_join([tbl(spark, d, "orders"), tbl(spark, d, "customer")])
+
+
 @register("j03_join_safety", """
 WITH l AS (SELECT o_custkey k, COUNT(*) c FROM orders GROUP BY 1), r AS (SELECT c_custkey k, COUNT(*) c FROM customer GROUP BY 1)
 SELECT CAST(SUM(l.c) AS BIGINT) AS left_rows, MAX(l.c > 1) AS left_dupes,
@@ -951,6 +1000,31 @@ def s03(spark, d):
     return files.load(spark, path)
 
 
+def _scratch(spark: SparkSession, kind: str) -> str:
+    import uuid
+    from tablight.session import checkpoint_dir
+    return f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+@register("s01_csv_read", """
+SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
+def s01(spark, d):
+    from tablight.sources import files
+    path = _scratch(spark, "csv")
+    (tbl(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+     .write.option("header", True).option("sep", ";").csv(path))
+    return files.read_csv(spark, path)
+
+
+@register("s02_json_read", """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal,
+c_mktsegment FROM customer""")
+def s02(spark, d):
+    from tablight.sources import files
+    path = _scratch(spark, "json")
+    tbl(spark, d, "customer").write.json(path)
+    return files.read_json(spark, path)
+
+
 @register("s04_s05_coerce", """
 SELECT CAST(o_orderkey AS VARCHAR) AS order_id, TRY_CAST(replace(replace(CAST(o_totalprice AS VARCHAR), '.', ','), ',', '.') AS DOUBLE) AS price_text,
        o_orderstatus FROM orders""")
@@ -1135,6 +1209,21 @@ def c12(spark, d):
     return rnd(C.project(sc, _FEATS, keep=["l_orderkey", "l_linenumber"]), 6)
 
 
+# ==========================================================================
+# Streaming form of the calendar trend
+# ==========================================================================
+
+@register("st01_windowed_means", """
+SELECT date_trunc('day', ts) AS period_start, date_trunc('day', ts) + INTERVAL 1 DAY AS period_end,
+       ROUND(AVG(value), 6) AS mean, COUNT(*) AS n, ROUND(SUM(value), 4) AS total
+FROM events GROUP BY 1, 2""")
+def st01(spark, d):
+    from tablight.streaming.trends import run_to_table
+    out = run_to_table(spark, d, "events", "ts", "value", "1 day")
+    return out.select("period_start", "period_end", F.round("mean", 6).alias("mean"), "n",
+                      F.round("total", 4).alias("total"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

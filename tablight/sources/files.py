@@ -48,11 +48,14 @@ def read_csv(spark: SparkSession, path: str, sample_lines: int = 20) -> DataFram
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON as an array of records (multi-line) or one record per line."""
-    df = spark.read.option("multiLine", True).json(path)
-    if df.columns == ["_corrupt_record"]:
-        df = spark.read.json(path)
-    return df
+    """JSON as an array of records (multi-line) or one record per line.
+
+    The first non-blank line (one line reaches the driver) decides: ``[``
+    means an array document, anything else JSON lines."""
+    first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+    if first and first[0][0].lstrip().startswith("["):
+        return spark.read.option("multiLine", True).json(path)
+    return spark.read.json(path)
 
 
 def save(df: DataFrame, path: str, mode: str = "overwrite") -> None:

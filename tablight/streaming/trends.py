@@ -16,23 +16,38 @@ def windowed_means(stream: DataFrame, ts: str, metric: str, period: str = "1 day
     """Mean, count and sum of ``metric`` per event-time window (and keys),
     with a watermark so state for closed windows is dropped."""
     by = by or []
+    if dict(stream.dtypes)[ts] == "timestamp_ntz":
+        # event time must be a zoned timestamp; wall-clock kept via the session zone
+        stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     return (stream.withWatermark(ts, delay)
             .groupBy(F.window(F.col(ts), period).alias("w"), *[F.col(b) for b in by])
             .agg(F.avg(metric).alias("mean"), F.count(F.lit(1)).alias("n"), F.sum(metric).alias("total"))
-            .select(F.col("w.start").alias("period_start"), F.col("w.end").alias("period_end"), *by,
+            .select(F.col("w.start").cast("timestamp_ntz").alias("period_start"),
+                    F.col("w.end").cast("timestamp_ntz").alias("period_end"), *by,
                     "mean", "n", "total"))
 
 
 def run_to_table(spark, sf_dir: str, table: str, ts: str, metric: str, period: str = "1 day",
-                 by: list[str] | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Drive ``windowed_means`` from a parquet folder read as a stream and
-    return the collected result table (batch DataFrame over the sink)."""
+                 by: list[str] | None = None, checkpoint: str | None = None,
+                 mode: str = "complete") -> DataFrame:
+    """Drive ``windowed_means`` from a parquet table read as a stream and
+    return the result table (batch DataFrame over the memory sink).
+
+    ``complete`` emits every window once the input is drained; ``append``
+    emits only windows the watermark has closed (what a live stream does)."""
+    import uuid
     from tablight.session import checkpoint_dir
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/{table}.parquet")
-    name = f"tablight_{table}_{metric}_stream"
-    ckpt = checkpoint or f"{checkpoint_dir(spark)}/{name}"
-    q = (windowed_means(src, ts, metric, period, by).writeStream.outputMode("append")
+    path = f"{sf_dir}/{table}.parquet"
+    schema = spark.read.parquet(path).schema
+    # a file stream watches a folder; a single-file table is picked by name
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    if not path.endswith("/") and "." in path.rsplit("/", 1)[-1]:
+        reader = reader.option("pathGlobFilter", path.rsplit("/", 1)[-1])
+        path = path.rsplit("/", 1)[0]
+    src = reader.parquet(path)
+    name = f"tablight_{table}_{metric}_{uuid.uuid4().hex[:8]}"
+    ckpt = checkpoint or f"{checkpoint_dir(spark)}/stream-{name}"
+    q = (windowed_means(src, ts, metric, period, by).writeStream.outputMode(mode)
          .format("memory").queryName(name).option("checkpointLocation", ckpt).start())
     q.processAllAvailable()
     q.stop()

@@ -173,3 +173,21 @@ def test_analysis_audit(spark):
     assert "features_filtered" in out["a2"]["issues"]
     assert out["a3"]["validation_status"] == "rejected" and "metric_not_numeric" in out["a3"]["issues"]
     assert out["a4"]["validation_status"] == "rejected"
+
+
+def test_read_json_array_and_lines(spark, tmp_path):
+    arr = tmp_path / "arr.json"
+    arr.write_text('[{"a": 1, "b": "x"},\n {"a": 2, "b": "y"}]')
+    lines = tmp_path / "lines.json"
+    lines.write_text('{"a": 1, "b": "x"}\n{"a": 2, "b": "y"}\n{"a": 3, "b": "z"}\n')
+    assert files.read_json(spark, str(arr)).count() == 2
+    assert files.read_json(spark, str(lines)).count() == 3
+
+
+def test_stream_windowed_means_match_batch(spark):
+    from tablight.streaming.trends import run_to_table
+    from tests.conftest import SF
+    out = run_to_table(spark, SF, "events", "ts", "value", "1 day")
+    batch = (spark.read.parquet(f"{SF}/events.parquet").groupBy(F.date_trunc("day", "ts").alias("d"))
+             .agg(F.count(F.lit(1)).alias("n")))
+    assert sorted(r["n"] for r in out.collect()) == sorted(r["n"] for r in batch.collect())
