@@ -98,7 +98,8 @@ def kmeans_sweep(scaled: DataFrame, cols: list[str], max_k: int = 5, n_init: int
     """C4: k = 2..min(5, n//2), ``n_init`` seeds per k, lowest cost kept.
     Returns (k, inertia) and the fitted models by k."""
     spark = scaled.sparkSession
-    vec = _vectors(scaled, cols).select("features").persist()
+    from tablight.functions.partitioning import spread
+    vec = spread(_vectors(scaled, cols).select("features")).persist()
     n = vec.count()
     models, rows = {}, []
     from concurrent.futures import ThreadPoolExecutor
@@ -136,8 +137,9 @@ def elbow(inertias: DataFrame) -> DataFrame:
 def cluster_sizes(assigned: DataFrame, label: str = "cluster") -> DataFrame:
     """Cluster sizes, share in %, and the imbalance flag (min/max < .15)."""
     s = assigned.groupBy(_q(label)).agg(F.count(F.lit(1)).alias("size"))
+    from tablight.operators.aggregates import attach_scalar
     tot = s.agg(F.sum("size").alias("_t"), F.min("size").alias("_mn"), F.max("size").alias("_mx"))
-    return (s.crossJoin(F.broadcast(tot))  # one-row totals
+    return (attach_scalar(s, tot)
             .select(_q(label), "size", F.round(F.col("size") * 100.0 / F.col("_t"), 2).alias("size_pct"),
                     ((F.col("_mn") / F.col("_mx")) < 0.15).alias("imbalanced")))
 

@@ -95,7 +95,9 @@ def _value_long(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
 
 def profile_raw(df: DataFrame, approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Raw per-column statistics (``PROFILE_SCHEMA``), one row per column."""
+    from tablight.functions.partitioning import spread
     spark = df.sparkSession
+    df = spread(df)
     fields = list(df.schema.fields)
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, f in enumerate(fields):

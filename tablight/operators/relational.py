@@ -164,8 +164,9 @@ def retain(df: DataFrame, ts: str, ttl_hours: float = 24.0, keep: int = 15,
                  .where(_q(ts) >= F.col("_mx") - F.expr(f"INTERVAL {secs} SECONDS")).drop("_mx"))
         salt = [key] if key else [c for c in df.columns if c not in by]
         return top_k_per_group(fresh, by, [_q(ts).desc(), *tie], keep, salt).drop("_k")
+    from tablight.operators.aggregates import attach_scalar
     newest = df.agg(F.max(_q(ts)).alias("_mx"))
-    fresh = (df.crossJoin(F.broadcast(newest))  # one-row scalar
+    fresh = (attach_scalar(df, newest)
              .where(_q(ts) >= F.col("_mx") - F.expr(f"INTERVAL {secs} SECONDS")).drop("_mx"))
     return fresh.orderBy(_q(ts).desc(), *tie).limit(keep)
 

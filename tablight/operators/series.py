@@ -80,7 +80,11 @@ def series(df: DataFrame, date: str, metrics: list[str], by: list[str] | None =
     base = base.where(F.col("_d").isNotNull())
     if freq is None:
         fr = frequency(base.withColumnRenamed("_d", "_dd"), "_dd", by).select(*by, "freq")
-        base = base.join(F.broadcast(fr), by, "inner") if by else base.crossJoin(F.broadcast(fr))
+        if by:
+            # one row per series key (bounded by the number of series)
+            base = base.join(F.broadcast(fr), by, "inner")
+        else:
+            base = base.withColumn("freq", F.lit(fr.collect()[0]["freq"]))
         fcol = F.col("freq")
     else:
         fcol = F.lit(freq)
@@ -190,8 +194,9 @@ def holt(ser: DataFrame, h: int = 6, by: list[str] | None = None, grid: int = 19
     arr = ser.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "y"))).alias("pts")) \
         .withColumn("ys", F.transform("pts", lambda p: p["y"])).drop("pts")
     step = 1.0 / (grid + 1)
-    g = spark.range(1, grid + 1).select((F.col("id") * step).alias("alpha")) \
-        .crossJoin(spark.range(1, grid + 1).select((F.col("id") * step).alias("beta")))  # fixed grid
+    # fixed (alpha, beta) grid as a literal array, exploded per series
+    g = F.array(*[F.struct(F.lit(a * step).alias("alpha"), F.lit(b * step).alias("beta"))
+                  for a in range(1, grid + 1) for b in range(1, grid + 1)])
     init = F.struct(F.col("ys")[0].alias("l"), (F.col("ys")[1] - F.col("ys")[0]).alias("b"),
                     F.lit(0.0).alias("sse"), F.lit(0).alias("i"))
 
@@ -204,7 +209,7 @@ def holt(ser: DataFrame, h: int = 6, by: list[str] | None = None, grid: int = 19
         return F.struct(lv.alias("l"), tr.alias("b"), (acc["sse"] + err * err).alias("sse"),
                         (acc["i"] + 1).alias("i"))
 
-    fitted = arr.crossJoin(F.broadcast(g)).withColumn("st", F.aggregate("ys", init, upd))
+    fitted = (arr.select("*", F.inline(g)).withColumn("st", F.aggregate("ys", init, upd)))
     best = fitted.groupBy(*keys).agg(F.min_by(F.struct("alpha", "beta", "st"), F.col("st")["sse"]).alias("best"))
     out = best.join(arr, keys).select(*keys, "ys", F.col("best")["alpha"].alias("alpha"),
                                       F.col("best")["beta"].alias("beta"),

@@ -44,8 +44,9 @@ def weighted_midranks(vc: DataFrame, part_cols: list[str], value_col: str,
 
 def _rank_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     """Replace each column by its mid-rank within the given rows."""
-    base = df.select(F.monotonically_increasing_id().alias("_rid"),
-                     *[_q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    from tablight.functions.partitioning import spread
+    base = spread(df).select(F.monotonically_increasing_id().alias("_rid"),
+                             *[_q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     long = base.select("_rid", F.inline(F.array(*[
         F.struct(F.lit(i).alias("k"), F.col(f"c{i}").alias("v")) for i in range(len(cols))])))
     long = long.where(F.col("v").isNotNull())
@@ -82,7 +83,8 @@ def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     spark = df.sparkSession
     if not pairs:
         return spark.createDataFrame([], "col_a string, col_b string, pair_pos int, r double, n long")
-    base = df.select(F.monotonically_increasing_id().alias("_rid"), F.inline(F.array(*[
+    from tablight.functions.partitioning import spread
+    base = spread(df).select(F.monotonically_increasing_id().alias("_rid"), F.inline(F.array(*[
         F.struct(F.lit(p).alias("p"), _q(a).cast("double").alias("x"), _q(b).cast("double").alias("y"))
         for p, (a, b) in enumerate(pairs)]))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
     long = base.select("_rid", "p", F.inline(F.array(
@@ -131,7 +133,8 @@ def spearman_tests(df: DataFrame, cols: list[str], top: int = 10) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def _group_long(df: DataFrame, cat_cols: list[str], num_cols: list[str]) -> DataFrame:
-    return df.select(F.inline(F.array(*[
+    from tablight.functions.partitioning import spread
+    return spread(df.select(*[_q(c) for c in dict.fromkeys(cat_cols + num_cols)])).select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("categorical_col"), _q(c).cast("string").alias("level"),
                  F.lit(m).alias("numeric_col"), _q(m).cast("double").alias("value"))
         for c in cat_cols for m in num_cols]))).where(F.col("level").isNotNull() & F.col("value").isNotNull())
@@ -321,7 +324,8 @@ def dependencies(df: DataFrame, cat_cols: list[str], max_levels: int = 15, min_v
     pairs = [(i, j) for i in range(len(ok)) for j in range(i + 1, len(ok))]
     if not pairs:
         return spark.createDataFrame([], "col_a string, col_b string")
-    long = df.select(F.inline(F.array(*[
+    from tablight.functions.partitioning import spread
+    long = spread(df.select(*[_q(c) for c in ok])).select(F.inline(F.array(*[
         F.struct(F.lit(ok[i]).alias("col_a"), F.lit(ok[j]).alias("col_b"), F.lit(p).alias("pair_pos"),
                  _q(ok[i]).cast("string").alias("level_a"), _q(ok[j]).cast("string").alias("level_b"))
         for p, (i, j) in enumerate(pairs)]))).where(F.col("level_a").isNotNull() & F.col("level_b").isNotNull())

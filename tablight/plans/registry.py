@@ -1093,11 +1093,13 @@ def _analyses_from_profile(prof: DataFrame) -> DataFrame:
     """One analysis definition per kind, built from the profiled columns:
     a bar of each numeric column by each text column, and a clustering of all
     numeric columns."""
-    nums = prof.where(F.col("is_numeric")).select(F.col("column").alias("metric"))
-    dims = prof.where(~F.col("is_numeric")).select(F.col("column").alias("dimension"))
-    bars = nums.join(dims, how="cross").select(  # column catalogue pairs
-        F.concat_ws("-", F.lit("bar"), "metric", "dimension").alias("id"), F.lit("bar").alias("analysis_type"),
-        "metric", "dimension", F.array().cast("array<string>").alias("features"))
+    spark = prof.sparkSession
+    cols = prof.select("column", "is_numeric").collect()  # one row per column
+    nums = [r["column"] for r in cols if r["is_numeric"]]
+    dims = [r["column"] for r in cols if not r["is_numeric"]]
+    bars = spark.createDataFrame([(f"bar-{m}-{d}", "bar", m, d, []) for m in nums for d in dims],
+                                 "id string, analysis_type string, metric string, dimension string, "
+                                 "features array<string>")
     clus = prof.agg(F.collect_list(F.when(F.col("is_numeric"), F.col("column"))).alias("features")).select(
         F.lit("cluster-all").alias("id"), F.lit("cluster").alias("analysis_type"),
         F.lit(None).cast("string").alias("metric"), F.lit(None).cast("string").alias("dimension"), "features")
