@@ -156,12 +156,17 @@ def group_tests(df: DataFrame, cat_cols: list[str], num_cols: list[str], min_gro
     n_all = sizes.groupBy(*keys).agg(F.sum("n_g").alias("sample_size"))
     elig = sizes.where(F.col("n_g") >= min_group)
     vce = vc.join(elig.select(*keys, "level"), keys + ["level"], "left_semi")
-    ranks = weighted_midranks(vce, keys, "value")
-    rsum = (vce.join(ranks.select(*keys, "value", "rank"), keys + ["value"])
+    # one row per (keys, value) carrying its per-level counts (<= 10 levels),
+    # so rank sums need no join back to the value table
+    tv = vce.groupBy(*keys, "value").agg(
+        F.sum("cnt").alias("t"), F.map_from_entries(F.collect_list(F.struct("level", "cnt"))).alias("lv"))
+    ranked = running_offsets(tv, keys, ["value"], "t").withColumn(
+        "rank", F.col("_before").cast("double") + (F.col("t") + 1) / 2.0)
+    rsum = (ranked.select(*keys, "rank", F.explode("lv").alias("level", "cnt"))
             .groupBy(*keys, "level").agg(F.sum(F.col("cnt") * F.col("rank")).alias("R"),
                                          F.sum("cnt").alias("n_g")))
-    ties = ranks.groupBy(*keys).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("tie"),
-                                    F.max("n").alias("n_e"))
+    ties = ranked.groupBy(*keys).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("tie"),
+                                     F.max("_n").alias("n_e"))
     per = rsum.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("k"),
         F.sum(F.col("R") * F.col("R") / F.col("n_g")).alias("sr2"),
@@ -209,10 +214,16 @@ def posthoc_pairs(vce: DataFrame, elig: DataFrame, keys: list[str], best: int |
     side_a = vce.join(pairs.withColumn("level", F.col("group_a")), keys + ["level"])
     side_b = vce.join(pairs.withColumn("level", F.col("group_b")), keys + ["level"])
     pv = side_a.unionByName(side_b)
-    ranks = weighted_midranks(pv, pk, "value")
-    ra = (side_a.join(ranks.select(*pk, "value", "rank"), pk + ["value"])
-          .groupBy(*pk).agg(F.sum(F.col("cnt") * F.col("rank")).alias("R_a")))
-    tie = ranks.groupBy(*pk).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("tie"))
+    # per (pair, value): total count and the part from group a -- no join back
+    tv = pv.groupBy(*pk, "value").agg(
+        F.sum("cnt").alias("t"), F.sum(F.when(F.col("level") == F.col("group_a"), F.col("cnt"))
+                                       .otherwise(0)).alias("t_a"))
+    ranked = running_offsets(tv, pk, ["value"], "t").withColumn(
+        "rank", F.col("_before").cast("double") + (F.col("t") + 1) / 2.0)
+    agg = ranked.groupBy(*pk).agg(F.sum(F.col("t_a") * F.col("rank")).alias("R_a"),
+                                  F.sum(F.pow("t", 3) - F.col("t")).alias("tie"))
+    ra = agg.select(*pk, "R_a")
+    tie = agg.select(*pk, "tie")
     med = quantiles_from_counts(vce.select(*keys, "level", "value", "cnt"), keys + ["level"], "value",
                                 {"median": 0.5})
     ma = med.select(*keys, F.col("level").alias("group_a"), F.col("median").alias("med_a"))
