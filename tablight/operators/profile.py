@@ -97,31 +97,41 @@ def profile_raw(df: DataFrame, approx: bool = False, accuracy: int = 10000) -> D
     """Raw per-column statistics (``PROFILE_SCHEMA``), one row per column."""
     from tablight.functions.partitioning import spread
     spark = df.sparkSession
+    n_rows = df.count()  # row count of the scan itself (no spreading needed)
     df = spread(df)
     fields = list(df.schema.fields)
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, f in enumerate(fields):
-        c = F.col(f"`{f.name}`")
-        aggs.append(F.count(c).alias(f"nn{i}"))
-        if is_numeric_type(f.dataType):
-            aggs.append(F.count(F.when(c.cast("double").isin(0.0, 1.0), 1)).alias(f"bv{i}"))
-            if approx:
-                aggs.append(F.percentile_approx(c.cast("double"), [0.25, 0.5, 0.75], accuracy).alias(f"pq{i}"))
-        elif isinstance(f.dataType, T.StringType):
-            aggs += [F.count(parse_timestamp(c)).alias(f"dp{i}"),
-                     F.count(F.when(c.isin(*K.BOOLEAN_TEXT), 1)).alias(f"bv{i}")]
-        elif isinstance(f.dataType, T.BooleanType):
-            aggs.append(F.count(c).alias(f"bv{i}"))
-    # One pass of cheap counters; moments come from the value-count table.
-    wide = df.agg(*aggs).collect()[0].asDict()  # one row, width bounded by #columns
+    text_pos = [i for i, f in enumerate(fields) if isinstance(f.dataType, T.StringType)]
+    num_pos = [i for i, f in enumerate(fields) if is_numeric_type(f.dataType)]
+    bool_pos = [i for i, f in enumerate(fields) if isinstance(f.dataType, T.BooleanType)]
+    wide = {"_n": n_rows}
+    if approx and num_pos:
+        row = df.agg(*[F.percentile_approx(F.col(f"`{fields[i].name}`").cast("double"), [0.25, 0.5, 0.75],
+                                           accuracy).alias(f"pq{i}") for i in num_pos]).collect()[0]
+        wide.update(row.asDict())
 
     vc = (_value_long(df, fields).groupBy("pos", "sval", "dval")
           .agg(F.count(F.lit(1)).alias("cnt")).persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        card = {r["pos"]: (r["nunique"], r["top"]) for r in
-                vc.groupBy("pos").agg(F.count(F.lit(1)).alias("nunique"),
-                                      F.max("cnt").alias("top")).collect()}
-        num_pos = [i for i, f in enumerate(fields) if is_numeric_type(f.dataType)]
+        # Non-null, boolean-looking and date-parsable counts come from the
+        # value-count table, so text parsing runs once per distinct value.
+        pos, cnt, sval, dval = F.col("pos"), F.col("cnt"), F.col("sval"), F.col("dval")
+        is_text = pos.isin(*text_pos) if text_pos else F.lit(False)
+        is_bool = pos.isin(*bool_pos) if bool_pos else F.lit(False)
+        boolish = (F.coalesce(dval.isin(0.0, 1.0), F.lit(False))
+                   | (is_text & F.coalesce(sval.isin(*K.BOOLEAN_TEXT), F.lit(False))) | is_bool)
+        stats = vc.groupBy("pos").agg(
+            F.count(F.lit(1)).alias("nunique"), F.max("cnt").alias("top"), F.sum("cnt").alias("nn"),
+            F.sum(F.when(boolish, cnt).otherwise(0)).alias("bv"),
+            F.sum(F.when(is_text & parse_timestamp(sval).isNotNull(), cnt).otherwise(0)).alias("dp")).collect()
+        card = {}
+        for r in stats:
+            card[r["pos"]] = (r["nunique"], r["top"])
+            wide[f"nn{r['pos']}"] = int(r["nn"])
+            wide[f"bv{r['pos']}"] = int(r["bv"])
+            if r["pos"] in text_pos:
+                wide[f"dp{r['pos']}"] = int(r["dp"])
+        for i in range(len(fields)):
+            wide.setdefault(f"nn{i}", 0)
         moments: dict[int, dict] = {}
         if num_pos:
             nvc = vc.where(F.col("dval").isNotNull()).select("pos", "dval", "cnt")

@@ -248,8 +248,8 @@ def posthoc_pairs(vce: DataFrame, elig: DataFrame, keys: list[str], best: int |
 def posthoc_all(df: DataFrame, cat: str, num: str, min_group: int = 5) -> DataFrame:
     """T8 flat: every eligible pair of groups with U, p, q, effect, medians."""
     keys = ["categorical_col", "numeric_col"]
-    vc = (_group_long(df, [cat], [num]).groupBy(*keys, "level", "value")
-          .agg(F.count(F.lit(1)).alias("cnt")))
+    vc = cut_lineage(_group_long(df, [cat], [num]).groupBy(*keys, "level", "value")
+                     .agg(F.count(F.lit(1)).alias("cnt")))
     sizes = vc.groupBy(*keys, "level").agg(F.sum("cnt").alias("n_g"))
     elig = sizes.where(F.col("n_g") >= min_group)
     vce = vc.join(elig.select(*keys, "level"), keys + ["level"], "left_semi")
