@@ -1054,9 +1054,12 @@ def s07(spark, d):
 # V: roles and definition audits
 # ==========================================================================
 
+_LAKE = ("orders", "customer", "lineitem", "events")
+
+
 def _lake_profiles(spark, d) -> DataFrame:
     parts = []
-    for t in ("orders", "customer", "lineitem", "events"):
+    for t in _LAKE:
         parts.append(P.profile(tbl(spark, d, t)).withColumn("table", F.lit(t)))
     out = parts[0]
     for p in parts[1:]:
@@ -1064,12 +1067,87 @@ def _lake_profiles(spark, d) -> DataFrame:
     return out
 
 
-@register("v01_classify", None)
+def _lake_cols_sql() -> str:
+    names = ", ".join(f"'{t}'" for t in _LAKE)
+    return f"""SELECT table_name AS "table", column_name AS "column",
+  data_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT', 'SMALLINT', 'TINYINT', 'HUGEINT')
+    OR data_type LIKE 'DECIMAL%' AS is_numeric,
+  regexp_replace(lower(column_name), '[^a-z0-9]+', '', 'g') AS n
+FROM information_schema.columns WHERE table_name IN ({names})"""
+
+
+def _any_sql(col: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
+
+
+def _classify_sql() -> str:
+    from tablight.functions import keywords as KW
+    doms = list(KW.DOMAIN_KEYWORDS.items())
+    hits = ",\n  ".join(
+        "(" + " + ".join(f"CAST(contains(names, '{k}') AS INTEGER)" for k in kws) + f") AS h{i}"
+        for i, (_, kws) in enumerate(doms))
+    best = " ".join(f"WHEN h{i} > 0 AND h{i} >= greatest({', '.join(f'h{j}' for j in range(len(doms)))}) "
+                    + " ".join(f"AND h{i} > h{j}" for j in range(i)) + f" THEN '{dom}'"
+                    for i, (dom, _) in enumerate(doms))
+    A = lambda ws: _any_sql("n", ws)
+    role = f"""CASE WHEN {A(["id", "uuid", "code", "key"])} THEN 'identifier|1|none'
+  WHEN {A(["date", "time", "tarih", "orderdate"])} THEN 'time|4|none'
+  WHEN domain = 'football_soccer' AND {A(["player", "oyuncu"])} THEN 'primary_entity|5|none'
+  WHEN domain = 'football_soccer' AND {A(["team", "club", "position"])} THEN 'dimension|4|none'
+  WHEN domain = 'football_soccer' AND is_numeric AND {A(["goal", "gol", "assist", "asist", "rating", "xg"])}
+       THEN CASE WHEN {A(["rating"])} THEN 'primary_metric|5|mean' ELSE 'primary_metric|5|sum' END
+  WHEN domain = 'football_soccer' AND is_numeric AND {A(["shot", "minute"])} THEN 'secondary_metric|4|sum'
+  WHEN domain = 'sales' AND {A(["product", "region", "customer"])} THEN 'dimension|4|none'
+  WHEN domain = 'sales' AND is_numeric AND {A(["sales", "revenue", "profit", "quantity"])} THEN 'primary_metric|5|sum'
+  WHEN domain = 'sales' AND is_numeric AND {A(["margin"])} THEN 'secondary_metric|4|mean'
+  WHEN domain = 'hr' AND {A(["employee", "department", "role"])} THEN 'dimension|4|none'
+  WHEN domain = 'hr' AND is_numeric AND {A(["salary", "performance", "overtime", "tenure"])} THEN 'primary_metric|4|mean'
+  WHEN domain = 'logistics' AND {A(["route", "vendor", "shipment"])} THEN 'dimension|4|none'
+  WHEN domain = 'logistics' AND is_numeric AND {A(["delivery", "delay", "leadtime", "stock", "quantity", "cost"])}
+       THEN 'primary_metric|4|sum'
+  WHEN is_numeric THEN 'secondary_metric|3|mean' ELSE 'dimension|3|none' END"""
+    return f"""WITH c AS ({_lake_cols_sql()}),
+t AS (SELECT "table", string_agg(n, ' ') AS names FROM c GROUP BY 1),
+h AS (SELECT "table", {hits} FROM t),
+dm AS (SELECT "table", COALESCE(CASE {best} END, 'general_business') AS domain FROM h),
+r AS (SELECT c.*, dm.domain, {role} AS rr FROM c JOIN dm USING ("table"))
+SELECT "table", "column", domain, split_part(rr, '|', 1) AS role, CAST(split_part(rr, '|', 2) AS INTEGER) AS importance,
+       split_part(rr, '|', 3) AS aggregation FROM r"""
+
+
+def _semantics_sql() -> str:
+    from tablight.functions import keywords as KW
+    c = "replace(replace(lower(column_name), '_', ''), ' ', '')"
+    A = lambda ws: _any_sql("c", ws)
+    tot = A(KW.TOTAL_OR_COUNT)
+    st = f"""CASE WHEN {A(["grade", "rating", "score"])} THEN 'score'
+  WHEN {A(["percentage", "percent", "pct", "rate", "ratio"])}
+       THEN CASE WHEN {A(["percentage", "percent", "pct"])} THEN 'percentage' ELSE 'rate' END
+  WHEN contains(c, 'attendance') AND FALSE THEN 'percentage'
+  WHEN {A(["hour", "duration", "minutes", "time", "reactiontime"])} THEN 'duration'
+  WHEN {A(["revenue", "sales", "profit", "amount", "cost", "price", "salary"])} THEN 'money'
+  WHEN {A(["quantity", "volume", "qty", "count"])} THEN CASE WHEN contains(c, 'count') THEN 'count' ELSE 'quantity' END
+  WHEN contains(c, 'index') THEN 'index' ELSE 'raw_numeric' END"""
+    mean_names = ["grade", "rating", "score", "reactiontime", "gaminghour", "studyhour", "sleephour"]
+    agg = f"""CASE WHEN st IN ('score', 'percentage', 'rate', 'duration', 'index') THEN 'mean'
+  WHEN contains(c, 'attendance') AND NOT {tot} THEN 'mean'
+  WHEN {A(mean_names)} THEN 'mean'
+  WHEN {A(["revenue", "sales", "profit", "amount", "quantity", "volume", "count", "cost"])} THEN 'sum'
+  ELSE 'mean' END"""
+    dirn = f"""CASE WHEN {A(KW.LOWER_IS_BETTER)} THEN 'lower_is_better'
+  WHEN {A(KW.HIGHER_IS_BETTER)} THEN 'higher_is_better' ELSE 'neutral' END"""
+    return f"""WITH b AS ({_lake_cols_sql()}),
+x AS (SELECT "column", {c.replace("column_name", '"column"')} AS c FROM b WHERE is_numeric),
+y AS (SELECT *, {st} AS st FROM x)
+SELECT "column", st AS semantic_type, {agg} AS aggregation, {dirn} AS direction FROM y"""
+
+
+@register("v01_classify", _classify_sql())
 def v01(spark, d):
-    return V.classify(_lake_profiles(spark, d))
+    return V.classify(_lake_profiles(spark, d)).drop("hints")
 
 
-@register("v02_semantics", None)
+@register("v02_semantics", _semantics_sql())
 def v02(spark, d):
     return V.semantics(_lake_profiles(spark, d))
 
