@@ -556,11 +556,19 @@ def shapiro(df: DataFrame, cols: list[str], sample: int = 500, seed: int = 42) -
     non-null values (n >= 3).  Sampling is a per-column top-k by hash (salted,
     exact), so each group handed to pandas holds at most ``sample`` values."""
     from tablight.functions.ordering import top_k_per_group
-    long = df.select(F.monotonically_increasing_id().alias("_rid"), F.inline(F.array(*[
+    from tablight.functions.partitioning import spread
+    long = spread(df.select(*[_q(c) for c in cols])).select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), _q(c).cast("double").alias("value")) for c in cols])))
     long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    long = long.withColumn("_h", F.xxhash64("value", "_rid", F.lit(seed)))
-    samp = top_k_per_group(long, ["column"], [F.col("_h"), F.col("value")], sample, ["_rid"])
+    # Value counts, then each value expands to at most `sample` numbered
+    # copies; the `sample` smallest hashes of (value, copy) form the sample.
+    # Deterministic, independent of partitioning, bounded per value.
+    vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    copies = vc.select("column", "value", F.explode(F.sequence(F.lit(1), F.least("cnt", F.lit(sample))))
+                       .alias("_i"))
+    copies = copies.withColumn("_h", F.xxhash64("value", "_i", F.lit(seed)))
+    samp = top_k_per_group(copies, ["column"], [F.col("_h"), F.col("value"), F.col("_i")], sample,
+                           ["value", "_i"])
 
     def sw(pdf: pd.DataFrame) -> pd.DataFrame:
         w, p = shapiro_wilk(pdf["value"].to_numpy())
