@@ -261,7 +261,9 @@ def cluster(df: DataFrame, features: list[str] | None = None, key: str | None =
         raise ValueError("need at least 2 valid numeric features")
     keep = [key] if key else []
     other = [c for c in df.columns if c not in feats and c not in keep]
-    scaled = standardise(df, feats, keep=keep + other)
+    # raw copies of the features travel along for per-cluster profiles
+    raw = df.withColumns({f"{c}__raw": F.col(f"`{c}`") for c in feats})
+    scaled = standardise(raw, feats, keep=keep + other + [f"{c}__raw" for c in feats])
     n = scaled.count()
     if n < 10:
         raise ValueError("need at least 10 complete rows")
