@@ -181,22 +181,23 @@ def direction(values: DataFrame, keys: list[str], order: str, value: str) -> Dat
                         .otherwise("stable"))
 
 
-def holt(ser: DataFrame, h: int = 6, by: list[str] | None = None, grid: int = 19) -> DataFrame:
+def holt(ser: DataFrame, h: int = 6, by: list[str] | None = None, grid: int = 19,
+         params: list[tuple[float, float]] | None = None) -> DataFrame:
     """Holt additive-trend smoothing per series, parameters chosen on a
     (alpha, beta) grid by one-step SSE; level/trend start at y0 and y1 - y0.
 
     The fold is a Catalyst ``aggregate`` over each series' period array
-    (bounded by the calendar); the grid is a fixed-size table joined to the
-    series keys.  Output: keys, alpha, beta, sse, fitted (array), forecast
-    (array of h values)."""
+    (bounded by the calendar); the grid is a fixed literal array exploded per
+    series (``params`` replaces it with given pairs).  Output: keys, alpha,
+    beta, sse, level, trend, forecast (array of h values)."""
     keys = (by or []) + ["metric"]
     spark = ser.sparkSession
     arr = ser.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "y"))).alias("pts")) \
         .withColumn("ys", F.transform("pts", lambda p: p["y"])).drop("pts")
     step = 1.0 / (grid + 1)
+    pairs = params or [(a * step, b * step) for a in range(1, grid + 1) for b in range(1, grid + 1)]
     # fixed (alpha, beta) grid as a literal array, exploded per series
-    g = F.array(*[F.struct(F.lit(a * step).alias("alpha"), F.lit(b * step).alias("beta"))
-                  for a in range(1, grid + 1) for b in range(1, grid + 1)])
+    g = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta")) for a, b in pairs])
     init = F.struct(F.col("ys")[0].alias("l"), (F.col("ys")[1] - F.col("ys")[0]).alias("b"),
                     F.lit(0.0).alias("sse"), F.lit(0).alias("i"))
 

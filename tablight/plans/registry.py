@@ -930,6 +930,23 @@ def f07(spark, d):
     return FS.backtest(ser)
 
 
+@register("f05_holt_fixed", _MONTHLY_SQL.replace("WITH s AS", "WITH RECURSIVE s AS") + """,
+h(idx, l, b, sse) AS (
+  SELECT 0, (SELECT y FROM ser WHERE idx = 0), (SELECT y FROM ser WHERE idx = 1) - (SELECT y FROM ser WHERE idx = 0), CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT s.idx, 0.5 * s.y + 0.5 * (h.l + h.b),
+         0.3 * ((0.5 * s.y + 0.5 * (h.l + h.b)) - h.l) + 0.7 * h.b,
+         h.sse + power(s.y - (h.l + h.b), 2)
+  FROM h JOIN ser s ON s.idx = h.idx + 1)
+SELECT 'o_totalprice' AS metric, CAST(0.5 AS DOUBLE) AS alpha, CAST(0.3 AS DOUBLE) AS beta, ROUND(sse, 2) AS sse, ROUND(l, 4) AS level,
+       ROUND(b, 4) AS trend FROM h WHERE idx = (SELECT MAX(idx) FROM ser)""")
+def f05f(spark, d):
+    ser = FS.series(tbl(spark, d, "orders"), "o_orderdate", ["o_totalprice"], freq="month")
+    out = FS.holt(ser, 6, params=[(0.5, 0.3)]).select("metric", "alpha", "beta", "sse", "level", "trend")
+    return out.select("metric", "alpha", "beta", F.round("sse", 2).alias("sse"), F.round("level", 4).alias("level"),
+                      F.round("trend", 4).alias("trend"))
+
+
 @register("f05_holt", None)
 def f05(spark, d):
     ser = FS.series(tbl(spark, d, "orders"), "o_orderdate", ["o_totalprice"], freq="month")
