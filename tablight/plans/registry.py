@@ -1178,7 +1178,53 @@ def _defs_from_profile(prof: DataFrame) -> DataFrame:
                        F.lit(True).alias("include_in_clustering"))
 
 
-@register("v03_audit_metrics", None)
+def _audit_sql() -> str:
+    from tablight.functions import keywords as KW
+    prof = _profile_sql("lineitem", _LINEITEM)
+    nums = ", ".join(f"('{c}', {str(t in ('bigint', 'int', 'double')).upper()})" for c, t in _LINEITEM)
+    A = lambda ws: _any_sql("c", ws)
+    tot = A(KW.TOTAL_OR_COUNT)
+    mean_types = "('score', 'percentage', 'rate', 'duration', 'index')"
+    mean_names = ["grade", "rating", "score", "reactiontime", "gaminghour", "studyhour", "sleephour"]
+    st = f"""CASE WHEN {A(["grade", "rating", "score"])} THEN 'score'
+  WHEN {A(["percentage", "percent", "pct", "rate", "ratio"])}
+       THEN CASE WHEN {A(["percentage", "percent", "pct"])} THEN 'percentage' ELSE 'rate' END
+  WHEN contains(c, 'attendance') AND vmin >= 0 AND vmax <= 100 AND NOT {tot} THEN 'percentage'
+  WHEN {A(["hour", "duration", "minutes", "time", "reactiontime"])} THEN 'duration'
+  WHEN {A(["revenue", "sales", "profit", "amount", "cost", "price", "salary"])} THEN 'money'
+  WHEN {A(["quantity", "volume", "qty", "count"])} THEN CASE WHEN contains(c, 'count') THEN 'count' ELSE 'quantity' END
+  WHEN contains(c, 'index') THEN 'index' ELSE 'raw_numeric' END"""
+    inf_agg = f"""CASE WHEN st IN {mean_types} THEN 'mean' WHEN contains(c, 'attendance') AND NOT {tot} THEN 'mean'
+  WHEN {A(mean_names)} THEN 'mean'
+  WHEN {A(["revenue", "sales", "profit", "amount", "quantity", "volume", "count", "cost"])} THEN 'sum'
+  ELSE 'mean' END"""
+    repair = f"""(st IN {mean_types} OR (contains(c, 'attendance') AND NOT {tot}) OR {A(mean_names)})"""
+    dirn = f"""CASE WHEN {A(KW.LOWER_IS_BETTER)} THEN 'lower_is_better'
+  WHEN {A(KW.HIGHER_IS_BETTER)} THEN 'higher_is_better' ELSE 'neutral' END"""
+    safe = A(KW.METRIC_SAFE_TOKENS)
+    return f"""WITH pr AS ({prof}),
+ty AS (SELECT * FROM (VALUES {nums}) t(col, is_numeric)),
+x AS (SELECT pr."column", ty.is_numeric, pr."min" AS vmin, pr."max" AS vmax,
+             replace(replace(lower(pr."column"), '_', ''), ' ', '') AS c,
+             pr.is_identifier FROM pr JOIN ty ON pr."column" = ty.col),
+y AS (SELECT *, CASE WHEN {safe} THEN FALSE ELSE is_identifier END AS idl, {st} AS st FROM x),
+z AS (SELECT *, {inf_agg} AS inf, {repair} AS rep, {dirn} AS dir FROM y)
+SELECT "column", 'supporting_metric' AS role,
+  CASE WHEN NOT is_numeric OR idl THEN 'raw_numeric' ELSE st END AS semantic_type,
+  CASE WHEN NOT is_numeric OR idl THEN 'sum' WHEN rep THEN inf ELSE 'sum' END AS aggregation,
+  CASE WHEN NOT is_numeric OR idl THEN 'neutral' ELSE dir END AS direction,
+  (is_numeric AND NOT idl) AS include_as_kpi, (is_numeric AND NOT idl) AS include_in_clustering,
+  CASE WHEN NOT is_numeric OR idl THEN 'rejected' ELSE 'repaired' END AS validation_status,
+  CASE WHEN NOT is_numeric THEN 'non_numeric_metric' WHEN idl THEN 'id_like_metric'
+       ELSE concat_ws('; ', 'role_normalized', 'semantic_type_normalized', 'aggregation_normalized',
+                      'direction_normalized',
+                      CASE WHEN st <> 'raw_numeric' THEN 'semantic_type_inferred' END,
+                      CASE WHEN rep THEN 'aggregation_repaired_to_' || inf END,
+                      CASE WHEN dir <> 'neutral' THEN 'direction_repaired' END) END AS repair_reason
+FROM z"""
+
+
+@register("v03_audit_metrics", _audit_sql())
 def v03(spark, d):
     prof = P.profile(tbl(spark, d, "lineitem"))
     return V.audit_metrics(_defs_from_profile(prof), prof)
@@ -1207,7 +1253,10 @@ def v04(spark, d):
     return V.audit_analyses(_analyses_from_profile(prof), prof)
 
 
-@register("v05_audit_summary", None)
+@register("v05_audit_summary", "WITH a AS (" + _audit_sql() + """)
+SELECT COUNT(*) AS metric_count, COUNT(*) FILTER (WHERE validation_status = 'accepted') AS accepted_metrics,
+       COUNT(*) FILTER (WHERE validation_status = 'repaired') AS repaired_metrics,
+       COUNT(*) FILTER (WHERE validation_status = 'rejected') AS rejected_metrics FROM a""")
 def v05(spark, d):
     prof = P.profile(tbl(spark, d, "lineitem"))
     return V.audit_summary(V.audit_metrics(_defs_from_profile(prof), prof))
