@@ -93,32 +93,153 @@ def _vectors(df: DataFrame, cols: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol="features").transform(df)
 
 
+def _kmeanspp(X, k: int, rng) -> "np.ndarray":
+    """k-means++ seeding (greedy, 2 + log k local trials) on a small sample."""
+    import numpy as np
+    n = len(X)
+    trials = 2 + int(np.log(k))
+    centers = [X[rng.integers(n)]]
+    d2 = ((X - centers[0]) ** 2).sum(1)
+    for _ in range(1, k):
+        probs = d2 / d2.sum() if d2.sum() > 0 else np.full(n, 1.0 / n)
+        cand = rng.choice(n, size=trials, p=probs)
+        cd2 = np.minimum(d2[None, :], ((X[None, :, :] - X[cand][:, None, :]) ** 2).sum(2))
+        best = cand[cd2.sum(1).argmin()]
+        centers.append(X[best])
+        d2 = np.minimum(d2, ((X - X[best]) ** 2).sum(1))
+    return np.array(centers)
+
+
 def kmeans_sweep(scaled: DataFrame, cols: list[str], max_k: int = 5, n_init: int = 10,
-                 seed: int = 42, max_iter: int = 300) -> tuple[DataFrame, dict]:
-    """C4: k = 2..min(5, n//2), ``n_init`` seeds per k, lowest cost kept.
-    Returns (k, inertia) and the fitted models by k."""
-    spark = scaled.sparkSession
+                 seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
+                 sample: int = 4096, engine: str = "batched") -> tuple[DataFrame, dict]:
+    """C4: k = 2..min(5, n//2), ``n_init`` restarts per k, lowest inertia kept.
+
+    ``batched`` (default) runs Lloyd's algorithm for every (k, restart) at
+    once: each iteration is one pass over the points in which every partition
+    assigns its points for all runs with numpy and emits only per-cluster
+    partial sums; a groupBy adds them up (at most runs x k rows) and the new
+    centres go back as a broadcast literal.  Seeds come from k-means++ on a
+    bounded hash sample.  ``mllib`` fits ``pyspark.ml`` KMeans per restart.
+    Returns (k, inertia) and the chosen centres by k (numpy arrays)."""
+    import numpy as np
+    import pandas as pd
     from tablight.functions.partitioning import spread
-    vec = spread(_vectors(scaled, cols).select("features")).persist()
-    n = vec.count()
-    models, rows = {}, []
+
+    spark = scaled.sparkSession
+    pts = spread(scaled.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+                 ).persist()
+    n = pts.count()
+    ks = list(range(2, min(max_k, n // 2) + 1))
+    if engine == "mllib":
+        return _kmeans_mllib(pts, cols, ks, n_init, seed, max_iter)
+    d = len(cols)
+    # bounded sample for seeding: the `sample` smallest row hashes
+    hashed = pts.withColumn("_h", F.xxhash64(*[F.col(f"x{i}") for i in range(d)], F.lit(seed)))
+    Xs = np.array(hashed.orderBy("_h").limit(sample).select(*[f"x{i}" for i in range(d)]).collect(), dtype=float)
+    var = pts.agg(*[F.var_pop(f"x{i}").alias(f"v{i}") for i in range(d)]).collect()[0]
+    tol_abs = tol * float(np.mean([var[f"v{i}"] or 0.0 for i in range(d)]))
+    runs = {}
+    for k in ks:
+        for r in range(n_init):
+            runs[(k, r)] = _kmeanspp(Xs, k, np.random.default_rng(seed + 1000 * k + r))
+    schema = "k int, run int, j int, cnt long, sse double, " + ", ".join(f"s{i} double" for i in range(d))
+
+    def one_pass(centres: dict) -> dict:
+        bc = spark.sparkContext.broadcast({key: c.tolist() for key, c in centres.items()})
+
+        def partial(it):
+            cs = {key: np.array(v) for key, v in bc.value.items()}
+            for pdf in it:
+                X = pdf.to_numpy(dtype=float)
+                rows = []
+                for (k, r), C in cs.items():
+                    d2 = ((X[:, None, :] - C[None, :, :]) ** 2).sum(2)
+                    lab = d2.argmin(1)
+                    mind = d2[np.arange(len(X)), lab]
+                    for j in range(len(C)):
+                        m = lab == j
+                        rows.append((k, r, j, int(m.sum()), float(mind[m].sum()), *X[m].sum(0).tolist()))
+                yield pd.DataFrame(rows, columns=["k", "run", "j", "cnt", "sse"] + [f"s{i}" for i in range(d)])
+
+        agg = (pts.mapInPandas(partial, schema)
+               .groupBy("k", "run", "j").agg(F.sum("cnt").alias("cnt"), F.sum("sse").alias("sse"),
+                                             *[F.sum(f"s{i}").alias(f"s{i}") for i in range(d)])
+               .collect())  # at most runs x k rows
+        bc.unpersist()
+        out = {}
+        for row in agg:
+            out.setdefault((row["k"], row["run"]), {})[row["j"]] = row
+        return out
+
+    active = dict(runs)
+    final = {}
+    for _ in range(max_iter):
+        if not active:
+            break
+        stats = one_pass(active)
+        nxt = {}
+        for key, C in active.items():
+            new = C.copy()
+            for j, row in stats.get(key, {}).items():
+                if row["cnt"]:
+                    new[j] = [row[f"s{i}"] / row["cnt"] for i in range(d)]
+            shift = float(((new - C) ** 2).sum())
+            if shift <= tol_abs:
+                final[key] = new
+            else:
+                nxt[key] = new
+        active = nxt
+    final.update(active)
+    # inertia of every run with its final centres (one more pass)
+    stats = one_pass(final)
+    rows, models = [], {}
+    for k in ks:
+        cost = {r: sum(row["sse"] for row in stats.get((k, r), {}).values()) for r in range(n_init)}
+        best = min(cost, key=lambda r: (cost[r], r))
+        models[k] = final[(k, best)]
+        rows.append((k, float(cost[best])))
+    pts.unpersist()
+    return spark.createDataFrame(rows, "k int, inertia double"), models
+
+
+def _kmeans_mllib(pts: DataFrame, cols: list[str], ks: list[int], n_init: int, seed: int,
+                  max_iter: int) -> tuple[DataFrame, dict]:
     from concurrent.futures import ThreadPoolExecutor
+    vec = VectorAssembler(inputCols=[f"x{i}" for i in range(len(cols))], outputCol="features") \
+        .transform(pts).select("features").persist()
 
     def fit(args):
         k, s = args
         m = KMeans(k=k, seed=seed + s, maxIter=max_iter, initMode="k-means||").fit(vec)
         return k, m.summary.trainingCost, s, m
 
-    grid = [(k, s) for k in range(2, min(max_k, n // 2) + 1) for s in range(n_init)]
+    grid = [(k, s) for k in ks for s in range(n_init)]
     # restarts are independent Spark jobs; submit them concurrently
     with ThreadPoolExecutor(max_workers=8) as pool:
         fits = list(pool.map(fit, grid))
-    for k in sorted({g[0] for g in grid}):
+    models, rows = {}, []
+    for k in ks:
         cost, _, m = min(((c, s, m) for kk, c, s, m in fits if kk == k), key=lambda t: (t[0], t[1]))
-        models[k] = m
+        import numpy as np
+        models[k] = np.array([c.toArray() for c in m.clusterCenters()])
         rows.append((k, float(cost)))
     vec.unpersist()
-    return spark.createDataFrame(rows, "k int, inertia double"), models
+    pts.unpersist()
+    return pts.sparkSession.createDataFrame(rows, "k int, inertia double"), models
+
+
+def assign(scaled: DataFrame, cols: list[str], centres, out: str = "cluster") -> DataFrame:
+    """Nearest centre per row as one JVM expression (k <= 5 literal
+    centres, squared distances, ties to the lower index)."""
+    dist = [sum((F.pow(F.col(f"`{c}`") - F.lit(float(v)), 2) for c, v in zip(cols, ctr)), F.lit(0.0))
+            for ctr in centres]
+    best = F.lit(0)
+    best_d = dist[0]
+    for j in range(1, len(dist)):
+        best = F.when(dist[j] < best_d, F.lit(j)).otherwise(best)
+        best_d = F.least(best_d, dist[j])
+    return scaled.withColumn(out, best)
 
 
 def elbow(inertias: DataFrame) -> DataFrame:
@@ -269,8 +390,7 @@ def cluster(df: DataFrame, features: list[str] | None = None, key: str | None =
         raise ValueError("need at least 10 complete rows")
     inertias, models = kmeans_sweep(scaled, feats, max_k, n_init)
     k = elbow(inertias).collect()[0]["optimal_k"]
-    model = models[k]
-    assigned = model.transform(_vectors(scaled, feats)).withColumnRenamed("prediction", "cluster").drop("features")
+    assigned = assign(scaled, feats, models[k])
     return {"features": feats, "inertias": inertias, "k": k, "assigned": assigned,
             "sizes": cluster_sizes(assigned), "silhouette_sq": silhouette(assigned, feats),
             "davies_bouldin": davies_bouldin(assigned, feats)}
