@@ -222,7 +222,7 @@ def _kmeans_mllib(pts: DataFrame, cols: list[str], ks: list[int], n_init: int, s
     for k in ks:
         cost, _, m = min(((c, s, m) for kk, c, s, m in fits if kk == k), key=lambda t: (t[0], t[1]))
         import numpy as np
-        models[k] = np.array([c.toArray() for c in m.clusterCenters()])
+        models[k] = np.array([np.asarray(c, dtype=float) for c in m.clusterCenters()])
         rows.append((k, float(cost)))
     vec.unpersist()
     pts.unpersist()
