@@ -445,6 +445,19 @@ def r09(spark, d):
     return R.nunique(tbl(spark, d, "lineitem"))
 
 
+@register("r10_non_binary", """
+SELECT "column", nunique FROM (
+  SELECT 'o_orderkey' AS "column", COUNT(DISTINCT o_orderkey) AS nunique FROM orders
+  UNION ALL SELECT 'o_custkey', COUNT(DISTINCT o_custkey) FROM orders
+  UNION ALL SELECT 'o_orderstatus', COUNT(DISTINCT o_orderstatus) FROM orders
+  UNION ALL SELECT 'o_totalprice', COUNT(DISTINCT o_totalprice) FROM orders
+  UNION ALL SELECT 'o_orderdate', COUNT(DISTINCT o_orderdate) FROM orders
+  UNION ALL SELECT 'o_orderpriority', COUNT(DISTINCT o_orderpriority) FROM orders) WHERE nunique > 2""")
+def r10(spark, d):
+    prof = P.profile(tbl(spark, d, "orders"))
+    return R.non_binary(prof).select("column", "nunique")
+
+
 @register("r11_top_k", """
 SELECT * FROM orders WHERE o_totalprice IS NOT NULL ORDER BY o_totalprice DESC, o_orderkey LIMIT 10""")
 def r11(spark, d):
@@ -595,15 +608,15 @@ def p11(spark, d):
 _P12 = _LI4 + ["l_linenumber"]
 
 
-def _central_sql() -> str:
+def _central_sql(top_n: int = 2) -> str:
     var = " UNION ALL ".join(f"SELECT '{c}' AS c, {i} AS position, var_samp({c}) AS v FROM lineitem"
                              for i, c in enumerate(_P12))
     sp = _spearman_sql("lineitem", _P12).replace("WITH rk AS", "rk AS", 1)
     return f"""WITH vs AS ({var}),
 cut AS (SELECT quantile_cont(v, 0.25) q FROM vs),
 act0 AS (SELECT c, position FROM vs, cut WHERE v > q),
-act AS (SELECT * FROM act0 WHERE (SELECT COUNT(*) FROM act0) >= 2
-        UNION ALL SELECT c, position FROM vs WHERE (SELECT COUNT(*) FROM act0) < 2),
+act AS (SELECT * FROM act0 WHERE (SELECT COUNT(*) FROM act0) >= {top_n}
+        UNION ALL SELECT c, position FROM vs WHERE (SELECT COUNT(*) FROM act0) < {top_n}),
 {sp.split(" SELECT ", 1)[0]},
 m AS (SELECT {sp.split(" SELECT ", 1)[1]}),
 ma AS (SELECT * FROM m WHERE col_a IN (SELECT c FROM act) AND col_b IN (SELECT c FROM act)),
@@ -611,7 +624,7 @@ both_ AS (SELECT col_a AS c, r FROM ma UNION ALL SELECT col_b, r FROM ma),
 k AS (SELECT COUNT(*) k FROM act)
 SELECT both_.c AS "column", ROUND(SUM(abs(COALESCE(r, 0))) / MAX(k.k), 6) AS centrality
 FROM both_ JOIN act ON both_.c = act.c, k
-GROUP BY both_.c, act.position ORDER BY centrality DESC, act.position LIMIT 2"""
+GROUP BY both_.c, act.position ORDER BY centrality DESC, act.position LIMIT {top_n}"""
 
 
 @register("p12_central_columns", _central_sql())
@@ -1370,6 +1383,87 @@ def st01(spark, d):
                       F.round("total", 4).alias("total"))
 
 
+# ==========================================================================
+# Remaining rules registered on their own
+# ==========================================================================
+
+@register("p10_metric_safe_identifier", "WITH p AS (" + _profile_sql("customer", _CUSTOMER) + """)
+SELECT "column", is_identifier,
+       CASE WHEN regexp_matches(replace(replace(lower("column"), '_', ''), ' ', ''),
+            '(grade|rating|score|attendance|hour|duration|time|revenue|sales|profit|cost|amount|quantity|volume)')
+            THEN FALSE ELSE is_identifier END AS is_identifier_metric_safe FROM p""")
+def p10(spark, d):
+    return P.profile(tbl(spark, d, "customer")).select("column", "is_identifier", "is_identifier_metric_safe")
+
+
+def _priority_sql(col: str) -> str:
+    from tablight.functions import keywords as KW
+    neg = "|".join(KW.NEGATIVE_PREFIXES)
+    kw = "|".join(KW.DOMAIN_PRIORITY)
+    low = f"lower({col})"
+    return (f"CASE WHEN regexp_matches(replace(replace({low}, '_', ''), ' ', ''), '^({neg})') THEN -1 "
+            f"WHEN regexp_matches({low}, '(^|[_\\s\\-]|[0-9])({kw})') THEN 1 ELSE 0 END")
+
+
+@register("k02_domain_priority", f"""
+SELECT column_name AS "column", {_priority_sql("column_name")} AS priority
+FROM information_schema.columns WHERE table_name = 'orders'""")
+def k02(spark, d):
+    prof = P.profile(tbl(spark, d, "orders"))
+    return prof.select("column", KP.domain_priority(F.col("column")).alias("priority"))
+
+
+@register("k01_kpi_candidates", """
+SELECT "column", priority FROM (
+  SELECT 'l_linenumber' AS "column", 0 AS priority, COUNT(DISTINCT l_linenumber) AS nu FROM lineitem
+  UNION ALL SELECT 'l_quantity', 0, COUNT(DISTINCT l_quantity) FROM lineitem
+  UNION ALL SELECT 'l_extendedprice', 0, COUNT(DISTINCT l_extendedprice) FROM lineitem
+  UNION ALL SELECT 'l_discount', 0, COUNT(DISTINCT l_discount) FROM lineitem
+  UNION ALL SELECT 'l_tax', 0, COUNT(DISTINCT l_tax) FROM lineitem) WHERE nu > 2""")
+def k01(spark, d):
+    return KP.kpi_candidates(P.profile(tbl(spark, d, "lineitem"))).select("column", "priority")
+
+
+@register("k03_shortlist", "WITH cc AS (" + _central_sql(4) + """)
+SELECT "column", CAST(row_number() OVER (ORDER BY centrality DESC,
+       array_position(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_linenumber'], "column"))
+       AS INTEGER) AS slot FROM cc""")
+def k03(spark, d):
+    return KP.shortlist(tbl(spark, d, "lineitem"), 4)
+
+
+@register("c02_select_features", """
+SELECT "column", CAST(row_number() OVER (ORDER BY v DESC, position) AS INTEGER) AS slot FROM (
+  SELECT 'l_linenumber' AS "column", 3 AS position, var_samp(l_linenumber) v, COUNT(DISTINCT l_linenumber) nu FROM lineitem
+  UNION ALL SELECT 'l_quantity', 4, var_samp(l_quantity), COUNT(DISTINCT l_quantity) FROM lineitem
+  UNION ALL SELECT 'l_extendedprice', 5, var_samp(l_extendedprice), COUNT(DISTINCT l_extendedprice) FROM lineitem
+  UNION ALL SELECT 'l_discount', 6, var_samp(l_discount), COUNT(DISTINCT l_discount) FROM lineitem
+  UNION ALL SELECT 'l_tax', 7, var_samp(l_tax), COUNT(DISTINCT l_tax) FROM lineitem) WHERE nu > 2
+QUALIFY slot <= 4""")
+def c02(spark, d):
+    feats = C.select_features(tbl(spark, d, "lineitem"))
+    return spark.createDataFrame([(c, i + 1) for i, c in enumerate(feats)], "column string, slot int")
+
+
+@register("c05_elbow", None)
+def c05(spark, d):
+    sc = C.standardise(tbl(spark, d, "lineitem"), _FEATS)
+    inertias, _ = C.kmeans_sweep(sc, _FEATS)
+    return C.elbow(inertias)
+
+
+@register("c07_silhouette", None)
+def c07(spark, d):
+    sc = C.standardise(tbl(spark, d, "lineitem"), _FEATS, keep=["l_returnflag"])
+    from pyspark.ml.feature import StringIndexer
+    # labels = the return flag, indexed alphabetically (distributed fit on distinct values)
+    labelled = StringIndexer(inputCol="l_returnflag", outputCol="cluster", stringOrderType="alphabetAsc") \
+        .fit(sc).transform(sc)
+    score = C.silhouette(labelled, _FEATS)
+    return labelled.limit(1).select(F.lit(score).alias("silhouette_sq"),
+                                    C.silhouette_band(F.lit(score)).alias("band"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
