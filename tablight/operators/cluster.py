@@ -13,7 +13,6 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablight.functions.ordering import quantiles_from_counts, top_k_per_group, value_counts
 from tablight.operators.profile import is_numeric_type, profile
@@ -395,5 +394,3 @@ def cluster(df: DataFrame, features: list[str] | None = None, key: str | None =
             "sizes": cluster_sizes(assigned), "silhouette_sq": silhouette(assigned, feats),
             "davies_bouldin": davies_bouldin(assigned, feats)}
 
-
-_ = T

@@ -16,7 +16,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablight.functions import keywords as K
 from tablight.functions import tails
@@ -359,7 +358,6 @@ def bh(df: DataFrame, p: str, family: list[str]) -> DataFrame:
     """Benjamini-Hochberg q within each family: running minimum of
     p*m/rank from the largest p down, capped at 1; significant = q < .05.
     Families are test tables (one row per test), so each window is small."""
-    base = Window.partitionBy(*family) if family else Window.partitionBy()
     valid = F.col(p).isNotNull() & ~F.isnan(F.col(p))
     d = df.withColumn("_valid", valid)
     wv = (Window.partitionBy(*family, "_valid") if family else Window.partitionBy("_valid"))
@@ -369,7 +367,6 @@ def bh(df: DataFrame, p: str, family: list[str]) -> DataFrame:
          .withColumn("_adj", F.col(p) * F.col("_m") / F.col("_rk"))
          .withColumn("q_value", F.when(F.col("_valid"), F.least(F.lit(1.0), F.min("_adj").over(
              ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing))))))
-    _ = base
     return (d.withColumn("significant", F.col("q_value") < 0.05)
             .drop("_valid", "_m", "_rk", "_adj"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablight.functions.ordering import row_index
-from tablight.operators.profile import is_numeric_type, is_temporal_type, parse_timestamp
+from tablight.operators.profile import is_temporal_type, parse_timestamp
 
 
 def _q(name: str) -> Column:
@@ -74,5 +74,3 @@ def preview(df: DataFrame, key: str, n: int = 150, seed: int = 42) -> DataFrame:
                .orderBy("_h", key).limit(n).drop("_h"))
     return fill_display(out.orderBy(key))
 
-
-_ = is_numeric_type
