@@ -9,6 +9,7 @@ sides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -863,9 +864,40 @@ def t15(spark, d):
     return rnd(t.select("numeric_col", "p_value", "q_value"), 6)
 
 
-@register("t09_group_sweep", None)
+def _kw_one_sql(t: str, cat: str, num: str, dof: int) -> str:
+    tail = " + ".join(f"power(H / 2, {i}) / {math.factorial(i)}" for i in range(dof // 2))
+    return _group_rank_sql(t, cat, num) + f""",
+h AS (SELECT (12.0 / (n * (n + 1)) * (SELECT SUM(R * R / n_g) FROM rs) - 3 * (n + 1)) / (1 - tie / (n * n * n - n)) AS H,
+             (SELECT COUNT(*) FROM rs) AS k, (SELECT COUNT(*) FROM g) AS sample_size FROM ties)
+SELECT '{cat}' AS categorical_col, '{num}' AS numeric_col, 'Kruskal-Wallis' AS test, k AS group_count,
+       sample_size, H AS statistic, exp(-H / 2) * ({tail}) AS p_value,
+       CASE WHEN sample_size > k THEN greatest(0, (H - k + 1) / (sample_size - k)) ELSE 0 END AS effect_size
+FROM h"""
+
+
+def _sweep_sql() -> str:
+    parts = [_kw_one_sql("orders", "o_orderstatus", "o_totalprice", 2),
+             _kw_one_sql("orders", "o_orderpriority", "o_totalprice", 4)]
+    return "WITH t AS (" + " UNION ALL ".join(f"SELECT * FROM ({x})" for x in parts) + """),
+o AS (SELECT *, row_number() OVER (ORDER BY p_value) rk, COUNT(*) OVER () m FROM t),
+q AS (SELECT *, LEAST(1.0, MIN(p_value * m / rk) OVER (ORDER BY p_value ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+             AS q_value FROM o)
+SELECT categorical_col, numeric_col, test, group_count, sample_size, ROUND(statistic, 6) AS statistic,
+       ROUND(p_value, 6) AS p_value, ROUND(q_value, 6) AS q_value, ROUND(effect_size, 6) AS effect_size,
+       q_value < 0.05 AS significant,
+       CASE WHEN abs(effect_size) >= 0.5 THEN 'large' WHEN abs(effect_size) >= 0.3 THEN 'medium'
+            WHEN abs(effect_size) >= 0.1 THEN 'small' ELSE 'negligible' END AS effect_label,
+       CASE WHEN sample_size >= 30 AND q_value < 0.01 AND effect_size >= 0.5 THEN 'high'
+            WHEN sample_size >= 20 AND q_value < 0.05 AND effect_size >= 0.3 THEN 'medium'
+            WHEN q_value < 0.1 AND effect_size >= 0.1 THEN 'low' ELSE 'exploratory' END AS quality
+FROM q"""
+
+
+@register("t09_group_sweep", _sweep_sql())
 def t09(spark, d):
-    return rnd(S.group_sweep(tbl(spark, d, "orders")).drop("posthoc_pairs"), 6)
+    t = S.group_sweep(tbl(spark, d, "orders"))
+    return rnd(t.select("categorical_col", "numeric_col", "test", "group_count", "sample_size", "statistic",
+                        "p_value", "q_value", "effect_size", "significant", "effect_label", "quality"), 6)
 
 
 @register("t18_rank_insights", None)
