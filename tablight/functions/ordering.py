@@ -25,10 +25,14 @@ from pyspark.sql import types as T
 _SAMPLE_PER_BUCKET = 32
 
 
+_LEVEL = 256  # cut points per level of the bucket table
+
+
 def default_buckets(df: DataFrame) -> int:
-    """Bucket count follows the cluster's shuffle width, not the data on hand."""
+    """Bucket count follows the cluster's shuffle width, not the data on hand:
+    4 buckets per shuffle partition, up to 256 x 256 (two-level cut table)."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return max(4, min(256, 4 * parts))
+    return max(4, min(_LEVEL * _LEVEL, 4 * parts))
 
 
 def _cut_points(df: DataFrame, order_cols: list[str], n_buckets: int, seed: int) -> list[tuple]:
@@ -86,6 +90,35 @@ def _bucket_expr(df: DataFrame, order_cols: list[str], cuts: list[tuple]) -> Col
     return total
 
 
+def _orderable_number(df: DataFrame, c: str) -> bool:
+    return isinstance(df.schema[c].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def _two_level_bucket(df: DataFrame, c: str, n_buckets: int) -> Column:
+    """Bucket id for very large tables: 255 first-level cuts as plain
+    comparisons, then up to 255 sub-cuts of the row's first-level bucket
+    looked up from a literal map (one grouped ``percentile_approx``).  Both
+    cut tables are bounded (<= 256 x 256 values)."""
+    cuts1 = _cut_points(df, [c], _LEVEL, 42)
+    b1 = _bucket_expr(df, [c], cuts1)
+    per = -(-n_buckets // _LEVEL)  # buckets per first-level bucket
+    if per <= 1:
+        return b1
+    probs = [i / per for i in range(1, per)]
+    rows = (df.withColumn("_b1", b1).groupBy("_b1")
+            .agg(F.percentile_approx(F.col(c), probs, 10_000).alias("q")).collect())
+    dtype = df.schema[c].dataType
+    entries = []
+    for r in rows:
+        cuts = sorted(set(v for v in (r["q"] or []) if v is not None))
+        entries += [F.lit(int(r["_b1"])), F.array(*[F.lit(v).cast(dtype) for v in cuts]).cast(T.ArrayType(dtype))]
+    if not entries:
+        return b1 * per
+    sub = F.create_map(*entries)[b1]
+    b2 = F.coalesce(F.size(F.filter(sub, lambda x: x <= F.col(c))), F.lit(0))
+    return b1 * per + F.when(F.col(c).isNull(), 0).otherwise(b2)
+
+
 def running_offsets(df: DataFrame, part_cols: list[str], order_cols: list[str],
                     weight_col: str | None = None, n_buckets: int | None = None,
                     seed: int = 42, out: str = "_before", total: str = "_n") -> DataFrame:
@@ -98,8 +131,11 @@ def running_offsets(df: DataFrame, part_cols: list[str], order_cols: list[str],
     """
     n_buckets = n_buckets or default_buckets(df)
     w = F.col(weight_col) if weight_col else F.lit(1).cast("long")
-    cuts = _cut_points(df, order_cols, n_buckets, seed)
-    keyed = df.withColumn("_bkt", _bucket_expr(df, order_cols, cuts)).withColumn("_w", w)
+    if n_buckets > _LEVEL and len(order_cols) == 1 and _orderable_number(df, order_cols[0]):
+        keyed = df.withColumn("_bkt", _two_level_bucket(df, order_cols[0], n_buckets)).withColumn("_w", w)
+    else:
+        cuts = _cut_points(df, order_cols, min(n_buckets, _LEVEL), seed)
+        keyed = df.withColumn("_bkt", _bucket_expr(df, order_cols, cuts)).withColumn("_w", w)
     grp = part_cols + ["_bkt"]
     totals = keyed.groupBy(*grp).agg(F.sum("_w").alias("_bt"))
     # totals holds at most (#partition keys) x n_buckets rows.

@@ -41,3 +41,13 @@ def test_top_k_per_group_exact(spark):
     got = top_k_per_group(df, ["g"], [F.col("v").desc(), F.col("k")], 3, ["k"], n_salt=5).toPandas()
     want = pdf.sort_values(["g", "v", "k"], ascending=[True, False, True]).groupby("g").head(3)
     assert sorted(map(tuple, got[["g", "k"]].to_numpy())) == sorted(map(tuple, want[["g", "k"]].to_numpy()))
+
+
+def test_two_level_buckets_give_same_ranks(spark):
+    pdf, df = _frame(spark, 5)
+    a = midranks(df, ["g"], "v", n_buckets=4).toPandas().sort_values(["g", "v"]).reset_index(drop=True)
+    b = midranks(df, ["g"], "v", n_buckets=5000).toPandas().sort_values(["g", "v"]).reset_index(drop=True)
+    assert np.allclose(a["rank"], b["rank"]) and (a["cnt"] == b["cnt"]).all()
+    q = exact_quantiles(df, ["g"], "v", {"med": .5}, n_buckets=70000).toPandas().set_index("g")
+    for g, sub in pdf.groupby("g"):
+        assert np.isclose(q.loc[g, "med"], np.median(sub.v))
