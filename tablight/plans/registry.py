@@ -1292,10 +1292,40 @@ def _analyses_from_profile(prof: DataFrame) -> DataFrame:
     return bars.unionByName(clus)
 
 
-@register("v04_audit_analyses", None)
+_ORDERS = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
+           ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]
+
+
+def _analysis_audit_sql() -> str:
+    from tablight.functions import keywords as KW
+    safe = "|".join(KW.METRIC_SAFE_TOKENS)
+    nums = ", ".join(f"('{c}', {i}, {str(t in ('bigint', 'int', 'double')).upper()})" for i, (c, t) in enumerate(_ORDERS))
+    return f"""WITH pr AS ({_profile_sql("orders", _ORDERS)}),
+ty AS (SELECT * FROM (VALUES {nums}) t(col, pos, is_num)),
+c AS (SELECT ty.col, ty.pos, ty.is_num,
+             CASE WHEN regexp_matches(replace(replace(lower(ty.col), '_', ''), ' ', ''), '({safe})') THEN FALSE
+                  ELSE pr.is_identifier END AS idl
+      FROM ty JOIN pr ON pr."column" = ty.col),
+bars AS (SELECT 'bar-' || m.col || '-' || d.col AS id, 'bar' AS analysis_type, m.col AS metric, d.col AS dimension,
+                '' AS features, '' AS issues, 'accepted' AS validation_status
+         FROM c m JOIN c d ON m.is_num AND NOT d.is_num),
+cl AS (SELECT string_agg(col, ',' ORDER BY pos) FILTER (WHERE is_num AND NOT idl) AS kept,
+              COUNT(*) FILTER (WHERE is_num AND NOT idl) AS nk,
+              COUNT(*) FILTER (WHERE is_num) - COUNT(*) FILTER (WHERE is_num AND NOT idl) AS dropped FROM c)
+SELECT * FROM bars
+UNION ALL
+SELECT 'cluster-all', 'clustering', NULL, NULL, COALESCE(kept, ''),
+       concat_ws(',', CASE WHEN dropped > 0 THEN 'features_filtered' END,
+                      CASE WHEN nk < 2 THEN 'clustering_needs_two_features' END),
+       CASE WHEN nk < 2 THEN 'rejected' WHEN dropped > 0 THEN 'repaired' ELSE 'accepted' END FROM cl"""
+
+
+@register("v04_audit_analyses", _analysis_audit_sql())
 def v04(spark, d):
     prof = P.profile(tbl(spark, d, "orders"))
-    return V.audit_analyses(_analyses_from_profile(prof), prof)
+    out = V.audit_analyses(_analyses_from_profile(prof), prof)
+    # list columns shown as comma-joined text (stable to compare)
+    return out.withColumn("features", F.concat_ws(",", "features")).withColumn("issues", F.concat_ws(",", "issues"))
 
 
 @register("v05_audit_summary", "WITH a AS (" + _audit_sql() + """)
