@@ -1,9 +1,10 @@
-"""Clustering (C1-C12) on MLlib with DataFrame-side quality measures.
+"""Clustering (C1-C12) with DataFrame-side quality measures.
 
-Scaling uses population standard deviation (literals from one aggregate),
-k-means is ``pyspark.ml.clustering.KMeans`` with several seeds per k, and
-every quality/profile measure is a groupBy or a join against the k centroids
-(k <= 5 rows, broadcast).  No step pairs points with points.
+Scaling uses population standard deviation (literals from one aggregate).
+The k-means sweep runs all (k, restart) pairs together, one pass over the
+points per Lloyd iteration with per-partition partial sums (MLlib KMeans is
+an option).  Every quality/profile measure is a groupBy or a join against
+the k centroids (k <= 5 rows, broadcast).  No step pairs points with points.
 """
 
 from __future__ import annotations
