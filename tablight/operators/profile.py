@@ -119,58 +119,62 @@ def profile_raw(df: DataFrame, approx: bool = False, accuracy: int = 10000) -> D
         is_bool = pos.isin(*bool_pos) if bool_pos else F.lit(False)
         boolish = (F.coalesce(dval.isin(0.0, 1.0), F.lit(False))
                    | (is_text & F.coalesce(sval.isin(*K.BOOLEAN_TEXT), F.lit(False))) | is_bool)
+        # pass 1: cardinalities, counts, parse shares, and mean/min/max of numbers
         stats = vc.groupBy("pos").agg(
             F.count(F.lit(1)).alias("nunique"), F.max("cnt").alias("top"), F.sum("cnt").alias("nn"),
             F.sum(F.when(boolish, cnt).otherwise(0)).alias("bv"),
-            F.sum(F.when(is_text & parse_timestamp(sval).isNotNull(), cnt).otherwise(0)).alias("dp")).collect()
-        card = {}
+            F.sum(F.when(is_text & parse_timestamp(sval).isNotNull(), cnt).otherwise(0)).alias("dp"),
+            F.sum(F.when(dval.isNotNull(), cnt)).alias("n_num"), F.sum(cnt * dval).alias("s1"),
+            F.min(dval).alias("min"), F.max(dval).alias("max")).collect()
+        card, first = {}, {}
         for r in stats:
             card[r["pos"]] = (r["nunique"], r["top"])
             wide[f"nn{r['pos']}"] = int(r["nn"])
             wide[f"bv{r['pos']}"] = int(r["bv"])
             if r["pos"] in text_pos:
                 wide[f"dp{r['pos']}"] = int(r["dp"])
+            if r["pos"] in num_pos and r["n_num"]:
+                first[r["pos"]] = (int(r["n_num"]), r["s1"] / r["n_num"], r["min"], r["max"])
         for i in range(len(fields)):
             wide.setdefault(f"nn{i}", 0)
-        moments: dict[int, dict] = {}
-        if num_pos:
-            nvc = vc.where(F.col("dval").isNotNull()).select("pos", "dval", "cnt")
-            first = nvc.groupBy("pos").agg(
-                F.sum("cnt").alias("n"), (F.sum(F.col("cnt") * F.col("dval")) / F.sum("cnt")).alias("mean"),
-                F.min("dval").alias("min"), F.max("dval").alias("max"))
-            d = F.col("dval") - F.col("mean")
-            # first: one row per numeric column -- bounded, safe to broadcast.
-            cm = (nvc.join(F.broadcast(first), "pos").groupBy("pos", "n", "mean", "min", "max")
-                  .agg(F.sum(F.col("cnt") * d * d).alias("m2"), F.sum(F.col("cnt") * d * d * d).alias("m3"),
-                       F.sum(F.col("cnt") * d * d * d * d).alias("m4")))
-            for r in cm.collect():
-                n_, m2, m3, m4 = r["n"], r["m2"], r["m3"], r["m4"]
-                var = m2 / (n_ - 1) if n_ > 1 else None
-                moments[r["pos"]] = {
-                    "mean": r["mean"], "min": r["min"], "max": r["max"], "var": var,
-                    "sd": var ** 0.5 if var is not None else None,
-                    "sk": (m3 / n_) / (m2 / n_) ** 1.5 if m2 > 0 else None,
-                    "ku": (m4 / n_) / (m2 / n_) ** 2 - 3 if m2 > 0 else None}
+        # pass 2: exact quartiles from the value counts
         quart: dict[int, tuple] = {}
-        if num_pos and not approx:
-            nvc = vc.where(F.col("dval").isNotNull()).select("pos", "dval", "cnt")
+        nvc = vc.where(F.col("dval").isNotNull()).select("pos", "dval", "cnt")
+        if first and not approx:
             for r in quantiles_from_counts(nvc, ["pos"], "dval",
                                            {"q1": .25, "q2": .5, "q3": .75}).collect():
                 quart[r["pos"]] = (r["q1"], r["q2"], r["q3"])
-        elif num_pos:
+        elif first:
             for i in num_pos:
                 pq = wide.get(f"pq{i}")
                 quart[i] = tuple(pq) if pq else (None, None, None)
+        # pass 3: central moments and IQR outlier counts together
+        moments: dict[int, dict] = {}
         outl: dict[int, int] = {}
-        fences = [(i, q[0] - 1.5 * (q[2] - q[0]), q[2] + 1.5 * (q[2] - q[0]))
-                  for i, q in quart.items() if q[0] is not None]
-        if fences:
-            fdf = spark.createDataFrame(fences, "pos int, lo double, hi double")
-            # fences: one row per numeric column -- bounded, safe to broadcast.
-            res = (vc.join(F.broadcast(fdf), "pos")
-                   .where((F.col("dval") < F.col("lo")) | (F.col("dval") > F.col("hi")))
-                   .groupBy("pos").agg(F.sum("cnt").alias("o")).collect())
-            outl = {r["pos"]: int(r["o"]) for r in res}
+        if first:
+            per = []
+            for i, (n_, mean, _, _) in first.items():
+                q = quart.get(i, (None, None, None))
+                lo = q[0] - 1.5 * (q[2] - q[0]) if q[0] is not None else None
+                hi = q[2] + 1.5 * (q[2] - q[0]) if q[0] is not None else None
+                per.append((i, float(mean), lo, hi))
+            # one row per numeric column -- bounded, safe to broadcast
+            pdf = spark.createDataFrame(per, "pos int, mean double, lo double, hi double")
+            d = F.col("dval") - F.col("mean")
+            out_flag = F.col("lo").isNotNull() & ((F.col("dval") < F.col("lo")) | (F.col("dval") > F.col("hi")))
+            for r in (nvc.join(F.broadcast(pdf), "pos").groupBy("pos")
+                      .agg(F.sum(F.col("cnt") * d * d).alias("m2"), F.sum(F.col("cnt") * d * d * d).alias("m3"),
+                           F.sum(F.col("cnt") * d * d * d * d).alias("m4"),
+                           F.sum(F.when(out_flag, F.col("cnt")).otherwise(0)).alias("o")).collect()):
+                n_, mean, mn, mx = first[r["pos"]]
+                m2, m3, m4 = r["m2"], r["m3"], r["m4"]
+                var = m2 / (n_ - 1) if n_ > 1 else None
+                moments[r["pos"]] = {
+                    "mean": mean, "min": mn, "max": mx, "var": var,
+                    "sd": var ** 0.5 if var is not None else None,
+                    "sk": (m3 / n_) / (m2 / n_) ** 1.5 if m2 > 0 else None,
+                    "ku": (m4 / n_) / (m2 / n_) ** 2 - 3 if m2 > 0 else None}
+                outl[r["pos"]] = int(r["o"])
     finally:
         vc.unpersist()
     for i, m in moments.items():
