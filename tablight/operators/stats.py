@@ -111,9 +111,14 @@ def spearman_tests(df: DataFrame, cols: list[str], top: int = 10) -> DataFrame:
     la, lb = F.lower("col_a"), F.lower("col_b")
     taut = (F.abs("r") >= 0.95) & (F.instr(lb, la) > 0) | (F.abs("r") >= 0.95) & (F.instr(la, lb) > 0)
     best = best.where(~taut)
-    chosen = [(r["col_a"], r["col_b"]) for r in best.select("col_a", "col_b").collect()]  # <= 10
-    pw = spearman_pairs(df, chosen).select("col_a", "col_b", F.col("r").alias("r_pair"),
-                                           F.col("n").alias("sample_size"))
+    nulls = df.agg(*[F.count(F.when(_q(c).isNull(), 1)).alias(f"n{i}") for i, c in enumerate(cols)]).collect()[0]
+    if not any(nulls[f"n{i}"] for i in range(len(cols))):
+        # no nulls: pairwise-complete rows are the complete rows, reuse the matrix
+        pw = best.select("col_a", "col_b", F.col("r").alias("r_pair"), F.col("n").alias("sample_size"))
+    else:
+        chosen = [(r["col_a"], r["col_b"]) for r in best.select("col_a", "col_b").collect()]  # <= 10
+        pw = spearman_pairs(df, chosen).select("col_a", "col_b", F.col("r").alias("r_pair"),
+                                               F.col("n").alias("sample_size"))
     n_rows = df.count()
     out = (best.join(pw, ["col_a", "col_b"]).where(F.col("sample_size") >= 10)
            .withColumn("p_value", tails.spearman_p_udf(F.col("r_pair"), F.col("sample_size")))
