@@ -191,3 +191,19 @@ def test_stream_windowed_means_match_batch(spark):
     batch = (spark.read.parquet(f"{SF}/events.parquet").groupBy(F.date_trunc("day", "ts").alias("d"))
              .agg(F.count(F.lit(1)).alias("n")))
     assert sorted(r["n"] for r in out.collect()) == sorted(r["n"] for r in batch.collect())
+
+
+def test_kmeans_every_row_nearest_its_centre(spark):
+    rng = np.random.default_rng(7)
+    pts = np.vstack([rng.normal(0, 0.5, (50, 2)), rng.normal(4, 0.5, (50, 2)), rng.normal((0, 4), 0.5, (50, 2))])
+    df = spark.createDataFrame(pd.DataFrame(pts, columns=["a", "b"]))
+    sc = C.standardise(df, ["a", "b"])
+    inertias, centres = C.kmeans_sweep(sc, ["a", "b"], n_init=3)
+    for k, ctr in centres.items():
+        out = C.assign(sc, ["a", "b"], ctr).toPandas()
+        X = out[["a", "b"]].to_numpy()
+        d2 = ((X[:, None, :] - np.asarray(ctr)[None, :, :]) ** 2).sum(2)
+        assert (d2.argmin(1) == out["cluster"].to_numpy()).all()
+        inertia = d2.min(1).sum()
+        reported = inertias.where(F.col("k") == k).first()["inertia"]
+        assert math.isclose(inertia, reported, rel_tol=1e-6)
