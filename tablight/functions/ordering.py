@@ -149,7 +149,7 @@ def running_offsets(df: DataFrame, part_cols: list[str], order_cols: list[str],
     )
     inner = Window.partitionBy(*grp).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     res = (
-        keyed.join(F.broadcast(offsets), on=grp, how="inner")
+        keyed.join(offsets, on=grp, how="inner")
         .withColumn(out, F.col("_off") + F.coalesce(F.sum("_w").over(inner), F.lit(0)))
         .drop("_bkt", "_off", "_w")
     )

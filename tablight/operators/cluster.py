@@ -288,9 +288,8 @@ def davies_bouldin(assigned: DataFrame, cols: list[str], label: str = "cluster")
     """Davies-Bouldin index (Euclidean) from centroids: mean over
     clusters of max_j (s_i + s_j) / d(c_i, c_j); > 2 flags high overlap."""
     cen = _centroids(assigned, cols, label)
-    # centroids: one row per cluster (k rows) -- broadcast
     dist = F.sqrt(sum((F.pow(_q(c) - F.col(f"c{i}"), 2) for i, c in enumerate(cols)), F.lit(0.0)))
-    s = (assigned.join(F.broadcast(cen), label).groupBy(_q(label)).agg(F.avg(dist).alias("s")))
+    s = (assigned.join(cen, label).groupBy(_q(label)).agg(F.avg(dist).alias("s")))
     a = cen.join(s, label).select(_q(label).alias("la"), F.col("s").alias("sa"),
                                   *[F.col(f"c{i}").alias(f"a{i}") for i in range(len(cols))])
     b = cen.join(s, label).select(_q(label).alias("lb"), F.col("s").alias("sb"),

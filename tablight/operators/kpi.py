@@ -28,12 +28,12 @@ def meaningless_total(name: Column) -> Column:
 
 def domain_priority(name: Column) -> Column:
     """K2: -1 for error/fault-like prefixes, 1 when a name token starts with a
-    business keyword, else 0.  Tokens start at the beginning, after ``_``,
-    space or ``-``, or where letters follow digits."""
+    business keyword, else 0.  Tokens start at the beginning and after any
+    character that is not a letter a-z."""
     low = F.lower(name)
     compact = F.regexp_replace(low, "[_ ]", "")
     kw = "|".join(re.escape(k) for k in K.DOMAIN_PRIORITY)
-    token_start = low.rlike(f"(^|[_\\s\\-]|[0-9])({kw})")
+    token_start = low.rlike(f"(^|[^a-z])({kw})")
     return (F.when(starts_any(compact, K.NEGATIVE_PREFIXES), -1)
             .when(token_start, 1).otherwise(0))
 

@@ -22,8 +22,8 @@ def _q(name: str) -> Column:
 
 def date_column(df: DataFrame) -> str | None:
     """first native date/time column; else the first text column whose
-    non-blank values parse as dates often enough (>= max(2, min(4, n//2)))
-    with >= 2 distinct dates.  One aggregate over all text columns."""
+    non-blank values parse as dates often enough (4 of 25; of fewer than 8
+    values half, and 2 at least) with >= 2 distinct dates.  One aggregate over all text columns."""
     for f in df.schema.fields:
         if is_temporal_type(f.dataType):
             return f.name
@@ -40,7 +40,7 @@ def date_column(df: DataFrame) -> str | None:
     row = df.agg(*aggs).collect()[0]
     for i, c in enumerate(text):
         n = row[f"n{i}"]
-        if n and row[f"p{i}"] >= max(2, min(4, n // 2)) and row[f"d{i}"] >= 2:
+        if n and row[f"p{i}"] >= max(2, min(4, n // 2), 4 * n / 25) and row[f"d{i}"] >= 2:
             return c
     return None
 
@@ -81,8 +81,8 @@ def series(df: DataFrame, date: str, metrics: list[str], by: list[str] | None =
     if freq is None:
         fr = frequency(base.withColumnRenamed("_d", "_dd"), "_dd", by).select(*by, "freq")
         if by:
-            # one row per series key (bounded by the number of series)
-            base = base.join(F.broadcast(fr), by, "inner")
+            # one row per series key: the planner broadcasts it only while it is small
+            base = base.join(fr, by, "inner")
         else:
             base = base.withColumn("freq", F.lit(fr.collect()[0]["freq"]))
         fcol = F.col("freq")

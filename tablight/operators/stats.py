@@ -186,8 +186,8 @@ def group_tests(df: DataFrame, cat_cols: list[str], num_cols: list[str], min_gro
     t = (t.withColumn("test", F.when(two, "Mann-Whitney U").otherwise("Kruskal-Wallis"))
          .withColumn("statistic", F.when(two, u1).otherwise(h))
          .withColumn("p_value", F.when(two, tails.mann_whitney_p_udf(
-             u1, F.col("n1"), F.col("n2"), F.col("tie"), exact))
-             .otherwise(tails.chi2_sf_udf(h, (F.col("k") - 1).cast("double"))))
+             F.when(two, u1), F.col("n1"), F.col("n2"), F.col("tie"), exact))
+             .otherwise(tails.chi2_sf_udf(F.when(~two, h), (F.col("k") - 1).cast("double"))))
          .withColumn("effect_size", F.when(two, F.abs(1 - 2 * u1 / (F.col("n1") * F.col("n2"))))
                      .otherwise(F.when(F.col("sample_size") > F.col("k"), F.greatest(
                          F.lit(0.0), (h - F.col("k") + 1) / (F.col("sample_size") - F.col("k"))))
@@ -303,8 +303,10 @@ def contingency_tests(cells: DataFrame, keys: list[str]) -> DataFrame:
         F.avg(F.when(F.col("E") < 5, 1.0).otherwise(0.0)).alias("sparse_cell_ratio"),
         F.sort_array(F.collect_list(F.struct("level_a", "level_b", "O"))).alias("_cells"))
     two = (F.col("r") == 2) & (F.col("c") == 2)
-    fisher = tails.fisher_udf(F.col("_cells")[0]["O"], F.col("_cells")[1]["O"],
-                              F.col("_cells")[2]["O"], F.col("_cells")[3]["O"])
+    # a Python UDF runs for every row whatever stands around it, so tables that
+    # need no exact test hand it nulls
+    exact = two & (F.col("sparse_cell_ratio") > 0)
+    fisher = tails.fisher_udf(*[F.when(exact, F.col("_cells")[i]["O"]) for i in range(4)])
     return (t.where((F.col("r") >= 2) & (F.col("c") >= 2))
             .withColumn("cramers_v", F.sqrt(F.col("chi2") / (F.col("n") * (F.least("r", "c") - 1))))
             .withColumn("chi2_p", tails.chi2_sf_udf(F.col("chi2"), F.col("dof").cast("double")))
@@ -562,13 +564,17 @@ def shapiro(df: DataFrame, cols: list[str], sample: int = 500, seed: int = 42) -
     long = spread(df.select(*[_q(c) for c in cols])).select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), _q(c).cast("double").alias("value")) for c in cols])))
     long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    # Value counts, then each value expands to at most `sample` numbered
-    # copies; the `sample` smallest hashes of (value, copy) form the sample.
+    # Every row has an exponential key; the `sample` smallest keys of a column
+    # form the sample.  Rows are kept as value counts: the k-th smallest of cnt
+    # such keys is the sum of e_i / (cnt - i + 1) for i = 1..k, so a value's
+    # first `sample` keys stand for all of its rows, with the weight of its count.
     # Deterministic, independent of partitioning, bounded per value.
     vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    copies = vc.select("column", "value", F.explode(F.sequence(F.lit(1), F.least("cnt", F.lit(sample))))
+    copies = vc.select("column", "value", "cnt", F.explode(F.sequence(F.lit(1), F.least("cnt", F.lit(sample))))
                        .alias("_i"))
-    copies = copies.withColumn("_h", F.xxhash64("value", "_i", F.lit(seed)))
+    uniform = (F.pmod(F.xxhash64("value", "_i", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    upto = Window.partitionBy("column", "value").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    copies = copies.withColumn("_h", F.sum(-F.log(uniform) / (F.col("cnt") - F.col("_i") + 1)).over(upto))
     samp = top_k_per_group(copies, ["column"], [F.col("_h"), F.col("value"), F.col("_i")], sample,
                            ["value", "_i"])
 

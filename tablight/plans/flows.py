@@ -79,7 +79,7 @@ def dashboard(df: DataFrame, key: str | None = None, k: int = 5) -> dict[str, Da
     return out
 
 
-def analytics(df: DataFrame, advanced: bool = True) -> dict[str, DataFrame]:
+def analytics(df: DataFrame, advanced: bool = True, boxes: int | None = None) -> dict[str, DataFrame]:
     """KPIs plus, when ``advanced``, the statistical test families and the
     chart data behind them (histograms, category counts, boxes, cross-tabs)."""
     prof = P.profile(df)
@@ -108,9 +108,11 @@ def analytics(df: DataFrame, advanced: bool = True) -> dict[str, DataFrame]:
     if len(nums) >= 3:
         out["correlation_table"] = A.correlation_table(df, nums)
     if groups is not None:
-        sig = groups.where(F.col("significant")).select("categorical_col", "numeric_col").collect()
+        # strongest first; ``boxes`` None builds all of them
+        sig = (groups.where(F.col("significant")).orderBy("p_value", "categorical_col", "numeric_col")
+               .select("categorical_col", "numeric_col").collect())
         out["boxes"] = {(r["categorical_col"], r["numeric_col"]): A.box(df, r["categorical_col"], r["numeric_col"])
-                        for r in sig[:12]}
+                        for r in sig[:boxes]}
     if chi is not None:
         out["crosstabs"] = {(r["col_a"], r["col_b"]): A.crosstab_pct(df, r["col_a"], r["col_b"])
                             for r in chi.select("col_a", "col_b").collect()}

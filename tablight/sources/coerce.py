@@ -21,6 +21,15 @@ def is_id_name(name: str) -> bool:
     return low == "id" or low.endswith("_id") or low.endswith(" id") or name.endswith("ID")
 
 
+def as_number(c: Column) -> Column:
+    """The double a text stands for (``,`` counts as the decimal point),
+    null if it is no plain number.  The pattern keeps out type suffixes such
+    as ``12D``, which a cast alone would accept."""
+    s = F.regexp_replace(c, ",", ".")
+    plain = s.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$")
+    return F.when(plain, s.try_cast("double"))
+
+
 def coerce(df: DataFrame, threshold: float = 0.6) -> DataFrame:
     """S4 + S5 in one aggregate and one select.
 
@@ -31,7 +40,7 @@ def coerce(df: DataFrame, threshold: float = 0.6) -> DataFrame:
             if isinstance(f.dataType, T.StringType) and not is_id_name(f.name)]
     convert = set()
     if text:
-        row = df.agg(*[F.count(F.regexp_replace(_q(c), ",", ".").try_cast("double")).alias(f"p{i}")
+        row = df.agg(*[F.count(as_number(_q(c))).alias(f"p{i}")
                        for i, c in enumerate(text)],
                      *[F.count(_q(c)).alias(f"n{i}") for i, c in enumerate(text)]).collect()[0]
         convert = {c for i, c in enumerate(text) if row[f"p{i}"] > row[f"n{i}"] * threshold}
@@ -41,7 +50,7 @@ def coerce(df: DataFrame, threshold: float = 0.6) -> DataFrame:
         if is_id_name(f.name):
             out.append(c.cast("string").alias(f.name))
         elif f.name in convert:
-            out.append(F.regexp_replace(c, ",", ".").try_cast("double").alias(f.name))
+            out.append(as_number(c).alias(f.name))
         else:
             out.append(c)
     return df.select(*out)

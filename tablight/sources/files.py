@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
+import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _DELIMITERS = ",;\t|"
 
@@ -33,27 +35,36 @@ def sniff_delimiter(lines: list[str]) -> str:
 def read_csv(spark: SparkSession, path: str, sample_lines: int = 20) -> DataFrame:
     """CSV with a sniffed delimiter and header; malformed lines dropped.
 
-    Only ``sample_lines`` lines reach the driver for sniffing.  Text that does
-    not decode as UTF-8 (replacement characters in the sample) is re-read as
-    latin-1; an unbalanced quote in the sample turns quoting off."""
+    Only ``sample_lines`` lines reach the driver, to sniff the delimiter.  The
+    encoding is decided by the whole file: if any line is not valid UTF-8,
+    all of it is read as latin-1.  Quoting stays on,
+    and rows are parsed whole, so what counts as malformed does not depend on
+    the columns a query uses."""
     sample = [r[0] for r in spark.read.text(path).limit(sample_lines).collect()]
     sep = sniff_delimiter(sample)
-    encoding = "ISO-8859-1" if any("�" in ln for ln in sample) else "UTF-8"
-    quote = '"'
-    if any(ln.count('"') % 2 for ln in sample):
-        quote = "\u0000"
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value"))
+    encoding = "UTF-8" if broken.isEmpty() else "ISO-8859-1"
     return (spark.read.option("header", True).option("sep", sep).option("mode", "DROPMALFORMED")
-            .option("encoding", encoding).option("quote", quote).option("inferSchema", True)
+            .option("encoding", encoding).option("columnPruning", False).option("inferSchema", True)
             .option("enforceSchema", False).csv(path))
 
 
+def _whole_object(line: str) -> bool:
+    try:
+        return isinstance(json.loads(line), dict)
+    except ValueError:
+        return False
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON as an array of records (multi-line) or one record per line.
 
-    The first non-blank line (one line reaches the driver) decides: ``[``
-    means an array document, anything else JSON lines."""
+    The first non-blank line (one line reaches the driver) decides: a line
+    that is a whole object means JSON lines; ``[`` or an unfinished object
+    means one document.  A document is parsed by one task; JSON lines are the
+    splittable route for large data."""
     first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
-    if first and first[0][0].lstrip().startswith("["):
+    if first and not _whole_object(first[0][0]):
         return spark.read.option("multiLine", True).json(path)
     return spark.read.json(path)
 
@@ -67,6 +78,3 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     """S3: read Parquet back."""
     return spark.read.parquet(path)
 
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
