@@ -84,8 +84,13 @@ def _value_long(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
         if is_numeric_type(f.dataType):
-            entries.append(F.struct(F.lit(i).alias("pos"), F.lit(None).cast("string").alias("sval"),
-                                    c.cast("double").alias("dval")))
+            d, exact = c.cast("double"), F.lit(None).cast("string")
+            if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+                d = F.when(~F.isnan(c), d)  # NaN is a missing value
+            elif isinstance(f.dataType, (T.LongType, T.DecimalType)):
+                # beyond 2**53 neighbours share a double; their digits keep them apart
+                exact = F.when(F.abs(d) >= float(1 << 53), c.cast("string"))
+            entries.append(F.struct(F.lit(i).alias("pos"), exact.alias("sval"), d.alias("dval")))
         else:
             entries.append(F.struct(F.lit(i).alias("pos"), c.cast("string").alias("sval"),
                                     F.lit(None).cast("double").alias("dval")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablight.functions import tails
 from tablight.operators import joins as J
 from tablight.operators import kpi as KP
+from tablight.operators import profile as P
 from tablight.operators import series as FS
 from tablight.operators import stats as S
 from tablight.sources import coerce as SC
@@ -86,3 +87,13 @@ def test_column_matching_is_one_to_one(spark):
     got = J.match_columns(["order_id", "order_date"], ["orderid", "date", "order_ids"])
     assert len({a for a, _, _ in got}) == len(got) == len({b for _, b, _ in got})
     assert J.match_columns([], ["a"]) == []
+
+
+def test_profile_of_large_integers_and_nan(spark):
+    df = spark.range(1000).select((F.col("id") + (1 << 60)).alias("big"),
+                                  (F.col("id") + (1 << 60)).cast("decimal(25,0)").alias("dec"),
+                                  F.when(F.col("id") % 4 == 2, float("nan")).otherwise(F.col("id") % 5).alias("x"))
+    got = {r["column"]: r for r in P.profile(df).collect()}
+    assert got["big"]["nunique"] == got["dec"]["nunique"] == 1000
+    assert got["x"]["nunique"] == 5 and got["x"]["missing_ratio"] == pytest.approx(0.25)
+    assert math.isfinite(got["x"]["mean"]) and got["x"]["max"] == 4.0
