@@ -93,23 +93,38 @@ def _vectors(df: DataFrame, cols: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol="features").transform(df)
 
 
-def _kmeanspp(X, k: int, rng) -> "np.ndarray":
-    """k-means++ seeding (greedy, 2 + log k local trials) on a small sample."""
+def _kmeanspp(X, weight, k: int, rng) -> "np.ndarray":
+    """Greedy k-means++ seeding (2 + log k local trials) on weighted points."""
     import numpy as np
-    n = len(X)
     trials = 2 + int(np.log(k))
-    centers = [X[rng.integers(n)]]
+    base = weight / weight.sum()
+    centers = [X[rng.choice(len(X), p=base)]]
     d2 = ((X - centers[0]) ** 2).sum(1)
     for _ in range(1, k):
-        probs = d2 / d2.sum() if d2.sum() > 0 else np.full(n, 1.0 / n)
-        cand = rng.choice(n, size=trials, p=probs)
+        mass = weight * d2
+        cand = rng.choice(len(X), size=trials, p=mass / mass.sum() if mass.sum() > 0 else base)
         cd2 = np.minimum(d2[None, :], ((X[None, :, :] - X[cand][:, None, :]) ** 2).sum(2))
-        best = cand[cd2.sum(1).argmin()]
-        centers.append(X[best])
-        d2 = np.minimum(d2, ((X - X[best]) ** 2).sum(1))
+        best = (cd2 * weight).sum(1).argmin()
+        centers.append(X[cand[best]])
+        d2 = cd2[best]
     return np.array(centers)
 
 
+def _seed_sample(pts: DataFrame, d: int, sample: int, seed: int):
+    """At most ``sample`` distinct points with weights that estimate (or, where
+    all fit, are) their numbers of rows: bottom-k by exponential keys, drawn
+    with a chance that grows with the weight."""
+    import numpy as np
+    x = [f"x{i}" for i in range(d)]
+    u = (F.shiftrightunsigned(F.xxhash64(*x, F.lit(seed)), 11) + F.lit(0.5)) / float(2 ** 53)
+    got = np.array(pts.withColumn("_key", -F.log(u) / F.col("w")).orderBy("_key", *x).limit(sample + 1)
+                   .select(*x, "w", "_key").collect(), dtype=float).reshape(-1, d + 2)
+    if len(got) <= sample:
+        return got[:, :d], got[:, d]
+    w = got[:sample, d]
+    return got[:sample, :d], w / -np.expm1(-w * got[sample, d + 1])
+
+
 def kmeans_sweep(scaled: DataFrame, cols: list[str], max_k: int = 5, n_init: int = 10,
                  seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
                  sample: int = 4096, engine: str = "batched") -> tuple[DataFrame, dict]:
@@ -119,8 +134,9 @@ def kmeans_sweep(scaled: DataFrame, cols: list[str], max_k: int = 5, n_init: int
     once: each iteration is one pass over the points in which every partition
     assigns its points for all runs with numpy and emits only per-cluster
     partial sums; a groupBy adds them up (at most runs x k rows) and the new
-    centres go back as a broadcast literal.  Seeds come from k-means++ on a
-    bounded hash sample.  ``mllib`` fits ``pyspark.ml`` KMeans per restart.
+    centres go back as a broadcast literal.  Equal points are one weighted
+    point throughout.  Seeds come from weighted k-means++ on a bounded sample of
+    distinct points (``sample``), drawn by their numbers of rows.  ``mllib`` fits ``pyspark.ml`` KMeans per restart.
     Returns (k, inertia) and the chosen centres by k (numpy arrays)."""
     import numpy as np
     import pandas as pd
@@ -128,21 +144,22 @@ def kmeans_sweep(scaled: DataFrame, cols: list[str], max_k: int = 5, n_init: int
 
     spark = scaled.sparkSession
     pts = spread(scaled.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
-                 ).persist()
-    n = pts.count()
+                 ).groupBy(*[f"x{i}" for i in range(len(cols))]).agg(F.count(F.lit(1)).alias("w")).persist()
+    n = pts.agg(F.sum("w")).first()[0] or 0
     ks = list(range(2, min(max_k, n // 2) + 1))
     if engine == "mllib":
         return _kmeans_mllib(pts, cols, ks, n_init, seed, max_iter)
     d = len(cols)
-    # bounded sample for seeding: the `sample` smallest row hashes
-    hashed = pts.withColumn("_h", F.xxhash64(*[F.col(f"x{i}") for i in range(d)], F.lit(seed)))
-    Xs = np.array(hashed.orderBy("_h").limit(sample).select(*[f"x{i}" for i in range(d)]).collect(), dtype=float)
-    var = pts.agg(*[F.var_pop(f"x{i}").alias(f"v{i}") for i in range(d)]).collect()[0]
+    Xs, ws = _seed_sample(pts, d, sample, seed)
+    m = {f"x{i}": F.sum(F.col(f"x{i}") * F.col("w")) / F.sum("w") for i in range(d)}
+    mean = pts.agg(*[v.alias(c) for c, v in m.items()]).first()
+    var = pts.agg(*[(F.sum(F.pow(F.col(f"x{i}") - F.lit(mean[f"x{i}"]), 2) * F.col("w")) / F.sum("w")).alias(f"v{i}")
+                    for i in range(d)]).first()
     tol_abs = tol * float(np.mean([var[f"v{i}"] or 0.0 for i in range(d)]))
     runs = {}
     for k in ks:
         for r in range(n_init):
-            runs[(k, r)] = _kmeanspp(Xs, k, np.random.default_rng(seed + 1000 * k + r))
+            runs[(k, r)] = _kmeanspp(Xs, ws, k, np.random.default_rng(seed + 1000 * k + r))
     schema = "k int, run int, j int, cnt long, sse double, " + ", ".join(f"s{i} double" for i in range(d))
 
     def one_pass(centres: dict) -> dict:
@@ -151,7 +168,7 @@ def kmeans_sweep(scaled: DataFrame, cols: list[str], max_k: int = 5, n_init: int
         def partial(it):
             cs = {key: np.array(v) for key, v in bc.value.items()}
             for pdf in it:
-                X = pdf.to_numpy(dtype=float)
+                X, w = pdf[[f"x{i}" for i in range(d)]].to_numpy(dtype=float), pdf["w"].to_numpy(dtype=float)
                 rows = []
                 for (k, r), C in cs.items():
                     d2 = ((X[:, None, :] - C[None, :, :]) ** 2).sum(2)
@@ -159,7 +176,8 @@ def kmeans_sweep(scaled: DataFrame, cols: list[str], max_k: int = 5, n_init: int
                     mind = d2[np.arange(len(X)), lab]
                     for j in range(len(C)):
                         m = lab == j
-                        rows.append((k, r, j, int(m.sum()), float(mind[m].sum()), *X[m].sum(0).tolist()))
+                        rows.append((k, r, j, int(w[m].sum()), float((mind * w)[m].sum()),
+                                     *(X * w[:, None])[m].sum(0).tolist()))
                 yield pd.DataFrame(rows, columns=["k", "run", "j", "cnt", "sse"] + [f"s{i}" for i in range(d)])
 
         agg = (pts.mapInPandas(partial, schema)
@@ -207,11 +225,11 @@ def _kmeans_mllib(pts: DataFrame, cols: list[str], ks: list[int], n_init: int, s
                   max_iter: int) -> tuple[DataFrame, dict]:
     from concurrent.futures import ThreadPoolExecutor
     vec = VectorAssembler(inputCols=[f"x{i}" for i in range(len(cols))], outputCol="features") \
-        .transform(pts).select("features").persist()
+        .transform(pts).select("features", "w").persist()
 
     def fit(args):
         k, s = args
-        m = KMeans(k=k, seed=seed + s, maxIter=max_iter, initMode="k-means||").fit(vec)
+        m = KMeans(k=k, seed=seed + s, maxIter=max_iter, initMode="k-means||", weightCol="w").fit(vec)
         return k, m.summary.trainingCost, s, m
 
     grid = [(k, s) for k in ks for s in range(n_init)]
@@ -261,7 +279,7 @@ def cluster_sizes(assigned: DataFrame, label: str = "cluster") -> DataFrame:
     from tablight.operators.aggregates import attach_scalar
     tot = s.agg(F.sum("size").alias("_t"), F.min("size").alias("_mn"), F.max("size").alias("_mx"))
     return (attach_scalar(s, tot)
-            .select(_q(label), "size", F.round(F.col("size") * 100.0 / F.col("_t"), 2).alias("size_pct"),
+            .select(_q(label), "size", F.round(F.col("size") * 100.0 / F.col("_t"), 1).alias("size_pct"),
                     ((F.col("_mn") / F.col("_mx")) < 0.15).alias("imbalanced")))
 
 

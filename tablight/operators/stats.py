@@ -41,6 +41,25 @@ def weighted_midranks(vc: DataFrame, part_cols: list[str], value_col: str,
 # T4/T5 Spearman
 # --------------------------------------------------------------------------
 
+#: A value that holds at least 1 / HOT_SHARE of a column's rows is joined by broadcast.
+HOT_SHARE = 64
+
+
+def _with_ranks(long: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
+    """``long`` (keys, _rid, v) with the rank of v.  A column has at most
+    HOT_SHARE frequent values; their ranks are broadcast, and their rows are
+    spread over made-up keys in the join with the other ranks, so no task gets
+    all rows of one value."""
+    ranks = cut_lineage(ranks.select(*keys, "v", "t", "n", "rank"))
+    often = F.col("t") * HOT_SHARE >= F.col("n")
+    hot = F.broadcast(ranks.where(often).select(*keys, "v", F.col("rank").alias("_hot")))
+    rest = ranks.where(~often).select(*keys, "v", F.lit(0).cast("long").alias("_part"), F.col("rank").alias("_rest"))
+    spread_out = F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("_rid"), F.lit(4096)) + 1)
+    return (long.join(hot, keys + ["v"], "left").withColumn("_part", spread_out)
+            .join(rest, keys + ["v", "_part"], "left")
+            .withColumn("rank", F.coalesce("_hot", "_rest")).drop("_hot", "_rest", "_part"))
+
+
 def _rank_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     """Replace each column by its mid-rank within the given rows."""
     from tablight.functions.partitioning import spread
@@ -50,8 +69,7 @@ def _rank_rows(df: DataFrame, cols: list[str]) -> DataFrame:
         F.struct(F.lit(i).alias("k"), F.col(f"c{i}").alias("v")) for i in range(len(cols))])))
     long = long.where(F.col("v").isNotNull())
     vc = long.groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    ranks = weighted_midranks(vc, ["k"], "v").select("k", "v", "rank")
-    return (long.join(ranks, ["k", "v"])
+    return (_with_ranks(long, weighted_midranks(vc, ["k"], "v"), ["k"])
             .groupBy("_rid").pivot("k", list(range(len(cols)))).agg(F.first("rank")))
 
 
@@ -90,8 +108,7 @@ def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         F.struct(F.lit(0).alias("s"), F.col("x").alias("v")),
         F.struct(F.lit(1).alias("s"), F.col("y").alias("v")))))
     vc = long.groupBy("p", "s", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    ranks = weighted_midranks(vc, ["p", "s"], "v").select("p", "s", "v", "rank")
-    wide = (long.join(ranks, ["p", "s", "v"])
+    wide = (_with_ranks(long, weighted_midranks(vc, ["p", "s"], "v"), ["p", "s"])
             .groupBy("p", "_rid").agg(F.max(F.when(F.col("s") == 0, F.col("rank"))).alias("rx"),
                                       F.max(F.when(F.col("s") == 1, F.col("rank"))).alias("ry")))
     res = wide.groupBy("p").agg(F.corr("rx", "ry").alias("r"), F.count(F.lit(1)).alias("n"))
@@ -283,41 +300,64 @@ def group_sweep(df: DataFrame, prof: DataFrame | None = None) -> DataFrame:
 def contingency_tests(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Chi-square (Yates on 2x2), Cramer's V, sparse-cell diagnostics and
     Fisher exact (2x2 with any expected < 5) for every table in ``cells``
-    (keys..., level_a, level_b, count).  Level grids are complete (zero
-    cells included) by joining row and column totals of the same table."""
+    (keys..., level_a, level_b, count).
+
+    Only the cells that occur are visited; what the empty ones add follows from
+    the margins: their share of chi-square is what the expected counts of the
+    others leave of n, the least expected count is that of the two least
+    margins, and the number of small ones is a running count over the sorted
+    margins.  In a 2x2 table all four deviations are equal."""
+    cells = cut_lineage(cells)
     rt = cells.groupBy(*keys, "level_a").agg(F.sum("count").alias("rt"))
     ct = cells.groupBy(*keys, "level_b").agg(F.sum("count").alias("ct"))
-    n = cells.groupBy(*keys).agg(F.sum("count").alias("n"))
-    grid = (rt.join(ct, keys).join(n, keys)
-            .join(cells, keys + ["level_a", "level_b"], "left")
-            .withColumn("O", F.coalesce("count", F.lit(0)).cast("double"))
-            .withColumn("E", F.col("rt") * F.col("ct") / F.col("n")))
-    dims = grid.groupBy(*keys).agg(F.count_distinct("level_a").alias("r"),
-                                   F.count_distinct("level_b").alias("c"))
-    g = grid.join(dims, keys).withColumn("dof", (F.col("r") - 1) * (F.col("c") - 1))
-    diff = F.abs(F.col("O") - F.col("E"))
-    adj = F.when(F.col("dof") == 1, F.greatest(diff - 0.5, F.lit(0.0))).otherwise(diff)
-    t = g.groupBy(*keys, "r", "c", "dof", "n").agg(
-        F.sum(adj * adj / F.col("E")).alias("chi2"),
-        F.min("E").alias("expected_min"),
-        F.avg(F.when(F.col("E") < 5, 1.0).otherwise(0.0)).alias("sparse_cell_ratio"),
-        F.sort_array(F.collect_list(F.struct("level_a", "level_b", "O"))).alias("_cells"))
+    rows = rt.groupBy(*keys).agg(F.count(F.lit(1)).alias("r"), F.sum("rt").alias("n"), F.min("rt").alias("_rmin"),
+                                 F.min("level_a").alias("_a1"), F.min_by("rt", "level_a").alias("_r1"))
+    cols = ct.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min("ct").alias("_cmin"),
+                                 F.min("level_b").alias("_b1"), F.min_by("ct", "level_b").alias("_c1"))
+    dims = cut_lineage(rows.join(cols, keys).where((F.col("r") >= 2) & (F.col("c") >= 2)))
+    e = F.col("rt").cast("double") * F.col("ct") / F.col("n")
+    full = cells.join(rt, keys + ["level_a"]).join(ct, keys + ["level_b"]).join(
+        dims.select(*keys, "n", "_a1", "_b1"), keys)
+    met = full.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_cells"), F.sum(e).alias("_e"),
+        F.sum(F.pow(F.col("count") - e, 2) / e).alias("_x"),
+        F.sum(F.when((F.col("level_a") == F.col("_a1")) & (F.col("level_b") == F.col("_b1")), F.col("count"))
+              .otherwise(0)).alias("_o"))
+    # rt * ct < 5 n, in whole numbers: column totals below a bound of each row
+    # total; totals take even places, bounds the odd places below them
+    at = rt.join(dims.select(*keys, "n"), keys).select(
+        *keys, F.expr("2 * ((5 * n - 1) div rt) + 1").alias("_at"), F.lit(0).cast("long").alias("_c"),
+        F.lit(1).cast("long").alias("_r"))
+    at = at.unionByName(ct.join(dims.select(*keys), keys, "left_semi").select(
+        *keys, (F.col("ct") * 2).alias("_at"), F.lit(1).cast("long").alias("_c"), F.lit(0).cast("long").alias("_r")))
+    at = at.groupBy(*keys, "_at").agg(F.sum("_c").alias("_c"), F.sum("_r").alias("_r"))
+    small = running_offsets(at, keys, ["_at"], "_c", out="_below", total="_all").groupBy(*keys).agg(
+        F.sum(F.col("_r") * F.col("_below")).alias("_small"))
     two = (F.col("r") == 2) & (F.col("c") == 2)
+    n = F.col("n").cast("double")
+    r2, c2 = F.col("n") - F.col("_r1"), F.col("n") - F.col("_c1")
+    yates = F.greatest(F.abs(F.col("_o") - F.col("_r1") * (F.col("_c1") / n)) - 0.5, F.lit(0.0))
+    empty = F.when(F.col("_cells") < F.col("r") * F.col("c"), F.greatest(n - F.col("_e"), F.lit(0.0))).otherwise(0.0)
+    t = (dims.join(met, keys).join(small, keys)
+         .withColumn("dof", (F.col("r") - 1) * (F.col("c") - 1))
+         .withColumn("chi2", F.when(two, yates * yates * n * (n / F.col("_r1") / r2) * (n / F.col("_c1") / c2))
+                     .otherwise(F.col("_x") + empty))
+         .withColumn("expected_min", F.col("_rmin").cast("double") * F.col("_cmin") / F.col("n"))
+         .withColumn("sparse_cell_ratio", F.col("_small") / (F.col("r") * F.col("c"))))
     # a Python UDF runs for every row whatever stands around it, so tables that
     # need no exact test hand it nulls
     exact = two & (F.col("sparse_cell_ratio") > 0)
-    fisher = tails.fisher_udf(*[F.when(exact, F.col("_cells")[i]["O"]) for i in range(4)])
-    return (t.where((F.col("r") >= 2) & (F.col("c") >= 2))
-            .withColumn("cramers_v", F.sqrt(F.col("chi2") / (F.col("n") * (F.least("r", "c") - 1))))
+    o = F.col("_o")
+    four = [o, F.col("_r1") - o, F.col("_c1") - o, F.col("n") - F.col("_r1") - F.col("_c1") + o]
+    fisher = tails.fisher_udf(*[F.when(exact, x.cast("double")) for x in four])
+    return (t.withColumn("cramers_v", F.sqrt(F.col("chi2") / (F.col("n") * (F.least("r", "c") - 1))))
             .withColumn("chi2_p", tails.chi2_sf_udf(F.col("chi2"), F.col("dof").cast("double")))
-            .withColumn("method", F.when(two & (F.col("sparse_cell_ratio") > 0), "fisher_exact")
-                        .otherwise("chi_square"))
-            .withColumn("p_value", F.when(F.col("method") == "fisher_exact", fisher)
-                        .otherwise(F.col("chi2_p")))
+            .withColumn("method", F.when(exact, "fisher_exact").otherwise("chi_square"))
+            .withColumn("p_value", F.when(exact, fisher).otherwise(F.col("chi2_p")))
             .withColumn("sparse_warning", F.col("sparse_cell_ratio") > 0.2)
             .withColumn("effect_size", F.col("cramers_v"))
             .withColumnRenamed("n", "sample_size")
-            .drop("_cells"))
+            .drop("_rmin", "_a1", "_r1", "_cmin", "_b1", "_c1", "_cells", "_e", "_x", "_o", "_small"))
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:

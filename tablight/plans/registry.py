@@ -1373,7 +1373,7 @@ def c04(spark, d):
 
 @register("c06_cluster_sizes", """
 WITH s AS (SELECT label, COUNT(*) size FROM embeddings GROUP BY 1)
-SELECT label, size, ROUND(size * 100.0 / SUM(size) OVER (), 2) AS size_pct,
+SELECT label, size, ROUND(size * 100.0 / SUM(size) OVER (), 1) AS size_pct,
        (MIN(size) OVER () / MAX(size) OVER ()) < 0.15 AS imbalanced FROM s""")
 def c06(spark, d):
     return C.cluster_sizes(tbl(spark, d, "embeddings"), "label")

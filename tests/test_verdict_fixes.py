@@ -4,10 +4,12 @@ import math
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tablight.functions import tails
+from tablight.operators import cluster as C
 from tablight.operators import joins as J
 from tablight.operators import kpi as KP
 from tablight.operators import profile as P
@@ -15,6 +17,7 @@ from tablight.operators import series as FS
 from tablight.operators import stats as S
 from tablight.sources import coerce as SC
 from tablight.sources import files as SF_
+from tests.conftest import SF
 
 
 def test_csv_late_latin1_byte(spark, tmp_path):
@@ -97,3 +100,54 @@ def test_profile_of_large_integers_and_nan(spark):
     assert got["big"]["nunique"] == got["dec"]["nunique"] == 1000
     assert got["x"]["nunique"] == 5 and got["x"]["missing_ratio"] == pytest.approx(0.25)
     assert math.isfinite(got["x"]["mean"]) and got["x"]["max"] == 4.0
+
+
+def test_contingency_with_many_levels_and_empty_cells(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"a": rng.integers(0, 40, 600) // rng.integers(1, 9, 600), "b": rng.integers(0, 25, 600)})
+    got = S.chi_square(spark.createDataFrame(pdf), "a", "b").first()
+    o = pd.crosstab(pdf["a"], pdf["b"]).to_numpy().astype(float)
+    e = o.sum(1, keepdims=True) * o.sum(0, keepdims=True) / o.sum()
+    assert math.isclose(got["chi2"], ((o - e) ** 2 / e).sum(), rel_tol=1e-9)
+    assert math.isclose(got["expected_min"], e.min(), rel_tol=1e-12)
+    assert math.isclose(got["sparse_cell_ratio"], (e < 5).mean(), rel_tol=1e-12)
+    assert (got["r"], got["c"], got["sample_size"]) == (*o.shape, 600)
+
+
+def test_contingency_does_not_pair_all_levels(spark):
+    # 3000 x 3000 levels, 3000 cells
+    df = spark.range(3000).select(F.col("id").cast("string").alias("a"), F.col("id").cast("string").alias("b"))
+    got = S.chi_square(df, "a", "b").first()
+    assert math.isclose(got["chi2"], 3000 * 2999, rel_tol=1e-9) and got["sparse_cell_ratio"] == 1.0
+
+
+def test_contingency_with_one_level_is_no_test(spark):
+    df = spark.createDataFrame([("x", "p"), ("x", "q")], "a string, b string")
+    assert S.chi_square(df, "a", "b").count() == 0
+
+
+def test_spearman_with_a_value_in_most_rows(spark):
+    rng = np.random.default_rng(5)
+    a = np.where(rng.random(2000) < 0.9, 0.0, rng.normal(size=2000))
+    b = a + np.where(rng.random(2000) < 0.5, 0.0, rng.normal(size=2000))
+    pdf = pd.DataFrame({"a": a, "b": b, "c": rng.normal(size=2000)})
+    got = {(r["col_a"], r["col_b"]): r["r"] for r in S.spearman_matrix(spark.createDataFrame(pdf), ["a", "b", "c"]).collect()}
+    want = pdf.corr("spearman")
+    assert len(got) == 3 and all(math.isclose(v, want.loc[x, y], abs_tol=1e-9) for (x, y), v in got.items())
+
+
+def test_kmeans_on_repeated_points_is_as_good_as_mllib(spark):
+    # with the default ten restarts; with three, either engine may be about 1 % behind
+    df = C.standardise(spark.read.parquet(f"{SF}/lineitem.parquet"), ["l_quantity", "l_discount"])
+    ours = {r["k"]: r["inertia"] for r in C.kmeans_sweep(df, ["l_quantity", "l_discount"])[0].collect()}
+    theirs = {r["k"]: r["inertia"] for r in
+              C.kmeans_sweep(df, ["l_quantity", "l_discount"], engine="mllib")[0].collect()}
+    assert set(ours) == set(theirs) == {2, 3, 4, 5}
+    assert all(ours[k] <= 1.001 * theirs[k] for k in ours)
+
+
+def test_kmeans_seed_weights_estimate_the_rows(spark):
+    pts = spark.range(5000).select(F.col("id").cast("double").alias("x0"), F.when(F.col("id") < 10, 1000).otherwise(1).alias("w"))
+    x, w = C._seed_sample(pts, 1, 500, 42)
+    assert len(x) == 500 and set(range(10)) <= set(x[:, 0].astype(int))
+    assert abs(w.sum() - 14990) < 0.1 * 14990
