@@ -20,29 +20,36 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def date_column(df: DataFrame) -> str | None:
-    """first native date/time column; else the first text column whose
-    non-blank values parse as dates often enough (4 of 25; of fewer than 8
-    values half, and 2 at least) with >= 2 distinct dates.  One aggregate over all text columns."""
-    for f in df.schema.fields:
-        if is_temporal_type(f.dataType):
-            return f.name
-    text = [f.name for f in df.schema.fields
-            if not is_numeric_type(f.dataType) and isinstance(f.dataType, T.StringType)]
+def date_evidence(df: DataFrame) -> DataFrame:
+    """F1 as rows: position, column, non_blank, parsed (values that parse as
+    dates), days (distinct ones, approximate) and is_date of every text column.
+    A date column needs 4 parsed values of 25 (of fewer than 8 values half, and
+    2 at least) and 2 distinct dates.  One aggregate over all text columns."""
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not text:
-        return None
+        return df.sparkSession.createDataFrame(
+            [], "position int, column string, non_blank long, parsed long, days long, is_date boolean")
     aggs = []
     for i, c in enumerate(text):
-        s = F.trim(_q(c))
         p = parse_timestamp(_q(c))
-        aggs += [F.count(F.when(s != "", 1)).alias(f"n{i}"), F.count(p).alias(f"p{i}"),
+        aggs += [F.count(F.when(F.trim(_q(c)) != "", 1)).alias(f"n{i}"), F.count(p).alias(f"p{i}"),
                  F.approx_count_distinct(p).alias(f"d{i}")]
-    row = df.agg(*aggs).collect()[0]
-    for i, c in enumerate(text):
-        n = row[f"n{i}"]
-        if n and row[f"p{i}"] >= max(2, min(4, n // 2), 4 * n / 25) and row[f"d{i}"] >= 2:
-            return c
-    return None
+    rows = df.agg(*aggs).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"n{i}").alias("non_blank"),
+                 F.col(f"p{i}").alias("parsed"), F.col(f"d{i}").alias("days")) for i, c in enumerate(text)])))
+    n = F.col("non_blank")
+    enough = F.greatest(F.lit(2.0), F.least(F.lit(4.0), F.floor(n / 2).cast("double")), n * 4 / 25)
+    return rows.withColumn("is_date", (F.col("parsed") >= enough) & (F.col("days") >= 2))
+
+
+def date_column(df: DataFrame) -> str | None:
+    """first native date/time column; else the first text column that
+    ``date_evidence`` takes for dates."""
+    for f in df.schema.fields:
+        if is_temporal_type(f.dataType):
+            return f.name
+    found = date_evidence(df).where("is_date").orderBy("position").first()
+    return found["column"] if found else None
 
 
 def frequency(df: DataFrame, date: str, by: list[str] | None = None) -> DataFrame:

@@ -453,7 +453,7 @@ def grade(df: DataFrame, kind: str) -> DataFrame:
         tech = F.format_string("Spearman r=%.2f, p=%.4f", F.col("r"), p)
         score = (1 - p) * F.abs(F.col("r"))
     else:
-        tech = F.format_string("%s, p=%.4f, %d grup", F.col("test"), p, F.col("group_count").cast("int"))
+        tech = F.format_string("%s, p=%.4f, %d groups", F.col("test"), p, F.col("group_count").cast("int"))
         score = 1 - p
     tech = F.concat(tech, F.format_string(", q=%.4f, effect=%.2f (%s)", F.coalesce(q, F.lit(1.0)), e,
                                           effect_label(e)))
@@ -480,8 +480,14 @@ def grouped_findings(tests: DataFrame) -> DataFrame:
             .withColumn("quality", insight_quality(F.col("effect_size"), F.col("q_value"),
                                                    F.col("sample_size"), F.col("missing_ratio")))
             .withColumn("score", F.lit(1.5))
-            .withColumn("technical", F.format_string("Kombine analiz, %d bağımlı değişken",
-                                                     F.size("affected_cols"))))
+            .withColumn("technical", F.format_string("Combined finding, %d metrics", F.size("affected_cols"))))
+
+
+def best_per_category(tests: DataFrame, k: int = 2) -> DataFrame:
+    """The ``k`` group tests of each category with the smallest q (no q counts
+    as 1; ties by metric).  One row per test goes through the window."""
+    w = Window.partitionBy("categorical_col").orderBy(F.coalesce("q_value", F.lit(1.0)), "numeric_col")
+    return tests.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= k).drop("_place")
 
 
 def priority_score(score: Column, technical: Column, quality: Column) -> Column:
@@ -496,8 +502,9 @@ def priority_score(score: Column, technical: Column, quality: Column) -> Column:
 
 def rank_insights(corr: DataFrame | None, groups: DataFrame | None, chi: DataFrame | None,
                   k: int = 12) -> DataFrame:
-    """Strong correlations (|r| >= .5, else the top 3), group findings
-    (T17 merged), the first 5 dependency tests; ranked by priority, top 12."""
+    """Strong correlations (|r| >= .5, else the top 3), the best two group
+    tests of each category (T17 merged), the first 5 dependency tests; ranked by
+    priority, top 12."""
     parts = []
     cols = ["kind", "id", "summary_cols", "effect_size", "q_value", "quality", "technical", "score"]
     if corr is not None:
@@ -510,6 +517,7 @@ def rank_insights(corr: DataFrame | None, groups: DataFrame | None, chi: DataFra
                               F.array("col_a", "col_b").alias("summary_cols"),
                               "effect_size", "q_value", "quality", "technical", "score"))
     if groups is not None:
+        groups = best_per_category(groups)
         gf = grouped_findings(groups)
         merged = groups.join(gf.select("categorical_col"), "categorical_col", "left_anti")
         parts.append(gf.select(F.lit("grouped_finding").alias("kind"),

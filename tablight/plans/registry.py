@@ -161,21 +161,6 @@ def a08b(spark, d):
     return rnd(A.run_plan(o, "line", "o_orderdate", "o_totalprice", agg="mean"), 4)
 
 
-@register("a09_part_to_whole", """
-WITH dims AS (
-  SELECT 'c_name' AS dimension, 0 AS dpos, COUNT(DISTINCT c_name) AS categories FROM customer
-  UNION ALL SELECT 'c_mktsegment', 1, COUNT(DISTINCT c_mktsegment) FROM customer),
-mets AS (SELECT * FROM (VALUES ('c_custkey', 'sum', 0), ('c_nationkey', 'sum', 1), ('c_acctbal', 'sum', 2))
-         t(metric, aggregation, mpos))
-SELECT dimension, metric, aggregation, categories,
-       CASE WHEN categories < 2 THEN 'too_few_categories' WHEN categories > 8 THEN 'too_many_categories'
-            WHEN aggregation <> 'sum' THEN 'average_not_part_to_whole' END AS reason,
-       (categories BETWEEN 2 AND 8 AND aggregation = 'sum') AS eligible
-FROM dims, mets""")
-def a09(spark, d):
-    return A.part_to_whole_pairs(tbl(spark, d, "customer"))
-
-
 @register("a10_scatter", """
 SELECT o_orderkey AS __row, o_totalprice, o_custkey, o_orderpriority AS __label FROM orders
 WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL ORDER BY o_orderkey LIMIT 300""")
@@ -579,6 +564,46 @@ def p09(spark, d):
     return _profile_out(P.profile(tbl(spark, d, "customer")))
 
 
+def _part_to_whole_sql(t: str, cols: list[tuple[str, str]]) -> str:
+    """Identifier and cardinality of every column from SQL; which columns are
+    text or numbers from the catalogue."""
+    from tablight.functions import keywords as KW
+    mean = " OR ".join(f"contains(lower(m.\"column\"), '{w}')" for w in KW.MEAN_AGGREGATED)
+    return f"""WITH p AS ({_profile_sql(t, cols)}),
+k AS (SELECT p.*, i.data_type = 'VARCHAR' AS is_text,
+             i.data_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT') OR i.data_type LIKE 'DECIMAL%' AS is_num
+      FROM p JOIN information_schema.columns i ON i.table_name = '{t}' AND i.column_name = p."column"),
+x AS (SELECT d."column" AS dimension, m."column" AS metric, d.nunique AS categories,
+             CASE WHEN {mean} THEN 'mean' ELSE 'sum' END AS aggregation, d.is_identifier AS did, m.is_identifier AS mid
+      FROM k d, k m WHERE d.is_text AND m.is_num),
+r AS (SELECT *, concat_ws(',', CASE WHEN did THEN 'identifier_dimension' END,
+               CASE WHEN categories < 2 THEN 'too_few_categories' END,
+               CASE WHEN categories > 8 THEN 'too_many_categories' END,
+               CASE WHEN mid THEN 'identifier_metric' END,
+               CASE WHEN aggregation <> 'sum' THEN 'average_not_part_to_whole' END) AS why FROM x)
+SELECT dimension, metric, aggregation, categories, NULLIF(why, '') AS reason, why = '' AS eligible FROM r"""
+
+
+@register("a09_part_to_whole", _part_to_whole_sql("customer", _CUSTOMER))
+def a09(spark, d):
+    return A.part_to_whole_pairs(tbl(spark, d, "customer"))
+
+
+@register("p06_dominant_flag", """
+WITH f AS (SELECT o_orderstatus AS status, CASE WHEN o_orderkey % 10 = 3 THEN o_orderpriority ELSE 'usual' END AS note,
+                  o_orderkey AS number FROM orders),
+c AS (SELECT 'status' AS "column", status AS v, COUNT(*) AS n FROM f WHERE status IS NOT NULL GROUP BY 2
+      UNION ALL SELECT 'note', note, COUNT(*) FROM f WHERE note IS NOT NULL GROUP BY 2)
+SELECT "column", MAX(n) AS top_count, ROUND(MAX(n) / SUM(n), 6) AS top_share, MAX(n) / SUM(n) > 0.8 AS dominant_flag
+FROM c GROUP BY 1 UNION ALL SELECT 'number', 1, ROUND(1.0 / COUNT(*), 6), FALSE FROM f""")
+def p06(spark, d):
+    o = tbl(spark, d, "orders").select(
+        F.col("o_orderstatus").alias("status"),
+        F.when(F.col("o_orderkey") % 10 == 3, F.col("o_orderpriority")).otherwise("usual").alias("note"),
+        F.col("o_orderkey").alias("number"))
+    return rnd(P.profile(o).select("column", "top_count", "top_share", "dominant_flag"), 6)
+
+
 @register("p07_missing_unique", """
 SELECT 'o_orderkey' AS "column", ROUND(AVG(CASE WHEN o_orderkey % 7 = 0 THEN 1.0 ELSE 0.0 END), 4) AS missing_ratio,
        COUNT(DISTINCT CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey END) AS unique_count FROM orders
@@ -900,6 +925,40 @@ def t09(spark, d):
                         "p_value", "q_value", "effect_size", "significant", "effect_label", "quality"), 6)
 
 
+_BANDS = ("(SELECT CAST(floor((l_quantity - 1) / 17) AS BIGINT)::VARCHAR AS band, l_quantity, "
+          "l_quantity * (1 - l_discount) AS net, l_discount FROM lineitem) z")
+
+
+def _grouped_sql() -> str:
+    parts = [_kw_one_sql(_BANDS, "band", m, 2) for m in ("l_quantity", "net", "l_discount")]
+    return "WITH t AS (" + " UNION ALL ".join(f"SELECT * FROM ({x})" for x in parts) + """),
+o AS (SELECT *, row_number() OVER (ORDER BY p_value) rk, COUNT(*) OVER () m FROM t),
+q AS (SELECT *, LEAST(1.0, MIN(p_value * m / rk) OVER (ORDER BY p_value ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+             AS q_value FROM o),
+b AS (SELECT *, row_number() OVER (PARTITION BY categorical_col ORDER BY q_value, numeric_col) AS place FROM q),
+g AS (SELECT categorical_col, string_agg(numeric_col, ',' ORDER BY numeric_col) FILTER (q_value < 0.05) AS affected_cols,
+             MAX(abs(effect_size)) AS e, MIN(q_value) AS qv, MAX(sample_size) AS sample_size
+      FROM b WHERE place <= 2 GROUP BY 1 HAVING COUNT(*) FILTER (q_value < 0.05) >= 2)
+SELECT categorical_col, affected_cols, ROUND(e, 6) AS effect_size, ROUND(qv, 6) AS q_value, sample_size,
+       CASE WHEN e >= 0.5 THEN 'large' WHEN e >= 0.3 THEN 'medium' WHEN e >= 0.1 THEN 'small' ELSE 'negligible' END
+         AS effect_label,
+       CASE WHEN sample_size >= 30 AND qv < 0.01 AND e >= 0.5 THEN 'high'
+            WHEN sample_size >= 20 AND qv < 0.05 AND e >= 0.3 THEN 'medium'
+            WHEN qv < 0.1 AND e >= 0.1 THEN 'low' ELSE 'exploratory' END AS quality, CAST(1.5 AS DOUBLE) AS score
+FROM g"""
+
+
+@register("t17_grouped_findings", _grouped_sql())
+def t17(spark, d):
+    li = tbl(spark, d, "lineitem").select(
+        F.floor((F.col("l_quantity") - 1) / 17).cast("string").alias("band"), "l_quantity",
+        (F.col("l_quantity") * (1 - F.col("l_discount"))).alias("net"), "l_discount")
+    tests = S.group_tests(li, ["band"], ["l_quantity", "net", "l_discount"], posthoc=False)
+    t = S.grouped_findings(S.best_per_category(tests))
+    return rnd(t.select("categorical_col", F.concat_ws(",", "affected_cols").alias("affected_cols"), "effect_size",
+                        "q_value", "sample_size", "effect_label", "quality", "score"), 6)
+
+
 @register("t18_rank_insights", None)
 def t18(spark, d):
     o = tbl(spark, d, "lineitem")
@@ -1012,10 +1071,23 @@ def f08(spark, d):
     return FS.direction(fc, ["metric"], "step", "forecast").select("metric", "direction")
 
 
-@register("f01_date_column", """SELECT 'ts' AS date_column FROM events LIMIT 1""")
+@register("f01_date_column", """
+WITH f AS (SELECT o_orderpriority AS priority, strftime(o_orderdate, '%Y-%m-%d') AS day,
+                  CASE WHEN o_orderkey % 10 = 3 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'order ' || o_orderkey END AS note
+           FROM orders),
+l AS (SELECT 0 AS position, 'priority' AS "column", priority AS v FROM f UNION ALL SELECT 1, 'note', note FROM f
+      UNION ALL SELECT 2, 'day', day FROM f),
+s AS (SELECT position, "column", COUNT(*) FILTER (trim(v) <> '') AS non_blank, COUNT(TRY_CAST(v AS DATE)) AS parsed,
+             COUNT(DISTINCT TRY_CAST(v AS DATE)) AS days FROM l GROUP BY 1, 2)
+SELECT position, "column", non_blank, parsed,
+       parsed >= greatest(2, least(4, non_blank // 2), 4 * non_blank / 25.0) AND days >= 2 AS is_date FROM s""")
 def f01(spark, d):
-    ev = tbl(spark, d, "events")
-    return ev.limit(1).select(F.lit(FS.date_column(ev)).alias("date_column"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    o = tbl(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("priority"),
+        F.when(F.col("o_orderkey") % 10 == 3, day).otherwise(F.concat(F.lit("order "), F.col("o_orderkey"))).alias("note"),
+        day.alias("day"))
+    return FS.date_evidence(o).select("position", "column", "non_blank", "parsed", "is_date")
 
 
 # ==========================================================================
@@ -1259,6 +1331,7 @@ SELECT "column", 'supporting_metric' AS role,
   CASE WHEN NOT is_numeric OR idl THEN 'sum' WHEN rep THEN inf ELSE 'sum' END AS aggregation,
   CASE WHEN NOT is_numeric OR idl THEN 'neutral' ELSE dir END AS direction,
   (is_numeric AND NOT idl) AS include_as_kpi, (is_numeric AND NOT idl) AS include_in_clustering,
+  CASE WHEN is_numeric AND NOT idl THEN 'backend_repaired' END AS aggregation_source,
   CASE WHEN NOT is_numeric OR idl THEN 'rejected' ELSE 'repaired' END AS validation_status,
   CASE WHEN NOT is_numeric THEN 'non_numeric_metric' WHEN idl THEN 'id_like_metric'
        ELSE concat_ws('; ', 'role_normalized', 'semantic_type_normalized', 'aggregation_normalized',
@@ -1276,20 +1349,25 @@ def v03(spark, d):
 
 
 def _analyses_from_profile(prof: DataFrame) -> DataFrame:
-    """One analysis definition per kind, built from the profiled columns:
-    a bar of each numeric column by each text column, and a clustering of all
-    numeric columns."""
+    """Analysis definitions built from the profiled columns: a mean bar of each
+    numeric column by each other column, a count bar of each other column, a
+    scatter of each numeric column against every column, and a clustering of
+    all numeric columns."""
     spark = prof.sparkSession
     cols = prof.select("column", "is_numeric").collect()  # one row per column
     nums = [r["column"] for r in cols if r["is_numeric"]]
     dims = [r["column"] for r in cols if not r["is_numeric"]]
-    bars = spark.createDataFrame([(f"bar-{m}-{d}", "bar", m, d, []) for m in nums for d in dims],
-                                 "id string, analysis_type string, metric string, dimension string, "
-                                 "features array<string>")
+    charts = spark.createDataFrame(
+        [(f"bar-{m}-{d}", "bar", "average", m, None, d, []) for m in nums for d in dims]
+        + [(f"count-{d}", "bar", "count", None, None, d, []) for d in dims]
+        + [(f"scatter-{m}-{c['column']}", "scatter", None, m, c["column"], None, []) for m in nums for c in cols],
+        "id string, analysis_type string, aggregation string, metric string, second_metric string, "
+        "dimension string, features array<string>")
+    none = F.lit(None).cast("string")
     clus = prof.agg(F.collect_list(F.when(F.col("is_numeric"), F.col("column"))).alias("features")).select(
-        F.lit("cluster-all").alias("id"), F.lit("cluster").alias("analysis_type"),
-        F.lit(None).cast("string").alias("metric"), F.lit(None).cast("string").alias("dimension"), "features")
-    return bars.unionByName(clus)
+        F.lit("cluster-all").alias("id"), F.lit("cluster").alias("analysis_type"), none.alias("aggregation"),
+        none.alias("metric"), none.alias("second_metric"), none.alias("dimension"), "features")
+    return charts.unionByName(clus)
 
 
 _ORDERS = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
@@ -1306,18 +1384,23 @@ c AS (SELECT ty.col, ty.pos, ty.is_num,
              CASE WHEN regexp_matches(replace(replace(lower(ty.col), '_', ''), ' ', ''), '({safe})') THEN FALSE
                   ELSE pr.is_identifier END AS idl
       FROM ty JOIN pr ON pr."column" = ty.col),
-bars AS (SELECT 'bar-' || m.col || '-' || d.col AS id, 'bar' AS analysis_type, m.col AS metric, d.col AS dimension,
-                '' AS features, '' AS issues, 'accepted' AS validation_status
-         FROM c m JOIN c d ON m.is_num AND NOT d.is_num),
+bars AS (SELECT 'bar-' || m.col || '-' || d.col AS id, 'bar' AS analysis_type, 'mean' AS aggregation, m.col AS metric,
+                NULL AS second_metric, d.col AS dimension, '' AS features, 'aggregation_normalized' AS issues,
+                'repaired' AS validation_status
+         FROM c m JOIN c d ON m.is_num AND NOT d.is_num
+         UNION ALL SELECT 'count-' || col, 'bar', 'count', NULL, NULL, col, '', '', 'accepted' FROM c WHERE NOT is_num
+         UNION ALL SELECT 'scatter-' || m.col || '-' || s.col, 'scatter', NULL, m.col, s.col, NULL, '',
+                CASE WHEN s.is_num THEN '' ELSE 'second_metric_not_numeric' END,
+                CASE WHEN s.is_num THEN 'accepted' ELSE 'rejected' END FROM c m JOIN c s ON m.is_num),
 cl AS (SELECT string_agg(col, ',' ORDER BY pos) FILTER (WHERE is_num AND NOT idl) AS kept,
               COUNT(*) FILTER (WHERE is_num AND NOT idl) AS nk,
               COUNT(*) FILTER (WHERE is_num) - COUNT(*) FILTER (WHERE is_num AND NOT idl) AS dropped FROM c)
 SELECT * FROM bars
 UNION ALL
-SELECT 'cluster-all', 'clustering', NULL, NULL, COALESCE(kept, ''),
-       concat_ws(',', CASE WHEN dropped > 0 THEN 'features_filtered' END,
+SELECT 'cluster-all', 'clustering', NULL, NULL, NULL, NULL, COALESCE(kept, ''),
+       concat_ws(',', 'type_normalized', CASE WHEN dropped > 0 THEN 'features_filtered' END,
                       CASE WHEN nk < 2 THEN 'clustering_needs_two_features' END),
-       CASE WHEN nk < 2 THEN 'rejected' WHEN dropped > 0 THEN 'repaired' ELSE 'accepted' END FROM cl"""
+       CASE WHEN nk < 2 THEN 'rejected' ELSE 'repaired' END FROM cl"""
 
 
 @register("v04_audit_analyses", _analysis_audit_sql())

@@ -151,3 +151,58 @@ def test_kmeans_seed_weights_estimate_the_rows(spark):
     x, w = C._seed_sample(pts, 1, 500, 42)
     assert len(x) == 500 and set(range(10)) <= set(x[:, 0].astype(int))
     assert abs(w.sum() - 14990) < 0.1 * 14990
+
+
+def test_chart_rules_look_at_identifiers_and_flags(spark):
+    from tablight.operators import aggregates as A
+    rows = [(i, f"name {i}", "ab"[i % 2], i % 2, float(i), 0.5 * i) for i in range(60)]
+    df = spark.createDataFrame(rows, "order_key long, title string, region string, flag int, sales double, rate double")
+    got = {(r["dimension"], r["metric"]): r["reason"] for r in A.part_to_whole_pairs(df).collect()}
+    assert got[("region", "sales")] is None
+    assert got[("region", "order_key")] == "identifier_metric"
+    assert got[("region", "rate")] == "average_not_part_to_whole"
+    assert "identifier_dimension" in got[("title", "sales")]
+    typed = A.part_to_whole_pairs(df, {"sales": "score"}).where("metric = 'sales' and dimension = 'region'").first()
+    assert typed["reason"] == "average_not_part_to_whole"
+    assert A.pie(df, "sales", "region", "sum").count() == 2
+    assert A.pie(df, "order_key", "region", "sum").count() == 0
+    assert A.count_pie(df, "title").count() == 0
+    assert A.scatter(df, "sales", "rate", "order_key").count() == 60
+    assert A.scatter(df, "sales", "flag", "order_key").count() == 0
+    assert A.scatter(df, "sales", "region", "order_key").count() == 0
+
+
+def test_best_two_tests_of_each_category(spark):
+    from tablight.operators import stats as S
+    tests = spark.createDataFrame(
+        [("c", "m1", 0.2), ("c", "m3", 0.01), ("c", "m2", 0.01), ("d", "m1", None), ("d", "m2", 0.5), ("d", "m0", None)],
+        "categorical_col string, numeric_col string, q_value double")
+    got = sorted((r[0], r[1]) for r in S.best_per_category(tests).select("categorical_col", "numeric_col").collect())
+    assert got == [("c", "m2"), ("c", "m3"), ("d", "m0"), ("d", "m2")]
+
+
+def test_audits_take_counts_second_metrics_and_probabilities(spark):
+    from tablight.operators import profile as P
+    from tablight.operators import roles as V
+    df = spark.createDataFrame([("a", 3.0, 4.0), ("b", 5.0, 6.0)], "region string, revenue double, cost double")
+    prof = P.profile(df)
+    defs = spark.createDataFrame(
+        [("count", "bar", "count", None, None, "region"), ("sum", "bar", "total", None, None, "region"),
+         ("pair", "scatter", None, "revenue", "cost", None), ("half", "scatter", None, "revenue", None, None),
+         ("odd", "scatter", None, "revenue", "region", None)],
+        "id string, analysis_type string, aggregation string, metric string, second_metric string, dimension string"
+    ).selectExpr("*", "cast(array() as array<string>) as features")
+    out = {r["id"]: r for r in V.audit_analyses(defs, prof).collect()}
+    assert out["count"]["validation_status"] == "accepted" and out["pair"]["validation_status"] == "accepted"
+    assert out["sum"]["issues"] == ["aggregation_normalized", "metric_required"] and out["sum"]["aggregation"] == "sum"
+    assert "second_metric_required" in out["half"]["issues"] and "second_metric_not_numeric" in out["odd"]["issues"]
+    metrics = spark.createDataFrame(
+        [("revenue", "0.8", "sum"), ("cost", "0.1", None), ("region", "0.5", "sum")],
+        "column string, confidence string, aggregation string").selectExpr(
+        "*", "'supporting_metric' role", "'money' semantic_type", "'neutral' direction", "true include_as_kpi",
+        "true include_in_clustering")
+    got = {r["column"]: r for r in V.audit_metrics(metrics, prof).collect()}
+    assert got["revenue"]["repair_reason"].startswith("confidence_normalized")
+    assert got["revenue"]["aggregation_source"] == "ai_validated"
+    assert got["cost"]["aggregation_source"] == "backend_inferred"
+    assert got["region"]["aggregation_source"] is None
