@@ -32,7 +32,8 @@ MASKS = ("11101100", "11010101", "10011011", "00110111")
 WINDOW = 13
 SHARE = 0.75
 PIECE = 64
-#: Seeds (rows of 24 bytes) up to which the benchmark side is broadcast.
+#: Seeds up to which the benchmark side is broadcast.  A row holds its seed and up
+#: to 18 word hashes, about 200 bytes, so 200 MB at the bound.
 BROADCAST_SEEDS = 1_000_000
 
 
