@@ -300,17 +300,20 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     answer2 = scratch.save(settle(asked, settle_reaches, answer), "answer2")
     scratch.drop("ask2")
 
-    def covered(s: Slice, who: np.ndarray, known: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """Bytes in reaches that occur under a smaller id."""
+    def covered(s: Slice, who: np.ndarray, known: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes in reaches that occur under a smaller id, and how far one such
+        reach that starts at or before each position goes."""
         if not len(known):
-            return np.zeros(len(s.doc), bool)
+            return np.zeros(len(s.doc), bool), np.zeros(len(s.doc), np.int64)
         lo, hi, r = s.reaches()
         at = np.minimum(np.searchsorted(known, r), len(known) - 1)
         hit = (known[at] == r) & (low[at] < who[s.doc[s.anchors]])
         edge = np.zeros(len(s.doc) + 1, np.int64)
         np.add.at(edge, lo[hit], 1)
         np.add.at(edge, hi[hit], -1)
-        return np.cumsum(edge)[:-1] > 0
+        far = np.zeros(len(s.doc), np.int64)
+        np.maximum.at(far, lo[hit], hi[hit])
+        return np.cumsum(edge)[:-1] > 0, np.maximum.accumulate(far)
 
     def reach_answers(ans: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         two, three = ans[ans["kind"] == 2], ans[ans["kind"] == 3]
@@ -318,15 +321,16 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         order = np.argsort(r)
         return r[order], low[order], np.sort(_cat(three["a"], U))
 
-    def open_windows(s: Slice, mixed: np.ndarray, cover: np.ndarray) -> np.ndarray:
-        """Windows whose anchor's bucket is not settled and that are not covered."""
+    def open_windows(s: Slice, mixed: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """Windows whose anchor's bucket is not settled and that no one known
+        reach holds whole.  Windows that only several reaches cover together
+        may occur here first, so they are asked about too."""
         if not len(mixed):
             return np.empty(0, np.int64)
         at = np.flatnonzero(s.windows)
         spot = np.minimum(np.searchsorted(mixed, s.least[at]), len(mixed) - 1)
         at = at[mixed[spot] == s.least[at]]
-        run = np.r_[0, np.cumsum(cover)]
-        return at[run[at + LENGTH] - run[at] < LENGTH]
+        return at[far[at] < at + LENGTH]
 
     # step 3: windows of unsettled buckets
     def ask_windows(key, row: pd.DataFrame, ans: pd.DataFrame) -> pd.DataFrame:
@@ -339,7 +343,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         known, low, mixed = reach_answers(ans)
         keys, who = [], []
         for pick, s in _slices(ids, lens, data, skip) if len(mixed) else ():
-            at = open_windows(s, mixed, covered(s, ids[pick], known, low))
+            at = open_windows(s, mixed, covered(s, ids[pick], known, low)[1])
             keys.append(s.window_ids(at)), who.append(ids[pick][s.doc[at]])
         if not keys:
             return pd.DataFrame([], columns=cols)
@@ -385,8 +389,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         # windows that repeat within the chunk need its own smallest ids
         pending = []
         for pick, s in _slices(ids, lens, data, skip):
-            cover = covered(s, ids[pick], known, low)
-            at = open_windows(s, mixed, cover)
+            cover, far = covered(s, ids[pick], known, low)
+            at = open_windows(s, mixed, far)
             pending.append((pick, s.lens, cover, at, s.window_ids(at), ids[pick][s.doc[at]]))
         own, own_low, _ = _least_by(np.concatenate([np.empty(0, U)] + [p[4] for p in pending]),
                                     np.concatenate([np.empty(0, np.int64)] + [p[5] for p in pending]))

@@ -232,6 +232,21 @@ def test_repeats(docs, plain, odd, none, monkeypatch):
     assert repeats.remove_repeats(none).count() == 0
 
 
+def test_repeats_first_seen_across_two_reaches(spark):
+    """Windows that two reaches of smaller documents cover together, but that
+    no smaller document holds, are the first of their kind."""
+    rng = np.random.default_rng(7)
+    text = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    rows = []
+    for k in range(0, 160, 4):
+        a, b, c, d, s, p, q = text(200), text(200), text(200), text(200), text(30), text(200), text(200)
+        rows += [(k + 1, a + s + c), (k + 2, d + s + b), (k + 3, a + s + b), (k + 4, p + a[-15:] + s + b[:15] + q)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert min(r.n_removed for r in got if r.doc_id % 4 == 0) >= 60
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got),
+                  key=str) == brute_repeats(rows)
+
+
 def test_secret_layers(spark, odd, none):
     raw = "password=hunter2abc"
     b64 = lambda b: base64.b64encode(b).decode()
