@@ -39,7 +39,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(docs)
-    changed = F.size("secret_spans") > 0
+    changed = (F.size("secret_spans") > 0) | (F.col("n_left_packed") > 0)
     found = found.withColumn("text", F.col("redacted"))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -55,7 +55,7 @@ def op8_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("secret_base", lambda x: x["kind"] == kind)).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in secrets.KINDS],
                         F.sha2(joined("secret_base").cast("binary"), 256).alias("base_sha256"),
-                        joined("secret_spans").alias("spans"))
+                        joined("secret_spans").alias("spans"), "n_left_packed")
 
 
 def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:

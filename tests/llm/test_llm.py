@@ -2,9 +2,11 @@
 defined results on nulls, empty and repeated rows, empty tables and clashing
 columns."""
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
+import lzma
 import math
 import urllib.parse
 import zlib
@@ -269,6 +271,33 @@ def test_secret_layers(spark, odd, none):
     assert secrets.scan_secrets(odd).count() == len(ODD) and secrets.scan_secrets(none).count() == 0
 
 
+def one_secret(shown):
+    """Whether the secret is found, inside the token only and with nothing left unread."""
+    text = "see " + shown + " end"
+    base, spans, left = secrets.findings(text)
+    return not base and bool(spans) and left == 0 and all(4 <= a < b <= len(text) - 4 for a, _, b in spans)
+
+
+def test_secrets_in_streams(spark, monkeypatch):
+    raw, b64 = b"password=hunter2abc", lambda b: base64.b64encode(b).decode()
+    noise = bytes(np.random.default_rng(1).integers(33, 127, 600, np.uint8))
+    long = noise + b"\n" + raw + b"\n" + noise[::-1]
+    for tool in (gzip, bz2, lzma):
+        for other in (gzip, bz2, lzma):
+            assert one_secret(b64(tool.compress(other.compress(raw))))
+        assert one_secret(b64(tool.compress(b"nothing here") + tool.compress(raw)))
+        assert one_secret(b64(tool.compress(b"x password=hun") + tool.compress(b"ter2abc")))
+    for tool in (gzip, lzma):
+        assert one_secret(b64(tool.compress(long)[:-40]))
+    assert one_secret(b64(gzip.compress(long)[:-40] + b"\xff" * 40))
+    monkeypatch.setattr(secrets, "MAX_LAYER", 1 << 12)
+    bomb = "see " + b64(gzip.compress(raw + b" 0" * 10_000)) + " end"
+    base, spans, left = secrets.findings(bomb)
+    assert not base and spans and left == 1
+    assert secrets.findings("see " + b64(gzip.compress(b"0 " * 10_000 + raw)))[2] == 1
+    assert "n_left_packed" in queries.op8_secret_scan(spark, SF).columns
+
+
 def test_toxicity_pairs_and_bounds():
     """A pair of terms decides, which no additive weight can."""
     rng = np.random.default_rng(0)
