@@ -298,6 +298,24 @@ def test_secrets_in_streams(spark, monkeypatch):
     assert "n_left_packed" in queries.op8_secret_scan(spark, SF).columns
 
 
+def test_secrets_in_any_bytes():
+    raw, b64 = "password=hunter2abc", lambda b: base64.b64encode(b).decode()
+    for before in ("\u00a0", "\ufeff", "a\u200d", "a\0b ", "\x1b[0m"):
+        assert one_secret(b64((before + raw).encode())), ascii(before)
+    for code in ("utf-16-le", "utf-16-be", "utf-32-le"):
+        assert one_secret(b64(raw.encode(code))) and one_secret(b64(b"Z" + raw.encode(code)))
+    assert one_secret(b64(("caf\xe9 " + raw).encode("latin-1")))
+    assert one_secret(b64(bytes(range(128, 256)) + raw.encode() + bytes(range(256))))
+    assert one_secret("".join(f"%{b:02x}" for b in ("\xe9 " + raw).encode("latin-1")))
+    token, packed = b64(raw.encode()), b64(gzip.compress(raw.encode()))
+    for before in ("/api/", "a_b-", "/api/v1/x/", "data", "/"):
+        assert one_secret(before + token) and one_secret(before + packed + "/next"), before
+    noise = bytes(np.random.default_rng(1).integers(33, 127, 600, np.uint8))
+    long = b64(gzip.compress(noise + b"\n" + raw.encode()))
+    for width, end in ((76, "\n"), (64, "\r\n"), (20, "\n    ")):
+        assert one_secret(end.join(long[k:k + width] for k in range(0, len(long), width)))
+
+
 def test_toxicity_pairs_and_bounds():
     """A pair of terms decides, which no additive weight can."""
     rng = np.random.default_rng(0)
