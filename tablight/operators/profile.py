@@ -258,8 +258,8 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
 # P8 column cards
 # --------------------------------------------------------------------------
 
-def column_cards(df: DataFrame, max_cols: int = 25, prof: DataFrame | None = None) -> DataFrame:
-    """Compact per-column summary for the first ``max_cols`` columns.
+def column_cards(df: DataFrame, max_cols: int | None = None, prof: DataFrame | None = None) -> DataFrame:
+    """Compact per-column summary of all columns, or the first ``max_cols``.
 
     Numeric columns carry min/max/mean/median; others the top-3 values with
     counts (text cut to 80).  ``sample_values`` are the 3 smallest values (a

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablight.functions.ordering import row_index
 from tablight.operators.profile import is_numeric_type
 
 
@@ -25,6 +26,22 @@ def sort_rows(df: DataFrame, by: str, desc: bool = False, key: str | None = None
     return df.orderBy(*order)
 
 
+def sort_positions(df: DataFrame, by: str, key: str, desc: bool = False, as_text: bool = False) -> DataFrame:
+    """R1/R2 as a table: every row with its 0-based ``position`` in the order of
+    ``sort_rows``, found without a global window.  Descending order takes numbers."""
+    text = as_text or not isinstance(df.schema[by].dataType, T.NumericType)
+    if desc and text:
+        raise ValueError("descending positions need a numeric column")
+    c = _q(by).cast("string") if as_text else _q(by)
+    nan = F.isnan(_q(by)) if desc and isinstance(df.schema[by].dataType, (T.FloatType, T.DoubleType)) else F.lit(False)
+    filler = df.select(c.alias("c")).schema["c"].dataType
+    zero = F.lit(0).cast(filler) if not text else F.lit("").cast(filler) if as_text else c
+    keyed = df.withColumns({"_last": F.when(c.isNull(), 2).when(nan, 0).otherwise(1),
+                            "_by": F.when(nan, zero).otherwise(F.coalesce(-c if desc else c, zero))})
+    got = row_index(keyed, [], ["_last", "_by", key], out="position")
+    return got.drop("_last", "_by", "_n")
+
+
 def page(df: DataFrame, by: str, page_no: int = 1, size: int = 50, desc: bool = False,
          key: str | None = None, max_size: int = 500) -> DataFrame:
     """One page of the sorted table (page >= 1, 1 <= size <= 500).

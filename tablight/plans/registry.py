@@ -366,6 +366,24 @@ def r02(spark, d):
                      .select("o_orderkey", "o_totalprice"), "o_totalprice")
 
 
+@register("r01_sort_positions", """
+SELECT *, row_number() OVER (ORDER BY price DESC NULLS LAST, o_orderkey) - 1 AS position
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price FROM orders)""")
+def r01p(spark, d):
+    o = tbl(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, None)
+                                       .otherwise(F.col("o_totalprice")).alias("price"))
+    return R.sort_positions(o, "price", "o_orderkey", desc=True)
+
+
+@register("r02_text_positions", """
+SELECT o_orderkey, o_totalprice,
+       row_number() OVER (ORDER BY CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR), o_orderkey) - 1 AS position
+FROM orders""")
+def r02p(spark, d):
+    o = money(tbl(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice")
+    return as_double(R.sort_positions(o, "o_totalprice", "o_orderkey", as_text=True), "o_totalprice")
+
+
 @register("r03_page", """
 SELECT * FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50 OFFSET 100""")
 def r03(spark, d):
@@ -622,6 +640,23 @@ def p08(spark, d):
     return cards.where(F.col("column") == "o_orderpriority").select("column", F.inline("top_values"))
 
 
+def _cards_sql(table: str, numbers: list[str], others: list[str]) -> str:
+    num = [f"SELECT '{c}' AS \"column\", COUNT(DISTINCT {c}) AS unique_count, CAST(MIN({c}) AS DOUBLE) AS num_min, "
+           f"CAST(MAX({c}) AS DOUBLE) AS num_max, CAST(NULL AS VARCHAR) AS value, CAST(NULL AS BIGINT) AS \"count\" "
+           f"FROM {table}" for c in numbers]
+    top = [f"SELECT * FROM (SELECT '{c}', (SELECT COUNT(DISTINCT {c}) FROM {table}), NULL, NULL, "
+           f"CAST({c} AS VARCHAR) AS v, COUNT(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY {c} "
+           f"ORDER BY n DESC, v LIMIT 3)" for c in others]
+    return " UNION ALL ".join(num + top)
+
+
+@register("p08_cards_all_columns", _cards_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"],
+                                              ["o_orderstatus", "o_orderdate", "o_orderpriority"]))
+def p08a(spark, d):
+    return P.column_cards(tbl(spark, d, "orders")).select("column", "unique_count", "num_min", "num_max",
+                                                          F.inline_outer("top_values"))
+
+
 @register("p11_label_column", """
 WITH c AS (SELECT 'c_name' AS "column", 0 AS position, COUNT(DISTINCT c_name) AS unique_count FROM customer
            UNION ALL SELECT 'c_mktsegment', 4, COUNT(DISTINCT c_mktsegment) FROM customer),
@@ -1101,6 +1136,12 @@ def j01(spark, d):
     return J.auto_join([docs, tbl(spark, d, "labels")])
 
 
+@register("j01_whole_documents", """
+SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id IS NOT DISTINCT FROM l.doc_id""")
+def j01w(spark, d):
+    return J.auto_join([tbl(spark, d, "documents"), tbl(spark, d, "labels")])
+
+
 @register("j02_fuzzy_join", """
 SELECT o.*, c.c_name, c.c_nationkey, c.c_acctbal, c.c_mktsegment
 FROM orders o LEFT JOIN customer c ON o.o_custkey IS NOT DISTINCT FROM c.c_custkey""")
@@ -1150,6 +1191,14 @@ def s01(spark, d):
     return files.read_csv(spark, path)
 
 
+@register("s01_csv_all_columns", """SELECT * FROM orders""")
+def s01a(spark, d):
+    from tablight.sources import files
+    path = _scratch(spark, "csv")
+    tbl(spark, d, "orders").write.option("header", True).option("sep", ";").csv(path)
+    return files.read_csv(spark, path).withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+
+
 @register("s02_json_read", """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal,
 c_mktsegment FROM customer""")
 def s02(spark, d):
