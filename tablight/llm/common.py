@@ -115,3 +115,32 @@ def prefix_sums(df: DataFrame, key: list[str], bucket: str, order: list[Column],
     cond = [local[k].eqNullSafe(base[k]) for k in [*key, bucket]]
     joined = local.join(base, cond, "inner")
     return joined.select(*[local[c] for c in df.columns], (F.col("_in") + F.col("_base")).alias(out))
+
+
+def positions(df: DataFrame, group: str, order: list[str], scratch: Scratch, name: str, out: str = "pos",
+              total: str = "n") -> DataFrame:
+    """0-based position of every row in its ``group`` (null is a group), rows
+    in the order of ``order`` with nulls first, and the group's size.
+
+    Rows are dealt out by ranges of (group, order) and written once; a range
+    holds each group in one run, so a row's position is its place in that run
+    plus the rows of the group in earlier ranges, a sum over a table of one row
+    per range and group.  Equal rows are told apart by a running number, so a
+    group or a key of any size is spread over many ranges.
+    """
+    from pyspark.sql import Window
+
+    spark = df.sparkSession
+    keyed = scratch.save(df.withColumn("_tie", F.monotonically_increasing_id()), f"{name}-rows")
+    dealt = keyed.repartitionByRange(shuffle_width(spark), group, *order, "_tie").sortWithinPartitions(
+        group, *order, "_tie")
+    placed = scratch.save(dealt.select(*df.columns, F.monotonically_increasing_id().alias("_seq")), f"{name}-placed")
+    placed = placed.withColumn("_range", F.shiftright("_seq", 33))
+    runs = placed.groupBy(group, "_range").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = scratch.save(runs.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), "_first",
+                                    F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"),
+                                    F.sum("_n").over(Window.partitionBy(group)).alias("_total")), f"{name}-runs")
+    found = placed.join(runs, (placed["_range"] == runs["_r"]) & placed[group].eqNullSafe(runs["_g"]))
+    return found.select(*[placed[c] for c in df.columns], (F.col("_base") + F.col("_seq") - F.col("_first")).alias(out),
+                        F.col("_total").alias(total))
