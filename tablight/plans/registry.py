@@ -1673,9 +1673,11 @@ def c07(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from tablight.plans import extra  # noqa: F401  (registers its queries)
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from tablight.plans import extra  # noqa: F401
     return dict(ORACLE)
 
