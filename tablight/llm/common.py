@@ -6,12 +6,16 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablight.session import checkpoint_dir
 
+#: Bits of the bitmap of hashed ids, whatever the number of ids: 16 MB.
+ID_BITS = 1 << 27
+
 #: Words are maximal runs of anything but space, tab, LF, VT, FF and CR.
 #: ``bytes.split()`` cuts at exactly these six, and ``bytes.lower()`` lowers
 #: exactly A-Z.
@@ -144,3 +148,42 @@ def positions(df: DataFrame, group: str, order: list[str], scratch: Scratch, nam
     found = placed.join(runs, (placed["_range"] == runs["_r"]) & placed[group].eqNullSafe(runs["_g"]))
     return found.select(*[placed[c] for c in df.columns], (F.col("_base") + F.col("_seq") - F.col("_first")).alias(out),
                         F.col("_total").alias(total))
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """ID_BITS bits; those that hashed ids (column ``doc_id``) fall on are set.
+    At most 2^14 rows of 1 KB reach the driver."""
+    width = 8192
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(width, np.uint8)
+        bits[pdf["bit"].to_numpy()] = 1
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "bits": [np.packbits(bits).tobytes()]})
+
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
+    found = ids.select(F.floor(h / width).alias("part"), (h % width).alias("bit")).distinct()
+    out = np.zeros(ID_BITS // 8, np.uint8)
+    for r in found.groupBy("part").applyInPandas(pack, "part long, bits binary").toLocalIterator():
+        out[r["part"] * (width // 8):(r["part"] + 1) * (width // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def split_by_ids(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose doc_id is surely not among ``ids``, rows that may be).
+
+    A bitmap of fixed size goes to every task, so the first part never moves;
+    only the second needs a join with the ids.  With very many ids the bitmap
+    fills up and more rows take the join: slower, not wrong.  Null ids are in
+    the first part."""
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast(_bitmap(ids))
+
+    @F.pandas_udf("boolean")
+    def met(hashed: pd.Series) -> pd.Series:
+        h = hashed.to_numpy(np.int64)
+        return pd.Series((sent.value[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1)
+
+    maybe = met(F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS)), F.lit(0)))
+    flagged = F.col("doc_id").isNotNull() & maybe
+    return rows.where(~flagged), rows.where(flagged)
+

@@ -106,15 +106,18 @@ def _segments(i: Column) -> Column:
     return F.concat(F.filter(F.array(*own), lambda s: s.isNotNull()), F.col("above"))
 
 
-def _descend(storeys: list[DataFrame], above: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _descend(storeys: list[DataFrame], above: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
     """Blocks of the lowest storey with ``above``: the segments over them.
     ``above`` has grp, above and what else is known of the group, which goes
-    along."""
-    path, known = None, [c for c in above.columns if c not in ("grp", "above")]
+    along; without it nothing lies above the groups."""
+    path, known = None, [c for c in above.columns if c not in ("grp", "above")] if above else []
     for s in range(len(storeys) - 1, -1, -1):
         blocks = storeys[s]
         last = blocks.where(F.col("n") <= BLOCK)
-        found = last.join(above.withColumnRenamed("grp", "_g"), last["grp"].eqNullSafe(F.col("_g"))).drop("_g")
+        if above is None:
+            found = last.withColumn("above", F.array().cast(SEGMENTS))
+        else:
+            found = last.join(above.withColumnRenamed("grp", "_g"), last["grp"].eqNullSafe(F.col("_g"))).drop("_g")
         if path is not None:
             inner = blocks.where(F.col("n") > BLOCK)
             found = found.unionByName(inner.join(path, inner["grp"].eqNullSafe(F.col("_g"))
@@ -155,9 +158,8 @@ def manifest(documents: DataFrame, group: str = "lang", tampered: Column | None
     tops = positions(roots, "one", ["grp"], scratch, "roots").select(
         F.col("one").alias("grp"), "pos", "n", "h", F.struct(F.col("grp").alias("of")).alias("of"))
     top = _build(tops, ["of"], scratch, "top")
-    nothing = documents.sparkSession.range(1).select(F.lit(0).alias("grp"), F.array().cast(SEGMENTS).alias("above"))
     root = top[-1].where(F.col("n") <= BLOCK).select(_root().alias("root"))
-    crowned = _descend(top, nothing, scratch, "top")
+    crowned = _descend(top, None, scratch, "top")
     above = crowned.select(F.inline(F.transform("items", lambda x, i: F.struct(
         x["of"]["of"].alias("grp"), _cut(F.col("l0"), i, F.lit(1)).cast("string").alias("subroot"),
         _segments(i).cast(SEGMENTS).alias("above")))))

@@ -8,13 +8,13 @@ together.
 
 The model is fitted on a bounded sample of the labelled rows: at most
 ``max_rows_per_label`` rows of each label, those with the smallest hash of
-doc_id, and at most ``max_terms`` distinct terms of each.  Scoring covers
-every row and whole texts; the model has a fixed size and is sent to every
-task.
+doc_id, one row per doc_id and all terms of its text.  Scoring covers every row
+and whole texts; the model has a fixed size and is sent to every task.
 
 Defined cases: null or empty texts are scored from the bias alone; labels that
 are null or belong to a null doc_id are not used; a doc_id that is labelled
-more than once is toxic if one label says so; without labelled rows of either
+more than once is toxic if one label says so; of several rows with one doc_id
+the sample takes the one whose text has the smallest hash; without labelled rows of either
 kind the score is the share of toxic labels (0 without any); null doc_ids are
 scored and not held out; rows are independent, so repeated rows and extra
 columns do no harm; empty tables give no rows.
@@ -141,8 +141,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     return Model(bias, w, v, gain)
 
 
-def train(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows_per_label: int = 8000,
-          max_terms: int = 20_000) -> Model:
+def train(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows_per_label: int = 8000) -> Model:
     """Fit on a bounded sample of the rows outside the held-out fold."""
     lab = (labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & (crc32_mod("doc_id", FOLDS) != 0))
            .groupBy("doc_id").agg(F.max(F.col(label_col).cast("int")).alias("y")))
@@ -152,13 +151,15 @@ def train(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", max
         picked = part if picked is None else picked.unionAll(part)
     # two ids of 8 bytes and a label for at most 2 * max_rows_per_label rows
     sample = documents.select("doc_id", utf8("text").alias("data")).join(F.broadcast(picked), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.first("y").alias("y"),
+                                          F.min_by("data", F.struct(F.xxhash64("data"), "data")).alias("data"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [terms(d) for d in pdf["data"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"],
-                                "idx": [i[:max_terms].astype(np.int32).tobytes() for i, _ in got],
-                                "x": [x[:max_terms].astype(np.float32).tobytes() for _, x in got]})
+                                "idx": [i.astype(np.int32).tobytes() for i, _ in got],
+                                "x": [x.astype(np.float32).tobytes() for _, x in got]})
 
     got = sample.mapInPandas(features, "doc_id long, y int, idx binary, x binary").toPandas()
     got = got.sort_values(["doc_id", "y", "idx"], kind="stable")
