@@ -75,6 +75,48 @@ DOMAIN_KEYWORDS = {
                   "inventory", "cost"],
     "finance": ["amount", "price", "cost", "balance", "transaction", "revenue", "profit"],
 }
+# --- FIXED VALUES: column roles; the first rule that fits counts -------------
+# (domain, words of the normalised name, needs a number, role, importance, aggregation)
+ROLE_RULES = [
+    ("any", ["id", "uuid", "code", "key"], False, "identifier", 1, "none"),
+    ("any", ["date", "time", "tarih", "orderdate"], False, "time", 4, "none"),
+    ("football_soccer", ["player", "oyuncu"], False, "primary_entity", 5, "none"),
+    ("football_soccer", ["team", "club", "position"], False, "dimension", 4, "none"),
+    ("football_soccer", ["rating"], True, "primary_metric", 5, "mean"),
+    ("football_soccer", ["goal", "gol", "assist", "asist", "xg"], True, "primary_metric", 5, "sum"),
+    ("football_soccer", ["shot", "minute"], True, "secondary_metric", 4, "sum"),
+    ("sales", ["product", "region", "customer"], False, "dimension", 4, "none"),
+    ("sales", ["sales", "revenue", "profit", "quantity"], True, "primary_metric", 5, "sum"),
+    ("sales", ["margin"], True, "secondary_metric", 4, "mean"),
+    ("hr", ["employee", "department", "role"], False, "dimension", 4, "none"),
+    ("hr", ["salary", "performance", "overtime", "tenure"], True, "primary_metric", 4, "mean"),
+    ("logistics", ["route", "vendor", "shipment"], False, "dimension", 4, "none"),
+    ("logistics", ["delivery", "delay", "leadtime", "stock", "quantity", "cost"], True, "primary_metric", 4, "sum"),
+    ("any", [""], True, "secondary_metric", 3, "mean"),
+    ("any", [""], False, "dimension", 3, "none"),
+]
+
+# --- FIXED VALUES: semantic types of metrics; the first rule that fits counts -
+# (words of the name, type, what else must hold)
+SEMANTIC_TYPE_RULES = [
+    (["grade", "rating", "score"], "score", None),
+    (["percentage", "percent", "pct"], "percentage", None),
+    (["rate", "ratio"], "rate", None),
+    (["attendance"], "percentage", "share_of_100"),
+    (["hour", "duration", "minutes", "time", "reactiontime"], "duration", None),
+    (["revenue", "sales", "profit", "amount", "cost", "price", "salary"], "money", None),
+    (["count"], "count", None),
+    (["quantity", "volume", "qty"], "quantity", None),
+    (["index"], "index", None),
+]
+# (words of the name, semantic types, what else must hold): values that must not be added up
+AVERAGED_RULES = [
+    ([], ["score", "percentage", "rate", "duration", "index"], None),
+    (["grade", "rating", "score", "reactiontime", "gaminghour", "studyhour", "sleephour"], [], None),
+    (["attendance"], [], "no_total"),
+]
+ADDED_NAMES = ["revenue", "sales", "profit", "amount", "quantity", "volume", "count", "cost"]
+
 # Column-card hint keywords (slightly different spelling set).
 HINT_KEYWORDS = {
     "football_soccer": ["player", "team", "club", "position", "goals", "goal", "gol",

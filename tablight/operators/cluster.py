@@ -15,7 +15,8 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablight.functions.ordering import quantiles_from_counts, top_k_per_group, value_counts
+from tablight.functions.ordering import top_k_per_group
+from tablight.functions.selection import quantiles
 from tablight.operators.profile import is_numeric_type, profile
 
 # FIXED VALUES: lower-is-better name fragments and category-like column names
@@ -110,24 +111,90 @@ def _kmeanspp(X, weight, k: int, rng) -> "np.ndarray":
     return np.array(centers)
 
 
-def _seed_sample(pts: DataFrame, d: int, sample: int, seed: int):
-    """At most ``sample`` distinct points with weights that estimate (or, where
-    all fit, are) their numbers of rows: bottom-k by exponential keys, drawn
-    with a chance that grows with the weight."""
+def _spread_points(pts: DataFrame, d: int, rounds: int, per_round: int, seed: int):
+    """Candidates for centres from all points, and the rows nearest to each.
+
+    Oversampling in rounds: each draws ``per_round`` points, without replacement,
+    with a chance that grows with their weight times their squared distance from
+    the candidates so far (the smallest exponential keys of that rate, so no
+    total is needed first).  Every task keeps its own smallest keys; at most
+    rounds x per_round points reach the driver."""
     import numpy as np
+    import pandas as pd
     x = [f"x{i}" for i in range(d)]
-    u = (F.shiftrightunsigned(F.xxhash64(*x, F.lit(seed)), 11) + F.lit(0.5)) / float(2 ** 53)
-    got = np.array(pts.withColumn("_key", -F.log(u) / F.col("w")).orderBy("_key", *x).limit(sample + 1)
-                   .select(*x, "w", "_key").collect(), dtype=float).reshape(-1, d + 2)
-    if len(got) <= sample:
-        return got[:, :d], got[:, d]
-    w = got[:sample, d]
-    return got[:sample, :d], w / -np.expm1(-w * got[sample, d + 1])
+    sc = pts.sparkSession.sparkContext
+    found = np.empty((0, d))
+    schema = ", ".join(f"{c} double" for c in x) + ", key double"
+    for r in range(rounds):
+        sent = sc.broadcast(found)
+
+        def keyed(batches, sent=sent):
+            for pdf in batches:
+                X, w = pdf[x].to_numpy(float), pdf["w"].to_numpy(float)
+                rate = w * (_nearest(X, sent.value)[1] if len(sent.value) else 1.0)
+                out = pdf[x].copy()
+                with np.errstate(divide="ignore"):
+                    out["key"] = np.where(rate > 0, -np.log(pdf["u"].to_numpy(float)) / rate, np.inf)
+                out = out[np.isfinite(out["key"])]
+                yield out.nsmallest(per_round if r else 1, "key")
+
+        u = (F.shiftrightunsigned(F.xxhash64(*x, F.lit(seed + r)), 11) + F.lit(0.5)) / float(2 ** 53)
+        drawn = pts.withColumn("u", u).mapInPandas(keyed, schema).orderBy("key", *x).limit(per_round if r else 1).collect()
+        sent.unpersist()
+        if not drawn:
+            break
+        found = np.concatenate([found, np.array([row[:d] for row in drawn], dtype=float)])
+    sent = sc.broadcast(found)
+
+    def shares(batches):
+        for pdf in batches:
+            at = _nearest(pdf[x].to_numpy(float), sent.value)[0]
+            n = np.bincount(at, pdf["w"].to_numpy(float), len(sent.value))
+            yield pd.DataFrame({"at": np.flatnonzero(n), "w": n[n > 0]})
+
+    weight = np.zeros(len(found))
+    if len(found):
+        for row in pts.mapInPandas(shares, "at int, w double").groupBy("at").agg(F.sum("w")).collect():
+            weight[row[0]] = row[1]
+    sent.unpersist()
+    return found, weight
+
+
+def _nearest(X, C):
+    """For each point the nearest of the centres and its squared distance."""
+    import numpy as np
+    at, best = np.zeros(len(X), int), np.full(len(X), np.inf)
+    for lo in range(0, len(X), 4096):
+        d2 = ((X[lo:lo + 4096, None, :] - C[None, :, :]) ** 2).sum(2)
+        at[lo:lo + 4096] = d2.argmin(1)
+        best[lo:lo + 4096] = d2.min(1)
+    return at, best
+
+
+def _seeded(found, weight, k: int, rng, trials: int = 12):
+    """Centres for one run: the best of a few weighted k-means++ starts, each
+    settled on the weighted candidates."""
+    import numpy as np
+    best, cost = None, np.inf
+    for _ in range(trials):
+        C = _kmeanspp(found, weight, k, rng)
+        for _ in range(50):
+            at, _ = _nearest(found, C)
+            n = np.bincount(at, weight, len(C))
+            new = np.stack([np.bincount(at, weight * found[:, i], len(C)) for i in range(found.shape[1])], 1)
+            new = np.where(n[:, None] > 0, new / np.maximum(n, 1e-300)[:, None], C)
+            if np.allclose(new, C):
+                break
+            C = new
+        now = float((weight * _nearest(found, C)[1]).sum())
+        if now < cost:
+            best, cost = C, now
+    return best
 
 
 def kmeans_sweep(scaled: DataFrame, cols: list[str], max_k: int = 5, n_init: int = 10,
                  seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
-                 sample: int = 4096, engine: str = "batched") -> tuple[DataFrame, dict]:
+                 rounds: int = 6, per_round: int = 64, engine: str = "batched") -> tuple[DataFrame, dict]:
     """C4: k = 2..min(5, n//2), ``n_init`` restarts per k, lowest inertia kept.
 
     ``batched`` (default) runs Lloyd's algorithm for every (k, restart) at
@@ -135,8 +202,9 @@ def kmeans_sweep(scaled: DataFrame, cols: list[str], max_k: int = 5, n_init: int
     assigns its points for all runs with numpy and emits only per-cluster
     partial sums; a groupBy adds them up (at most runs x k rows) and the new
     centres go back as a broadcast literal.  Equal points are one weighted
-    point throughout.  Seeds come from weighted k-means++ on a bounded sample of
-    distinct points (``sample``), drawn by their numbers of rows.  ``mllib`` fits ``pyspark.ml`` KMeans per restart.
+    point throughout.  Seeds come from ``rounds`` oversampling passes over all
+    points (``per_round`` candidates each, ``_spread_points``) and weighted
+    k-means++ on the candidates.  ``mllib`` fits ``pyspark.ml`` KMeans per restart.
     Returns (k, inertia) and the chosen centres by k (numpy arrays)."""
     import numpy as np
     import pandas as pd
@@ -150,7 +218,10 @@ def kmeans_sweep(scaled: DataFrame, cols: list[str], max_k: int = 5, n_init: int
     if engine == "mllib":
         return _kmeans_mllib(pts, cols, ks, n_init, seed, max_iter)
     d = len(cols)
-    Xs, ws = _seed_sample(pts, d, sample, seed)
+    if not ks:
+        pts.unpersist()
+        return spark.createDataFrame([], "k int, inertia double"), {}
+    found, weight = _spread_points(pts, d, rounds, per_round, seed)
     m = {f"x{i}": F.sum(F.col(f"x{i}") * F.col("w")) / F.sum("w") for i in range(d)}
     mean = pts.agg(*[v.alias(c) for c, v in m.items()]).first()
     var = pts.agg(*[(F.sum(F.pow(F.col(f"x{i}") - F.lit(mean[f"x{i}"]), 2) * F.col("w")) / F.sum("w")).alias(f"v{i}")
@@ -159,7 +230,7 @@ def kmeans_sweep(scaled: DataFrame, cols: list[str], max_k: int = 5, n_init: int
     runs = {}
     for k in ks:
         for r in range(n_init):
-            runs[(k, r)] = _kmeanspp(Xs, ws, k, np.random.default_rng(seed + 1000 * k + r))
+            runs[(k, r)] = _seeded(found, weight, k, np.random.default_rng(seed + 1000 * k + r))
     schema = "k int, run int, j int, cnt long, sse double, " + ", ".join(f"s{i} double" for i in range(d))
 
     def one_pass(centres: dict) -> dict:
@@ -285,17 +356,111 @@ def cluster_sizes(assigned: DataFrame, label: str = "cluster") -> DataFrame:
 
 def silhouette(assigned: DataFrame, cols: list[str], label: str = "cluster",
                distance: str = "squaredEuclidean") -> float:
-    """C7 (scale form): MLlib's linear-time silhouette (squared Euclidean by
-    default).  This is *not* the mean Euclidean silhouette of the reference;
-    that one needs every pair of points and is not offered at scale."""
+    """MLlib's linear-time silhouette (squared Euclidean by default); the mean
+    Euclidean one is ``silhouette_euclidean``."""
     vec = _vectors(assigned.withColumn("_pred", _q(label).cast("double")), cols)
     return ClusteringEvaluator(predictionCol="_pred", featuresCol="features",
                                distanceMeasure=distance).evaluate(vec)
 
 
 def silhouette_band(score: Column) -> Column:
-    return (F.when(score >= 0.7, "Strong").when(score >= 0.5, "Reasonable")
-            .when(score >= 0.25, "Weak").otherwise("Poor"))
+    """The reading of a mean silhouette."""
+    return (F.when(score.isNull(), None).when(score >= 0.7, "Strong").when(score >= 0.5, "Good")
+            .when(score >= 0.25, "Moderate").otherwise("Weak"))
+
+
+#: Anchors of all clusters together, and cells a side that the search begins with.
+ANCHORS, FINEST = 1024, 64
+
+
+def _anchors(points: DataFrame, d: int, limit: int, finest: int) -> list:
+    """Mean, weight and root mean square radius of the points of each occupied
+    cell of a grid over each cluster, the finest grid with at most ``limit``
+    cells."""
+    x = [f"x{i}" for i in range(d)]
+    ends = points.agg(*[F.min(c).alias(f"lo{c}") for c in x], *[F.max(c).alias(f"hi{c}") for c in x]).first()
+    side = finest
+    while True:
+        cell = [F.least(F.floor((F.col(c) - F.lit(ends[f"lo{c}"])) / F.lit(max(ends[f"hi{c}"] - ends[f"lo{c}"], 1e-300)) * side),
+                        F.lit(side - 1)).alias(f"g{i}") for i, c in enumerate(x)]
+        radius = F.sqrt(sum((F.var_pop(c) for c in x), F.lit(0.0)))
+        cells = points.groupBy("c", *cell).agg(F.count(F.lit(1)).alias("w"), radius.alias("r"), *[F.avg(c).alias(c) for c in x])
+        rows = cells.select("c", "w", "r", *x).limit(limit + 1).collect()
+        if len(rows) <= limit or side == 1:
+            return cells.select("c", "w", "r", *x).collect() if len(rows) > limit else rows
+        side //= 2
+
+
+def silhouette_euclidean(assigned: DataFrame, cols: list[str], label: str = "cluster", anchors: int = ANCHORS,
+                         finest: int = FINEST) -> DataFrame:
+    """Mean Euclidean silhouette without pairs of points: (silhouette, low,
+    high, band, warning).
+
+    Each cluster is stood for by weighted anchors, the means of its points in
+    the cells of a grid (``anchors`` in all).  A distance to a point differs
+    from that to its anchor by at most the distance between the two, so the
+    mean distance from any place to a cluster is off by at most the clusters'
+    mean distance from their anchors, which the cells' root mean square radii
+    bound.  ``low`` and ``high`` carry that bound through every point's
+    silhouette, so the exact value lies between them; where every cell holds
+    equal points only, both are exact.  A point alone in its cluster counts 0.
+    Work: points times anchors; only the anchors go to every task.  No row
+    without two clusters."""
+    import numpy as np
+    import pandas as pd
+    d = len(cols)
+    x = [f"x{i}" for i in range(d)]
+    points = assigned.select(_q(label).cast("string").alias("c"), *[_q(c).cast("double").alias(n) for c, n in zip(cols, x)])
+    points = points.where(F.col("c").isNotNull()).dropna()
+    rows = _anchors(points, d, anchors, finest)
+    names = sorted({r["c"] for r in rows})
+    spark = assigned.sparkSession
+    if len(names) < 2:
+        return spark.createDataFrame([], "silhouette double, low double, high double, band string, warning boolean")
+    code = {n: i for i, n in enumerate(names)}
+    rows.sort(key=lambda r: code[r["c"]])
+    A = np.array([[r[c] for c in x] for r in rows], float)
+    w = np.array([r["w"] for r in rows], float)
+    of = np.array([code[r["c"]] for r in rows])
+    size = np.bincount(of, w)
+    slack = np.bincount(of, w * np.array([r["r"] or 0.0 for r in rows])) / size
+    starts = np.searchsorted(of, np.arange(len(names)))
+    sent = spark.sparkContext.broadcast((A, w, size, slack, starts, names))
+
+    def score(a, b):
+        top = np.maximum(a, b)
+        return np.where(top > 0, (b - a) / np.where(top > 0, top, 1), 0.0)
+
+    def work(batches):
+        A, w, size, slack, starts, names = sent.value
+        for pdf in batches:
+            out = np.zeros((3, len(pdf)))
+            own_all = pd.Index(names).get_indexer(pdf["c"])
+            X_all = pdf[x].to_numpy(float)
+            for lo in range(0, len(pdf), 2048):
+                X, own = X_all[lo:lo + 2048], own_all[lo:lo + 2048]
+                sq = (X * X).sum(1)[:, None] + (A * A).sum(1)[None, :] - 2 * X @ A.T
+                mean = np.add.reduceat(np.sqrt(np.maximum(sq, 0)) * w, starts, axis=1) / size
+                at = np.arange(len(X))
+                grown = size[own] / np.maximum(size[own] - 1, 1)
+                a, ea = mean[at, own] * grown, slack[own] * grown
+                near, far = np.maximum(mean - slack, 0), mean + slack
+                for m in (mean, near, far):
+                    m[at, own] = np.inf
+                alone = size[own] <= 1
+                for k, s in enumerate((score(a, mean.min(1)), score(a + ea, near.min(1)),
+                                       score(np.maximum(a - ea, 0), far.min(1)))):
+                    out[k, lo:lo + 2048] = np.where(alone, 0.0, s)
+            yield pd.DataFrame({"n": [len(pdf)], "s": [out[0].sum()], "lo": [out[1].sum()], "hi": [out[2].sum()]})
+
+    total = points.mapInPandas(work, "n long, s double, lo double, hi double").agg(*[F.sum(c).alias(c) for c in ("n", "s", "lo", "hi")])
+    out = total.select((F.col("s") / F.col("n")).alias("silhouette"), (F.col("lo") / F.col("n")).alias("low"),
+                       (F.col("hi") / F.col("n")).alias("high"))
+    return out.withColumn("band", silhouette_band(F.col("silhouette"))).withColumn("warning", F.col("silhouette") < 0.25)
+
+
+#: Centroids that are compared with each other on the driver.
+MAX_CENTROIDS = 2048
 
 
 def _centroids(assigned: DataFrame, cols: list[str], label: str) -> DataFrame:
@@ -308,14 +473,21 @@ def davies_bouldin(assigned: DataFrame, cols: list[str], label: str = "cluster")
     cen = _centroids(assigned, cols, label)
     dist = F.sqrt(sum((F.pow(_q(c) - F.col(f"c{i}"), 2) for i, c in enumerate(cols)), F.lit(0.0)))
     s = (assigned.join(cen, label).groupBy(_q(label)).agg(F.avg(dist).alias("s")))
-    a = cen.join(s, label).select(_q(label).alias("la"), F.col("s").alias("sa"),
-                                  *[F.col(f"c{i}").alias(f"a{i}") for i in range(len(cols))])
-    b = cen.join(s, label).select(_q(label).alias("lb"), F.col("s").alias("sb"),
-                                  *[F.col(f"c{i}").alias(f"b{i}") for i in range(len(cols))])
-    dcc = F.sqrt(sum((F.pow(F.col(f"a{i}") - F.col(f"b{i}"), 2) for i in range(len(cols))), F.lit(0.0)))
-    pairs = a.join(b, F.col("la") != F.col("lb"))  # k x (k-1) centroid pairs, k <= 5
-    r = pairs.withColumn("r", (F.col("sa") + F.col("sb")) / dcc).groupBy("la").agg(F.max("r").alias("rmax"))
-    return r.agg(F.avg("rmax").alias("davies_bouldin")).withColumn(
+    parts = cen.join(s, label)
+    few = parts.limit(MAX_CENTROIDS + 1).collect()
+    if len(few) > MAX_CENTROIDS:
+        raise ValueError(f"{label!r} has more than {MAX_CENTROIDS} clusters")
+    import numpy as np
+    C = np.array([[r[f"c{i}"] for i in range(len(cols))] for r in few], float).reshape(len(few), len(cols))
+    spreads = np.array([r["s"] for r in few], float)
+    score = None
+    if len(few) > 1:
+        gap = np.sqrt(((C[:, None, :] - C[None, :, :]) ** 2).sum(2))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            worst = np.where(gap > 0, (spreads[:, None] + spreads[None, :]) / gap, np.inf)
+        worst[np.arange(len(few)), np.arange(len(few))] = -np.inf
+        score = float(worst.max(1).mean())
+    return assigned.sparkSession.createDataFrame([(score,)], "davies_bouldin double").withColumn(
         "high_overlap", F.col("davies_bouldin") > 2)
 
 
@@ -332,7 +504,7 @@ def feature_ranking(assigned: DataFrame, cols: list[str], label: str = "cluster"
     long = assigned.select(_q(label), F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(i).alias("ord"), _q(c).cast("double").alias("v"))
         for i, c in enumerate(cols)]))).where(F.col("v").isNotNull())
-    q = quantiles_from_counts(value_counts(long, ["column"], "v"), ["column"], "v", {"q1": .25, "q3": .75})
+    q = quantiles(long, ["column"], "v", {"q1": .25, "q3": .75})
     g = long.groupBy("column").agg(F.avg("v").alias("center"), F.stddev_samp("v").alias("sd"))
     cm = long.groupBy(_q(label), "column", "ord").agg(F.avg("v").alias("cv"))
     lib = spark.createDataFrame([(c, any(p in _norm(c) for p in LOWER_IS_BETTER_PATTERNS)) for c in cols],
@@ -409,6 +581,7 @@ def cluster(df: DataFrame, features: list[str] | None = None, key: str | None =
     k = elbow(inertias).collect()[0]["optimal_k"]
     assigned = assign(scaled, feats, models[k])
     return {"features": feats, "inertias": inertias, "k": k, "assigned": assigned,
-            "sizes": cluster_sizes(assigned), "silhouette_sq": silhouette(assigned, feats),
+            "sizes": cluster_sizes(assigned), "silhouette": silhouette_euclidean(assigned, feats),
+            "silhouette_sq": silhouette(assigned, feats),
             "davies_bouldin": davies_bouldin(assigned, feats)}
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablight.functions import keywords as K
-from tablight.functions.ordering import row_index
+from tablight.functions.missing import number
+from tablight.functions.selection import row_at
 from tablight.functions.text import contains_any, starts_any
 from tablight.operators.profile import is_numeric_type, profile
 
@@ -77,7 +78,7 @@ def kpi_values(df: DataFrame, cols: list[str]) -> DataFrame:
     aggs = []
     for i, c in enumerate(cols):
         mean = any(k in c.lower() for k in K.MEAN_AGGREGATED)
-        v = _q(c).cast("double")
+        v = number(_q(c))
         aggs += [(F.avg(v) if mean else F.sum(v)).alias(f"v{i}"), F.count(v).alias(f"n{i}")]
     wide = df.agg(*aggs)
     long = wide.select(F.inline(F.array(*[
@@ -92,22 +93,29 @@ def kpi_values(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def kpi_trend(df: DataFrame, date: str, cols: list[str], key: str) -> DataFrame:
-    """K5: half-period trend per metric.  Non-null values ordered by date
-    (null dates last, ties by ``key``); mean of the first n//2 vs the rest;
-    pct = (b - a) / |a| * 100; up > 1, down < -1; needs >= 4 values.
-
-    Positions come from a distributed row index (no single-partition window).
-    """
+    """K5: half-period trend per metric.  Non-missing values ordered by date
+    (null dates last, ties by ``key``, which is unique within a date); mean of
+    the first n//2 vs the rest; pct = (b - a) / |a| * 100; up > 1, down < -1;
+    needs >= 4 values.
+
+    Only the row in the middle is looked for (``functions.selection``): its date
+    and key split each metric's rows, and one aggregate does the rest."""
+    stamp = F.unix_micros(_q(date).cast("timestamp"))
     long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), _q(date).isNull().alias("_dnull"), _q(date).alias("_d"),
-                 _q(key).alias("_k"), _q(c).cast("double").alias("_v")) for c in cols])))
+        F.struct(F.lit(c).alias("column"), F.coalesce(stamp, F.lit(2**63 - 1)).alias("_d"),
+                 _q(key).alias("_k"), number(_q(c)).alias("_v")) for c in cols])))
     long = long.where(F.col("_v").isNotNull())
-    idx = row_index(long, ["column"], ["_dnull", "_d", "_k"])
-    mid = F.floor(F.col("_n") / 2)
-    t = idx.groupBy("column").agg(
-        F.max("_n").alias("n"),
-        F.avg(F.when(F.col("_rn") < mid, F.col("_v"))).alias("first_half_mean"),
-        F.avg(F.when(F.col("_rn") >= mid, F.col("_v"))).alias("second_half_mean"))
+    # null keys come first; numbers keep their order, anything else is compared as text
+    numeric = is_numeric_type(df.schema[key].dataType)
+    long = long.withColumn("_none", F.when(F.col("_k").isNull(), 0).otherwise(1)).withColumn(
+        "_k", F.coalesce("_k", F.lit(0)) if numeric else F.coalesce(F.col("_k").cast("string"), F.lit("")))
+    middle = row_at(long, ["column"], ["_d", "_none", "_k"], F.floor(F.col("n") / 2))
+    middle = df.sparkSession.createDataFrame(middle.collect(), middle.schema)  # one row per metric
+    own, mid = F.struct("_d", "_none", "_k"), F.struct(*[F.col(f"mid{c}").alias(c) for c in ("_d", "_none", "_k")])
+    joined = long.join(F.broadcast(middle.withColumnsRenamed({c: f"mid{c}" for c in ("_d", "_none", "_k")})), "column")
+    t = joined.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.when(own < mid, F.col("_v"))).alias("first_half_mean"),
+        F.avg(F.when(own >= mid, F.col("_v"))).alias("second_half_mean"))
     a, b = F.col("first_half_mean"), F.col("second_half_mean")
     pct = F.when((F.col("n") >= 4) & (a != 0), (b - a) / F.abs(a) * 100)
     return (t.withColumn("pct_change", pct)
@@ -145,9 +153,8 @@ def plan_kpis(df: DataFrame, defs: DataFrame, k: int = 4) -> DataFrame:
     spark = df.sparkSession
     if not chosen:
         return spark.createDataFrame([], "slot int, column string, aggregation string, value double")
-    wide = df.agg(*[agg_expr(_q(c).cast("double"), a).cast("double").alias(f"v{i}")
-                    for i, (c, a) in enumerate(chosen)],
-                  *[F.count(_q(c)).alias(f"n{i}") for i, (c, _) in enumerate(chosen)])
+    wide = df.agg(*[agg_expr(number(_q(c)), a).cast("double").alias(f"v{i}") for i, (c, a) in enumerate(chosen)],
+                  *[F.count(number(_q(c))).alias(f"n{i}") for i, (c, _) in enumerate(chosen)])
     return (wide.select(F.inline(F.array(*[
         F.struct(F.lit(i + 1).alias("slot"), F.lit(c).alias("column"), F.lit(a).alias("aggregation"),
                  F.col(f"v{i}").alias("value"), F.col(f"n{i}").alias("n"))

@@ -1,17 +1,20 @@
 """Column profiling.
 
-``profile(df)`` runs three kinds of Spark jobs over the whole table:
-
-* one wide aggregate (null counts, moments, min/max, parse counts) -- a
-  single pass with map-side partial aggregation, no shuffle of rows;
-* one long-format value-count table ``(column, text value, numeric value,
-  cnt)`` -- distinct values per column, from which distinct counts, top
-  shares and exact quantiles follow (see ``functions.ordering``);
-* a small join of that table against the IQR fences for outlier counts.
-
-The result has one row per input column and is tiny (bounded by the number of
-columns), so it is materialised once and every rule on it (type, identifier,
-dominance, ...) is a ``CASE`` expression over it.
+``profile(df)`` makes a few narrow passes over the whole table:
+
+* one wide aggregate (null, boolean-looking and date-parsable counts, sums,
+  extremes), no shuffle of rows;
+* distinct values and the largest count per column, from a table of hashed
+  keys (12 bytes a cell, whatever the texts' length);
+* exact quartiles by selection (``functions.selection``), which orders no rows;
+* one more wide aggregate for central moments and outliers.
+
+``profile_state`` is the form for tables of any size: one pass, no shuffle,
+sketches per column that can be stored and merged (``merge_states``), read by
+``profile_of_state`` and used by ``profile(approx=True)``.
+
+A profile has one row per input column and is tiny, so every rule on it (type,
+identifier, dominance, ...) is a ``CASE`` expression over it.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablight.functions import keywords as K
-from tablight.functions.ordering import quantiles_from_counts, top_k_per_group
+from tablight.functions.missing import without_nan
+from tablight.functions.ordering import top_k_per_group
+from tablight.functions.selection import quantiles
 from tablight.functions.text import compact_col, contains_any, ends_any, starts_any
 
 PROFILE_SCHEMA = T.StructType([
@@ -79,132 +84,209 @@ def parse_timestamp(c: Column) -> Column:
     return F.when(s.rlike(_DATE_SHAPE), parsed)
 
 
-def _value_long(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+def _as_text(c: Column, dt: T.DataType) -> Column:
+    return c if isinstance(dt, T.StringType) else c.cast("string")
+
+
+def _key(c: Column, dt: T.DataType) -> tuple[Column, Column]:
+    """96 bits that tell a column's values apart: whole numbers are their own
+    key, anything else is hashed twice."""
+    if isinstance(dt, (*_INTEGER, T.BooleanType)):
+        return c.cast("long"), F.lit(0)
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        c = c.cast("double") + 0.0  # one zero
+    elif not isinstance(dt, (T.DecimalType, *_TEMPORAL)):
+        c = _as_text(c, dt)
+    return F.xxhash64(c), F.hash(c)
+
+
+def _counts_exprs(i: int, c: Column, dt: T.DataType) -> list[Column]:
+    """What a value says of its column by itself: n, bool-like, date, sum, extremes."""
+    zero = F.lit(0).cast("long")
+    out = [F.count(c).alias(f"nn{i}")]
+    if isinstance(dt, T.BooleanType):
+        return out + [F.count(c).alias(f"bv{i}")]
+    if is_numeric_type(dt):
+        d = c.cast("double")
+        return out + [F.count_if(d.isin(0.0, 1.0)).alias(f"bv{i}"), F.sum(d).alias(f"s{i}"), F.min(d).alias(f"min{i}"),
+                      F.max(d).alias(f"max{i}")]
+    if isinstance(dt, T.StringType):
+        return out + [F.count_if(c.isin(*K.BOOLEAN_TEXT)).alias(f"bv{i}"),
+                      F.count(parse_timestamp(c)).alias(f"dp{i}")]
+    return out + [F.coalesce(F.max(zero), zero).alias(f"bv{i}")]
+
+
+def _distinct(df: DataFrame, fields: list[T.StructField]) -> dict[int, tuple[int, int]]:
+    """{position: (distinct values, rows of the most frequent one)}."""
     entries = []
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
-        if is_numeric_type(f.dataType):
-            d, exact = c.cast("double"), F.lit(None).cast("string")
-            if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-                d = F.when(~F.isnan(c), d)  # NaN is a missing value
-            elif isinstance(f.dataType, (T.LongType, T.DecimalType)):
-                # beyond 2**53 neighbours share a double; their digits keep them apart
-                exact = F.when(F.abs(d) >= float(1 << 53), c.cast("string"))
-            entries.append(F.struct(F.lit(i).alias("pos"), exact.alias("sval"), d.alias("dval")))
-        else:
-            entries.append(F.struct(F.lit(i).alias("pos"), c.cast("string").alias("sval"),
-                                    F.lit(None).cast("double").alias("dval")))
-    return (df.select(F.inline(F.array(*entries)))
-            .where(F.col("sval").isNotNull() | F.col("dval").isNotNull()))
-
-
-def profile_raw(df: DataFrame, approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """Raw per-column statistics (``PROFILE_SCHEMA``), one row per column."""
+        one, two = _key(c, f.dataType)
+        entries.append(F.struct(F.lit(i).alias("pos"), F.when(c.isNotNull(), one).alias("k1"), two.alias("k2")))
+    counts = df.select(F.inline(F.array(*entries))).where(F.col("k1").isNotNull()).groupBy("pos", "k1", "k2").agg(
+        F.count(F.lit(1)).alias("cnt"))
+    rows = counts.groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.max("cnt").alias("top")).collect()
+    return {r["pos"]: (int(r["n"]), int(r["top"])) for r in rows}
+
+
+def _quartiles(df: DataFrame, fields: list[T.StructField], pos: list[int]) -> dict[int, tuple]:
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("pos"), F.col(f"`{fields[i].name}`").cast("double").alias("v")) for i in pos])))
+    found = quantiles(long, ["pos"], "v", {"q1": .25, "q2": .5, "q3": .75}).collect()
+    return {r["pos"]: (r["q1"], r["q2"], r["q3"]) for r in found}
+
+
+def profile_raw(df: DataFrame, approx: bool = False) -> DataFrame:
+    """Raw per-column statistics (``PROFILE_SCHEMA``), one row per column.  NaN is
+    a missing value."""
     from tablight.functions.partitioning import spread
-    spark = df.sparkSession
-    n_rows = df.count()  # row count of the scan itself (no spreading needed)
-    df = spread(df)
-    fields = list(df.schema.fields)
-    text_pos = [i for i, f in enumerate(fields) if isinstance(f.dataType, T.StringType)]
-    num_pos = [i for i, f in enumerate(fields) if is_numeric_type(f.dataType)]
-    bool_pos = [i for i, f in enumerate(fields) if isinstance(f.dataType, T.BooleanType)]
-    wide = {"_n": n_rows}
-    if approx and num_pos:
-        row = df.agg(*[F.percentile_approx(F.col(f"`{fields[i].name}`").cast("double"), [0.25, 0.5, 0.75],
-                                           accuracy).alias(f"pq{i}") for i in num_pos]).collect()[0]
-        wide.update(row.asDict())
-
-    vc = (_value_long(df, fields).groupBy("pos", "sval", "dval")
-          .agg(F.count(F.lit(1)).alias("cnt")).persist(StorageLevel.MEMORY_AND_DISK))
+    if approx:
+        return _raw_of_state(profile_state(df))
+    spark, fields = df.sparkSession, list(df.schema.fields)
+    wide_input = spread(df)
+    # an input of few splits was dealt out anew: it is small, and kept for the passes
+    kept = wide_input is not df
+    base = without_nan(wide_input)
+    if kept:
+        base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        # Non-null, boolean-looking and date-parsable counts come from the
-        # value-count table, so text parsing runs once per distinct value.
-        pos, cnt, sval, dval = F.col("pos"), F.col("cnt"), F.col("sval"), F.col("dval")
-        is_text = pos.isin(*text_pos) if text_pos else F.lit(False)
-        is_bool = pos.isin(*bool_pos) if bool_pos else F.lit(False)
-        boolish = (F.coalesce(dval.isin(0.0, 1.0), F.lit(False))
-                   | (is_text & F.coalesce(sval.isin(*K.BOOLEAN_TEXT), F.lit(False))) | is_bool)
-        # pass 1: cardinalities, counts, parse shares, and mean/min/max of numbers
-        stats = vc.groupBy("pos").agg(
-            F.count(F.lit(1)).alias("nunique"), F.max("cnt").alias("top"), F.sum("cnt").alias("nn"),
-            F.sum(F.when(boolish, cnt).otherwise(0)).alias("bv"),
-            F.sum(F.when(is_text & parse_timestamp(sval).isNotNull(), cnt).otherwise(0)).alias("dp"),
-            F.sum(F.when(dval.isNotNull(), cnt)).alias("n_num"), F.sum(cnt * dval).alias("s1"),
-            F.min(dval).alias("min"), F.max(dval).alias("max")).collect()
-        card, first = {}, {}
-        for r in stats:
-            card[r["pos"]] = (r["nunique"], r["top"])
-            wide[f"nn{r['pos']}"] = int(r["nn"])
-            wide[f"bv{r['pos']}"] = int(r["bv"])
-            if r["pos"] in text_pos:
-                wide[f"dp{r['pos']}"] = int(r["dp"])
-            if r["pos"] in num_pos and r["n_num"]:
-                first[r["pos"]] = (int(r["n_num"]), r["s1"] / r["n_num"], r["min"], r["max"])
-        for i in range(len(fields)):
-            wide.setdefault(f"nn{i}", 0)
-        # pass 2: exact quartiles from the value counts
-        quart: dict[int, tuple] = {}
-        nvc = vc.where(F.col("dval").isNotNull()).select("pos", "dval", "cnt")
-        if first and not approx:
-            for r in quantiles_from_counts(nvc, ["pos"], "dval",
-                                           {"q1": .25, "q2": .5, "q3": .75}).collect():
-                quart[r["pos"]] = (r["q1"], r["q2"], r["q3"])
-        elif first:
-            for i in num_pos:
-                pq = wide.get(f"pq{i}")
-                quart[i] = tuple(pq) if pq else (None, None, None)
-        # pass 3: central moments and IQR outlier counts together
-        moments: dict[int, dict] = {}
-        outl: dict[int, int] = {}
-        if first:
-            per = []
-            for i, (n_, mean, _, _) in first.items():
-                q = quart.get(i, (None, None, None))
-                lo = q[0] - 1.5 * (q[2] - q[0]) if q[0] is not None else None
-                hi = q[2] + 1.5 * (q[2] - q[0]) if q[0] is not None else None
-                per.append((i, float(mean), lo, hi))
-            # one row per numeric column -- bounded, safe to broadcast
-            pdf = spark.createDataFrame(per, "pos int, mean double, lo double, hi double")
-            d = F.col("dval") - F.col("mean")
-            out_flag = F.col("lo").isNotNull() & ((F.col("dval") < F.col("lo")) | (F.col("dval") > F.col("hi")))
-            for r in (nvc.join(F.broadcast(pdf), "pos").groupBy("pos")
-                      .agg(F.sum(F.col("cnt") * d * d).alias("m2"), F.sum(F.col("cnt") * d * d * d).alias("m3"),
-                           F.sum(F.col("cnt") * d * d * d * d).alias("m4"),
-                           F.sum(F.when(out_flag, F.col("cnt")).otherwise(0)).alias("o")).collect()):
-                n_, mean, mn, mx = first[r["pos"]]
-                m2, m3, m4 = r["m2"], r["m3"], r["m4"]
-                var = m2 / (n_ - 1) if n_ > 1 else None
-                moments[r["pos"]] = {
-                    "mean": mean, "min": mn, "max": mx, "var": var,
-                    "sd": var ** 0.5 if var is not None else None,
-                    "sk": (m3 / n_) / (m2 / n_) ** 1.5 if m2 > 0 else None,
-                    "ku": (m4 / n_) / (m2 / n_) ** 2 - 3 if m2 > 0 else None}
-                outl[r["pos"]] = int(r["o"])
+        cols = [F.col(f"`{f.name}`") for f in fields]
+        first = base.agg(F.count(F.lit(1)).alias("n"), *[
+            e for i, f in enumerate(fields) for e in _counts_exprs(i, cols[i], f.dataType)]).first().asDict()
+        num_pos = [i for i, f in enumerate(fields) if is_numeric_type(f.dataType) and first[f"nn{i}"]]
+        card = _distinct(base, fields)
+        quart = _quartiles(base, fields, num_pos) if num_pos else {}
+        aggs = []
+        for i in num_pos:
+            d, q = cols[i].cast("double"), quart[i]
+            away = d - F.lit(first[f"s{i}"] / first[f"nn{i}"])
+            lo, hi = q[0] - 1.5 * (q[2] - q[0]), q[2] + 1.5 * (q[2] - q[0])
+            aggs += [F.sum(away * away).alias(f"m2{i}"), F.sum(away * away * away).alias(f"m3{i}"),
+                     F.sum(away * away * away * away).alias(f"m4{i}"),
+                     F.count_if((d < F.lit(lo)) | (d > F.lit(hi))).alias(f"o{i}")]
+        second = base.agg(*aggs).first().asDict() if aggs else {}
     finally:
-        vc.unpersist()
-    for i, m in moments.items():
-        for key, name in (("mean", "mean"), ("min", "min"), ("max", "max"), ("sd", "sd"), ("var", "var"),
-                          ("sk", "sk"), ("ku", "ku")):
-            wide[f"{name}{i}"] = m[key]
-
+        if kept:
+            base.unpersist()
     rows = []
-    n = int(wide["_n"])
     for i, f in enumerate(fields):
-        dt = f.dataType
-        num = is_numeric_type(dt)
-        q = quart.get(i, (None, None, None))
-        nun, top = card.get(i, (0, 0))
-        rows.append((
-            f.name, i, dt.simpleString(), num, isinstance(dt, _INTEGER), is_temporal_type(dt),
-            isinstance(dt, T.StringType), n, int(wide[f"nn{i}"]), int(nun), int(top or 0),
-            int(wide.get(f"dp{i}", 0) or 0), int(wide.get(f"bv{i}", 0) or 0),
-            wide.get(f"mean{i}"), wide.get(f"min{i}"), wide.get(f"max{i}"), wide.get(f"sd{i}"),
-            wide.get(f"var{i}"), wide.get(f"sk{i}"), wide.get(f"ku{i}"), q[0], q[1], q[2],
-            (outl.get(i, 0) if num and q[0] is not None else None),
-        ))
+        nn, q = int(first[f"nn{i}"]), quart.get(i, (None, None, None))
+        mean = var = skew = kurt = outliers = None
+        if i in quart:
+            mean, m2 = first[f"s{i}"] / nn, second[f"m2{i}"]
+            var = m2 / (nn - 1) if nn > 1 else None
+            skew = (second[f"m3{i}"] / nn) / (m2 / nn) ** 1.5 if m2 > 0 else None
+            kurt = (second[f"m4{i}"] / nn) / (m2 / nn) ** 2 - 3 if m2 > 0 else None
+            outliers = int(second[f"o{i}"])
+        nunique, top = card.get(i, (0, 0))
+        rows.append((f.name, i, f.dataType.simpleString(), is_numeric_type(f.dataType), isinstance(f.dataType, _INTEGER),
+                     is_temporal_type(f.dataType), isinstance(f.dataType, T.StringType), int(first["n"]), nn, nunique, top,
+                     int(first.get(f"dp{i}") or 0), int(first[f"bv{i}"] or 0), mean, first.get(f"min{i}"),
+                     first.get(f"max{i}"), var ** 0.5 if var is not None else None, var, skew, kurt, *q, outliers))
     return spark.createDataFrame(rows, PROFILE_SCHEMA)
 
 
+# --------------------------------------------------------------------------
+# P1 as a state that can be stored and merged
+# --------------------------------------------------------------------------
+
+#: Registers of the distinct-value sketch (2^14: 0.8 % standard error), items that
+#: the sketch of frequent values follows, and values of the quantile sketch.
+HLL_BITS, TOP_ITEMS, KLL_SIZE = 14, 1_000, 800
+
+
+def profile_state(df: DataFrame) -> DataFrame:
+    """One row per column: exact counts, sums and extremes, central moments, and
+    sketches of the distinct, the frequent and (numbers) the ordered values.
+    One pass; what leaves a task is a few sketches, no values but the frequent
+    ones (as 64-bit hashes)."""
+    df = without_nan(df)
+    fields, spark = list(df.schema.fields), df.sparkSession
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, f in enumerate(fields):
+        c = F.col(f"`{f.name}`")
+        one, _ = _key(c, f.dataType)
+        key = F.when(c.isNotNull(), one)
+        aggs += _counts_exprs(i, c, f.dataType) + [
+            F.hll_sketch_agg(key, HLL_BITS).alias(f"hll{i}"),
+            F.call_function("approx_top_k_accumulate", key, F.lit(TOP_ITEMS)).alias(f"top{i}")]
+        if is_numeric_type(f.dataType):
+            d = c.cast("double")
+            aggs += [F.var_pop(d).alias(f"var{i}"), F.skewness(d).alias(f"sk{i}"), F.kurtosis(d).alias(f"ku{i}"),
+                     F.kll_sketch_agg_double(d, F.lit(KLL_SIZE)).alias(f"kll{i}")]
+    none = F.lit(None).cast("double")
+    entries = []
+    for i, f in enumerate(fields):
+        num = is_numeric_type(f.dataType)
+        n, var = F.col(f"nn{i}").cast("double"), F.col(f"var{i}") if num else none
+        flat = F.coalesce(var, F.lit(0.0)) == 0
+        m3 = F.when(flat, 0.0).otherwise(F.col(f"sk{i}") * n * F.pow(var, 1.5)) if num else none
+        m4 = F.when(flat, 0.0).otherwise((F.col(f"ku{i}") + 3) * n * var * var) if num else none
+        entries.append(F.struct(
+            F.lit(f.name).alias("column"), F.lit(i).alias("position"), F.lit(f.dataType.simpleString()).alias("dtype"),
+            F.lit(num).alias("is_numeric"), F.lit(isinstance(f.dataType, _INTEGER)).alias("is_integer"),
+            F.lit(is_temporal_type(f.dataType)).alias("is_temporal"),
+            F.lit(isinstance(f.dataType, T.StringType)).alias("is_text"), F.col("n").alias("n_rows"),
+            F.col(f"nn{i}").alias("non_null"),
+            (F.col(f"dp{i}") if isinstance(f.dataType, T.StringType) else F.lit(0).cast("long")).alias("date_parsed"),
+            F.col(f"bv{i}").alias("bool_values"), (F.col(f"s{i}") if num else none).alias("total"),
+            (F.col(f"min{i}") if num else none).alias("min"), (F.col(f"max{i}") if num else none).alias("max"),
+            (var * n).alias("m2"), m3.alias("m3"), m4.alias("m4"), F.col(f"hll{i}").alias("distinct_sketch"),
+            F.col(f"top{i}").alias("top_sketch"),
+            (F.col(f"kll{i}") if num else F.lit(None).cast("binary")).alias("order_sketch")))
+    state = df.agg(*aggs).select(F.inline(F.array(*entries))) if fields else None
+    return state if state is not None else spark.createDataFrame([], "column string")
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """The state of all tables (of one schema) whose states are given: counts and
+    extremes add up, moments are shifted to the common mean, sketches merge."""
+    keys = ["column", "position", "dtype", "is_numeric", "is_integer", "is_temporal", "is_text"]
+    means = states.groupBy(*keys).agg((F.sum("total") / F.sum("non_null")).alias("_mean"))
+    s = states.join(means, keys)
+    n = F.col("non_null").cast("double")
+    d = F.when(n > 0, F.col("total") / n - F.col("_mean"))
+    m2, m3, m4 = F.col("m2"), F.col("m3"), F.col("m4")
+    return s.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("n_rows", "non_null", "date_parsed", "bool_values", "total")],
+        F.min("min").alias("min"), F.max("max").alias("max"), F.sum(m2 + n * d * d).alias("m2"),
+        F.sum(m3 + 3 * d * m2 + n * d * d * d).alias("m3"),
+        F.sum(m4 + 4 * d * m3 + 6 * d * d * m2 + n * d * d * d * d).alias("m4"),
+        F.hll_union_agg("distinct_sketch").alias("distinct_sketch"),
+        F.call_function("approx_top_k_combine", F.col("top_sketch")).alias("top_sketch"),
+        F.kll_merge_agg_double("order_sketch").alias("order_sketch"))
+
+
+def _raw_of_state(state: DataFrame) -> DataFrame:
+    n, m2 = F.col("non_null"), F.col("m2")
+    num = F.col("is_numeric") & (n > 0)
+    points = F.when(num, F.kll_sketch_get_quantile_double("order_sketch", F.array(*[F.lit(k / 512) for k in range(513)])))
+    state = state.withColumn("_points", points)
+    at = lambda p: F.get("_points", F.lit(int(512 * p)))
+    rank = lambda v: F.size(F.filter("_points", lambda x: x <= v)) / F.lit(513.0)
+    top = F.call_function("approx_top_k_estimate", F.col("top_sketch"), F.lit(1))
+    out = state.withColumns({"q1": at(.25), "median": at(.5), "q3": at(.75), "_top": top})
+    iqr = F.col("q3") - F.col("q1")
+    # a fence outside the values leaves nothing beyond it
+    lo, hi = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
+    beyond = F.when(lo > F.col("min"), rank(lo)).otherwise(0.0) + F.when(hi < F.col("max"), 1 - rank(hi)).otherwise(0.0)
+    var = F.when(num & (n > 1), m2 / (n - 1))
+    mom = lambda m, p: F.when(num & (m2 > 0), (F.col(m) / n) / F.pow(m2 / n, p))
+    cols = {"nunique": F.least(F.hll_sketch_estimate("distinct_sketch"), n),
+            "top_count": F.coalesce(F.get("_top", F.lit(0))["count"], F.lit(0)),
+            "mean": F.when(num, F.col("total") / n), "stddev": F.sqrt(var), "variance": var,
+            "skewness": mom("m3", 1.5), "kurtosis": mom("m4", 2.0) - 3,
+            "outlier_count": F.when(num, F.round(beyond * n)).cast("long")}
+    out = out.withColumns(cols)
+    return out.select(*[F.col(f.name).cast(f.dataType) for f in PROFILE_SCHEMA])
+
+
+def profile_of_state(state: DataFrame) -> DataFrame:
+    """The profile of a (merged) state: exact but for distinct counts, quartiles,
+    outliers and the top share, which the sketches estimate."""
+    return with_rules(_raw_of_state(state))
+
+
 def identifier_expr(name: Column, unique_ratio: Column, non_numeric: Column,
                     n_rows: Column) -> Column:
     """P9 as an ordered CASE over the column name and its uniqueness."""
@@ -248,8 +330,9 @@ def with_rules(raw: DataFrame) -> DataFrame:
 def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row per column with type, counts, moments, quartiles and flags.
 
-    ``approx=True`` swaps the exact quartiles (value-count ranking, one extra
-    shuffle) for ``percentile_approx`` inside the single wide aggregate.
+    ``approx=True`` reads everything off one pass of sketches
+    (``profile_state``): no shuffle of values at all, and distinct counts,
+    quartiles, outliers and the top share are estimates.
     """
     return with_rules(profile_raw(df, approx=approx))
 
@@ -268,24 +351,28 @@ def column_cards(df: DataFrame, max_cols: int | None = None, prof: DataFrame | N
     cols = df.columns[:max_cols]
     sub = df.select(*[F.col(f"`{c}`") for c in cols])
     prof = prof if prof is not None else profile(sub)
-    fields = sub.schema.fields
-    entries = [F.struct(F.lit(f.name).alias("column"), F.col(f"`{f.name}`").cast("string").alias("v"),
-                        F.col(f"`{f.name}`").cast("double").alias("d")
-                        if is_numeric_type(f.dataType) else F.lit(None).cast("double").alias("d"))
-               for f in fields]
-    long = sub.select(F.inline(F.array(*entries))).where(F.col("v").isNotNull())
-    vc = long.groupBy("column", "v", "d").agg(F.count(F.lit(1)).alias("cnt"))
-    top = (top_k_per_group(vc, ["column"], [F.col("cnt").desc(), F.col("v")], 3, ["v"])
+    entries = []
+    for f in without_nan(sub).schema.fields:
+        c = F.col(f"`{f.name}`")
+        one, two = _key(c, f.dataType)
+        num = c.cast("double") if is_numeric_type(f.dataType) else F.lit(None).cast("double")
+        entries.append(F.struct(F.lit(f.name).alias("column"), F.when(c.isNotNull(), one).alias("k1"), two.alias("k2"),
+                                F.substring(_as_text(c, f.dataType), 1, 80).alias("v"), num.alias("d")))
+    # values are told apart by hash; what is shown of one (80 characters) goes along once
+    vc = without_nan(sub).select(F.inline(F.array(*entries))).where(F.col("k1").isNotNull()).groupBy(
+        "column", "k1", "k2").agg(F.count(F.lit(1)).alias("cnt"), F.min("v").alias("v"), F.min("d").alias("d"))
+    top = (top_k_per_group(vc, ["column"], [F.col("cnt").desc(), F.col("v"), F.col("k1"), F.col("k2")], 3, ["k1", "k2"])
            .groupBy("column").agg(F.sort_array(F.collect_list(F.struct(
                (-F.col("cnt")).alias("o"), F.col("v").alias("k"),
-               F.substring("v", 1, 80).alias("value"), F.col("cnt").alias("count")))).alias("t"))
+               F.col("v").alias("value"), F.col("cnt").alias("count")))).alias("t"))
            .select("column", F.transform("t", lambda x: F.struct(x["value"].alias("value"),
                                                                   x["count"].alias("count")))
                    .alias("top_values")))
-    samples = (top_k_per_group(vc, ["column"], [F.col("d").asc_nulls_last(), F.col("v")], 3, ["v"])
+    samples = (top_k_per_group(vc, ["column"], [F.col("d").asc_nulls_last(), F.col("v"), F.col("k1"), F.col("k2")], 3,
+                               ["k1", "k2"])
                .groupBy("column").agg(F.sort_array(F.collect_list(F.struct(
                    F.col("d"), F.col("v")))).alias("s"))
-               .select("column", F.transform("s", lambda x: F.substring(x["v"], 1, 80))
+               .select("column", F.transform("s", lambda x: x["v"])
                        .alias("sample_values")))
     hints = F.array_compact(F.array(*[
         F.when(contains_any(F.regexp_replace(F.lower("column"), "[_\\-]+", " "), kws),

@@ -3,10 +3,11 @@ fills, distinct counts, top-k and retention."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablight.functions.missing import without_nan
 from tablight.functions.ordering import row_index
 from tablight.operators.profile import is_numeric_type
 
@@ -17,9 +18,11 @@ def _q(name: str) -> Column:
 
 def sort_rows(df: DataFrame, by: str, desc: bool = False, key: str | None = None,
               as_text: bool = False) -> DataFrame:
-    """Sort by one column, nulls last both ways, ties by ``key``;
+    """Sort by one column, nulls and NaN last both ways, ties by ``key``;
     ``as_text`` compares the text form (mixed-type fallback)."""
     c = _q(by).cast("string") if as_text else _q(by)
+    if isinstance(df.schema[by].dataType, (T.FloatType, T.DoubleType)):
+        c = F.when(~F.isnan(_q(by)), c)
     order = [c.desc_nulls_last() if desc else c.asc_nulls_last()]
     if key:
         order.append(_q(key).asc())
@@ -33,11 +36,12 @@ def sort_positions(df: DataFrame, by: str, key: str, desc: bool = False, as_text
     if desc and text:
         raise ValueError("descending positions need a numeric column")
     c = _q(by).cast("string") if as_text else _q(by)
-    nan = F.isnan(_q(by)) if desc and isinstance(df.schema[by].dataType, (T.FloatType, T.DoubleType)) else F.lit(False)
+    if isinstance(df.schema[by].dataType, (T.FloatType, T.DoubleType)):
+        c = F.when(~F.isnan(_q(by)), c)
     filler = df.select(c.alias("c")).schema["c"].dataType
     zero = F.lit(0).cast(filler) if not text else F.lit("").cast(filler) if as_text else c
-    keyed = df.withColumns({"_last": F.when(c.isNull(), 2).when(nan, 0).otherwise(1),
-                            "_by": F.when(nan, zero).otherwise(F.coalesce(-c if desc else c, zero))})
+    keyed = df.withColumns({"_last": F.when(c.isNull(), 2).otherwise(1),
+                            "_by": F.coalesce(-c if desc else c, zero)})
     got = row_index(keyed, [], ["_last", "_by", key], out="position")
     return got.drop("_last", "_by", "_n")
 
@@ -71,9 +75,10 @@ def drop_missing(df: DataFrame, how: str = "any", subset: list[str] | None = Non
 
 
 def drop_sparse_columns(df: DataFrame, max_null_ratio: float = 0.5) -> DataFrame:
-    """Drop columns whose null share exceeds the threshold (one aggregate)."""
-    row = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.count(_q(c)).alias(f"c{i}") for i, c in enumerate(df.columns)]).collect()[0]
+    """Drop columns whose null (or NaN) share exceeds the threshold (one aggregate)."""
+    known = without_nan(df)
+    row = known.agg(F.count(F.lit(1)).alias("_n"),
+                    *[F.count(_q(c)).alias(f"c{i}") for i, c in enumerate(df.columns)]).collect()[0]
     n = row["_n"] or 0
     keep = [c for i, c in enumerate(df.columns)
             if n == 0 or (n - row[f"c{i}"]) / n <= max_null_ratio]
@@ -81,8 +86,8 @@ def drop_sparse_columns(df: DataFrame, max_null_ratio: float = 0.5) -> DataFrame
 
 
 def fill_display(df: DataFrame, number: float = 0, text: str = "N/A") -> DataFrame:
-    """Nulls become 0 in numeric columns and ``"N/A"`` in text columns."""
-    exprs = []
+    """Nulls and NaN become 0 in numeric columns, nulls ``"N/A"`` in text columns."""
+    df, exprs = without_nan(df), []
     for f in df.schema.fields:
         c = _q(f.name)
         if is_numeric_type(f.dataType):
@@ -113,7 +118,7 @@ def nunique(df: DataFrame, approx: bool = False, rsd: float = 0.01) -> DataFrame
     Exact counts go through one long value table (one shuffle for all
     columns, not one per column); ``approx`` uses HyperLogLog++ in a single
     pass with no shuffle of rows."""
-    spark = df.sparkSession
+    spark, df = df.sparkSession, without_nan(df)
     if approx:
         row = df.agg(*[F.approx_count_distinct(_q(c), rsd).alias(f"c{i}")
                        for i, c in enumerate(df.columns)]).collect()[0]
@@ -137,6 +142,8 @@ def distinct_counts(df: DataFrame, cols: list[str], blank_as_null: bool = False)
     copy every row once per column."""
     if not cols:
         return {}
+    df = without_nan(df.select(*[_q(c) for c in dict.fromkeys(cols)]))
+
     def val(c):
         v = _q(c).cast("string")
         return F.nullif(F.trim(v), F.lit("")) if blank_as_null else v
@@ -156,6 +163,8 @@ def non_binary(prof: DataFrame) -> DataFrame:
 def top_k(df: DataFrame, by: str, k: int, key: str, bottom: bool = False) -> DataFrame:
     """K largest (or smallest) rows, ties by ``key``."""
     c = _q(by)
+    if isinstance(df.schema[by].dataType, (T.DoubleType, T.FloatType)):
+        df = df.where(~F.isnan(c))
     return df.where(c.isNotNull()).orderBy(c.asc() if bottom else c.desc(), _q(key).asc()).limit(k)
 
 
@@ -164,24 +173,27 @@ def retain(df: DataFrame, ts: str, ttl_hours: float = 24.0, keep: int = 15,
     """Drop rows older than ``ttl`` before the newest timestamp (per key
     group when ``by`` is given), then keep the newest ``keep`` rows per group.
 
-    The newest timestamp per group is a partial aggregate (one row per group
-    and task before the shuffle), and the newest-k step is a salted top-k, so
-    a group holding a third of all rows is still spread over many tasks.
-    Without keys the newest rows come from a TakeOrdered top-k.
+    The newest rows of a group hold its newest timestamp, so they are taken first
+    (a salted top-k: a group of a third of all rows is spread over many tasks)
+    and only they are compared with it; no row is joined.  Rows older than any
+    group may keep are ruled out in the scan.  Null timestamps and keys are
+    dropped.  Without keys the newest rows come from a TakeOrdered top-k.
     """
     from tablight.functions.ordering import top_k_per_group
     by = by or []
     tie = [_q(key).desc()] if key else []
-    secs = int(ttl_hours * 3600)
-    if by:
-        newest = df.groupBy(*[_q(b) for b in by]).agg(F.max(_q(ts)).alias("_mx"))
-        fresh = (df.join(newest, by)
-                 .where(_q(ts) >= F.col("_mx") - F.expr(f"INTERVAL {secs} SECONDS")).drop("_mx"))
-        salt = [key] if key else [c for c in df.columns if c not in by]
-        return top_k_per_group(fresh, by, [_q(ts).desc(), *tie], keep, salt).drop("_k")
-    from tablight.operators.aggregates import attach_scalar
-    newest = df.agg(F.max(_q(ts)).alias("_mx"))
-    fresh = (attach_scalar(df, newest)
-             .where(_q(ts) >= F.col("_mx") - F.expr(f"INTERVAL {secs} SECONDS")).drop("_mx"))
-    return fresh.orderBy(_q(ts).desc(), *tie).limit(keep)
-
+    span = F.expr(f"INTERVAL {int(ttl_hours * 3600)} SECONDS")
+    dated = df.where(_q(ts).isNotNull())
+    for b in by:
+        dated = dated.where(_q(b).isNotNull())
+    newest = dated.groupBy(*[_q(b) for b in by]).agg(F.max(_q(ts)).alias("_mx"))
+    oldest = newest.agg(F.min("_mx").alias("_mx")).first()["_mx"]
+    if oldest is None:
+        return dated.limit(0)
+    fresh = dated.where(_q(ts) >= F.lit(oldest).cast(df.schema[ts].dataType) - span)
+    if not by:
+        return fresh.orderBy(_q(ts).desc(), *tie).limit(keep)
+    salt = [key] if key else [c for c in df.columns if c not in by]
+    top = top_k_per_group(fresh, by, [_q(ts).desc(), *tie], keep, salt)
+    mx = F.max(_q(ts)).over(Window.partitionBy(*[_q(b) for b in by]))
+    return top.withColumn("_mx", mx).where(_q(ts) >= F.col("_mx") - span).drop("_mx", "_k")

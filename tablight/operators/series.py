@@ -9,10 +9,15 @@ the data volume.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablight.functions.missing import number
 from tablight.operators.profile import is_numeric_type, is_temporal_type, parse_timestamp
 
 
@@ -76,13 +81,13 @@ def period_end(d: Column, freq: Column | str) -> Column:
 def series(df: DataFrame, date: str, metrics: list[str], by: list[str] | None = None,
            freq: str | None = None, min_points: int = 4) -> DataFrame:
     """mean per period (empty periods dropped) for every metric and
-    series key; series with fewer than 4 points are dropped.
+    series key; series with fewer than 4 points are dropped; NaN is missing.
 
     Output (long): [by...], metric, freq, period (date), y, idx (0-based)."""
     by = by or []
     d = F.to_timestamp(_q(date)) if not isinstance(df.schema[date].dataType, T.StringType) \
         else parse_timestamp(_q(date))
-    base = df.select(*[_q(b) for b in by], d.alias("_d"), *[_q(m).cast("double").alias(f"m{i}")
+    base = df.select(*[_q(b) for b in by], d.alias("_d"), *[number(_q(m)).alias(f"m{i}")
                                                             for i, m in enumerate(metrics)])
     base = base.where(F.col("_d").isNotNull())
     if freq is None:
@@ -188,44 +193,131 @@ def direction(values: DataFrame, keys: list[str], order: str, value: str) -> Dat
                         .otherwise("stable"))
 
 
-def holt(ser: DataFrame, h: int = 6, by: list[str] | None = None, grid: int = 19,
-         params: list[tuple[float, float]] | None = None) -> DataFrame:
-    """Holt additive-trend smoothing per series, parameters chosen on a
-    (alpha, beta) grid by one-step SSE; level/trend start at y0 and y1 - y0.
+def _holt_fold(alpha: Column, beta: Column, level: Column, trend: Column, keep: bool = False) -> Column:
+    """One pass of the smoothing over a series' array ``ys`` from a level and
+    trend before the first point: struct(l, b, sse) and, if kept, the one-step
+    predictions as ``fit``."""
+    start = F.struct(level.alias("l"), trend.alias("b"), F.lit(0.0).alias("sse"),
+                     *([F.array().cast("array<double>").alias("fit")] if keep else []))
+
+    def step(acc: Column, y: Column) -> Column:
+        pred = acc["l"] + acc["b"]
+        lv = alpha * y + (1 - alpha) * pred
+        err = y - pred
+        return F.struct(lv.alias("l"), (beta * (lv - acc["l"]) + (1 - beta) * acc["b"]).alias("b"),
+                        (acc["sse"] + err * err).alias("sse"),
+                        *([F.concat(acc["fit"], F.array(pred)).alias("fit")] if keep else []))
+
+    return F.aggregate("ys", start, step)
+
+
+def _holt_arrays(ser: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per series: its values and periods in order, and the bounds and
+    grid of the search."""
+    pts = F.sort_array(F.collect_list(F.struct("idx", "y", "period", "freq")))
+    arr = ser.groupBy(*keys).agg(pts.alias("pts"))
+    ys = F.transform("pts", lambda p: p["y"])
+    return arr.select(*keys, ys.alias("ys"), F.transform("pts", lambda p: p["period"]).alias("periods"),
+                      F.col("pts")[0]["freq"].alias("freq"))
 
-    The fold is a Catalyst ``aggregate`` over each series' period array
-    (bounded by the calendar); the grid is a fixed literal array exploded per
-    series (``params`` replaces it with given pairs).  Output: keys, alpha,
-    beta, sse, level, trend, forecast (array of h values)."""
+
+#: Search of the smoothing parameters: a grid of both, then ROUNDS rounds of
+#: trials around the best of each series, at steps that shrink by SHRINK.
+GRID_POINTS, ROUNDS, SHRINK = 19, 60, 0.7
+
+
+def holt(ser: DataFrame, h: int = 6, by: list[str] | None = None, grid: int = GRID_POINTS, rounds: int = ROUNDS,
+         params: list[tuple[float, float]] | None = None) -> DataFrame:
+    """Holt additive-trend smoothing per series, alpha, beta and the level
+    and trend before the first point chosen by one-step SSE.
+
+    All series are searched at once: one fold per trial over the series' array
+    (bounded by the calendar).  First a fixed (alpha, beta) grid, from the level
+    and trend that the first two points give; then rounds of trials around each
+    series' best -- one step up or down in each of the four, and along the last
+    round's move -- at steps that shrink when nothing is better.  The best so
+    far is always among the trials, so the SSE never rises, and alpha and beta
+    stay within (0, 1).  ``params`` replaces the search by given (alpha, beta)
+    pairs.
+
+    Output: keys, alpha, beta, level0, trend0 (before the first point), sse,
+    level, trend (after the last), fitted (array of struct period, y, fitted) and
+    forecast (array of h values).  A series is one row, its trials the columns of
+    that row, so many series are searched side by side."""
     keys = (by or []) + ["metric"]
-    spark = ser.sparkSession
-    arr = ser.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "y"))).alias("pts")) \
-        .withColumn("ys", F.transform("pts", lambda p: p["y"])).drop("pts")
+    arr = _holt_arrays(ser, keys)
     step = 1.0 / (grid + 1)
     pairs = params or [(a * step, b * step) for a in range(1, grid + 1) for b in range(1, grid + 1)]
-    # fixed (alpha, beta) grid as a literal array, exploded per series
-    g = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta")) for a, b in pairs])
-    init = F.struct(F.col("ys")[0].alias("l"), (F.col("ys")[1] - F.col("ys")[0]).alias("b"),
-                    F.lit(0.0).alias("sse"), F.lit(0).alias("i"))
-
-    def upd(acc, y):
-        pred = acc["l"] + acc["b"]
-        first = acc["i"] == 0
-        lv = F.when(first, acc["l"]).otherwise(F.col("alpha") * y + (1 - F.col("alpha")) * pred)
-        tr = F.when(first, acc["b"]).otherwise(F.col("beta") * (lv - acc["l"]) + (1 - F.col("beta")) * acc["b"])
-        err = F.when(first, F.lit(0.0)).otherwise(y - pred)
-        return F.struct(lv.alias("l"), tr.alias("b"), (acc["sse"] + err * err).alias("sse"),
-                        (acc["i"] + 1).alias("i"))
-
-    fitted = (arr.select("*", F.inline(g)).withColumn("st", F.aggregate("ys", init, upd)))
-    best = fitted.groupBy(*keys).agg(F.min_by(F.struct("alpha", "beta", "st"), F.col("st")["sse"]).alias("best"))
-    out = best.join(arr, keys).select(*keys, "ys", F.col("best")["alpha"].alias("alpha"),
-                                      F.col("best")["beta"].alias("beta"),
-                                      F.col("best")["st"]["sse"].alias("sse"),
-                                      F.col("best")["st"]["l"].alias("level"),
-                                      F.col("best")["st"]["b"].alias("trend"))
+    y0, y1 = F.col("ys")[0], F.col("ys")[1]
+    trials = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta"),
+                                (y0 - (y1 - y0)).alias("level"), (y1 - y0).alias("trend")) for a, b in pairs])
+    found = arr.withColumn("trials", trials).select(*arr.columns, _best_of(F.col("trials")).alias("best"))
+    if params is None and rounds:
+        found = found.mapInPandas(_refine(rounds), found.schema)
+    b = F.col("best")
+    last = _holt_fold(b["alpha"], b["beta"], b["level"], b["trend"], keep=True)
+    out = found.withColumn("end", last).select(
+        *keys, b["alpha"].alias("alpha"), b["beta"].alias("beta"), b["level"].alias("level0"), b["trend"].alias("trend0"),
+        F.col("end.sse").alias("sse"), F.col("end.l").alias("level"), F.col("end.b").alias("trend"),
+        F.zip_with(F.arrays_zip("periods", "ys"), F.col("end.fit"), lambda p, f: F.struct(
+            p["periods"].alias("period"), p["ys"].alias("y"), f.alias("fitted"))).alias("fitted"))
     return out.withColumn("forecast", F.transform(F.sequence(F.lit(1), F.lit(h)),
-                                                  lambda k: F.col("level") + k * F.col("trend"))).drop("ys")
+                                                  lambda k: F.col("level") + k * F.col("trend")))
+
+
+_BEST = "struct<sse: double, alpha: double, beta: double, level: double, trend: double>"
+
+
+def _best_of(trials: Column) -> Column:
+    """The trial with the smallest SSE (ties: the smallest parameters)."""
+    scored = F.transform(trials, lambda t: F.struct(
+        _holt_fold(t["alpha"], t["beta"], t["level"], t["trend"])["sse"].alias("sse"), t["alpha"].alias("alpha"),
+        t["beta"].alias("beta"), t["level"].alias("level"), t["trend"].alias("trend")))
+    return F.array_min(scored).cast(_BEST)
+
+
+def _refine(rounds: int):
+    """Pattern search around each series' best, all trials of a round at once."""
+
+    def sse(ys: np.ndarray, p: np.ndarray) -> np.ndarray:
+        level, trend, total = p[:, 2].copy(), p[:, 3].copy(), np.zeros(len(p))
+        for y in ys:
+            pred = level + trend
+            new = p[:, 0] * y + (1 - p[:, 0]) * pred
+            trend = p[:, 1] * (new - level) + (1 - p[:, 1]) * trend
+            total += (y - pred) ** 2
+            level = new
+        return total
+
+    def search(ys: np.ndarray, best: dict) -> dict:
+        names = ("alpha", "beta", "level", "trend")
+        at, low = np.array([best[n] for n in names]), best["sse"]
+        spread = float(np.std(ys)) or 1.0
+        size, move = np.array([0.05, 0.05, spread / 2, spread / 4]), np.zeros(4)
+        for _ in range(rounds):
+            trials = np.concatenate([at + s * np.diag(size) for s in (1, -1, 0.5, -0.5)] + [at + [move], at + [2 * move]])
+            trials[:, :2] = np.clip(trials[:, :2], 1e-4, 1 - 1e-4)
+            got = sse(ys, trials)
+            k = int(got.argmin())
+            if got[k] < low:
+                move, at, low = trials[k] - at, trials[k], float(got[k])
+            else:
+                size, move = size * SHRINK, np.zeros(4)
+        return {"sse": low, **dict(zip(names, at.tolist(), strict=True))}
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.copy()
+            pdf["best"] = [search(np.asarray(ys, float), dict(b)) for ys, b in zip(pdf["ys"], pdf["best"], strict=True)]
+            yield pdf
+
+    return work
+
+
+def fitted_values(smoothed: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """F5 as rows: every period of every series with its value and the one-step
+    fitted value."""
+    return smoothed.select(*(by or []), "metric", F.inline("fitted"))
 
 
 def forecast(df: DataFrame, periods: int = 6, date: str | None = None,

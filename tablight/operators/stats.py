@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from tablight.functions import keywords as K
 from tablight.functions import tails
-from tablight.functions.ordering import quantiles_from_counts, running_offsets
+from tablight.functions.missing import number, without_nan
+from tablight.functions.ordering import running_offsets
 from tablight.session import cut_lineage
 
 
@@ -43,34 +44,48 @@ def weighted_midranks(vc: DataFrame, part_cols: list[str], value_col: str,
 
 #: A value that holds at least 1 / HOT_SHARE of a column's rows is joined by broadcast.
 HOT_SHARE = 64
+#: Distinct values of a column up to which their ranks are broadcast (16 bytes each).
+BROADCAST_RANKS = 1 << 18
 
 
-def _with_ranks(long: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
-    """``long`` (keys, _rid, v) with the rank of v.  A column has at most
-    HOT_SHARE frequent values; their ranks are broadcast, and their rows are
-    spread over made-up keys in the join with the other ranks, so no task gets
-    all rows of one value."""
-    ranks = cut_lineage(ranks.select(*keys, "v", "t", "n", "rank"))
-    often = F.col("t") * HOT_SHARE >= F.col("n")
-    hot = F.broadcast(ranks.where(often).select(*keys, "v", F.col("rank").alias("_hot")))
-    rest = ranks.where(~often).select(*keys, "v", F.lit(0).cast("long").alias("_part"), F.col("rank").alias("_rest"))
-    spread_out = F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("_rid"), F.lit(4096)) + 1)
-    return (long.join(hot, keys + ["v"], "left").withColumn("_part", spread_out)
-            .join(rest, keys + ["v", "_part"], "left")
-            .withColumn("rank", F.coalesce("_hot", "_rest")).drop("_hot", "_rest", "_part"))
-
+def _with_rank(rows: DataFrame, ranks: DataFrame, value: str, out: str, small: bool) -> DataFrame:
+    """``rows`` with the rank of their ``value``, the rows otherwise as they are.
 
-def _rank_rows(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Replace each column by its mid-rank within the given rows."""
-    from tablight.functions.partitioning import spread
-    base = spread(df).select(F.monotonically_increasing_id().alias("_rid"),
-                             *[_q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    long = base.select("_rid", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("k"), F.col(f"c{i}").alias("v")) for i in range(len(cols))])))
-    long = long.where(F.col("v").isNotNull())
-    vc = long.groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    return (_with_ranks(long, weighted_midranks(vc, ["k"], "v"), ["k"])
-            .groupBy("_rid").pivot("k", list(range(len(cols)))).agg(F.first("rank")))
+    A table of at most BROADCAST_RANKS distinct values is broadcast.  Of a
+    larger one only the frequent values are (at most HOT_SHARE); the others meet
+    their rows in a join on the value, in which rows of a frequent value are
+    spread over made-up keys, so no task gets all rows of one value."""
+    if small:
+        return rows.join(F.broadcast(ranks.select(F.col("v").alias(value), F.col("rank").alias(out))), value)
+    often = F.col("t") * HOT_SHARE >= F.col("n")
+    hot = F.broadcast(ranks.where(often).select(F.col("v").alias(value), F.col("rank").alias("_hot")))
+    rest = ranks.where(~often).select(F.col("v").alias(value), F.lit(0).cast("long").alias("_part"),
+                                      F.col("rank").alias("_rest"))
+    spread_out = F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(4096)) + 1)
+    return (rows.join(hot, value, "left").withColumn("_part", spread_out).join(rest, [value, "_part"], "left")
+            .withColumn(out, F.coalesce("_hot", "_rest")).drop("_hot", "_rest", "_part"))
+
+
+def _ranked(rows: DataFrame, sets: list[tuple[int, list[str]]], given: str | None = None) -> list[DataFrame]:
+    """For each (id, columns): the rows (of that id in column ``given``) with
+    their columns replaced by mid-ranks within them.  Ranks of all columns come
+    from one table of distinct values; rows keep their columns together
+    throughout, so nothing is regrouped by row."""
+    names = [(g, c) for g, cols in sets for c in cols]
+    entries = [F.struct(F.lit(i).alias("k"), F.when(F.col(given) == g, F.col(c)).alias("v") if given else
+                        F.col(c).alias("v")) for i, (g, c) in enumerate(names)]
+    long = rows.select(F.inline(F.array(*entries))).where(F.col("v").isNotNull())
+    ranks = cut_lineage(weighted_midranks(long.groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt")), ["k"], "v"))
+    sizes = {r["k"]: r["d"] for r in ranks.groupBy("k").agg(F.count(F.lit(1)).alias("d")).collect()}
+    out = []
+    for g, cols in sets:
+        part = rows.where(F.col(given) == g) if given else rows
+        for c in cols:
+            k = names.index((g, c))
+            part = _with_rank(part, ranks.where(F.col("k") == k), c, f"rank {c}", sizes.get(k, 0) <= BROADCAST_RANKS)
+        out.append(part.select(*[F.col(f"rank {c}").alias(c) for c in cols]))
+    return out
 
 
 def spearman_matrix(df: DataFrame, cols: list[str], complete_rows: bool = True) -> DataFrame:
@@ -78,42 +93,42 @@ def spearman_matrix(df: DataFrame, cols: list[str], complete_rows: bool = True)
 
     ``complete_rows`` ranks over rows complete in all columns (the
     correlation-matrix convention); otherwise pairs use pairwise-complete
-    rows (identical when there are no nulls).
-    """
+    rows (identical when there are no missing values)."""
+    from tablight.functions.partitioning import spread
     spark = df.sparkSession
+    schema = "col_a string, col_b string, pair_pos int, r double, n long"
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    if not pairs:
+        return spark.createDataFrame([], schema)
+    base = df.select(*[number(_q(c)).alias(f"c{i}") for i, c in enumerate(cols)])
     if not complete_rows:
-        nulls = df.agg(*[F.count(F.when(_q(c).isNull(), 1)).alias(f"n{i}")
-                         for i, c in enumerate(cols)]).collect()[0]
-        if any(nulls[f"n{i}"] for i in range(len(cols))):
+        nulls = base.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in base.columns]).first()
+        if any(nulls):
             return spearman_pairs(df, [(cols[i], cols[j]) for i, j in pairs])
-    sub = df.select(*[_q(c) for c in cols]).dropna()
-    ranked = _rank_rows(sub, cols)
+    (ranked,) = _ranked(spread(base.dropna()), [(0, base.columns)])
     agg = ranked.agg(F.count(F.lit(1)).alias("n"), *[
-        F.corr(F.col(str(i)), F.col(str(j))).alias(f"r{i}_{j}") for i, j in pairs]).collect()[0]
+        F.corr(f"c{i}", f"c{j}").alias(f"r{i}_{j}") for i, j in pairs]).first()
     rows = [(cols[i], cols[j], p, agg[f"r{i}_{j}"], int(agg["n"])) for p, (i, j) in enumerate(pairs)]
-    return spark.createDataFrame(rows, "col_a string, col_b string, pair_pos int, r double, n long")
+    return spark.createDataFrame(rows, schema)
 
 
 def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Spearman r per pair on pairwise-complete rows, all pairs in one job."""
+    """Spearman r per pair on pairwise-complete rows; the ranks of all pairs come
+    from one table of distinct values."""
+    from tablight.functions.partitioning import spread
     spark = df.sparkSession
+    names = spark.createDataFrame([(p, a, b) for p, (a, b) in enumerate(pairs)], "p int, col_a string, col_b string")
     if not pairs:
-        return spark.createDataFrame([], "col_a string, col_b string, pair_pos int, r double, n long")
-    from tablight.functions.partitioning import spread
-    base = spread(df).select(F.monotonically_increasing_id().alias("_rid"), F.inline(F.array(*[
-        F.struct(F.lit(p).alias("p"), _q(a).cast("double").alias("x"), _q(b).cast("double").alias("y"))
+        return names.select("col_a", "col_b", F.col("p").alias("pair_pos"), F.lit(None).cast("double").alias("r"),
+                            F.lit(0).cast("long").alias("n"))
+    base = spread(df).select(F.inline(F.array(*[
+        F.struct(F.lit(p).alias("p"), number(_q(a)).alias("x"), number(_q(b)).alias("y"))
         for p, (a, b) in enumerate(pairs)]))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    long = base.select("_rid", "p", F.inline(F.array(
-        F.struct(F.lit(0).alias("s"), F.col("x").alias("v")),
-        F.struct(F.lit(1).alias("s"), F.col("y").alias("v")))))
-    vc = long.groupBy("p", "s", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    wide = (_with_ranks(long, weighted_midranks(vc, ["p", "s"], "v"), ["p", "s"])
-            .groupBy("p", "_rid").agg(F.max(F.when(F.col("s") == 0, F.col("rank"))).alias("rx"),
-                                      F.max(F.when(F.col("s") == 1, F.col("rank"))).alias("ry")))
-    res = wide.groupBy("p").agg(F.corr("rx", "ry").alias("r"), F.count(F.lit(1)).alias("n"))
-    names = spark.createDataFrame([(p, a, b) for p, (a, b) in enumerate(pairs)],
-                                  "p int, col_a string, col_b string")
+    parts = _ranked(base, [(p, ["x", "y"]) for p in range(len(pairs))], "p")
+    res = None
+    for p, part in enumerate(parts):
+        one = part.agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n")).withColumn("p", F.lit(p))
+        res = one if res is None else res.unionByName(one)
     return (names.join(res, "p", "left")
             .select("col_a", "col_b", F.col("p").alias("pair_pos"), "r",
                     F.coalesce("n", F.lit(0)).cast("long").alias("n")))
@@ -128,8 +143,8 @@ def spearman_tests(df: DataFrame, cols: list[str], top: int = 10) -> DataFrame:
     la, lb = F.lower("col_a"), F.lower("col_b")
     taut = (F.abs("r") >= 0.95) & (F.instr(lb, la) > 0) | (F.abs("r") >= 0.95) & (F.instr(la, lb) > 0)
     best = best.where(~taut)
-    nulls = df.agg(*[F.count(F.when(_q(c).isNull(), 1)).alias(f"n{i}") for i, c in enumerate(cols)]).collect()[0]
-    if not any(nulls[f"n{i}"] for i in range(len(cols))):
+    nulls = df.agg(*[F.count(F.when(number(_q(c)).isNull(), 1)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    if not any(nulls):
         # no nulls: pairwise-complete rows are the complete rows, reuse the matrix
         pw = best.select("col_a", "col_b", F.col("r").alias("r_pair"), F.col("n").alias("sample_size"))
     else:
@@ -153,12 +168,134 @@ def spearman_tests(df: DataFrame, cols: list[str], top: int = 10) -> DataFrame:
 # T6-T9 group tests
 # --------------------------------------------------------------------------
 
-def _group_long(df: DataFrame, cat_cols: list[str], num_cols: list[str]) -> DataFrame:
+#: Levels a category may have in a group test (the sweep takes 2 to 10).
+MAX_LEVELS = 256
+#: Values of a bucket that are counted at once, as a matrix of values and levels.
+BLOCK = 1 << 16
+
+
+def _level_counts(df: DataFrame, cats: list[str], nums: list[str]) -> DataFrame:
+    """(j, v, bkt, l0, l1, ..., cnt): rows by metric, value and the levels of all
+    categories together, in buckets of neighbouring values.  A row enters once
+    per metric, whatever the number of categories."""
+    from tablight.functions.ordering import default_buckets
     from tablight.functions.partitioning import spread
-    return spread(df.select(*[_q(c) for c in dict.fromkeys(cat_cols + num_cols)])).select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("categorical_col"), _q(c).cast("string").alias("level"),
-                 F.lit(m).alias("numeric_col"), _q(m).cast("double").alias("value"))
-        for c in cat_cols for m in num_cols]))).where(F.col("level").isNotNull() & F.col("value").isNotNull())
+    levels = [f"l{i}" for i in range(len(cats))]
+    rows = spread(df.select(*[_q(c) for c in dict.fromkeys(cats + nums)])).select(
+        *[_q(c).cast("string").alias(x) for x, c in zip(levels, cats, strict=True)],
+        F.inline(F.array(*[F.struct(F.lit(j).alias("j"), number(_q(m)).alias("v")) for j, m in enumerate(nums)])))
+    rows = rows.where(F.col("v").isNotNull() & F.coalesce(*levels).isNotNull())
+    counts = cut_lineage(rows.groupBy("j", "v", *levels).agg(F.count(F.lit(1)).alias("cnt")))
+    n = default_buckets(df)
+    # one row of cut points per metric; looked up in two steps of at most 256
+    cuts = counts.groupBy("j").agg(F.array_distinct(F.percentile_approx(
+        "v", [k / n for k in range(1, n)], 10_000)).alias("_cuts"))
+    cuts = cuts.withColumn("_tops", F.filter("_cuts", lambda c, at: at % 256 == 255))
+    v = F.col("v")
+    upto = lambda cut: F.size(F.filter(cut, lambda c: c <= v))
+    placed = counts.join(F.broadcast(cuts), "j").withColumn("_top", upto("_tops") * 256)
+    return placed.withColumn("bkt", F.col("_top") + upto(F.slice("_cuts", F.col("_top") + 1, F.lit(256)))) \
+        .drop("_cuts", "_tops", "_top")
+
+
+def _bucket_pairs(levels: int):
+    """Wins, ties and medians of all pairs of levels inside one bucket."""
+
+    def work(counts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        counts = counts.sort_values("v", kind="stable")
+        values, at = np.unique(counts["v"].to_numpy(), return_inverse=True)
+        weight = counts["cnt"].to_numpy(float)
+        for i in range(levels):
+            mine = known[known["i"] == i].sort_values("level")
+            if counts.empty or mine.empty:
+                continue
+            names = mine["level"].to_numpy()
+            place = pd.Index(names).get_indexer(counts[f"l{i}"])
+            row, col, w = at[place >= 0], place[place >= 0], weight[place >= 0]
+            k = len(names)
+            before = np.zeros(k)  # of each level, values below this block
+            wins, cubes, mixed, total = np.zeros((k, k)), np.zeros(k), np.zeros((k, k)), np.zeros(k)
+            whole, middle = 0.0, np.full((2, k), np.nan)
+            start = mine["before"].to_numpy(float)
+            half = (mine["n"].to_numpy(float) - 1) / 2
+            for lo in range(0, len(values), BLOCK):
+                here = (row >= lo) & (row < lo + BLOCK)
+                c = np.zeros((min(BLOCK, len(values) - lo), k))
+                np.add.at(c, (row[here] - lo, col[here]), w[here])
+                below = before + np.cumsum(c, axis=0) - c
+                wins += c.T @ (below + c / 2)
+                mixed += (c * c).T @ c
+                cubes += (c ** 3).sum(0)
+                t = c.sum(1)
+                whole += float((t ** 3 - t).sum())
+                for m, want in enumerate((np.floor(half), np.ceil(half))):
+                    found = (start + below <= want) & (want < start + below + c)
+                    r, f = np.nonzero(found)
+                    middle[m, f] = values[lo + r]
+                before, total = before + c.sum(0), total + c.sum(0)
+            ties = cubes[:, None] + cubes[None, :] + 3 * (mixed + mixed.T) - total[:, None] - total[None, :]
+            for x in range(k):
+                for y in range(k):
+                    own = x == y
+                    out.append((int(counts["j"].iloc[0]), i, names[x], names[y], wins[x, y],
+                                (whole if x == 0 else 0.0) if own else ties[x, y],
+                                middle[0, x] if own else np.nan, middle[1, x] if own else np.nan))
+        return pd.DataFrame(out, columns=["j", "i", "a", "b", "u", "tie", "lo", "hi"])
+
+    return work
+
+
+def _earlier_pairs(totals: pd.DataFrame) -> pd.DataFrame:
+    """Wins of a level over another that lies in earlier buckets, from the
+    totals of one (metric, category): at most buckets x levels rows."""
+    wide = totals.pivot(index="bkt", columns="level", values="t").sort_index().fillna(0.0)
+    t = wide.to_numpy(float)
+    wins = t.T @ (np.cumsum(t, axis=0) - t)
+    names = list(wide.columns)
+    j, i = int(totals["j"].iloc[0]), int(totals["i"].iloc[0])
+    return pd.DataFrame([(j, i, a, b, wins[x, y], 0.0, np.nan, np.nan) for x, a in enumerate(names)
+                         for y, b in enumerate(names)], columns=["j", "i", "a", "b", "u", "tie", "lo", "hi"])
+
+
+def _pair_table(df: DataFrame, cats: list[str], nums: list[str], min_group: int) -> tuple[DataFrame, DataFrame]:
+    """(levels, pairs) of all (category, metric) pairs from one order of each
+    metric's values.
+
+    levels: keys, level, n, sample_size (of all levels), eligible, median.
+    pairs: keys, a, b, u (values of a above those of b, ties half) and tie (sum
+    of t^3 - t over the values of both; for a = b its sum over a gives that of
+    all levels)."""
+    keys = ["j", "i"]
+    counts = _level_counts(df, cats, nums)
+    each = counts.select("j", "bkt", "cnt", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(f"l{i}").alias("level")) for i in range(len(cats))])))
+    totals = cut_lineage(each.where(F.col("level").isNotNull()).groupBy(*keys, "level", "bkt").agg(F.sum("cnt").alias("t")))
+    sizes = totals.groupBy(*keys, "level").agg(F.sum("t").alias("n"))
+    sizes = sizes.withColumn("sample_size", F.sum("n").over(Window.partitionBy(*keys))) \
+        .withColumn("eligible", F.col("n") >= min_group)
+    wide = sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > MAX_LEVELS).first()
+    if wide:
+        raise ValueError(f"{cats[wide['i']]!r} has {wide['k']} levels; a group test takes at most {MAX_LEVELS}")
+    chosen = sizes.where("eligible").select(*keys, "level", "n")
+    earlier = Window.partitionBy(*keys, "level").orderBy("bkt").rowsBetween(Window.unboundedPreceding, -1)
+    known = totals.join(F.broadcast(chosen), [*keys, "level"]).withColumn(
+        "before", F.coalesce(F.sum("t").over(earlier), F.lit(0)))
+    schema = "j int, i int, a string, b string, u double, tie double, lo double, hi double"
+    here = known.select(F.col("j").alias("kj"), F.col("bkt").alias("kbkt"), F.col("i").alias("i"), F.col("level").alias("level"),
+                        F.col("n").alias("n"), F.col("before").alias("before"))
+    inner = counts.groupBy("j", "bkt").cogroup(here.groupBy("kj", "kbkt")).applyInPandas(_bucket_pairs(len(cats)), schema)
+    between = known.select(*keys, "level", "bkt", "t").groupBy(*keys).applyInPandas(_earlier_pairs, schema)
+    real = lambda c: F.max(F.when(~F.isnan(c), F.col(c)))
+    pairs = cut_lineage(inner.unionByName(between).groupBy(*keys, "a", "b").agg(
+        F.sum("u").alias("u"), F.sum("tie").alias("tie"), real("lo").alias("lo"), real("hi").alias("hi")))
+    middle = pairs.where("a = b").select(*keys, F.col("a").alias("level"), ((F.col("lo") + F.col("hi")) / 2).alias("median"))
+    return sizes.join(middle, [*keys, "level"], "left"), pairs.drop("lo", "hi")
+
+
+def _named(t: DataFrame, cats: list[str], nums: list[str]) -> DataFrame:
+    return (t.withColumn("categorical_col", F.element_at(F.array(*map(F.lit, cats)), F.col("i") + 1))
+            .withColumn("numeric_col", F.element_at(F.array(*map(F.lit, nums)), F.col("j") + 1)).drop("i", "j"))
 
 
 def group_tests(df: DataFrame, cat_cols: list[str], num_cols: list[str], min_group: int = 5,
@@ -167,33 +304,21 @@ def group_tests(df: DataFrame, cat_cols: list[str], num_cols: list[str], min_gro
     (exactly two groups of >= 5) or Kruskal-Wallis (>= 3 groups), effect
     size, BH q across the family and the best 3 post-hoc pairs.
 
-    ``cat_cols`` should already be limited to 2-10 levels (see ``group_sweep``).
-    """
-    spark = df.sparkSession
-    keys = ["categorical_col", "numeric_col"]
-    vc = cut_lineage(_group_long(df, cat_cols, num_cols)
-                     .groupBy(*keys, "level", "value").agg(F.count(F.lit(1)).alias("cnt")))
-    sizes = vc.groupBy(*keys, "level").agg(F.sum("cnt").alias("n_g"))
-    n_all = sizes.groupBy(*keys).agg(F.sum("n_g").alias("sample_size"))
-    elig = sizes.where(F.col("n_g") >= min_group)
-    vce = vc.join(elig.select(*keys, "level"), keys + ["level"], "left_semi")
-    # one row per (keys, value) carrying its per-level counts (<= 10 levels),
-    # so rank sums need no join back to the value table
-    tv = vce.groupBy(*keys, "value").agg(
-        F.sum("cnt").alias("t"), F.map_from_entries(F.collect_list(F.struct("level", "cnt"))).alias("lv"))
-    ranked = running_offsets(tv, keys, ["value"], "t").withColumn(
-        "rank", F.col("_before").cast("double") + (F.col("t") + 1) / 2.0)
-    rsum = (ranked.select(*keys, "rank", F.explode("lv").alias("level", "cnt"))
-            .groupBy(*keys, "level").agg(F.sum(F.col("cnt") * F.col("rank")).alias("R"),
-                                         F.sum("cnt").alias("n_g")))
-    ties = ranked.groupBy(*keys).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("tie"),
-                                     F.max("_n").alias("n_e"))
-    per = rsum.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("k"),
-        F.sum(F.col("R") * F.col("R") / F.col("n_g")).alias("sr2"),
-        F.min_by("R", "level").alias("R1"), F.min_by("n_g", "level").alias("n1"),
-        F.max_by("n_g", "level").alias("n2"))
-    t = per.join(ties, keys).join(n_all, keys).where(F.col("k") >= 2)
+    Values are put in order once per metric; counts of all levels along that
+    order give the wins, ties and medians of all pairs, and rank sums are sums of
+    wins.  A category has at most MAX_LEVELS levels (``group_sweep`` takes 2 to
+    10); NaN is missing."""
+    sizes, pairs = _pair_table(df, cat_cols, num_cols, min_group)
+    keys = ["j", "i"]
+    n_g = sizes.where("eligible").select(*keys, F.col("level").alias("a"), F.col("n").alias("n_g"), "sample_size")
+    per_level = pairs.groupBy(*keys, "a").agg(F.sum("u").alias("w"), F.sum(F.when(F.col("a") == F.col("b"), F.col("tie")))
+                                              .alias("tie")).join(n_g, [*keys, "a"])
+    per_level = per_level.withColumn("R", F.col("w") + F.col("n_g") / 2.0)
+    t = per_level.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("k"), F.sum(F.col("R") * F.col("R") / F.col("n_g")).alias("sr2"),
+        F.min_by("R", "a").alias("R1"), F.min_by("n_g", "a").alias("n1"), F.max_by("n_g", "a").alias("n2"),
+        F.sum("tie").alias("tie"), F.sum("n_g").alias("n_e"), F.max("sample_size").alias("sample_size"))
+    t = _named(t.where(F.col("k") >= 2), cat_cols, num_cols)
     n = F.col("n_e").cast("double")
     u1 = F.col("R1") - F.col("n1") * (F.col("n1") + 1) / 2.0
     h_raw = 12.0 / (n * (n + 1)) * F.col("sr2") - 3 * (n + 1)
@@ -216,47 +341,26 @@ def group_tests(df: DataFrame, cat_cols: list[str], num_cols: list[str], min_gro
          .withColumn("missing_ratio", F.col("missing_dropped_count") / F.lit(max(rows, 1))))
     out = grade(bh(t, "p_value", ["family"]), kind="group")
     if posthoc:
-        ph = posthoc_pairs(vce, elig, keys)
-        out = out.join(ph, keys, "left")
+        out = out.join(_posthoc(sizes, pairs, cat_cols, num_cols), ["categorical_col", "numeric_col"], "left")
     return out.drop("sr2", "R1", "tie", "n_e")
 
 
-def posthoc_pairs(vce: DataFrame, elig: DataFrame, keys: list[str], best: int | None = 3) -> DataFrame:
+def _posthoc(sizes: DataFrame, pairs: DataFrame, cats: list[str], nums: list[str], best: int | None = 3) -> DataFrame:
     """Pairwise Mann-Whitney between eligible groups of each (category,
     metric) with >= 3 groups: U, p, effect, median difference, BH q within
     the pair family, best 3 by (q, -effect) as an array column."""
-    a = elig.select(*keys, F.col("level").alias("group_a"), F.col("n_g").alias("n_a"))
-    b = elig.select(*keys, F.col("level").alias("group_b"), F.col("n_g").alias("n_b"))
-    k = elig.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= 3)
-    # At most 45 pairs per (category, metric): levels are capped at 10.
-    pairs = a.join(b, keys).where(F.col("group_a") < F.col("group_b")).join(k.select(*keys), keys, "left_semi")
-    pk = keys + ["group_a", "group_b"]
-    # each value row meets only the pairs its level belongs to (equi-join on level)
-    side_a = vce.join(pairs.withColumn("level", F.col("group_a")), keys + ["level"])
-    side_b = vce.join(pairs.withColumn("level", F.col("group_b")), keys + ["level"])
-    pv = side_a.unionByName(side_b)
-    # per (pair, value): total count and the part from group a -- no join back
-    tv = pv.groupBy(*pk, "value").agg(
-        F.sum("cnt").alias("t"), F.sum(F.when(F.col("level") == F.col("group_a"), F.col("cnt"))
-                                       .otherwise(0)).alias("t_a"))
-    ranked = running_offsets(tv, pk, ["value"], "t").withColumn(
-        "rank", F.col("_before").cast("double") + (F.col("t") + 1) / 2.0)
-    agg = ranked.groupBy(*pk).agg(F.sum(F.col("t_a") * F.col("rank")).alias("R_a"),
-                                  F.sum(F.pow("t", 3) - F.col("t")).alias("tie"))
-    ra = agg.select(*pk, "R_a")
-    tie = agg.select(*pk, "tie")
-    med = quantiles_from_counts(vce.select(*keys, "level", "value", "cnt"), keys + ["level"], "value",
-                                {"median": 0.5})
-    ma = med.select(*keys, F.col("level").alias("group_a"), F.col("median").alias("med_a"))
-    mb = med.select(*keys, F.col("level").alias("group_b"), F.col("median").alias("med_b"))
-    u = F.col("R_a") - F.col("n_a") * (F.col("n_a") + 1) / 2.0
+    side = lambda x: sizes.where("eligible").select("j", "i", F.col("level").alias(x), F.col("n").alias(f"n_{x}"),
+                                                    F.col("median").alias(f"med_{x}"))
+    k = sizes.where("eligible").groupBy("j", "i").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= 3)
+    t = (pairs.where(F.col("a") < F.col("b")).join(k.select("j", "i"), ["j", "i"], "left_semi")
+         .join(side("a"), ["j", "i", "a"]).join(side("b"), ["j", "i", "b"]))
+    u = F.col("u")
     exact = (F.least("n_a", "n_b") <= 8) & (F.col("tie") == 0)
-    t = (pairs.join(ra, pk).join(tie, pk).join(ma, keys + ["group_a"]).join(mb, keys + ["group_b"])
-         .withColumn("u", u)
-         .withColumn("p_value", tails.mann_whitney_p_udf(u, F.col("n_a"), F.col("n_b"), F.col("tie"), exact))
+    t = (t.withColumn("p_value", tails.mann_whitney_p_udf(u, F.col("n_a"), F.col("n_b"), F.col("tie"), exact))
          .withColumn("effect_size", F.abs(1 - 2 * u / (F.col("n_a") * F.col("n_b"))))
          .withColumn("median_diff", F.col("med_a") - F.col("med_b")))
-    t = bh(t, "p_value", keys)
+    keys = ["categorical_col", "numeric_col"]
+    t = bh(_named(t.withColumnsRenamed({"a": "group_a", "b": "group_b"}), cats, nums), "p_value", keys)
     if best is None:
         return t
     w = Window.partitionBy(*keys).orderBy(F.col("q_value"), F.col("effect_size").desc(), "group_a", "group_b")
@@ -268,13 +372,8 @@ def posthoc_pairs(vce: DataFrame, elig: DataFrame, keys: list[str], best: int |
 
 def posthoc_all(df: DataFrame, cat: str, num: str, min_group: int = 5) -> DataFrame:
     """T8 flat: every eligible pair of groups with U, p, q, effect, medians."""
-    keys = ["categorical_col", "numeric_col"]
-    vc = cut_lineage(_group_long(df, [cat], [num]).groupBy(*keys, "level", "value")
-                     .agg(F.count(F.lit(1)).alias("cnt")))
-    sizes = vc.groupBy(*keys, "level").agg(F.sum("cnt").alias("n_g"))
-    elig = sizes.where(F.col("n_g") >= min_group)
-    vce = vc.join(elig.select(*keys, "level"), keys + ["level"], "left_semi")
-    return posthoc_pairs(vce, elig, keys, best=None)
+    sizes, pairs = _pair_table(df, [cat], [num], min_group)
+    return _posthoc(sizes, pairs, [cat], [num], best=None)
 
 
 def group_sweep(df: DataFrame, prof: DataFrame | None = None) -> DataFrame:
@@ -314,7 +413,7 @@ def contingency_tests(cells: DataFrame, keys: list[str]) -> DataFrame:
                                  F.min("level_a").alias("_a1"), F.min_by("rt", "level_a").alias("_r1"))
     cols = ct.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min("ct").alias("_cmin"),
                                  F.min("level_b").alias("_b1"), F.min_by("ct", "level_b").alias("_c1"))
-    dims = cut_lineage(rows.join(cols, keys).where((F.col("r") >= 2) & (F.col("c") >= 2)))
+    dims = rows.join(cols, keys).where((F.col("r") >= 2) & (F.col("c") >= 2))
     e = F.col("rt").cast("double") * F.col("ct") / F.col("n")
     full = cells.join(rt, keys + ["level_a"]).join(ct, keys + ["level_b"]).join(
         dims.select(*keys, "n", "_a1", "_b1"), keys)
@@ -331,7 +430,10 @@ def contingency_tests(cells: DataFrame, keys: list[str]) -> DataFrame:
     at = at.unionByName(ct.join(dims.select(*keys), keys, "left_semi").select(
         *keys, (F.col("ct") * 2).alias("_at"), F.lit(1).cast("long").alias("_c"), F.lit(0).cast("long").alias("_r")))
     at = at.groupBy(*keys, "_at").agg(F.sum("_c").alias("_c"), F.sum("_r").alias("_r"))
-    small = running_offsets(at, keys, ["_at"], "_c", out="_below", total="_all").groupBy(*keys).agg(
+    # totals of a table of n rows take at most sqrt(2 n) different values, so the
+    # window of one table stays small
+    earlier = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    small = at.withColumn("_below", F.coalesce(F.sum("_c").over(earlier), F.lit(0))).groupBy(*keys).agg(
         F.sum(F.col("_r") * F.col("_below")).alias("_small"))
     two = (F.col("r") == 2) & (F.col("c") == 2)
     n = F.col("n").cast("double")
@@ -661,6 +763,7 @@ def shape(df: DataFrame, cols: list[str], shapiro_p: DataFrame | None = None) ->
 
 def missing_meta(df: DataFrame, cols: list[str]) -> DataFrame:
     """Rows usable for an analysis on ``cols`` and how many were dropped."""
+    df = without_nan(df.select(*[_q(c) for c in cols]))
     complete = F.lit(True)
     for c in cols:
         complete = complete & _q(c).isNotNull()

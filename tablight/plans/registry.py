@@ -1089,7 +1089,7 @@ def f05f(spark, d):
 @register("f05_holt", None)
 def f05(spark, d):
     ser = FS.series(tbl(spark, d, "orders"), "o_orderdate", ["o_totalprice"], freq="month")
-    return rnd(FS.holt(ser, 6).drop("forecast"), 6)
+    return rnd(FS.holt(ser, 6).drop("forecast", "fitted"), 6)
 
 
 @register("f08_direction", _MONTHLY_SQL + """,
@@ -1263,6 +1263,24 @@ def _any_sql(col: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
 
 
+def _type_sql(share: str) -> str:
+    """The semantic type of name ``c`` by the rule table; ``share`` is SQL for
+    its range rule."""
+    from tablight.functions import keywords as KW
+    return "CASE " + " ".join(f"WHEN {_any_sql('c', words)} AND {share if condition else 'TRUE'} THEN '{value}'"
+                              for words, value, condition in KW.SEMANTIC_TYPE_RULES) + " ELSE 'raw_numeric' END"
+
+
+def _averaged_sql() -> str:
+    """Whether values of name ``c`` and type ``st`` must not be added up."""
+    from tablight.functions import keywords as KW
+    parts = []
+    for words, types, condition in KW.AVERAGED_RULES:
+        names = _any_sql("c", words) if words else "st IN (" + ", ".join(f"'{t}'" for t in types) + ")"
+        parts.append(f"({names}" + (f" AND NOT {_any_sql('c', KW.TOTAL_OR_COUNT)})" if condition else ")"))
+    return "(" + " OR ".join(parts) + ")"
+
+
 def _classify_sql() -> str:
     from tablight.functions import keywords as KW
     doms = list(KW.DOMAIN_KEYWORDS.items())
@@ -1272,23 +1290,10 @@ def _classify_sql() -> str:
     best = " ".join(f"WHEN h{i} > 0 AND h{i} >= greatest({', '.join(f'h{j}' for j in range(len(doms)))}) "
                     + " ".join(f"AND h{i} > h{j}" for j in range(i)) + f" THEN '{dom}'"
                     for i, (dom, _) in enumerate(doms))
-    A = lambda ws: _any_sql("n", ws)
-    role = f"""CASE WHEN {A(["id", "uuid", "code", "key"])} THEN 'identifier|1|none'
-  WHEN {A(["date", "time", "tarih", "orderdate"])} THEN 'time|4|none'
-  WHEN domain = 'football_soccer' AND {A(["player", "oyuncu"])} THEN 'primary_entity|5|none'
-  WHEN domain = 'football_soccer' AND {A(["team", "club", "position"])} THEN 'dimension|4|none'
-  WHEN domain = 'football_soccer' AND is_numeric AND {A(["goal", "gol", "assist", "asist", "rating", "xg"])}
-       THEN CASE WHEN {A(["rating"])} THEN 'primary_metric|5|mean' ELSE 'primary_metric|5|sum' END
-  WHEN domain = 'football_soccer' AND is_numeric AND {A(["shot", "minute"])} THEN 'secondary_metric|4|sum'
-  WHEN domain = 'sales' AND {A(["product", "region", "customer"])} THEN 'dimension|4|none'
-  WHEN domain = 'sales' AND is_numeric AND {A(["sales", "revenue", "profit", "quantity"])} THEN 'primary_metric|5|sum'
-  WHEN domain = 'sales' AND is_numeric AND {A(["margin"])} THEN 'secondary_metric|4|mean'
-  WHEN domain = 'hr' AND {A(["employee", "department", "role"])} THEN 'dimension|4|none'
-  WHEN domain = 'hr' AND is_numeric AND {A(["salary", "performance", "overtime", "tenure"])} THEN 'primary_metric|4|mean'
-  WHEN domain = 'logistics' AND {A(["route", "vendor", "shipment"])} THEN 'dimension|4|none'
-  WHEN domain = 'logistics' AND is_numeric AND {A(["delivery", "delay", "leadtime", "stock", "quantity", "cost"])}
-       THEN 'primary_metric|4|sum'
-  WHEN is_numeric THEN 'secondary_metric|3|mean' ELSE 'dimension|3|none' END"""
+    role = "CASE " + " ".join(
+        f"WHEN {'TRUE' if dom == 'any' else f'domain = {chr(39)}{dom}{chr(39)}'} AND {'is_numeric' if number else 'TRUE'} "
+        f"AND {_any_sql('n', words)} THEN '{role}|{importance}|{agg}'"
+        for dom, words, number, role, importance, agg in KW.ROLE_RULES) + " END"
     return f"""WITH c AS ({_lake_cols_sql()}),
 t AS (SELECT "table", string_agg(n, ' ') AS names FROM c GROUP BY 1),
 h AS (SELECT "table", {hits} FROM t),
@@ -1302,21 +1307,8 @@ def _semantics_sql() -> str:
     from tablight.functions import keywords as KW
     c = "replace(replace(lower(column_name), '_', ''), ' ', '')"
     A = lambda ws: _any_sql("c", ws)
-    tot = A(KW.TOTAL_OR_COUNT)
-    st = f"""CASE WHEN {A(["grade", "rating", "score"])} THEN 'score'
-  WHEN {A(["percentage", "percent", "pct", "rate", "ratio"])}
-       THEN CASE WHEN {A(["percentage", "percent", "pct"])} THEN 'percentage' ELSE 'rate' END
-  WHEN contains(c, 'attendance') AND FALSE THEN 'percentage'
-  WHEN {A(["hour", "duration", "minutes", "time", "reactiontime"])} THEN 'duration'
-  WHEN {A(["revenue", "sales", "profit", "amount", "cost", "price", "salary"])} THEN 'money'
-  WHEN {A(["quantity", "volume", "qty", "count"])} THEN CASE WHEN contains(c, 'count') THEN 'count' ELSE 'quantity' END
-  WHEN contains(c, 'index') THEN 'index' ELSE 'raw_numeric' END"""
-    mean_names = ["grade", "rating", "score", "reactiontime", "gaminghour", "studyhour", "sleephour"]
-    agg = f"""CASE WHEN st IN ('score', 'percentage', 'rate', 'duration', 'index') THEN 'mean'
-  WHEN contains(c, 'attendance') AND NOT {tot} THEN 'mean'
-  WHEN {A(mean_names)} THEN 'mean'
-  WHEN {A(["revenue", "sales", "profit", "amount", "quantity", "volume", "count", "cost"])} THEN 'sum'
-  ELSE 'mean' END"""
+    st = _type_sql("FALSE")
+    agg = f"CASE WHEN {_averaged_sql()} THEN 'mean' WHEN {A(KW.ADDED_NAMES)} THEN 'sum' ELSE 'mean' END"
     dirn = f"""CASE WHEN {A(KW.LOWER_IS_BETTER)} THEN 'lower_is_better'
   WHEN {A(KW.HIGHER_IS_BETTER)} THEN 'higher_is_better' ELSE 'neutral' END"""
     return f"""WITH b AS ({_lake_cols_sql()}),
@@ -1349,22 +1341,9 @@ def _audit_sql() -> str:
     prof = _profile_sql("lineitem", _LINEITEM)
     nums = ", ".join(f"('{c}', {str(t in ('bigint', 'int', 'double')).upper()})" for c, t in _LINEITEM)
     A = lambda ws: _any_sql("c", ws)
-    tot = A(KW.TOTAL_OR_COUNT)
-    mean_types = "('score', 'percentage', 'rate', 'duration', 'index')"
-    mean_names = ["grade", "rating", "score", "reactiontime", "gaminghour", "studyhour", "sleephour"]
-    st = f"""CASE WHEN {A(["grade", "rating", "score"])} THEN 'score'
-  WHEN {A(["percentage", "percent", "pct", "rate", "ratio"])}
-       THEN CASE WHEN {A(["percentage", "percent", "pct"])} THEN 'percentage' ELSE 'rate' END
-  WHEN contains(c, 'attendance') AND vmin >= 0 AND vmax <= 100 AND NOT {tot} THEN 'percentage'
-  WHEN {A(["hour", "duration", "minutes", "time", "reactiontime"])} THEN 'duration'
-  WHEN {A(["revenue", "sales", "profit", "amount", "cost", "price", "salary"])} THEN 'money'
-  WHEN {A(["quantity", "volume", "qty", "count"])} THEN CASE WHEN contains(c, 'count') THEN 'count' ELSE 'quantity' END
-  WHEN contains(c, 'index') THEN 'index' ELSE 'raw_numeric' END"""
-    inf_agg = f"""CASE WHEN st IN {mean_types} THEN 'mean' WHEN contains(c, 'attendance') AND NOT {tot} THEN 'mean'
-  WHEN {A(mean_names)} THEN 'mean'
-  WHEN {A(["revenue", "sales", "profit", "amount", "quantity", "volume", "count", "cost"])} THEN 'sum'
-  ELSE 'mean' END"""
-    repair = f"""(st IN {mean_types} OR (contains(c, 'attendance') AND NOT {tot}) OR {A(mean_names)})"""
+    st = _type_sql(f"(vmin >= 0 AND vmax <= 100 AND NOT {A(KW.TOTAL_OR_COUNT)})")
+    repair = _averaged_sql()
+    inf_agg = f"CASE WHEN {repair} THEN 'mean' WHEN {A(KW.ADDED_NAMES)} THEN 'sum' ELSE 'mean' END"
     dirn = f"""CASE WHEN {A(KW.LOWER_IS_BETTER)} THEN 'lower_is_better'
   WHEN {A(KW.HIGHER_IS_BETTER)} THEN 'higher_is_better' ELSE 'neutral' END"""
     safe = A(KW.METRIC_SAFE_TOKENS)

@@ -143,14 +143,19 @@ def _whole_object(line: str) -> bool:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON as an array of records (multi-line) or one record per line.
-
-    The first non-blank line (one line reaches the driver) decides: a line
-    that is a whole object means JSON lines; ``[`` or an unfinished object
-    means one document.  A document is parsed by one task; JSON lines are the
-    splittable route for large data."""
-    first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
-    if first and not _whole_object(first[0][0]):
+    """JSON as an array of records, one record per line, or one object.
+
+    What the file begins with decides; only its first line or, of an array, the
+    text up to the first ``}`` reaches the driver.  A line that is a whole object
+    means JSON lines.  ``[`` means an array of records, of any size and layout:
+    it is cut at its records by many tasks (``records``).  An unfinished object
+    is one record and read by one task."""
+    start = spark.read.option("lineSep", "}").text(path).where("trim(value) <> ''").select(
+        F.ltrim(F.translate("value", "\ufeff\r\n\t", "   ")).startswith("[")).first()
+    if start and start[0]:
+        return records.json_array(spark, path)
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    if first and not _whole_object(first[0]):
         return spark.read.option("multiLine", True).json(path)
     return spark.read.json(path)
 

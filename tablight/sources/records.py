@@ -13,13 +13,15 @@ record.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablight.session import cut_lineage
+from tablight.session import checkpoint_dir, cut_lineage
 
 
 def ends_open(line: bytes, inside: bool, sep: bytes, quote: bytes = b'"') -> bool:
@@ -148,12 +150,15 @@ def csv_records(spark: SparkSession, path: str | list[str], sep: str) -> DataFra
         (quoted & F.when(F.col("inside"), F.col("a1")).otherwise(F.col("a0"))).alias("goes_on"),
         ((F.col("head.start") == F.col("start")) & (F.col("head.first_no") == F.col("no"))).alias("is_first"))
     alone = at.where(~F.col("began") & ~F.col("goes_on")).select("path", "is_first", "unclosed", F.col("value").alias("record"))
-    return alone.unionByName(_assembled(cut_lineage(at.where("began or goes_on"))))
+    several = _assembled(cut_lineage(at.where("began or goes_on")), "\n", "is_first")
+    return alone.unionByName(several.withColumn("unclosed", F.lit(False)))
 
 
-def _assembled(parts: DataFrame) -> DataFrame:
-    """Records of several lines.  A line belongs to the last line before it that
-    opened a record: in its block, else the last one of an earlier block."""
+def _assembled(parts: DataFrame, joiner: str, *first: str) -> DataFrame:
+    """(path, first, record): records of several lines, joined; columns
+    ``first`` come from a record's first line.  A line belongs to the last line
+    before it that opened a record: in its block, else the last one of an
+    earlier block."""
     opens = F.when(~F.col("began"), F.col("no"))
     inner = Window.partitionBy("path", "start").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     parts = parts.withColumn("own", F.last(opens, ignorenulls=True).over(inner))
@@ -164,8 +169,97 @@ def _assembled(parts: DataFrame) -> DataFrame:
     parts = parts.join(blocks, ["path", "start"])
     home = F.when(F.col("own").isNotNull(), F.struct(F.col("start").alias("start"), F.col("own").alias("opened"))) \
         .otherwise(F.col("carried"))
-    lines = F.sort_array(F.collect_list(F.struct("start", "no", "value", "is_first")))
+    lines = F.sort_array(F.collect_list(F.struct("start", "no", "value", *first)))
     grouped = parts.withColumn("home", home).groupBy("path", "home").agg(lines.alias("lines"))
-    joined = F.concat_ws("\n", F.transform("lines", lambda x: x["value"].cast("string"))).cast("binary")
-    return grouped.select("path", F.col("lines")[0]["is_first"].alias("is_first"), F.lit(False).alias("unclosed"),
-                          joined.alias("record"))
+    joined = F.concat_ws(joiner, F.transform("lines", lambda x: x["value"].cast("string"))).cast("binary")
+    return grouped.select("path", *[F.col("lines")[0][c].alias(c) for c in first], joined.alias("record"))
+
+
+# --------------------------------------------------------------------------
+# JSON arrays
+# --------------------------------------------------------------------------
+
+_ESCAPED = re.compile(rb"\\.", re.DOTALL)
+
+
+def _depths(segment: bytes) -> tuple[int, int, int]:
+    """(1 if it flips "inside a string", change of depth if it starts outside,
+    if it starts inside); the ``}`` after it not counted."""
+    parts = _ESCAPED.sub(b"", segment).split(b'"') if b'"' in segment else [segment]
+    change = [0, 0]
+    for side in (0, 1):
+        for part in parts[side::2]:
+            change[side] += part.count(b"{") + part.count(b"[") - part.count(b"]")
+    return (len(parts) - 1) % 2, *change
+
+
+def _json_walk(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """(path, start, no, value, in0, in1, before0, before1, after0, after1) of
+    each segment: whether it starts inside a string and the depth before and after
+    it, from the block's start, if that is outside or inside a string."""
+    where, no, inside, depth = None, 0, 0, [0, 0]
+    for batch in batches:
+        rows = []
+        for path, start, value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if (path, start) != where:
+                where, no, inside, depth = (path, start), 0, 0, [0, 0]
+            flip, *change = _depths(value)
+            # a block that starts inside is inside wherever one that starts outside is not
+            after = [depth[h] + change[inside ^ h] - (1 if inside ^ h ^ flip == 0 else 0) for h in (0, 1)]
+            rows.append((path, start, no, value, inside, inside ^ 1, *depth, *after, inside ^ flip))
+            no, inside, depth = no + 1, inside ^ flip, after
+        yield rows
+
+
+def json_array_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(record): the objects of top-level JSON arrays, one to a row, as text."""
+    segments = spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.col("value").cast("binary").alias("value"))
+
+    def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[tuple, tuple] = {}
+        for rows in _json_walk(batches):
+            for r in rows:
+                last[r[0], r[1]] = (r[10], r[8], r[9])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in last], pa.string()), pa.array([k[1] for k in last], pa.int64()),
+             *[pa.array([v[i] for v in last.values()], pa.int64()) for i in range(3)]], ["path", "start", "flip", "d0", "d1"])
+
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = segments.mapInArrow(effects, "path string, start long, flip long, d0 long, d1 long")
+    blocks = blocks.withColumn("inside", F.coalesce(F.sum("flip").over(earlier), F.lit(0)) % 2)
+    change = F.when(F.col("inside") == 1, F.col("d1")).otherwise(F.col("d0"))
+    blocks = blocks.select("path", "start", "inside", F.coalesce(F.sum(change).over(earlier), F.lit(0)).alias("depth"))
+    blocks = cut_lineage(blocks)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "start", "no", "value", "in0", "in1", "before0", "before1", "after0", "after1", "end0"]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 7]
+        for rows in _json_walk(batches):
+            cols = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+    numbered = segments.mapInArrow(
+        work, "path string, start long, no long, value binary, in0 long, in1 long, before0 long, before1 long, "
+              "after0 long, after1 long, end0 long").join(blocks, ["path", "start"])
+    side = lambda a, b: F.when(F.col("inside") == 1, F.col(b)).otherwise(F.col(a))
+    outside = side("in0", "in1") == 0
+    ends_outside = (F.col("end0") + F.col("inside")) % 2 == 0
+    at = numbered.select(
+        "path", "start", "no", "value",
+        (~(outside & (F.col("depth") + side("before0", "before1") <= 1))).alias("began"),
+        (~(ends_outside & (F.col("depth") + side("after0", "after1") == 1))).alias("goes_on"))
+    alone = at.where(~F.col("began") & ~F.col("goes_on")).select(F.col("value").alias("record"))
+    several = _assembled(cut_lineage(at.where("began or goes_on")), "}")
+    text = F.concat(F.col("record").cast("string"), F.lit("}"))
+    # what stands between records goes; line ends can't be part of a string
+    text = F.translate(F.regexp_replace(text, r"^[\s,\[\x{FEFF}]+", ""), "\r\n", "  ")
+    return alone.unionByName(several.select("record")).select(text.alias("record")).where(F.col("record").startswith("{"))
+
+
+def json_array(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A JSON array file by way of JSON lines, which many tasks write and read."""
+    out = f"{checkpoint_dir(spark).rstrip('/')}/json-lines-{uuid.uuid4().hex}"
+    json_array_lines(spark, path).write.text(out)
+    return spark.read.json(out)

@@ -1,15 +1,20 @@
 """Streaming form of the calendar trend (A7/F3) over an event stream.
 
 The batch operators need the whole span to choose a period; a stream fixes
-the period up front, closes windows with a watermark and emits each window
-once (append mode).  Works on any streaming source with an event-time column.
+the period up front and closes windows with a watermark.  Works on any
+streaming source with an event-time column.  Results go to Parquet in the
+shared checkpoint folder, never to the driver's memory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tablight.session import checkpoint_dir
+
 
 def windowed_means(stream: DataFrame, ts: str, metric: str, period: str = "1 day",
                    by: list[str] | None = None, delay: str = "1 hour") -> DataFrame:
@@ -27,28 +32,65 @@ def windowed_means(stream: DataFrame, ts: str, metric: str, period: str = "1 day
                     "mean", "n", "total"))
 
 
-def run_to_table(spark, sf_dir: str, table: str, ts: str, metric: str, period: str = "1 day",
-                 by: list[str] | None = None, checkpoint: str | None = None,
-                 mode: str = "complete") -> DataFrame:
-    """Drive ``windowed_means`` from a parquet table read as a stream and
-    return the result table (batch DataFrame over the memory sink).
-
-    ``complete`` emits every window once the input is drained; ``append``
-    emits only windows the watermark has closed (what a live stream does)."""
-    import uuid
-    from tablight.session import checkpoint_dir
-    path = f"{sf_dir}/{table}.parquet"
-    schema = spark.read.parquet(path).schema
+def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A Parquet table (a folder, or one file by its name) as a stream."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    folder, _, name = path.rstrip("/").rpartition("/")
     # a file stream watches a folder; a single-file table is picked by name
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-    if not path.endswith("/") and "." in path.rsplit("/", 1)[-1]:
-        reader = reader.option("pathGlobFilter", path.rsplit("/", 1)[-1])
-        path = path.rsplit("/", 1)[0]
-    src = reader.parquet(path)
-    name = f"tablight_{table}_{metric}_{uuid.uuid4().hex[:8]}"
-    ckpt = checkpoint or f"{checkpoint_dir(spark)}/stream-{name}"
-    q = (windowed_means(src, ts, metric, period, by).writeStream.outputMode(mode)
-         .format("memory").queryName(name).option("checkpointLocation", ckpt).start())
+    return (reader.option("pathGlobFilter", name).parquet(folder) if _is_file(spark, path) else reader.parquet(path))
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    """Whether all files of the table are the path itself."""
+    files = spark.read.parquet(path).inputFiles()
+    return len(files) == 1 and files[0].rsplit("/", 1)[-1] == path.rstrip("/").rsplit("/", 1)[-1]
+
+
+def _late(query) -> int:
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
+
+
+def closed_windows(windows: DataFrame, checkpoint: str | None = None) -> tuple[DataFrame, int]:
+    """Drive ``windowed_means`` over what its source holds now, in append mode:
+    each window is written once, when the watermark has passed its end, and its
+    state is dropped.  Returns the written table and the number of rows that
+    came too late for any window.  The run goes on from ``checkpoint`` if given
+    (its folder also holds the table)."""
+    spark = windows.sparkSession
+    home = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    q = (windows.writeStream.outputMode("append").format("parquet").option("path", f"{home}/table")
+         .option("checkpointLocation", f"{home}/progress").start())
     q.processAllAvailable()
     q.stop()
-    return spark.table(name)
+    return spark.read.schema(windows.schema).parquet(f"{home}/table"), _late(q)
+
+
+def current_windows(windows: DataFrame, keys: list[str] | None = None, checkpoint: str | None = None) -> DataFrame:
+    """All windows as they stand, closed or not, in update mode: each batch
+    appends the windows it has changed to a Parquet table, and the newest
+    version of each is read back."""
+    spark = windows.sparkSession
+    home = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    def write(changed: DataFrame, batch: int) -> None:
+        # a batch that is run again after a failure writes the same folder again
+        changed.write.mode("overwrite").parquet(f"{home}/table/batch={batch}")
+
+    write(spark.createDataFrame([], windows.schema), -1)  # a table even if nothing arrives
+    q = (windows.writeStream.outputMode("update").foreachBatch(write)
+         .option("checkpointLocation", f"{home}/progress").start())
+    q.processAllAvailable()
+    q.stop()
+    written = spark.read.schema(windows.schema.add("batch", "long")).parquet(f"{home}/table")
+    w = Window.partitionBy("period_start", "period_end", *(keys or [])).orderBy(F.col("batch").desc())
+    return written.withColumn("_newest", F.row_number().over(w) == 1).where("_newest").drop("_newest", "batch")
+
+
+def run_to_table(spark, sf_dir: str, table: str, ts: str, metric: str, period: str = "1 day",
+                 by: list[str] | None = None) -> DataFrame:
+    """The windows of a Parquet table read as a stream in one batch, so that no
+    row is late: every window, closed or not."""
+    src = file_stream(spark, f"{sf_dir}/{table}.parquet")
+    return current_windows(windowed_means(src, ts, metric, period, by), by)
