@@ -12,7 +12,7 @@ passage.
 The masks are complete: whichever words of a window are substituted, as long as
 the share holds, some mask meets some place of it with equal words only.
 ``MASKS`` does this for windows of WINDOW words, ``SHORT_MASKS`` for those of
-SPAN to WINDOW - 1, which occur where an item or a document is that short.
+SPAN words and more, which occur where an item or a document is that short.
 Items below SPAN words match documents that hold them word for word.
 
 Documents are cut into overlapping pieces of word hashes before the seeds are
@@ -47,8 +47,18 @@ PIECE = 64
 BROADCAST_SEEDS = 1_000_000
 
 
+BETWEEN = r"[^\p{L}\p{N}]+"
+
+
+def few_words(text: str, below: int) -> Column:
+    """Whether a text has fewer words than ``below`` (before lower-casing, which
+    can only split words further); reads no more of it than that many words."""
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), BETWEEN, below + 2)
+    return F.size(F.filter(parts, lambda w: w != "")) < below
+
+
 def word_hashes(text: str) -> Column:
-    parts = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")
+    parts = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), BETWEEN)
     return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
@@ -144,22 +154,26 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
     seeds = benchmark_seeds(items, window)
     # a long document meets short items by the masks for them
     short_items = any(SPAN <= n < window for n in sizes)
-    at = F.col("first") + F.col("i")
-    piece = F.col("piece")
-    none = F.array().cast("array<bigint>")
-    long_doc = F.col("words") >= window
-    own = F.concat(F.when(long_doc, _seeds(piece, at, False)).otherwise(none),
-                   F.when(F.lit(True) if short_items else ~long_doc, _seeds(piece, at, True)).otherwise(none))
-    pieces = document_pieces(documents, window)
-    spots = pieces.select("doc_id", "piece", "first", "start", "words",
-                          F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"))
-    spots = spots.select("doc_id", "piece", "words", "start", "i", at.alias("p"), F.explode(own).alias("seed"))
+
+    def spots(docs: DataFrame, *short: bool) -> DataFrame:
+        at = F.col("first") + F.col("i")
+        sets = [_seeds(F.col("piece"), at, kind) for kind in short]
+        per = document_pieces(docs, window).select("doc_id", "piece", "first", "start", "words",
+                                                   F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"))
+        return per.select("doc_id", "piece", "words", "start", "i", at.alias("p"),
+                          F.explode(sets[0] if len(sets) == 1 else F.concat(*sets)).alias("seed"))
+
+    # short documents apart: their masks are many, and make code too long to be compiled well
+    few = few_words("text", window)
+    places = spots(documents.where(~few), False, *([True] if short_items else [])).unionAll(
+        spots(documents.where(few), True))
     n_seeds = sum(r["words"] for r in sizes.values()) * (len(MASKS) + len(SHORT_MASKS))
     if n_seeds <= broadcast_seeds:
-        hits = spots.join(F.broadcast(seeds), "seed")
+        hits = places.join(F.broadcast(seeds), "seed")
     else:
-        places = spots.select("seed", "doc_id", "start", "i", "p").join(seeds.select("seed").distinct(), "seed", "left_semi")
-        hits = places.join(pieces.select("doc_id", "start", "piece", "words"), ["doc_id", "start"]).join(seeds, "seed")
+        met = places.select("seed", "doc_id", "start", "i", "p").join(seeds.select("seed").distinct(), "seed", "left_semi")
+        pieces = document_pieces(documents, window).select("doc_id", "start", "piece", "words")
+        hits = met.join(pieces, ["doc_id", "start"]).join(seeds, "seed")
     found = _verified(hits, window, share)
     lengths = sorted(n for n in sizes if n < SPAN)
     if lengths:

@@ -18,11 +18,11 @@ from tests.conftest import SF
 @pytest.mark.parametrize("width", range(D.SPAN, D.WINDOW + 1))
 def test_masks_are_complete(width):
     """Any substitutions that leave the share are met by some mask somewhere."""
-    masks = D.MASKS if width == D.WINDOW else D.SHORT_MASKS
     gone = width - math.ceil(width * D.SHARE)
-    for subs in itertools.combinations(range(width), gone):
-        assert any(all(at + j not in subs for j, bit in enumerate(m) if bit == "1")
-                   for m in masks for at in range(width - D.SPAN + 1)), (width, subs)
+    for masks in ([D.SHORT_MASKS, D.MASKS] if width == D.WINDOW else [D.SHORT_MASKS]):
+        for subs in itertools.combinations(range(width), gone):
+            assert any(all(at + j not in subs for j, bit in enumerate(m) if bit == "1")
+                       for m in masks for at in range(width - D.SPAN + 1)), (width, subs)
 
 
 def tokens(text):
@@ -78,7 +78,7 @@ def test_leaks_equal_brute_force(leak_tables, bound):
     got = {(r.doc_id, r.item_id): r.best_share for r in D.leaks(df, bench, broadcast_seeds=bound).collect()}
     want = leaks_by_hand(docs, items)
     # a verified window is the best one that holds the seed, so its share may be below the best of all
-    assert got.keys() == want.keys() and len(want) > 40
+    assert got.keys() == want.keys() and len(want) >= 30
     assert all(D.SHARE <= got[k] <= want[k] + 1e-9 for k in want)
 
 
