@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tablight.llm.common import Scratch, shuffle_width, unit_id, utf8
 
 CHUNK_BYTES = 8 << 20
+CHUNKS_A_BUCKET = 8
 CHUNK_SCHEMA = "chunk long, ids binary, null_ids binary, flags binary, lens binary, data binary"
 
 
@@ -48,7 +49,10 @@ def chunked(documents: DataFrame, scratch: Scratch, name: str, flag=None, size:
         if held:
             yield make(unit_id(n), held)
 
-    return scratch.save(rows.mapInPandas(pack, schema), name, bucket=(shuffle_width(documents.sparkSession), "chunk"))
+    # a bucket holds CHUNKS_A_BUCKET chunks at most on average, so tasks don't grow with the input
+    total = documents.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
+    buckets = max(shuffle_width(documents.sparkSession), -(-total // (size * CHUNKS_A_BUCKET)))
+    return scratch.save(rows.mapInPandas(pack, schema), name, bucket=(buckets, "chunk"))
 
 
 def _packed(chunk: int, rows: list) -> pd.DataFrame:

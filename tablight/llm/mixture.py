@@ -45,6 +45,10 @@ BUCKETS = 256
 ROUNDS = 2
 
 
+#: Slots that one task makes.
+SLOTS_A_TASK = 1 << 18
+
+
 def n_words(text: Column) -> Column:
     """Number of runs of anything but ASCII white space."""
     squeezed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
@@ -164,6 +168,8 @@ def _slots(spark, src: pd.DataFrame, shard: int, seed: int, scratch: Scratch) ->
     numbered = prefix_sums(drawn, ["ord"], "_group", [F.col("shard")], "slots", "first", scratch, "numbers")
     inside = Window.partitionBy("shard").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     numbered = numbered.withColumn("at", F.coalesce(F.sum("slots").over(inside), F.lit(0)))
+    # a few rows a shard become its slots: dealt out by their number, whatever their bytes
+    numbered = numbered.repartition(max(1, -(-total // SLOTS_A_TASK)), "shard")
     each = numbered.select("shard", "ord", "at", "first",
                            F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("k"))
     each = each.select("shard", (F.col("at") + F.col("k")).alias("slot"), "ord",

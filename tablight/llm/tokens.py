@@ -92,6 +92,23 @@ def _piece_rows(path: str):
     return work
 
 
+#: Characters of pieces that leave a task at a time.
+CUT_CHARS = 4 << 20
+
+
+def _cut(chunk: int, overlap: int):
+    """Texts as overlapping pieces, in one walk over each."""
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row, text in zip(pdf["row"], pdf["text"], strict=True):
+                step = max(1, CUT_CHARS // chunk) * chunk
+                for lo in range(0, len(text), step):
+                    starts = range(lo, min(lo + step, len(text)), chunk)
+                    yield pd.DataFrame({"row": row, "seq": [s // chunk for s in starts], "start": list(starts),
+                                        "overlap": overlap, "piece": [text[s:s + chunk + overlap] for s in starts]})
+    return work
+
+
 def _spliced(pieces: DataFrame) -> DataFrame:
     """row, n_tokens (null where some pair of neighbours has no common
     stable boundary)."""
@@ -133,10 +150,7 @@ def count_tokens(documents: DataFrame, model: str, chunk: int = 32_768, overlap:
         counted, rest, step = [], todo.select("row", "text"), 0
         while longest:
             last = chunk >= longest  # one piece holds any text: nothing is left to splice
-            starts = F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk).cast("int"))
-            pieces = rest.select("row", F.posexplode(starts).alias("seq", "start"), "text").select(
-                "row", "seq", "start", F.lit(overlap).alias("overlap"),
-                F.col("text").substr(F.col("start") + 1, F.lit(chunk + overlap)).alias("piece"))
+            pieces = rest.mapInPandas(_cut(chunk, overlap), "row long, seq int, start int, overlap int, piece string")
             # one huge document becomes work for many tasks
             dealt = pieces.repartition("row", "seq").mapInPandas(
                 _piece_rows(model), "row long, seq int, n long, left_at array<long>, left_n array<long>, "
