@@ -21,7 +21,9 @@ about LENGTH bytes:
 Each step sorts identifiers by range in the packed exchange; identifiers are
 64-bit hashes (32 bits within a range in step 1, where a false match only costs
 work).  Documents with the same whole text as a smaller one are removed by
-their digest and take no further part.
+their digest and take no further part.  Documents above a slice's size are
+worked on in overlapping parts, so that memory does not grow with their length
+beyond the text and a mark per byte.
 
 Defined cases: null and empty texts have no bytes and keep the digest of the
 empty string; texts below LENGTH bytes are never touched; rows that share a
@@ -113,21 +115,38 @@ def _documents(row) -> tuple[np.ndarray, np.ndarray, bytes]:
     return ids, np.frombuffer(row["lens"], np.int64), row["data"]
 
 
-def _slices(ids: np.ndarray, lens: np.ndarray, data: bytes, skip: np.ndarray) -> Iterator[tuple[np.ndarray, Slice]]:
+def _slices(ids: np.ndarray, lens: np.ndarray, data: bytes,
+            skip: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, Slice]]:
     """Slices of about SLICE bytes of the documents that are not skipped, with
-    the documents' positions in the chunk."""
-    ends = np.cumsum(lens)
-    pick, used = [], 0
-    for i in range(len(lens)):
-        if skip[i] or lens[i] < LENGTH:
+    the documents' positions in the chunk and the places where their parts begin.
+
+    A document above SLICE bytes comes in parts that overlap by LENGTH - 1 bytes,
+    so every window lies whole in one.  Parts have the document's id, so none is
+    smaller than another; a reach that a part's edge cuts short only makes its
+    bucket a mixed one, whose windows are asked about one by one."""
+    starts = np.cumsum(lens) - lens
+    pick, offs, size, used = [], [], [], 0
+
+    def made() -> tuple[np.ndarray, np.ndarray, Slice]:
+        whole = b"".join(data[starts[k] + o:starts[k] + o + n] for k, o, n in zip(pick, offs, size, strict=True))
+        return np.array(pick), np.array(offs), Slice(whole, np.array(size, np.int64), ids[pick])
+
+    for i, n in enumerate(lens.tolist()):
+        if skip[i] or n < LENGTH:
             continue
-        pick.append(i)
-        used += int(lens[i])
-        if used >= SLICE:
-            yield np.array(pick), Slice(b"".join(data[ends[k] - lens[k]:ends[k]] for k in pick), lens[pick], ids[pick])
-            pick, used = [], 0
+        at = 0
+        while at == 0 or at + LENGTH <= n:
+            part = min(SLICE, n - at) if n > SLICE else n
+            pick.append(i), offs.append(at), size.append(part)
+            used += part
+            if used >= SLICE:
+                yield made()
+                pick, offs, size, used = [], [], [], 0
+            if at + part >= n:
+                break
+            at += part - (LENGTH - 1)
     if pick:
-        yield np.array(pick), Slice(b"".join(data[ends[k] - lens[k]:ends[k]] for k in pick), lens[pick], ids[pick])
+        yield made()
 
 
 def _digests(lens: np.ndarray, data: bytes) -> np.ndarray:
@@ -187,7 +206,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
                 digests = _digests(lens, data)
                 skip = _skipped(ids, digests, {})
                 keys, who = [], []
-                for pick, s in _slices(ids, lens, data, skip):
+                for pick, _, s in _slices(ids, lens, data, skip):
                     keys.append(s.h[s.anchors]), who.append(ids[pick][s.doc[s.anchors]])
                 keys = np.concatenate(keys) if keys else np.empty(0, U)
                 who = np.concatenate(who) if who else np.empty(0, np.int64)
@@ -255,7 +274,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
             for a, b in zip(mine["a"], mine["b"], strict=True)]))
         keys, reach, who = [], [], []
         if len(shared):
-            for pick, s in _slices(ids, lens, data, skip):
+            for pick, _, s in _slices(ids, lens, data, skip):
                 h = s.h[s.anchors]
                 short = (h // U(parts) & U(0xFFFFFFFF)) * U(parts) + h % U(parts)
                 at = np.minimum(np.searchsorted(shared, short), len(shared) - 1)
@@ -342,7 +361,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         skip = _skipped(ids, _digests(lens, data), digest_answers(ans))
         known, low, mixed = reach_answers(ans)
         keys, who = [], []
-        for pick, s in _slices(ids, lens, data, skip) if len(mixed) else ():
+        for pick, _, s in _slices(ids, lens, data, skip) if len(mixed) else ():
             at = open_windows(s, mixed, covered(s, ids[pick], known, low)[1])
             keys.append(s.window_ids(at)), who.append(ids[pick][s.doc[at]])
         if not keys:
@@ -388,14 +407,14 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         win, win_low = win[order], win_low[order]
         # windows that repeat within the chunk need its own smallest ids
         pending = []
-        for pick, s in _slices(ids, lens, data, skip):
+        for pick, offs, s in _slices(ids, lens, data, skip):
             cover, far = covered(s, ids[pick], known, low)
             at = open_windows(s, mixed, far)
-            pending.append((pick, s.lens, cover, at, s.window_ids(at), ids[pick][s.doc[at]]))
-        own, own_low, _ = _least_by(np.concatenate([np.empty(0, U)] + [p[4] for p in pending]),
-                                    np.concatenate([np.empty(0, np.int64)] + [p[5] for p in pending]))
+            pending.append((pick, offs, s.lens, cover, at, s.window_ids(at), ids[pick][s.doc[at]]))
+        own, own_low, _ = _least_by(np.concatenate([np.empty(0, U)] + [p[5] for p in pending]),
+                                    np.concatenate([np.empty(0, np.int64)] + [p[6] for p in pending]))
         gone = {}
-        for pick, slens, cover, at, k, who in pending:
+        for pick, offs, slens, cover, at, k, who in pending:
             if len(at):
                 first = own_low[np.searchsorted(own, k)]
                 if len(win):
@@ -407,9 +426,9 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
                 np.add.at(edge, at + LENGTH, -1)
                 cover = cover | (np.cumsum(edge)[:-1] > 0)
             lo = 0
-            for i, n in zip(pick.tolist(), slens.tolist(), strict=True):
+            for i, off, n in zip(pick.tolist(), offs.tolist(), slens.tolist(), strict=True):
                 if cover[lo:lo + n].any():
-                    gone[i] = cover[lo:lo + n]
+                    gone.setdefault(i, np.zeros(lens[i], bool))[off:off + n] |= cover[lo:lo + n]
                 lo += n
         out, end = [], 0
         for i, n in enumerate(lens.tolist()):

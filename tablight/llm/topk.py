@@ -16,7 +16,8 @@ thresholds are kept from one pair to the next within a task, and at most k rows
 per query and pair leave it.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite
-components take no part, nor do null ids; only vectors of equal length are
+components take no part, nor do null ids; components are whole numbers below
+2^53, and a score that may pass 64 bits raises; only vectors of equal length are
 compared; ties go to the smaller id; repeated candidate rows count separately,
 while a query id that is repeated is asked once (its smallest vector);
 candidates that share the query's id are its own; fewer than k candidates: all;
@@ -69,6 +70,19 @@ def segment_stats(m: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+def scores(c: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole numbers held as doubles: in doubles where
+    no sum can pass 2^53, else in 64-bit integers."""
+    if len(c) == 0:
+        return np.zeros(0, np.int64)
+    most = float(np.abs(c).max()) * float(np.abs(q).max()) * c.shape[1]
+    if most < 2.0 ** 53:
+        return (c @ q).astype(np.int64)
+    if most >= 2.0 ** 63:
+        raise OverflowError("a score may pass 64 bits")
+    return (c.astype(np.int64) * q.astype(np.int64)).sum(axis=1)
+
+
 def _best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best, ties to the smaller id."""
     if len(ids) > 4 * k:
@@ -95,7 +109,7 @@ def search_blocks(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray
         bound = np.where(own, -np.inf, bound + slack * np.abs(bound) + slack)
         first = np.argpartition(-bound, probe - 1)[:probe]
         first = first[~own[first]]
-        exact = c[first] @ q[i]
+        exact = scores(c[first], q[i])
         if len(first) >= k:
             floor[i] = max(floor[i], np.partition(exact, -k)[-k])
         alive = np.flatnonzero(bound >= floor[i])
@@ -103,7 +117,7 @@ def search_blocks(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray
             finer = stats_c[alive] @ stats_q[i]
             alive = alive[finer + slack * np.abs(finer) + slack >= floor[i]]
         alive = alive[~own[alive]]
-        score = c[alive] @ q[i]
+        score = scores(c[alive], q[i])
         top = _best(cid[alive], score, k)
         if len(top):
             if len(top) == k:
@@ -141,7 +155,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
                 if out:
                     yield pd.DataFrame({"query_id": np.repeat([x[0] for x in out], [len(x[1]) for x in out]),
                                         "vec_id": np.concatenate([x[1] for x in out]),
-                                        "score": np.concatenate([x[2] for x in out]).astype(np.int64)})
+                                        "score": np.concatenate([x[2] for x in out])})
 
     found = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tablight.llm import decontaminate as D
-from tablight.llm import toxicity
+from tablight.llm import repeats, topk, toxicity
 from tablight.llm.common import Scratch, split_by_ids
 from tests.conftest import SF
 
@@ -181,3 +181,98 @@ def test_pipeline_on_empty_tables(spark, odd_dir, tmp_path):
     for t in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{odd_dir}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def removed_by_hand(rows, length=50):
+    """Bytes of each document covered by a string that starts in a smaller one."""
+    low = {}
+    for d, t in rows:
+        for i in range(len(t) - length + 1):
+            w = t[i:i + length]
+            low[w] = min(d, low.get(w, d))
+    out = []
+    for d, t in rows:
+        gone = [False] * len(t)
+        for i in range(len(t) - length + 1):
+            if low[t[i:i + length]] < d:
+                gone[i:i + length] = [True] * length
+        out.append((d, sum(gone), bytes(b for b, g in zip(t, gone) if not g)))
+    return out
+
+
+def test_documents_in_parts(spark, monkeypatch):
+    """Repeats inside, across and at the edges of the parts of long documents."""
+    monkeypatch.setattr("tablight.llm.repeats.SLICE", 400)
+    rng = random.Random(12)
+    text = lambda n: bytes(rng.choice(b"abcdefgh \n") for _ in range(n))
+    shared = [text(n) for n in (50, 51, 75, 120, 700, 1500)]
+    rows = []
+    for d in range(14):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            parts.append(text(rng.choice([0, 20, 380, 900])))
+            s = rng.choice(shared)
+            at = rng.randint(0, max(0, len(s) - 60))
+            parts.append(s[at:])
+        rows.append((d, b"".join(parts)))
+    rows.append((14, rows[3][1]))
+    df = spark.createDataFrame([(d, t.decode()) for d, t in rows], "doc_id long, text string").repartition(3)
+    import hashlib
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(df).collect()}
+    want = {d: (n, hashlib.sha256(kept).hexdigest()) for d, n, kept in removed_by_hand(rows)}
+    assert got == want
+
+
+def test_scores_beyond_doubles(spark):
+    rng = np.random.default_rng(4)
+    v = rng.integers(-10**7, 10**7, (60, 80))
+    v[1] = v[0]
+    v[1, 0] += 1
+    df = spark.createDataFrame([(i, [int(x) for x in r]) for i, r in enumerate(v)], "vec_id long, v array<bigint>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id < 10"), k=7).collect()}
+    for q in range(10):
+        best = sorted(((-int((v[q] * v[c]).sum()), c) for c in range(60) if c != q))[:7]
+        assert [got[q, k + 1] for k in range(7)] == [(c, -s) for s, c in best]
+
+
+def test_model_scores_equal_a_replay():
+    """Smoothed probabilities worked out token by token."""
+    from tablight.llm import brown
+    rng = np.random.default_rng(8)
+    K = brown.N_CLASS
+    cls = np.r_[brown.END, rng.integers(1, 6, 30)]
+    count = np.r_[40, rng.integers(0, 9, 30)]
+    seq = [int(c) for c in rng.choice(31, 500, p=count / count.sum())]
+    pairs = np.zeros((K, K))
+    for a, b in zip([0, *seq], seq):
+        pairs[cls[a], cls[b]] += 1
+    tokens = np.bincount(cls, count, K).astype(np.int64)
+    types = np.bincount(cls[count > 0], minlength=K)
+    m = brown.Model(pairs, tokens, types, int((count == 1).sum()), int((count == 2).sum()))
+    lens = np.array([5, 1, 9])
+    toks = np.array([3, 7, 1, 9, 0, 0, 2, 2, 30, 11, 12, 13, 5, 5, 0])
+    base, score = m.score(cls[toks], count[toks], lens)
+    n, share = tokens.sum(), tokens / tokens.sum()
+    d = m.d
+    lost = np.array([0.0 if k == brown.END else d * types[k] / max(tokens[k], 1) for k in range(K)])
+    rows = []
+    for k in range(K):
+        t = pairs[k].sum()
+        rows.append(np.array([(max(pairs[k, j] - 0.5, 0) + 0.5 * (pairs[k] > 0).sum() * share[j]) / t for j in range(K)]) if t else share)
+    post = share * lost
+    rows.append((post / post.sum()) @ np.array(rows))
+    at = 0
+    for k, size in enumerate(lens):
+        prev, total, plain = brown.END, 0.0, 0.0
+        for tok in toks[at:at + size]:
+            plain += math.log10((count[tok] + 1) / (n + types.sum() + 1))
+            if count[tok]:
+                c = cls[tok]
+                total += math.log10(rows[prev][c]) + math.log10(max(count[tok] - (0 if c == brown.END else d), 1e-9) / tokens[c])
+                prev = c
+            else:
+                total += math.log10(rows[prev] @ lost)
+                prev = K
+        assert score[k] == pytest.approx(total) and base[k] == pytest.approx(plain)
+        at += size
+    assert np.allclose([r.sum() for r in rows], 1.0)
