@@ -234,5 +234,25 @@ def top_k_per_group(df: DataFrame, part_cols: list[str], order_cols: list[Column
 def row_index(df: DataFrame, part_cols: list[str], order_cols: list[str],
               n_buckets: int | None = None, out: str = "_rn") -> DataFrame:
     """0-based position of each row within its partition in ``order_cols`` order
-    (callers include a unique tie key), plus ``_n`` = partition size."""
-    return running_offsets(df, part_cols, order_cols, None, n_buckets, out=out)
+    (callers include a unique tie key), plus ``_n`` = partition size.
+
+    Without a number of buckets rows are dealt out by ranges of their keys, any
+    number and kind of them (Spark samples the keys and looks ranges up by
+    binary search), and written once.  A range holds each partition in one run,
+    so a position is the row's place in that run plus the partition's rows in
+    earlier ranges: a sum over one row per range and partition."""
+    if n_buckets is not None:
+        return running_offsets(df, part_cols, order_cols, None, n_buckets, out=out)
+    from tablight.session import cut_lineage
+    keys = [*part_cols, *order_cols]
+    dealt = df.repartitionByRange(default_buckets(df), *keys).sortWithinPartitions(*keys)
+    placed = cut_lineage(dealt.withColumn("_seq", F.monotonically_increasing_id())).withColumn(
+        "_range", F.shiftright("_seq", 33))
+    runs = placed.groupBy(*part_cols, "_range").agg(F.count(F.lit(1)).alias("_rows"), F.min("_seq").alias("_first"))
+    group = Window.partitionBy(*part_cols) if part_cols else Window.partitionBy()
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_base", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).withColumn(
+        "_n", F.sum("_rows").over(group)).drop("_rows")
+    cond = [placed[c].eqNullSafe(runs[c]) for c in [*part_cols, "_range"]]
+    return placed.join(runs, cond).select(*[placed[c] for c in df.columns],
+                                          (F.col("_base") + F.col("_seq") - F.col("_first")).alias(out), "_n")

@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tablight.functions import keywords as KW
 from tablight.functions import tails
 from tablight.operators import aggregates as A
 from tablight.operators import cluster as C
@@ -14,8 +15,8 @@ from tablight.operators import kpi as KP
 from tablight.operators import profile as P
 from tablight.operators import series as FS
 from tablight.operators import stats as S
-from tablight.plans.registry import (_MONTHLY_SQL, ORACLE, _group_rank_sql, _scratch, _spearman_sql,
-                                     _sweep_sql, register, rnd, tbl)
+from tablight.plans.registry import (_HIST_SQL, _MONTHLY_SQL, ORACLE, _chi_sql, _group_rank_sql, _priority_sql, _scratch, _shape_sql,
+                                     _spearman_sql, _sweep_sql, register, rnd, tbl)
 from tablight.sources import files
 
 # ==========================================================================
@@ -164,6 +165,12 @@ def f03n(spark, d):
     return rnd(FS.series(_gaps(spark, d), "o_orderdate", ["o_totalprice"], freq="month"), 4)
 
 
+@register("a12_histograms", " UNION ALL ".join(f"""SELECT '{c}' AS "column", * FROM (
+{_HIST_SQL.replace("l_extendedprice", c)})""" for c in ("l_quantity", "l_extendedprice", "l_tax")))
+def a12s(spark, d):
+    return A.histograms(tbl(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"])
+
+
 # ==========================================================================
 # T: p and q values, grades
 # ==========================================================================
@@ -446,3 +453,88 @@ def st02(spark, d):
     from tablight.streaming import trends
     out, _ = trends.closed_windows(trends.windowed_means(trends.file_stream(spark, f"{d}/events.parquet"), "ts", "value"))
     return out.select("period_start", "period_end", F.round("mean", 6).alias("mean"), "n", F.round("total", 4).alias("total"))
+
+
+# ==========================================================================
+# Rules and tests whose first query shows one branch only
+# ==========================================================================
+
+@register("t02_shape_with_p", "WITH z AS (" + _shape_sql("lineitem", ["l_quantity", "l_extendedprice", "l_discount"]) + """),
+y AS (SELECT * REPLACE (CAST(CASE "column" WHEN 'l_quantity' THEN 0.2 WHEN 'l_discount' THEN 0.01 END AS DOUBLE) AS p_value) FROM z),
+n AS (SELECT *, coalesce(p_value > 0.05 AND abs(skewness) < 0.75 AND outlier_ratio < 0.05, FALSE) AS normal FROM y)
+SELECT "column", non_null, skewness, kurtosis, outlier_ratio, p_value, normal AND non_null >= 8 AS is_normal,
+       CASE WHEN non_null < 8 THEN 'insufficient_data' WHEN normal THEN 'approximately_normal' ELSE shape END AS shape FROM n""")
+def t02p(spark, d):
+    p = spark.createDataFrame([("l_quantity", 0.2), ("l_discount", 0.01)], "column string, p_value double")
+    return rnd(S.shape(tbl(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], p), 6)
+
+
+_DEPENDENT = {"flag": "l_returnflag", "mixed": "CASE WHEN l_orderkey % 10 = 0 THEN 'A' ELSE l_returnflag END",
+              "other": "CASE WHEN l_orderkey % 3 = 0 THEN 'q' ELSE l_returnflag END",
+              "band": "CAST(CAST(floor((l_quantity - 1) / 17) AS BIGINT) AS VARCHAR)"}
+
+
+def _dependent_sql() -> str:
+    """Every pair of the four columns; all have an even number of degrees of freedom."""
+    frame = "(SELECT " + ", ".join(f"{e} AS {c}" for c, e in _DEPENDENT.items()) + " FROM lineitem) z"
+    parts, names = [], list(_DEPENDENT)
+    for i, a in enumerate(names):
+        for b in names[i + 1:]:
+            parts.append(f"""SELECT * FROM ({_chi_sql(frame, a, b)}
+SELECT '{a}' AS col_a, '{b}' AS col_b, {len(parts)} AS pos, chi2, sqrt(chi2 / (n * (least(r, k) - 1))) AS v, n, sparse,
+       exp(-chi2 / 2) * list_sum([power(chi2 / 2, j) / gamma(j + 1.0) FOR j IN range(0, CAST((r - 1) * (k - 1) / 2 AS BIGINT))]) AS p
+FROM s, d)""")
+    return "WITH t AS (" + " UNION ALL ".join(parts) + """),
+f AS (SELECT * FROM t WHERE v >= 0.3), o AS (SELECT *, row_number() OVER (ORDER BY p, pos) rk, COUNT(*) OVER () m FROM f)
+SELECT col_a, col_b, ROUND(chi2, 4) AS chi2, ROUND(v, 6) AS cramers_v, ROUND(p, 6) AS p_value,
+       ROUND(LEAST(1.0, MIN(p * m / rk) OVER (ORDER BY p, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q_value,
+       CASE WHEN v >= 0.5 THEN 'large' WHEN v >= 0.3 THEN 'medium' ELSE 'small' END AS effect_label FROM o"""
+
+
+@register("t14_several_pairs", _dependent_sql())
+def t14s(spark, d):
+    f = tbl(spark, d, "lineitem").select(*[F.expr(e.replace("VARCHAR", "STRING")).alias(c) for c, e in _DEPENDENT.items()])
+    t = S.dependencies(f, list(_DEPENDENT))
+    return rnd(t.select("col_a", "col_b", F.round("chi2", 4).alias("chi2"), "cramers_v", "p_value", "q_value", "effect_label"), 6)
+
+
+def _ranked_sql() -> str:
+    words = " + ".join(f"0.2 * CAST(contains(lower(technical), '{w}') AS INTEGER)" for w in KW.INSIGHT_PRIORITY)
+    label = lambda e: (f"CASE WHEN abs({e}) >= 0.5 THEN 'large' WHEN abs({e}) >= 0.3 THEN 'medium' "
+                       f"WHEN abs({e}) >= 0.1 THEN 'small' ELSE 'negligible' END")
+    return "WITH w AS (" + _sweep_sql() + f"""),
+g AS (SELECT 'group_test' AS kind, 'group-' || categorical_col || '-' || numeric_col AS id, effect_size, q_value, quality, 1 - p_value AS score,
+        printf('%s, p=%.4f, %d groups, q=%.4f, effect=%.2f (%s)', test, p_value, group_count, q_value, effect_size,
+               {label("effect_size")}) AS technical FROM w),
+c AS (SELECT * FROM ({_chi_sql("orders", "o_orderstatus", "o_orderpriority")}
+      SELECT chi2, sqrt(chi2 / (n * (least(r, k) - 1))) AS v, n, sparse,
+             exp(-chi2 / 2) * list_sum([power(chi2 / 2, j) / gamma(j + 1.0) FOR j IN range(0, CAST((r - 1) * (k - 1) / 2 AS BIGINT))]) AS p
+      FROM s, d)),
+x AS (SELECT 'chi' AS kind, 'chi-o_orderstatus-o_orderpriority' AS id, v AS effect_size, p AS q_value,
+        CASE WHEN n >= 30 AND p < 0.01 AND v >= 0.5 AND NOT sparse > 0.2 THEN 'high' WHEN n >= 20 AND p < 0.05 AND v >= 0.3 THEN 'medium'
+             WHEN p < 0.1 AND v >= 0.1 THEN 'low' ELSE 'exploratory' END AS quality, (1 - p) * (v + 0.1) AS score,
+        printf('Chi-Square, p=%.4f, Cramér''s V=%.2f, q=%.4f, effect=%.2f (%s)', p, v, p, v, {label("v")}) AS technical FROM c),
+a AS (SELECT * FROM g UNION ALL SELECT * FROM x)
+SELECT kind, id, ROUND(effect_size, 6) AS effect_size, ROUND(q_value, 6) AS q_value, quality, technical, ROUND(score, 6) AS score,
+       ROUND(score + {words} + CASE quality WHEN 'high' THEN 0.3 WHEN 'medium' THEN 0.2 WHEN 'low' THEN 0.1 ELSE 0 END, 6) AS priority
+FROM a"""
+
+
+@register("t18_ranked_findings", _ranked_sql())
+def t18r(spark, d):
+    o = tbl(spark, d, "orders")
+    groups = S.group_tests(o, ["o_orderstatus", "o_orderpriority"], ["o_totalprice"], posthoc=False)
+    chi = S.dependencies(o, ["o_orderstatus", "o_orderpriority"], min_v=0.0)
+    return rnd(S.rank_insights(None, groups, chi).drop("summary_cols"), 6)
+
+
+_NAMES = ["total_revenue", "error_count", "unit_profit", "plain", "net sales", "myrevenue"]
+
+
+@register("k02_names", "SELECT name AS \"column\", " + _priority_sql("name").replace(
+    "(^|[_\\s\\-]|[0-9])", "(^|[^a-z])") + " AS priority FROM (SELECT unnest([" + ", ".join(f"'{n}'" for n in _NAMES)
+    + "]) AS name FROM (SELECT COUNT(*) FROM orders))")
+def k02n(spark, d):
+    """The numbers of orders under names that show each rule."""
+    o = tbl(spark, d, "orders").select(*[(F.col("o_totalprice") * (i + 1)).alias(n) for i, n in enumerate(_NAMES)])
+    return P.profile(o).select("column", KP.domain_priority(F.col("column")).alias("priority"))

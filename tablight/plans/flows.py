@@ -90,7 +90,7 @@ def analytics(df: DataFrame, advanced: bool = True, boxes: int | None = None) ->
     out["kpis"] = KP.kpi_values(df, kpi_cols) if kpi_cols else KP.record_count(df)
     hist_ok = [r["column"] for r in A.histogram_ok(prof).where(F.col("histogram")).collect()
                if r["column"] in roles["metrics"]]
-    out["histograms"] = {c: A.histogram(df, c) for c in hist_ok}
+    out["histograms"] = A.histograms(df, hist_ok)  # one table for all columns
     out["categories"] = {c: A.category_counts(df, c) for c in roles["dimensions"]
                          if not any(r["column"] == c and r["dominant_flag"] for r in rows)}
     if not advanced:

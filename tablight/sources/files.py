@@ -43,7 +43,7 @@ _CORRUPT = "_not_parsed"
 def _header(sample: list[str], sep: str) -> list[str]:
     """Column names from the first line with text; blank ones are numbered,
     repeated ones get their number appended."""
-    first = next((r for r in csv.reader(io.StringIO("\n".join(sample)), delimiter=sep) if any(x.strip() for x in r)), [])
+    first = next((r for r in csv.reader(io.StringIO("\n".join(sample).lstrip("\ufeff")), delimiter=sep) if any(x.strip() for x in r)), [])
     seen = Counter(n.lower() for n in first)
     return [f"_c{i}" if not n.strip() else f"{n}{i}" if seen[n.lower()] > 1 else n for i, n in enumerate(first)]
 

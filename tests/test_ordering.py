@@ -36,6 +36,17 @@ def test_row_index_is_dense_and_ordered(spark):
     assert (out.sort_values("_rn")[["v", "k"]].to_numpy() == pdf.sort_values(["v", "k"])[["v", "k"]].to_numpy()).all()
 
 
+def test_row_index_by_ranges_of_any_keys(spark):
+    rng = np.random.default_rng(11)
+    rows = [(None if i % 50 == 0 else "xyz"[i % 3], None if i % 7 == 0 else f"k{int(rng.integers(0, 30))}", i) for i in range(800)]
+    df = spark.createDataFrame(rows, "g string, s string, i long").repartition(5)
+    got = {r["i"]: (r["_rn"], r["_n"]) for r in row_index(df, ["g"], ["s", "i"]).collect()}
+    assert len(got) == 800
+    for g in (None, "x", "y", "z"):
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or "", r[2]))
+        assert [got[r[2]] for r in mine] == [(k, len(mine)) for k in range(len(mine))]
+
+
 def test_top_k_per_group_exact(spark):
     pdf, df = _frame(spark, 6)
     got = top_k_per_group(df, ["g"], [F.col("v").desc(), F.col("k")], 3, ["k"], n_salt=5).toPandas()
