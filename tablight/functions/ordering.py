@@ -253,6 +253,8 @@ def row_index(df: DataFrame, part_cols: list[str], order_cols: list[str],
     earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_base", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).withColumn(
         "_n", F.sum("_rows").over(group)).drop("_rows")
-    cond = [placed[c].eqNullSafe(runs[c]) for c in [*part_cols, "_range"]]
-    return placed.join(runs, cond).select(*[placed[c] for c in df.columns],
+    theirs = {c: f"{c} of run" for c in [*part_cols, "_range"]}
+    runs = runs.select(*[F.col(c).alias(t) for c, t in theirs.items()], "_base", "_first", "_n")
+    cond = [F.col(f"`{c}`").eqNullSafe(F.col(f"`{t}`")) for c, t in theirs.items()]
+    return placed.join(runs, cond).select(*[F.col(f"`{c}`") for c in df.columns],
                                           (F.col("_base") + F.col("_seq") - F.col("_first")).alias(out), "_n")

@@ -290,7 +290,7 @@ def _pair_table(df: DataFrame, cats: list[str], nums: list[str], min_group: int)
     pairs = cut_lineage(inner.unionByName(between).groupBy(*keys, "a", "b").agg(
         F.sum("u").alias("u"), F.sum("tie").alias("tie"), real("lo").alias("lo"), real("hi").alias("hi")))
     middle = pairs.where("a = b").select(*keys, F.col("a").alias("level"), ((F.col("lo") + F.col("hi")) / 2).alias("median"))
-    return sizes.join(middle, [*keys, "level"], "left"), pairs.drop("lo", "hi")
+    return _named(sizes.join(middle, [*keys, "level"], "left"), cats, nums), _named(pairs.drop("lo", "hi"), cats, nums)
 
 
 def _named(t: DataFrame, cats: list[str], nums: list[str]) -> DataFrame:
@@ -309,7 +309,7 @@ def group_tests(df: DataFrame, cat_cols: list[str], num_cols: list[str], min_gro
     wins.  A category has at most MAX_LEVELS levels (``group_sweep`` takes 2 to
     10); NaN is missing."""
     sizes, pairs = _pair_table(df, cat_cols, num_cols, min_group)
-    keys = ["j", "i"]
+    keys = ["categorical_col", "numeric_col"]
     n_g = sizes.where("eligible").select(*keys, F.col("level").alias("a"), F.col("n").alias("n_g"), "sample_size")
     per_level = pairs.groupBy(*keys, "a").agg(F.sum("u").alias("w"), F.sum(F.when(F.col("a") == F.col("b"), F.col("tie")))
                                               .alias("tie")).join(n_g, [*keys, "a"])
@@ -318,7 +318,7 @@ def group_tests(df: DataFrame, cat_cols: list[str], num_cols: list[str], min_gro
         F.count(F.lit(1)).alias("k"), F.sum(F.col("R") * F.col("R") / F.col("n_g")).alias("sr2"),
         F.min_by("R", "a").alias("R1"), F.min_by("n_g", "a").alias("n1"), F.max_by("n_g", "a").alias("n2"),
         F.sum("tie").alias("tie"), F.sum("n_g").alias("n_e"), F.max("sample_size").alias("sample_size"))
-    t = _named(t.where(F.col("k") >= 2), cat_cols, num_cols)
+    t = t.where(F.col("k") >= 2)
     n = F.col("n_e").cast("double")
     u1 = F.col("R1") - F.col("n1") * (F.col("n1") + 1) / 2.0
     h_raw = 12.0 / (n * (n + 1)) * F.col("sr2") - 3 * (n + 1)
@@ -341,26 +341,26 @@ def group_tests(df: DataFrame, cat_cols: list[str], num_cols: list[str], min_gro
          .withColumn("missing_ratio", F.col("missing_dropped_count") / F.lit(max(rows, 1))))
     out = grade(bh(t, "p_value", ["family"]), kind="group")
     if posthoc:
-        out = out.join(_posthoc(sizes, pairs, cat_cols, num_cols), ["categorical_col", "numeric_col"], "left")
+        out = out.join(_posthoc(sizes, pairs), keys, "left")
     return out.drop("sr2", "R1", "tie", "n_e")
 
 
-def _posthoc(sizes: DataFrame, pairs: DataFrame, cats: list[str], nums: list[str], best: int | None = 3) -> DataFrame:
+def _posthoc(sizes: DataFrame, pairs: DataFrame, best: int | None = 3) -> DataFrame:
     """Pairwise Mann-Whitney between eligible groups of each (category,
     metric) with >= 3 groups: U, p, effect, median difference, BH q within
     the pair family, best 3 by (q, -effect) as an array column."""
-    side = lambda x: sizes.where("eligible").select("j", "i", F.col("level").alias(x), F.col("n").alias(f"n_{x}"),
+    keys = ["categorical_col", "numeric_col"]
+    side = lambda x: sizes.where("eligible").select(*keys, F.col("level").alias(x), F.col("n").alias(f"n_{x}"),
                                                     F.col("median").alias(f"med_{x}"))
-    k = sizes.where("eligible").groupBy("j", "i").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= 3)
-    t = (pairs.where(F.col("a") < F.col("b")).join(k.select("j", "i"), ["j", "i"], "left_semi")
-         .join(side("a"), ["j", "i", "a"]).join(side("b"), ["j", "i", "b"]))
+    k = sizes.where("eligible").groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= 3)
+    t = (pairs.where(F.col("a") < F.col("b")).join(k.select(*keys), keys, "left_semi")
+         .join(side("a"), [*keys, "a"]).join(side("b"), [*keys, "b"]))
     u = F.col("u")
     exact = (F.least("n_a", "n_b") <= 8) & (F.col("tie") == 0)
     t = (t.withColumn("p_value", tails.mann_whitney_p_udf(u, F.col("n_a"), F.col("n_b"), F.col("tie"), exact))
          .withColumn("effect_size", F.abs(1 - 2 * u / (F.col("n_a") * F.col("n_b"))))
          .withColumn("median_diff", F.col("med_a") - F.col("med_b")))
-    keys = ["categorical_col", "numeric_col"]
-    t = bh(_named(t.withColumnsRenamed({"a": "group_a", "b": "group_b"}), cats, nums), "p_value", keys)
+    t = bh(t.withColumnsRenamed({"a": "group_a", "b": "group_b"}), "p_value", keys)
     if best is None:
         return t
     w = Window.partitionBy(*keys).orderBy(F.col("q_value"), F.col("effect_size").desc(), "group_a", "group_b")
@@ -373,7 +373,7 @@ def _posthoc(sizes: DataFrame, pairs: DataFrame, cats: list[str], nums: list[str
 def posthoc_all(df: DataFrame, cat: str, num: str, min_group: int = 5) -> DataFrame:
     """T8 flat: every eligible pair of groups with U, p, q, effect, medians."""
     sizes, pairs = _pair_table(df, [cat], [num], min_group)
-    return _posthoc(sizes, pairs, [cat], [num], best=None)
+    return _posthoc(sizes, pairs, best=None)
 
 
 def group_sweep(df: DataFrame, prof: DataFrame | None = None) -> DataFrame:

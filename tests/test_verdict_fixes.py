@@ -148,9 +148,10 @@ def test_kmeans_on_repeated_points_is_as_good_as_mllib(spark):
 
 def test_kmeans_seed_weights_estimate_the_rows(spark):
     pts = spark.range(5000).select(F.col("id").cast("double").alias("x0"), F.when(F.col("id") < 10, 1000).otherwise(1).alias("w"))
-    x, w = C._seed_sample(pts, 1, 500, 42)
-    assert len(x) == 500 and set(range(10)) <= set(x[:, 0].astype(int))
-    assert abs(w.sum() - 14990) < 0.1 * 14990
+    x, w = C._spread_points(pts, 1, 6, 64, 42)  # every row counts with its nearest candidate
+    assert len(x) == len(w) <= 6 * 64 and w.sum() == 14990
+    near = w[np.abs(x[:, 0] - 4.5) < 40].sum()
+    assert near >= 10_000
 
 
 def test_chart_rules_look_at_identifiers_and_flags(spark):
