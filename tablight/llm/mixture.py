@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablight.llm.common import WORD_RE, Scratch, mix64, prefix_sums
+from tablight.llm.common import Scratch, mix64, prefix_sums
 
 BLOCK = 32
 SHARD = 4096
