@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tablight.session import cut_lineage
 
 #: Sketch points of a group, and the sketch's accuracy.
-GRID = [i / 64 for i in range(65)]
+GRID = [i / 32 for i in range(33)]
 ACCURACY = 10_000
 #: Rows of a cell whose distinct values are put in order by one window.
 DIRECT = 1 << 18
@@ -40,16 +40,22 @@ def _hint(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def _sized(rows: DataFrame, groups: list[str]) -> tuple[DataFrame, bool]:
+    return small_or_cut(rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")))
+
+
 def kth(rows: DataFrame, groups: list[str], value: str, wanted: dict[str, Column] | None = None,
-        targets: DataFrame | None = None, direct: int | None = None, depth: int = 0) -> DataFrame:
+        targets: DataFrame | None = None, direct: int | None = None, depth: int = 0,
+        known: tuple[DataFrame, bool] | None = None) -> DataFrame:
     """(groups, t, v, below, equal): for each wanted 0-based position of each
     group the value there, and how many rows of the group are smaller and equal.
 
     ``wanted`` maps names to positions as columns over ``n``, the group's
-    size; ``targets`` is a table (groups, t, k) instead.  Groups and values are
-    not null."""
+    size; ``targets`` is a table (groups, t, k) instead.  ``known`` are the
+    sizes of the groups (groups, n), if at hand, and whether they are few.
+    Groups and values are not null."""
     direct = DIRECT if direct is None else direct
-    sizes, small = small_or_cut(rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")))
+    sizes, small = known or _sized(rows, groups)
     if targets is None:
         targets = sizes.select(*groups, F.inline(F.array(*[
             F.struct(F.lit(t).alias("t"), k.cast("long").alias("k")) for t, k in wanted.items()])))
@@ -89,9 +95,11 @@ def _refined(rows: DataFrame, groups: list[str], value: str, targets: DataFrame,
     if rest.isEmpty():
         return done
     deeper = [*groups, name]
-    inner = celled.join(_hint(rest.select(*deeper).distinct(), small), deeper, "left_semi")
+    # a cell's extremes bound it, so its rows are found without the points
+    ends = rest.select(*deeper, "_lo", "_hi", F.col("_n").alias("n")).distinct()
+    inner = rows.join(_hint(ends.drop("n"), small), groups).where(v.between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
     inside = rest.select(*deeper, "t", (F.col("k") - F.col("_below")).alias("k"))
-    found = kth(inner, deeper, value, targets=inside, direct=direct, depth=depth + 1)
+    found = kth(inner, deeper, value, targets=inside, direct=direct, depth=depth + 1, known=(ends.drop("_lo", "_hi"), small))
     found = found.join(_hint(rest.select(*deeper, "t", "_below"), small), [*deeper, "t"])
     return done.unionByName(found.select(*groups, "t", "v", (F.col("below") + F.col("_below")).alias("below"), "equal"))
 
@@ -121,8 +129,9 @@ def quantiles(rows: DataFrame, groups: list[str], value: str, probs: dict[str, f
         at = F.lit(p) * (n - 1)
         wanted |= {f"{name} lo": F.floor(at), f"{name} hi": F.ceil(at)}
         parts |= {f"{name} lo": F.ceil(at) - at, f"{name} hi": at - F.floor(at)}
-    found = kth(rows, [*groups, *one], "_v", wanted, direct=direct)
-    size = rows.groupBy(*groups, *one).agg(F.count(F.lit(1)).alias("n"))
+    known = _sized(rows, [*groups, *one])
+    found = kth(rows, [*groups, *one], "_v", wanted, direct=direct, known=known)
+    size = _hint(*known)
     pick = lambda t: F.max(F.when(F.col("t") == t, F.col("v")))
     cols = [pick(t).alias(t) for t in wanted]
     wide = found.groupBy(*groups, *one).agg(*cols).join(size, [*groups, *one])
