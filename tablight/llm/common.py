@@ -16,11 +16,6 @@ from tablight.session import checkpoint_dir
 #: Bits of the bitmap of hashed ids, whatever the number of ids: 16 MB.
 ID_BITS = 1 << 27
 
-#: Words are maximal runs of anything but space, tab, LF, VT, FF and CR.
-#: ``bytes.split()`` cuts at exactly these six, and ``bytes.lower()`` lowers
-#: exactly A-Z.
-WORD_RE = r"[^\x20\x09-\x0D]+"
-
 
 def tbl(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,6 +27,9 @@ def utf8(col: str | Column) -> Column:
 
 
 def words_of(data: bytes) -> list[bytes]:
+    """Words are maximal runs of anything but space, tab, LF, VT, FF and CR:
+    ``bytes.split()`` cuts at exactly these six, and ``bytes.lower()`` lowers
+    exactly A-Z."""
     return data.lower().split()
 
 
