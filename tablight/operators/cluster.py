@@ -164,13 +164,108 @@ def _nearest(X, C):
     """For each point the nearest of the centres and its squared distance."""
     import numpy as np
     at, best = np.zeros(len(X), int), np.full(len(X), np.inf)
-    for lo in range(0, len(X), 4096):
-        d2 = ((X[lo:lo + 4096, None, :] - C[None, :, :]) ** 2).sum(2)
-        at[lo:lo + 4096] = d2.argmin(1)
-        best[lo:lo + 4096] = d2.min(1)
+    half = (C * C).sum(1) / 2
+    for lo in range(0, len(X), 1024):
+        part = X[lo:lo + 1024]
+        near = (half - part @ C.T).argmin(1)
+        at[lo:lo + 1024] = near
+        best[lo:lo + 1024] = ((part - C[near]) ** 2).sum(1)
     return at, best
 
 
+#: Points of a packed block, and of one of its cells.
+BLOCK, CELL = 1 << 19, 64
+
+
+def _block(X, w) -> dict:
+    """Points packed into one row: neighbours lie together in cells, each with
+    its box, weight, mean and weighted squares about the mean."""
+    import numpy as np
+    n, d = X.shape
+    sides = max(1, round((n / CELL) ** (1 / d)))
+    cell = np.zeros(n, np.int64)
+    for i in range(d):  # every slab is cut along the next axis
+        order = np.lexsort((X[:, i], cell))
+        X, w, cell = X[order], w[order], cell[order]
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        sizes = np.diff(np.r_[starts, n])
+        cell = cell * sides + (np.arange(n) - np.repeat(starts, sizes)) * sides // np.repeat(sizes, sizes)
+    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    sizes = np.diff(np.r_[starts, n])
+    weight = np.add.reduceat(w, starts)
+    mean = np.add.reduceat(X * w[:, None], starts) / weight[:, None]
+    own = (((X - np.repeat(mean, sizes, axis=0)) ** 2).sum(1)) * w
+    stats = np.column_stack([np.minimum.reduceat(X, starts), np.maximum.reduceat(X, starts), mean, weight,
+                             np.add.reduceat(own, starts)])
+    return {"x": X.tobytes(), "w": w.tobytes(), "sizes": sizes.astype(np.int64).tobytes(), "stats": stats.tobytes()}
+
+
+def _packed_points(pts: DataFrame, d: int) -> DataFrame:
+    """The weighted points as a row per ``BLOCK`` of them, see ``_block``."""
+    import numpy as np
+    import pandas as pd
+    x = [f"x{i}" for i in range(d)]
+
+    def pack(batches):
+        held, n = [], 0
+        for pdf in batches:
+            held.append(pdf[[*x, "w"]].to_numpy(float))
+            n += len(pdf)
+            if n >= BLOCK:
+                rows = np.concatenate(held)
+                yield pd.DataFrame([_block(rows[:, :d], rows[:, d])])
+                held, n = [], 0
+        if n:
+            rows = np.concatenate(held)
+            yield pd.DataFrame([_block(rows[:, :d], rows[:, d])])
+
+    return pts.select(*x, "w").mapInPandas(pack, "x binary, w binary, sizes binary, stats binary")
+
+
+def _whole_cells(stats, C):
+    """Squared distances of the cells' means from the centres, and which cells
+    have their whole box on one centre's side of every other."""
+    import numpy as np
+    k, d = C.shape
+    lo, hi, mean = stats[:, :d], stats[:, d:2 * d], stats[:, 2 * d:3 * d]
+    d2 = np.stack([((mean - c) ** 2).sum(1) for c in C], 1)
+    near = d2.argmin(1)
+    whole = np.ones(len(near), bool)
+    for j in range(k):
+        # the corner of the box that is furthest towards centre j
+        corner = np.where(C[j] > C[near], hi, lo)
+        gap = ((corner - C[j]) ** 2).sum(1) - ((corner - C[near]) ** 2).sum(1)
+        whole &= (near == j) | (gap > 1e-9 * (1 + (corner * corner).sum(1)))
+    return d2, whole
+
+
+def _block_sums(X, w, sizes, stats, C):
+    """Weight, sum of squared distances and sums of the points nearest to each
+    centre.  Cells that belong to one centre count as a whole; only the points
+    of the others are looked at."""
+    import numpy as np
+    k, d = C.shape
+    mean, weight, own = stats[:, 2 * d:3 * d], stats[:, -2], stats[:, -1]
+    d2, whole = _whole_cells(stats, C)
+    near = d2.argmin(1)
+    at, wt = near[whole], weight[whole]
+    cost = own[whole] + wt * d2[whole, at]
+    cnt, sse = np.bincount(at, wt, k), np.bincount(at, cost, k)
+    sums = np.stack([np.bincount(at, wt * mean[whole, i], k) for i in range(d)], 1)
+    if not whole.all():
+        rest = np.repeat(~whole, sizes)
+        P, pw = X[rest], w[rest]
+        best, lab = ((P - C[0]) ** 2).sum(1), np.zeros(len(P), np.int64)
+        for j in range(1, k):  # ties to the lower index
+            dj = ((P - C[j]) ** 2).sum(1)
+            closer = dj < best
+            lab[closer] = j
+            np.minimum(best, dj, out=best)
+        cnt, sse = cnt + np.bincount(lab, pw, k), sse + np.bincount(lab, best * pw, k)
+        sums = sums + np.stack([np.bincount(lab, pw * P[:, i], k) for i in range(d)], 1)
+    return cnt, sse, sums
+
+
 def _seeded(found, weight, k: int, rng, trials: int = 12):
     """Centres for one run: the best of a few weighted k-means++ starts, each
     settled on the weighted candidates."""
@@ -198,11 +293,12 @@ def kmeans_sweep(scaled: DataFrame, cols: list[str], max_k: int = 5, n_init: int
     """C4: k = 2..min(5, n//2), ``n_init`` restarts per k, lowest inertia kept.
 
     ``batched`` (default) runs Lloyd's algorithm for every (k, restart) at
-    once: each iteration is one pass over the points in which every partition
-    assigns its points for all runs with numpy and emits only per-cluster
-    partial sums; a groupBy adds them up (at most runs x k rows) and the new
-    centres go back as a broadcast literal.  Equal points are one weighted
-    point throughout.  Seeds come from ``rounds`` oversampling passes over all
+    once: each iteration is one pass over packed blocks of points in which every
+    task assigns its points for all runs with numpy, whole cells of a block at a
+    time where a cell lies within one cluster, and emits only per-cluster partial
+    sums; a groupBy adds them up (at most runs x k rows) and the new centres go
+    back as a broadcast literal.  Equal points are one weighted point throughout;
+    runs that start from the same centres are one run.  Seeds come from ``rounds`` oversampling passes over all
     points (``per_round`` candidates each, ``_spread_points``) and weighted
     k-means++ on the candidates.  ``mllib`` fits ``pyspark.ml`` KMeans per restart.
     Returns (k, inertia) and the chosen centres by k (numpy arrays)."""
@@ -231,27 +327,29 @@ def kmeans_sweep(scaled: DataFrame, cols: list[str], max_k: int = 5, n_init: int
     for k in ks:
         for r in range(n_init):
             runs[(k, r)] = _seeded(found, weight, k, np.random.default_rng(seed + 1000 * k + r))
-    schema = "k int, run int, j int, cnt long, sse double, " + ", ".join(f"s{i} double" for i in range(d))
+    # runs that start from the same centres are one run
+    same = {}
+    for key, c in runs.items():
+        same.setdefault((key[0], c[np.lexsort(c.T)].tobytes()), key)
+    runs = {key: runs[key] for key in same.values()}
+    blocks = _packed_points(pts, d).persist()
+    schema = "k int, run int, j int, cnt double, sse double, " + ", ".join(f"s{i} double" for i in range(d))
 
     def one_pass(centres: dict) -> dict:
-        bc = spark.sparkContext.broadcast({key: c.tolist() for key, c in centres.items()})
+        bc = spark.sparkContext.broadcast(centres)
 
         def partial(it):
-            cs = {key: np.array(v) for key, v in bc.value.items()}
             for pdf in it:
-                X, w = pdf[[f"x{i}" for i in range(d)]].to_numpy(dtype=float), pdf["w"].to_numpy(dtype=float)
                 rows = []
-                for (k, r), C in cs.items():
-                    d2 = ((X[:, None, :] - C[None, :, :]) ** 2).sum(2)
-                    lab = d2.argmin(1)
-                    mind = d2[np.arange(len(X)), lab]
-                    for j in range(len(C)):
-                        m = lab == j
-                        rows.append((k, r, j, int(w[m].sum()), float((mind * w)[m].sum()),
-                                     *(X * w[:, None])[m].sum(0).tolist()))
+                for x, w, sizes, stats in zip(pdf["x"], pdf["w"], pdf["sizes"], pdf["stats"], strict=True):
+                    X, w = np.frombuffer(x).reshape(-1, d), np.frombuffer(w)
+                    sizes, stats = np.frombuffer(sizes, np.int64), np.frombuffer(stats).reshape(-1, 3 * d + 2)
+                    for (k, r), C in bc.value.items():
+                        cnt, sse, sums = _block_sums(X, w, sizes, stats, C)
+                        rows += [(k, r, j, cnt[j], sse[j], *sums[j].tolist()) for j in range(len(C))]
                 yield pd.DataFrame(rows, columns=["k", "run", "j", "cnt", "sse"] + [f"s{i}" for i in range(d)])
 
-        agg = (pts.mapInPandas(partial, schema)
+        agg = (blocks.mapInPandas(partial, schema)
                .groupBy("k", "run", "j").agg(F.sum("cnt").alias("cnt"), F.sum("sse").alias("sse"),
                                              *[F.sum(f"s{i}").alias(f"s{i}") for i in range(d)])
                .collect())  # at most runs x k rows
@@ -284,10 +382,11 @@ def kmeans_sweep(scaled: DataFrame, cols: list[str], max_k: int = 5, n_init: int
     stats = one_pass(final)
     rows, models = [], {}
     for k in ks:
-        cost = {r: sum(row["sse"] for row in stats.get((k, r), {}).values()) for r in range(n_init)}
+        cost = {r: sum(row["sse"] for row in stats.get((k, r), {}).values()) for r in range(n_init) if (k, r) in final}
         best = min(cost, key=lambda r: (cost[r], r))
         models[k] = final[(k, best)]
         rows.append((k, float(cost[best])))
+    blocks.unpersist()
     pts.unpersist()
     return spark.createDataFrame(rows, "k int, inertia double"), models
 
@@ -424,23 +523,28 @@ def silhouette_euclidean(assigned: DataFrame, cols: list[str], label: str = "clu
     of = np.array([code[r["c"]] for r in rows])
     size = np.bincount(of, w)
     slack = np.bincount(of, w * np.array([r["r"] or 0.0 for r in rows])) / size
-    starts = np.searchsorted(of, np.arange(len(names)))
-    sent = spark.sparkContext.broadcast((A, w, size, slack, starts, names))
+    share = np.zeros((len(A), len(names)))  # what an anchor adds to each cluster's distance
+    share[np.arange(len(A)), of] = w
+    sent = spark.sparkContext.broadcast((A, share, size, slack, names))
 
     def score(a, b):
         top = np.maximum(a, b)
         return np.where(top > 0, (b - a) / np.where(top > 0, top, 1), 0.0)
 
     def work(batches):
-        A, w, size, slack, starts, names = sent.value
+        A, share, size, slack, names = sent.value
+        B, AA = -2 * A.T, (A * A).sum(1)
         for pdf in batches:
             out = np.zeros((3, len(pdf)))
             own_all = pd.Index(names).get_indexer(pdf["c"])
             X_all = pdf[x].to_numpy(float)
-            for lo in range(0, len(pdf), 2048):
-                X, own = X_all[lo:lo + 2048], own_all[lo:lo + 2048]
-                sq = (X * X).sum(1)[:, None] + (A * A).sum(1)[None, :] - 2 * X @ A.T
-                mean = np.add.reduceat(np.sqrt(np.maximum(sq, 0)) * w, starts, axis=1) / size
+            for lo in range(0, len(pdf), 256):
+                X, own = X_all[lo:lo + 256], own_all[lo:lo + 256]
+                sq = X @ B
+                sq += (X * X).sum(1)[:, None]
+                sq += AA
+                np.sqrt(np.maximum(sq, 0, out=sq), out=sq)
+                mean = (sq @ share) / size
                 at = np.arange(len(X))
                 grown = size[own] / np.maximum(size[own] - 1, 1)
                 a, ea = mean[at, own] * grown, slack[own] * grown
@@ -450,7 +554,7 @@ def silhouette_euclidean(assigned: DataFrame, cols: list[str], label: str = "clu
                 alone = size[own] <= 1
                 for k, s in enumerate((score(a, mean.min(1)), score(a + ea, near.min(1)),
                                        score(np.maximum(a - ea, 0), far.min(1)))):
-                    out[k, lo:lo + 2048] = np.where(alone, 0.0, s)
+                    out[k, lo:lo + 256] = np.where(alone, 0.0, s)
             yield pd.DataFrame({"n": [len(pdf)], "s": [out[0].sum()], "lo": [out[1].sum()], "hi": [out[2].sum()]})
 
     total = points.mapInPandas(work, "n long, s double, lo double, hi double").agg(*[F.sum(c).alias(c) for c in ("n", "s", "lo", "hi")])
