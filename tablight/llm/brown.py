@@ -14,10 +14,10 @@ find nothing better, the parts that move at a time get smaller, so that words
 that chase each other part ways.  Core
 words are those with at least 1/2**17 of all training tokens, so there are at
 most 2**17 of them and their classes may be sent to every task.  Every other
-word is then exchanged once: each chunk of documents finds its best class from
-the words' neighbours there, and the chunks' choices are weighed by their
-counts.  Counts of words, class emissions and class transitions cover every
-training token.
+word is exchanged once the same way: its neighbours' classes in all training
+documents meet in one task, which moves it to the class that raises the likelihood
+of the class bigrams most.  Counts of words, class emissions and class transitions
+cover every training token.
 
 Smoothing: absolute discounting of the transitions (backing off to the class
 shares) and of the emissions; what the emissions of a class give up is its
@@ -57,8 +57,8 @@ END_KEY = 0x656E642D746F6B65  # its key; words are hashed
 REST = CLASSES               # class of words outside the core during the passes
 N_CLASS = CLASSES + 1
 CHUNK_BYTES = 4 << 20
-#: Places of other words that weigh their classes at a time.
-PLACES = 20_000
+#: Neighbour classes of other words that weigh their classes at a time.
+CELLS = 50_000
 CHUNK = "chunk long, ids binary, null_ids binary, flags binary, lens binary, toks binary, keys binary"
 
 
@@ -144,6 +144,37 @@ def best_classes(left: np.ndarray, right: np.ndarray, now: np.ndarray, pairs: np
     return out
 
 
+def joined_classes(word: np.ndarray, left: np.ndarray, right: np.ndarray, n_words: int, pairs: np.ndarray) -> np.ndarray:
+    """For each of ``n_words`` words outside the core the class that raises the
+    likelihood most when the word moves there; ``left`` and ``right`` are the
+    classes before and after each place of ``word``.  The same choice as
+    ``best_classes`` makes of the whole counts, from the cells that are not zero."""
+    before, after = pairs.sum(0), pairs.sum(1)
+    cells = []
+    for side, c in enumerate((left, right)):
+        code, n = np.unique(word * N_CLASS + c, return_counts=True)
+        cells.append((code // N_CLASS, np.full(len(code), side), code % N_CLASS, n))
+    w, side, c, n = (np.concatenate(x) for x in zip(*cells, strict=True))
+    order = np.argsort(w, kind="stable")
+    w, side, c, n = w[order], side[order], c[order], n[order].astype(float)
+    first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else np.zeros(0, np.int64)
+    ends, total = np.r_[first[1:], len(w)], np.bincount(word, minlength=n_words)
+    base = np.stack([pairs, pairs.T])              # side, neighbour's class, the word's class
+    held = _g(base)
+    out, lo = np.ones(n_words, np.int64), 0
+    while lo < len(first):                         # whole words, about CELLS cells at a time
+        hi = max(lo + 1, int(np.searchsorted(ends, first[lo] + CELLS, side="right")))
+        at = slice(first[lo], ends[hi - 1])
+        gain = np.add.reduceat(_g(base[side[at], c[at]] + n[at, None]) - held[side[at], c[at]], first[lo:hi] - first[lo],
+                               axis=0)
+        m = total[w[first[lo:hi]]].astype(float)[:, None]
+        gain -= _g(before + m) - _g(before) + _g(after + m) - _g(after)
+        gain[:, [END, REST]] = -np.inf             # not open to words
+        out[w[first[lo:hi]]] = gain.argmax(1)
+        lo = hi
+    return out
+
+
 class Model:
     """Transitions, discounts and totals; words bring their count and class."""
 
@@ -238,51 +269,49 @@ def score_documents(documents: DataFrame, held_out) -> DataFrame:
     classes, pairs = _exchange(spark, chunks, core_keys, cls, scratch) if len(core_keys) else (cls, None)
     lut = sc.broadcast((core_keys, classes))
 
-    # the other words, once: how well each class follows and precedes another
-    into = outof = None
-    if pairs is not None:
-        p = pairs + 0.05
-        assoc = np.log(p * p.sum() / p.sum(0, keepdims=True) / p.sum(1, keepdims=True))
-        into, outof = assoc.astype(np.float32), assoc.T.astype(np.float32)  # class before or after, class of the word
-        into[:, [END, REST]] = -1e6                 # not open to words
-
+    # the other words, once: the classes beside all their places meet by key range
     def ask_classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for c in _chunks(batches):
             local = _core_classes(c.keys, *lut.value)
             t = c.training()
             n = np.bincount(t, minlength=len(c.keys))
-            vote = np.where(local == REST, 1, local)
-            if into is not None and len(t):
-                seq = local[t]
-                prev, nxt = np.r_[END, seq[:-1]], np.r_[seq[1:], END]
-                at = np.flatnonzero(seq == REST)
-                at = at[np.argsort(t[at], kind="stable")]
-                words, first = np.unique(t[at], return_index=True)
-                ends, lo = np.r_[first[1:], len(at)], 0
-                while lo < len(words):  # whole words, about PLACES at a time
-                    hi = max(lo + 1, int(np.searchsorted(ends, first[lo] + PLACES, side="right")))
-                    sel = at[first[lo]:ends[hi - 1]]
-                    s = np.add.reduceat(into[prev[sel]] + outof[nxt[sel]], first[lo:hi] - first[lo], axis=0)
-                    vote[words[lo:hi]] = s.argmax(1)
-                    lo = hi
-            yield pd.DataFrame(_packed_rows(c, parts, [c.keys, n, vote.astype(np.uint8)]),
-                               columns=["chunk", "part", "a", "b", "c"])
+            seq = local[t]
+            prev, nxt = np.r_[END, seq[:-1]], np.r_[seq[1:], END]
+            order, ends = by_part(c.keys, parts)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            at = np.flatnonzero(seq == REST)
+            at = at[np.argsort(rank[t[at]], kind="stable")]
+            left, right = prev[at].astype(np.uint8), nxt[at].astype(np.uint8)
+            places = np.r_[0, np.cumsum(np.where(local == REST, n, 0)[order])]
+            out, lo = [], 0
+            for p, hi in enumerate(ends.tolist()):
+                if hi > lo:
+                    some, beside = order[lo:hi], slice(places[lo], places[hi])
+                    out.append((c.chunk, p, c.keys[some].tobytes(), n[some].tobytes(),
+                                local[some].astype(np.uint8).tobytes(), left[beside].tobytes(), right[beside].tobytes()))
+                lo = hi
+            yield pd.DataFrame(out, columns=["chunk", "part", "a", "b", "c", "left", "right"])
 
     scratch.drop("counts")
-    asked = scratch.save(chunks.mapInPandas(ask_classes, "chunk long, part int, a binary, b binary, c binary"), "votes")
+    asked = scratch.save(chunks.mapInPandas(
+        ask_classes, "chunk long, part int, a binary, b binary, c binary, left binary, right binary"), "neighbours")
 
     def settle_classes(pdf: pd.DataFrame) -> pd.DataFrame:
         k, inv = np.unique(np.frombuffer(b"".join(pdf["a"]), U), return_inverse=True)
-        n, vote = np.frombuffer(b"".join(pdf["b"]), np.int64), np.frombuffer(b"".join(pdf["c"]), np.uint8)
+        n, now = np.frombuffer(b"".join(pdf["b"]), np.int64), np.frombuffer(b"".join(pdf["c"]), np.uint8)
         count = np.zeros(len(k), np.int64)
         np.add.at(count, inv, n)
-        # each word's class with most votes, ties to the smaller class
-        pair, where = np.unique(inv * 256 + vote, return_inverse=True)
-        weight = np.zeros(len(pair), np.int64)
-        np.add.at(weight, where, n)
-        order = np.lexsort((-(pair % 256), weight, pair // 256))
-        last = np.flatnonzero(np.r_[np.diff(pair[order] // 256) > 0, True])
-        cls = (pair[order][last] % 256).astype(np.uint8)
+        cls = np.empty(len(k), np.uint8)
+        cls[inv] = now
+        other = cls == REST
+        if pairs is None:
+            cls[other] = 1
+        else:
+            number = np.cumsum(other) - 1
+            word = np.repeat(number[inv], np.where(now == REST, n, 0))
+            cls[other] = joined_classes(word, np.frombuffer(b"".join(pdf["left"]), np.uint8),
+                                        np.frombuffer(b"".join(pdf["right"]), np.uint8), int(other.sum()), pairs)
         seen = count > 0
         out, at = [], 0
         for chunk, part, a in zip(pdf["chunk"], pdf["part"], pdf["a"], strict=True):
