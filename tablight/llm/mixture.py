@@ -128,7 +128,8 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     pieces = docs.where("size > 0").select("ord", "first_word", "size", F.explode(F.sequence(lo, hi)).alias("block"))
     words = F.least(F.col("first_word") + F.col("size"), (F.col("block") + 1) * block) \
         - F.greatest(F.col("first_word"), F.col("block") * block)
-    got = pieces.select("ord", "first_word", "block", words.alias("words")).join(reads, ["ord", "block"]) \
+    # the planner takes the pieces for as many rows as there are documents, and would send them all to the driver
+    got = pieces.select("ord", "first_word", "block", words.alias("words")).hint("merge").join(reads, ["ord", "block"]) \
         .groupBy("ord", "first_word").agg(F.sum(F.col("words") * F.col("times")).alias("_taken"))
     # a text without words shares its place with the next one and takes nothing
     out = docs.join(got, ["ord", "first_word"], "left") \

@@ -1,8 +1,10 @@
 """No cut, cap or lost case: seed masks by enumeration, short texts, the sample
 of the classifier, and the pipeline on odd tables."""
+import collections
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tablight.llm import decontaminate as D
-from tablight.llm import repeats, topk, toxicity
+from tablight.llm import mixture, repeats, topk, toxicity
 from tablight.llm.common import Scratch, split_by_ids
 from tests.conftest import SF
 
@@ -276,3 +278,27 @@ def test_model_scores_equal_a_replay():
         assert score[k] == pytest.approx(total) and base[k] == pytest.approx(plain)
         at += size
     assert np.allclose([r.sum() for r in rows], 1.0)
+
+
+def test_mixing_sends_no_pieces_to_the_driver(spark, monkeypatch):
+    """Few documents of many words: their pieces outnumber them by far, and are met with the slots where they are."""
+    rows = [(i, f"w{i} " * (3000 + 37 * i), "ab"[i % 2]) for i in range(20)] + [(20, "", "a"), (None, "x y", None)]
+    plans, save = {}, Scratch.save
+
+    def seen(self, df, name, *args, **kw):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return save(self, df, name, *args, **kw)
+
+    monkeypatch.setattr(Scratch, "save", seen)
+    mixed, slots = mixture.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert "explode" in plans["mixed"] and re.search(r"SortMergeJoin \[ord#\d+, block#\d+L\]", plans["mixed"])
+    # every slot read by hand: the words of each document that its block holds
+    ords = {s: i for i, s in enumerate(["a", "b", None])}
+    want = collections.Counter()
+    placed = mixed.collect()
+    for s in slots.collect():
+        for d in placed:
+            if ords[d.source] == s.ord:
+                lo, hi = s.block * mixture.BLOCK, (s.block + 1) * mixture.BLOCK
+                want[d.doc_id] += max(0, min(d.first_word + d.size, hi) - max(d.first_word, lo))
+    assert {d.doc_id: d.taken for d in placed} == {d.doc_id: want[d.doc_id] for d in placed} and len(placed) == 22
