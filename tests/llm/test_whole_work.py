@@ -302,3 +302,18 @@ def test_mixing_sends_no_pieces_to_the_driver(spark, monkeypatch):
                 lo, hi = s.block * mixture.BLOCK, (s.block + 1) * mixture.BLOCK
                 want[d.doc_id] += max(0, min(d.first_word + d.size, hi) - max(d.first_word, lo))
     assert {d.doc_id: d.taken for d in placed} == {d.doc_id: want[d.doc_id] for d in placed} and len(placed) == 22
+
+
+def test_last_stage_of_the_pipeline_sends_no_pieces_to_the_driver(spark, odd_dir, monkeypatch):
+    plans, save = {}, Scratch.save
+
+    def seen(self, df, name, *args, **kw):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return save(self, df, name, *args, **kw)
+
+    monkeypatch.setattr(Scratch, "save", seen)
+    rows = [(i, "a b " * 5000, "ab"[i % 2], f"column of row {i}") for i in range(4)] + [(None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, more string")
+    got = dict(corpus_pipeline.STAGES)["source_mixing"](spark, docs, odd_dir).collect()
+    assert "explode" in plans["mixed"] and re.search(r"SortMergeJoin \[ord#\d+, block#\d+L\]", plans["mixed"])
+    assert sorted(r["size"] for r in got) == [0] + [10_000] * 4 and all(r.taken <= 2 * r["size"] for r in got)
